@@ -14,6 +14,7 @@ from regrowth.sources.tables import scan_table
 YEARS = list(range(1995, 2002))
 PERIODS = {f"c{y % 100:02d}": y + 0.62 for y in YEARS}
 GRID_WIDTH = 100
+QA_WORDS = [0, 1, 8, 64, 21824]  # fixed values: fill, clear, cloud, clear, clear
 KEEP = ["pid", "src", "agent", "era", "dq", "event", "year", "elev", "slope", "area_ha", "n_px", "redist_frac", "clean"]
 
 
@@ -213,7 +214,7 @@ def scenes(spark, sf) -> DataFrame:
     return e.select(
         "event_id", "ts", F.date_format("ts", "yyyy-MM-dd").alias("scene"), F.col("user_id").alias("cell"),
         F.concat(F.lit("w"), F.floor((F.dayofmonth("ts") - 1) / 10).cast("string")).alias("epoch"),
-        F.col("event_type").alias("sensor"), (F.col("event_id") % 64).alias("qa"), F.col("value"),
+        F.col("event_type").alias("sensor"), F.element_at(F.array(*[F.lit(b) for b in QA_WORDS]), (F.col("event_id") % 5 + 1).cast("int")).alias("qa"), F.col("value"),
         (F.lit(43000) + F.floor(F.col("value") * 10)).alias("st"),
         (F.lit(7500) + F.floor(F.col("value") * 3)).alias("red"),
         (F.lit(12000) + F.col("event_id") % 900).alias("nir"),
@@ -221,7 +222,7 @@ def scenes(spark, sf) -> DataFrame:
 
 
 SCENE_SQL = """sc AS (SELECT event_id, ts, strftime(ts, '%Y-%m-%d') AS scene, user_id AS cell,
-    'w' || CAST(floor((day(ts) - 1) / 10) AS BIGINT) AS epoch, event_type AS sensor, event_id % 64 AS qa, value,
+    'w' || CAST(floor((day(ts) - 1) / 10) AS BIGINT) AS epoch, event_type AS sensor, [0, 1, 8, 64, 21824][event_id % 5 + 1] AS qa, value,
     CAST(43000 + floor(value * 10) AS BIGINT) AS st, CAST(7500 + floor(value * 3) AS BIGINT) AS red, 12000 + event_id % 900 AS nir
   FROM events),
 clear AS (SELECT * FROM sc WHERE qa <> 0 AND (qa & 62) = 0)"""

@@ -30,7 +30,7 @@ def scan_json_dimension(spark: SparkSession, path: str, fields: str) -> DataFram
 def scan_json_lists(spark: SparkSession, path: str) -> DataFrame:
     """Scene lists ``[{id, used, clear_px}]``, one file per period; the period comes from the file name."""
     df = spark.read.schema("id string, used boolean, clear_px bigint").json(path, multiLine=True)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)_items[^/]*$", 1)
+    name = F.regexp_extract(F.input_file_name(), r"([^/=]+)_items[^/]*(/[^/]*)?$", 1)
     return df.withColumn("epoch", F.regexp_replace(name, "%20", " "))
 
 
@@ -66,7 +66,8 @@ def fingerprint(df: DataFrame, name: str) -> DataFrame:
     """Order-free checksum of a table: row count and the xor of exact per-row digests."""
     parts = []
     for field in df.schema:
-        value = F.unix_micros(field.name) if field.dataType.typeName() == "timestamp" else F.col(field.name)
+        is_time = field.dataType.typeName() in ("timestamp", "timestamp_ntz")
+        value = F.unix_micros(F.col(field.name).cast("timestamp")) if is_time else F.col(field.name)
         parts.append(F.coalesce(value.cast("string"), F.lit("~")))
     digest = F.md5(F.concat_ws("|", *parts))
     half = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
