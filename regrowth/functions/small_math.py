@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql import functions as F, types as T
 
+register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def solve_normal(gram: pd.Series, rhs: pd.Series) -> pd.Series:
     """Solve one small symmetric system per row; ``gram`` is row-major. NULL when singular."""
     out = []
@@ -24,7 +27,7 @@ def solve_normal(gram: pd.Series, rhs: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| > |t|) by Gauss-Legendre integration of the density after t = sqrt(df) tan(a)."""
     x, w = np.polynomial.legendre.leggauss(200)
@@ -40,7 +43,7 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([one(float(a), float(b)) for a, b in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution: a finite sum for each parity of df."""
 
@@ -63,7 +66,7 @@ def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([one(float(a), int(b)) for a, b in zip(x, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def inverse_form(matrix: pd.Series, vector: pd.Series) -> pd.Series:
     """b' V^-1 b for one small covariance per row."""
     out = []

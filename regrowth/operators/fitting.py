@@ -8,12 +8,17 @@ or bootstrap replicates run side by side.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regrowth.operators.binning import age_bin, bin_centre
 
+register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
+
 # Bounds and floors of the fit.
 TAU_LO, TAU_HI, AMP_BOUND, SE_FLOOR = 0.3, 60.0, 25.0, 1e-3
 SCAN, ZOOM = 60, 40

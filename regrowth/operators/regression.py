@@ -85,16 +85,16 @@ def numeric_gradient(df: DataFrame, keys: list[str], x: str, y: str, name: str =
 def interpolate(curve: DataFrame, keys: list[str], x: str, y: str, at: list[float]) -> DataFrame:
     """Piecewise-linear value of each (short) curve at the points ``at``; flat beyond the ends."""
     pts = curve.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).alias("_p"))
-    rows = pts.withColumn("at", F.explode(F.array(*[F.lit(float(v)) for v in at])))
-    lo = F.element_at(F.filter("_p", lambda p: p["x"] <= F.col("at")), -1)
-    hi = F.get(F.filter("_p", lambda p: p["x"] >= F.col("at")), F.lit(0))
-    rows = rows.withColumns({"_lo": F.when(F.col("at") >= F.get("_p", F.lit(0))["x"], lo), "_hi": hi})
+    rows = pts.withColumn("x_at", F.explode(F.array(*[F.lit(float(v)) for v in at])))
+    lo = F.element_at(F.filter("_p", lambda p: p["x"] <= F.col("x_at")), -1)
+    hi = F.get(F.filter("_p", lambda p: p["x"] >= F.col("x_at")), F.lit(0))
+    rows = rows.withColumns({"_lo": F.when(F.col("x_at") >= F.get("_p", F.lit(0))["x"], lo), "_hi": hi})
     value = (
         F.when(F.col("_lo").isNull(), F.col("_hi.y"))
         .when(F.col("_hi").isNull() | (F.col("_hi.x") == F.col("_lo.x")), F.col("_lo.y"))
-        .otherwise(F.col("_lo.y") + (F.col("_hi.y") - F.col("_lo.y")) * (F.col("at") - F.col("_lo.x")) / (F.col("_hi.x") - F.col("_lo.x")))
+        .otherwise(F.col("_lo.y") + (F.col("_hi.y") - F.col("_lo.y")) * (F.col("x_at") - F.col("_lo.x")) / (F.col("_hi.x") - F.col("_lo.x")))
     )
-    return rows.select(*keys, "at", value.alias("value"))
+    return rows.select(*keys, "x_at", value.alias("value"))
 
 
 def first_where(curve: DataFrame, keys: list[str], x: str, cond: Column, name: str = "first_x") -> DataFrame:
