@@ -1,9 +1,9 @@
 """Weighted exponential recovery fits on binned means.
 
 For a fixed time constant the best amplitude of A*exp(-t/tau) has a closed form, so only tau is searched:
-a log-spaced scan over the allowed range, then three rounds that zoom in around the best point. A stratum is
-a few dozen bins at most, so its fit is one array expression on one row and the fits of many strata
-or bootstrap replicates run side by side.
+a log-spaced scan over the allowed range, then three rounds that zoom in around the best point. Spark makes the
+bins; a stratum is then one row with a few dozen numbers, and the fits of many strata or bootstrap replicates run
+side by side, whole Arrow batches at a time.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from regrowth.operators.binning import age_bin, bin_centre
 
@@ -62,59 +62,52 @@ def fit_bins(
         )
         .where((F.col("n_bins") >= min_bins) & (F.col("n_rows") >= min_rows))
     )
-    scan = F.transform(
-        F.sequence(F.lit(0), F.lit(SCAN - 1)), lambda i: F.lit(TAU_LO) * F.pow(F.lit(RATIO), i.cast("double"))
-    )
-    best = grouped.withColumn("_b", _best(scan, bound))
-    best = best.withColumn("_lo", F.greatest(F.lit(TAU_LO), F.col("_b.tau") / RATIO)).withColumn(
-        "_hi", F.least(F.lit(TAU_HI), F.col("_b.tau") * RATIO)
-    )
-    for _ in range(3):
-        width = (F.col("_hi") - F.col("_lo")) / ZOOM
-        grid = F.transform(F.sequence(F.lit(0), F.lit(ZOOM)), lambda i: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / ZOOM)
-        best = best.withColumn("_w", width).withColumn("_b", _best(grid, bound))
-        best = best.withColumn("_lo", F.greatest(F.lit(TAU_LO), F.col("_b.tau") - F.col("_w"))).withColumn(
-            "_hi", F.least(F.lit(TAU_HI), F.col("_b.tau") + F.col("_w"))
-        )
-    out = best.withColumn("amp", F.col("_b.amp")).withColumn("tau", F.col("_b.tau"))
-
-    def moment(power: int) -> Column:
-        return F.aggregate(
-            "_pts",
-            F.lit(0.0),
-            lambda acc, p: acc + p["w"] * F.pow(p["t"], F.lit(float(power))) * F.exp(-2 * p["t"] / F.col("tau")),
-        )
-
-    out = out.withColumns({"_s0": moment(0), "_s1": moment(1), "_s2": moment(2)})
-    slope = F.col("amp") / (F.col("tau") * F.col("tau"))
-    det = F.col("_s0") * F.col("_s2") - F.col("_s1") * F.col("_s1")
+    out = grouped.withColumn("_f", _profile_fit("_pts", F.lit(float(bound))))
+    slope = F.col("_f.amp") / (F.col("_f.tau") * F.col("_f.tau"))
+    det = F.col("_f.s0") * F.col("_f.s2") - F.col("_f.s1") * F.col("_f.s1")
     return out.select(
         *keys,
-        "amp",
-        "tau",
-        F.sqrt(F.col("_s2") / det).alias("amp_se"),
-        (F.sqrt(F.col("_s0") / det) / F.abs(slope)).alias("tau_se"),
+        F.col("_f.amp").alias("amp"),
+        F.col("_f.tau").alias("tau"),
+        F.sqrt(F.col("_f.s2") / det).alias("amp_se"),
+        (F.sqrt(F.col("_f.s0") / det) / F.abs(slope)).alias("tau_se"),
         "n_bins",
         "n_rows",
-        ((F.col("tau") <= TAU_LO + 1e-6) | (F.col("tau") >= TAU_HI - 1e-6)).alias("at_bound"),
+        ((F.col("_f.tau") <= TAU_LO + 1e-6) | (F.col("_f.tau") >= TAU_HI - 1e-6)).alias("at_bound"),
     )
 
 
-def _best(grid: Column, bound: float) -> Column:
-    """(ssr, tau, amp) of the best grid value."""
-
-    def amplitude(tau):
-        num = F.aggregate("_pts", F.lit(0.0), lambda a, p: a + p["w"] * p["m"] * F.exp(-p["t"] / tau))
-        den = F.aggregate("_pts", F.lit(0.0), lambda a, p: a + p["w"] * F.exp(-2 * p["t"] / tau))
-        return F.struct(tau.alias("tau"), F.least(F.greatest(num / den, F.lit(-bound)), F.lit(bound)).alias("amp"))
-
-    def cost(g):
-        ssr = F.aggregate(
-            "_pts", F.lit(0.0), lambda a, p: a + p["w"] * F.pow(p["m"] - g["amp"] * F.exp(-p["t"] / g["tau"]), 2.0)
-        )
-        return F.struct(ssr.alias("ssr"), g["tau"].alias("tau"), g["amp"].alias("amp"))
-
-    return F.array_min(F.transform(F.transform(grid, amplitude), cost))
+@F.pandas_udf(T.StructType([T.StructField(x, T.DoubleType()) for x in ("tau", "amp", "s0", "s1", "s2")]))
+def _profile_fit(points: pd.Series, bound: pd.Series) -> pd.DataFrame:
+    """Scan and zoom for every fit of a batch at once; shorter bin lists are padded with zero weight."""
+    parts = []
+    for start in range(0, len(points), 256):
+        chunk = points.iloc[start : start + 256]
+        width = max((len(p) for p in chunk), default=0)
+        t, m, w = (np.zeros((len(chunk), width)) for _ in range(3))
+        for i, pts in enumerate(chunk):
+            for j, p in enumerate(pts):
+                t[i, j], m[i, j], w[i, j] = p["t"], p["m"], p["w"]
+        cap = bound.iloc[start : start + 256].to_numpy()[:, None]
+
+        def best(grid):
+            e = np.exp(-t[:, None, :] / grid[:, :, None])
+            num = np.einsum("ib,igb->ig", w * m, e)
+            amp = np.clip(num / np.einsum("ib,igb->ig", w, e * e), -cap, cap)
+            gap = m[:, None, :] - amp[:, :, None] * e
+            at = np.argmin(np.einsum("ib,igb->ig", w, gap * gap), axis=1)
+            rows = np.arange(len(at))
+            return grid[rows, at], amp[rows, at]
+
+        tau, amp = best(np.broadcast_to(TAU_LO * RATIO ** np.arange(SCAN), (len(chunk), SCAN)))
+        lo, hi = np.maximum(TAU_LO, tau / RATIO), np.minimum(TAU_HI, tau * RATIO)
+        for _ in range(3):
+            tau, amp = best(lo[:, None] + (hi - lo)[:, None] * np.arange(ZOOM + 1) / ZOOM)
+            step = (hi - lo) / ZOOM
+            lo, hi = np.maximum(TAU_LO, tau - step), np.minimum(TAU_HI, tau + step)
+        e2 = w * np.exp(-2 * t / tau[:, None])
+        parts.append(pd.DataFrame({"tau": tau, "amp": amp, "s0": e2.sum(1), "s1": (e2 * t).sum(1), "s2": (e2 * t * t).sum(1)}))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["tau", "amp", "s0", "s1", "s2"], dtype=float)
 
 
 def recovery_fit(
@@ -328,7 +321,7 @@ def share_of_first(bins: DataFrame, keys: list[str], min_bin: int = 12) -> DataF
     """mean(bin) / mean(bin 0) within each group."""
     ready = bins.where(F.col("n") >= min_bin)
     ref = ready.where(F.col("bin") == 0).select(*keys, F.col("mean").alias("_ref"))
-    return ready.join(ref, keys).withColumn("remaining", F.col("mean") / F.col("_ref")).drop("_ref")
+    return ready.join(ref, keys).withColumn("remaining", F.when(F.col("bin") == 0, 1.0).otherwise(F.col("mean") / F.col("_ref"))).drop("_ref")
 
 
 def largest_step(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

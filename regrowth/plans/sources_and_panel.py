@@ -295,9 +295,9 @@ def _(spark, sf):
     return rs.repair_dimension(dim, fixes, "code", ["event", "agent"]).select("code", "event", "agent", "n")
 
 
-@query("anomaly_pair", L + f"SELECT pid, epoch, {r('(v - ctl) / 1e6', 'gap', 11)} FROM lp", 11)
+@query("anomaly_pair", L + f"SELECT pid, epoch, {r('sqrt(v) - sqrt(ctl)', 'gap')} FROM lp")
 def _(spark, sf):
-    return fx.long_panel(spark, sf).select("pid", "epoch", ((F.col("v") - F.col("ctl")) / 1e6).alias("gap"))
+    return fx.long_panel(spark, sf).select("pid", "epoch", (F.sqrt("v") - F.sqrt("ctl")).alias("gap"))
 
 
 @query("db_difference", L + f"SELECT pid, epoch, {r('10 * log10(v) - 10 * log10(ctl)', 'gap_db')} FROM lp")
