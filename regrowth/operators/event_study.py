@@ -8,6 +8,7 @@ from regrowth.functions.columns import half_even
 from regrowth.functions.small_math import chi2_tail, inverse_form
 from regrowth.operators.bootstrap import interval, replicate_weights, unit_sums, weighted_cells
 from regrowth.operators.reshape import net_of_reference, reference_lookup
+from regrowth.session import materialise
 
 
 def event_time_rows(long: DataFrame, unit: str, value: str, k_min: int = -7, k_max: int = 13) -> DataFrame:
@@ -17,28 +18,33 @@ def event_time_rows(long: DataFrame, unit: str, value: str, k_min: int = -7, k_m
     return rows.where(F.col("k").between(k_min, k_max) & (F.col("k") != -1))
 
 
-def replicate_curve(rows: DataFrame, unit: str, keys: list[str], n_boot: int, seed: str, min_n: int, scheme: str = "multinomial") -> DataFrame:
-    """Mean beta per (rep, keys, k); one weight per unit and replicate serves every k, so replicates are joint."""
-    cells = rows.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_n).drop("_n")
-    sums = unit_sums(rows.join(cells, [*keys, "k"], "left_semi"), unit, [*keys, "k"], "beta")
-    weights = replicate_weights(rows.select(unit).distinct(), unit, n_boot, seed, scheme)
-    return weighted_cells(sums, weights, unit, [*keys, "k"]).select("rep", *keys, "k", F.col("mean").alias("beta"))
+def event_time_sums(rows: DataFrame, unit: str, keys: list[str]) -> DataFrame:
+    """Per-unit sums of beta for each k, written once: points, gates, units and replicates all read this."""
+    return materialise(unit_sums(rows, unit, [*keys, "k"], "beta"), "event-time-sums")
 
 
-def curve(rows: DataFrame, unit: str, keys: list[str], n_boot: int, seed: str, min_n: int = 25, scheme: str = "multinomial") -> DataFrame:
-    """Mean beta by k with n, number of units and the bootstrap interval."""
-    points = (
-        rows.groupBy(*keys, "k")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_distinct(unit).alias("n_unit"), F.avg("beta").alias("beta"))
+def points_by_k(sums: DataFrame, unit: str, keys: list[str], min_n: int = 25) -> DataFrame:
+    return (
+        sums.groupBy(*keys, "k")
+        .agg(F.sum("n").alias("n"), F.count_distinct(unit).alias("n_unit"), (F.sum("s1") / F.sum("n")).alias("beta"))
         .where(F.col("n") >= min_n)
     )
-    reps = replicate_curve(rows, unit, keys, n_boot, seed, min_n, scheme)
-    band = interval(reps, [*keys, "k"], "beta").select(*keys, "k", "lo", "hi", F.col("p_gt").alias("p_gt0"))
-    return points.join(band, [*keys, "k"])
 
 
-def points_by_k(rows: DataFrame, min_n: int = 25) -> DataFrame:
-    return rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg("beta").alias("beta")).where(F.col("n") >= min_n)
+def replicate_curve(sums: DataFrame, unit: str, keys: list[str], n_boot: int, seed: str, min_n: int, scheme: str = "multinomial") -> DataFrame:
+    """Mean beta per (rep, keys, k); one weight per unit and replicate serves every k, so replicates are joint."""
+    cells = points_by_k(sums, unit, keys, min_n).select(*keys, "k")
+    weights = replicate_weights(sums.select(unit).distinct(), unit, n_boot, seed, scheme)
+    kept = sums.join(cells, [*keys, "k"], "left_semi")
+    return weighted_cells(kept, weights, unit, [*keys, "k"]).select("rep", *keys, "k", F.col("mean").alias("beta"))
+
+
+def curve(rows: DataFrame, unit: str, keys: list[str], n_boot: int, seed: str, min_n: int = 25, scheme: str = "multinomial") -> DataFrame:
+    """Mean beta by k with n, number of units and the bootstrap interval."""
+    sums = event_time_sums(rows, unit, keys)
+    reps = replicate_curve(sums, unit, keys, n_boot, seed, min_n, scheme)
+    band = interval(reps, [*keys, "k"], "beta").select(*keys, "k", "lo", "hi", F.col("p_gt").alias("p_gt0"))
+    return points_by_k(sums, unit, keys, min_n).join(band, [*keys, "k"])
 
 
 def wald_of_leads(points: DataFrame, reps: DataFrame) -> DataFrame:

@@ -101,12 +101,16 @@ def slope_given_bins(df: DataFrame, bins: str, y: str, x: str) -> DataFrame:
     return sums.agg(F.sum("n").alias("n_rows"), (F.sum("sxy") / F.sum("sxx")).alias("beta"))
 
 
-def bootstrap_slope_given_bins(df: DataFrame, weights: DataFrame, unit: str, bins: str, y: str, x: str) -> DataFrame:
-    """The same slope per replicate from per-(unit, bin) sums; y and x should be roughly centred."""
-    sums = df.groupBy(unit, bins).agg(
+def cross_sums(df: DataFrame, unit: str, bins: str, y: str, x: str) -> DataFrame:
+    """Per-(unit, bin) sums for the replicates; y and x should be roughly centred."""
+    return df.groupBy(unit, bins).agg(
         F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(x).alias("sx"),
         F.sum(F.col(x) * F.col(y)).alias("sxy"), F.sum(F.col(x) * F.col(x)).alias("sxx"),
     )
+
+
+def bootstrap_slope_given_bins(sums: DataFrame, weights: DataFrame, unit: str, bins: str) -> DataFrame:
+    """The within-bin slope of every replicate."""
     w = F.col("w")
     cells = sums.join(weights, unit).groupBy("rep", bins).agg(*[F.sum(w * F.col(s)).alias(s) for s in ("n", "sy", "sx", "sxy", "sxx")])
     num = F.sum(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"))

@@ -1,14 +1,18 @@
-"""Exact quantiles by distributed selection.
+"""Exact quantiles whose memory does not grow with the group.
 
-``percentile`` keeps every distinct value of a group in one buffer, so a group that holds a third of the
-table would sit in one task. Here equal values are counted first (map-side combine), a bounded sketch cuts
-each group into value ranges, the ranges are counted, and only the ranges that hold a wanted rank are ordered.
+``percentile`` keeps every distinct value of a group in one buffer. Here equal values are counted first (map-side
+combine) and the counts are written once. If no group has more than ``SMALL_GROUP`` distinct values the built-in
+works on those counts. Otherwise a bounded sketch cuts each group into value ranges, the ranges are counted, and
+only the ranges that hold a wanted rank are ordered.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from regrowth.session import materialise
+
+SMALL_GROUP = 200_000  # distinct values per group that the built-in may buffer
 EDGES = 63  # 64 ranges; one less than a power of two so that a range is found by halving
 
 
@@ -26,25 +30,37 @@ def range_of(edges: Column, value: Column, n_edges: int) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str], min_n: int = 1, count: str | None = None
+    df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str], min_n: int = 1, count: str | None = None,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles; groups below ``min_n`` values are left out.
 
     ``count`` names an output column for the number of non-null values.
     """
-    groups = keys or ["_all"]
-    base = df if keys else df.withColumn("_all", F.lit(0))
-    counted = (
-        base.where(F.col(value).isNotNull())
-        .groupBy(*groups, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = materialise(counted, "value-counts")
+    widest = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+    if widest <= small_group:
+        out = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_n")).alias("_q"))
+        out = out.where(F.col("_total") >= min_n)
+        picks = [F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(names)]
+        return out.select(*keys, *([F.col("_total").alias(count)] if count else []), *picks)
+    return _select_ranks(counted, keys, probs, names, min_n, count)
+
+
+def _select_ranks(counted: DataFrame, keys: list[str], probs: list[float], names: list[str], min_n: int, count: str | None) -> DataFrame:
+    groups = keys
     steps = [(i + 1) / (EDGES + 1) for i in range(EDGES)]
     sketch = counted.groupBy(*groups).agg(F.percentile_approx("_v", steps, 2000).alias("_edges"), F.sum("_n").alias("_total"))
-    sketch = sketch.where(F.col("_total") >= min_n)
-    ranged = _eq_join(counted, sketch, groups).withColumn("_range", range_of(F.col("_edges"), F.col("_v"), EDGES)).drop("_edges")
+    if groups:
+        ranged = _eq_join(counted, sketch.where(F.col("_total") >= min_n), groups)
+    else:
+        ranged = counted.withColumn("_s", sketch.select(F.struct("_edges", "_total")).scalar())
+        ranged = ranged.select("_v", "_n", "_s.*").where(F.col("_total") >= min_n)
+    ranged = ranged.withColumn("_range", range_of(F.col("_edges"), F.col("_v"), EDGES)).drop("_edges")
 
     by_range = ranged.groupBy(*groups, "_range", "_total").agg(F.sum("_n").alias("_in_range"))
+    # at most EDGES + 1 rows per group
     before = F.coalesce(
         F.sum("_in_range").over(W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
     )
@@ -78,8 +94,7 @@ def exact_quantiles(
         pos = F.max(F.when(F.col("i") == i, F.col("pos")))
         picks.append((low + (high - low) * (pos - F.floor(pos))).alias(name))
     out = hits.groupBy(*groups, "_total").agg(*picks)
-    out = out.withColumnRenamed("_total", count) if count else out.drop("_total")
-    return out if keys else out.drop("_all")
+    return out.withColumnRenamed("_total", count) if count else out.drop("_total")
 
 
 def _eq_join(big: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:

@@ -214,7 +214,7 @@ def _(spark, sf):
     return ag.merge_partials(parts, ["cell", "epoch"], ["total", "cnt"])
 
 
-@query("composite_mean", S + f"SELECT cell, epoch, {n('count(value)', 'n_clear')}, {r('CASE WHEN count(value) >= 3 THEN avg(value) END', 'mean', 5)} FROM clear GROUP BY ALL", 5)
+@query("composite_mean", S + f"SELECT cell, epoch, {n('count(value)', 'n_clear')}, {r('CASE WHEN count(value) >= 3 THEN avg(value) END', 'mean', 8)} FROM clear GROUP BY ALL", 8)
 def _(spark, sf):
     return ag.composite(fx.scenes(spark, sf).where(fc.clear_sky("qa")), ["cell", "epoch"], "value")
 
@@ -224,7 +224,7 @@ def _(spark, sf):
     return qt.medians(fx.scenes(spark, sf).where(fc.clear_sky("qa")), ["cell", "epoch"], "value")
 
 
-@query("per_sensor_composite", S + f"SELECT cell, epoch, sensor, {n('count(value)', 'n_clear')}, {r('CASE WHEN count(value) >= 3 THEN avg(value) END', 'mean', 5)} FROM clear GROUP BY ALL", 5)
+@query("per_sensor_composite", S + f"SELECT cell, epoch, sensor, {n('count(value)', 'n_clear')}, {r('CASE WHEN count(value) >= 3 THEN avg(value) END', 'mean', 8)} FROM clear GROUP BY ALL", 8)
 def _(spark, sf):
     return ag.composite(fx.scenes(spark, sf).where(fc.clear_sky("qa")), ["cell", "epoch", "sensor"], "value")
 

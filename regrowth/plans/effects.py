@@ -22,6 +22,7 @@ from regrowth.plans.joins_and_windows import KEEP, PREPOST
 from regrowth.plans.recovery import EV, event_post, multinomial_sql, poisson_sql
 from regrowth.plans.registry import n, query, r
 from regrowth.plans.sources_and_panel import AREA, ELEV, NET
+from regrowth.session import materialise
 from regrowth.streaming import accumulate as st
 
 L, P, S = f"WITH {fx.LONG_SQL}\n", f"WITH {fx.PIXEL_SQL}\n", f"WITH {fx.SCENE_SQL}\n"
@@ -88,7 +89,7 @@ def _(spark, sf):
 
 @query(
     "event_study_by_cohort",
-    L + ES + ", ky AS (SELECT year, k FROM es GROUP BY 1, 2 HAVING count(*) >= 10), yu AS (SELECT year FROM es GROUP BY 1 HAVING count(DISTINCT pid) >= 20), ek AS (SELECT es.* FROM es JOIN ky USING (year, k) WHERE year IN (SELECT year FROM yu))"
+    L + ES + ", ky AS (SELECT year, k FROM es GROUP BY 1, 2 HAVING count(*) >= 10), big AS (SELECT year FROM es GROUP BY 1 HAVING count(DISTINCT pid) >= 20), ek AS (SELECT es.* FROM es JOIN ky USING (year, k) WHERE year IN (SELECT year FROM big))"
     + f" SELECT year, k, {n('count(*)', 'n')}, {r('avg(beta)', 'beta')} FROM ek GROUP BY 1, 2",
 )
 def _(spark, sf):
@@ -110,8 +111,8 @@ def _(spark, sf):
 
 
 def es_points_and_reps(spark, sf):
-    rows = es_rows(spark, sf)
-    return es.points_by_k(rows), es.replicate_curve(rows, "pid", [], B, "e", 25)
+    sums = es.event_time_sums(es_rows(spark, sf), "pid", [])
+    return es.points_by_k(sums, "pid", []), es.replicate_curve(sums, "pid", [], B, "e", 25)
 
 
 def wald_sql(size: int) -> str:
@@ -165,7 +166,7 @@ def terms_sql(src: str, by: str = "") -> str:
     + f" SELECT {r('slope_ref', 'slope_ref')}, {r('slope_free', 'slope_free')}, {r('max_abs_lead', 'max_abs_lead')}, {r('rms_lead', 'rms_lead')}, {r('max_step', 'max_step')}, {n('k1', 'k1')}, {r('jump1', 'jump1')}, {r('jump1 - slope_ref * (k1 + 1)', 'adjusted_ref')}, {r('jump1 - slope_free * (k1 + 1)', 'adjusted_free')} FROM sl, fl, sp",
 )
 def _(spark, sf):
-    return es.pretrend_terms(es.points_by_k(es_rows(spark, sf)).select("k", "beta"), [])
+    return es.pretrend_terms(es_points_and_reps(spark, sf)[0].select("k", "beta"), [])
 
 
 @query(
@@ -174,7 +175,7 @@ def _(spark, sf):
     + f" SELECT {n('count(*)', 'n_boot')}, {r('quantile_cont(slope_ref, 0.025)', 'slope_lo')}, {r('quantile_cont(slope_ref, 0.975)', 'slope_hi')}, {r('quantile_cont(max_step, 0.025)', 'step_lo')}, {r('quantile_cont(max_step, 0.975)', 'step_hi')}, {r('quantile_cont(jump1 - slope_ref * (k1 + 1), 0.025)', 'adj_lo')}, {r('quantile_cont(jump1 - slope_ref * (k1 + 1), 0.975)', 'adj_hi')} FROM sl JOIN fl USING (rep) JOIN sp USING (rep)",
 )
 def _(spark, sf):
-    t = es.pretrend_terms(es.replicate_curve(es_rows(spark, sf), "pid", [], B, "e", 25), ["rep"])
+    t = es.pretrend_terms(es_points_and_reps(spark, sf)[1], ["rep"])
     q = lambda x, p, name: F.percentile(x, F.lit(p)).alias(name)
     return t.agg(
         F.count(F.lit(1)).alias("n_boot"), q("slope_ref", 0.025, "slope_lo"), q("slope_ref", 0.975, "slope_hi"), q("max_step", 0.025, "step_lo"),
@@ -188,11 +189,11 @@ def _(spark, sf):
     + f", rp AS (SELECT rep, sum(w * s) / sum(w * n) AS beta FROM su JOIN wt USING (pid) GROUP BY 1) SELECT {n('(SELECT count(*) FROM dl)', 'n')}, {n('(SELECT count(DISTINCT pid) FROM dl)', 'n_unit')}, {r('(SELECT avg(beta) FROM dl)', 'mean')}, {r('quantile_cont(beta, 0.025)', 'lo')}, {r('quantile_cont(beta, 0.975)', 'hi')} FROM rp",
 )
 def _(spark, sf):
-    leads = es_rows(spark, sf).where(F.col("k") <= -2)
-    w = bt.replicate_weights(leads.select("pid").distinct(), "pid", B, "l")
-    reps = bt.weighted_cells(bt.unit_sums(leads, "pid", [], "beta"), w, "pid", [])
+    sums = materialise(bt.unit_sums(es_rows(spark, sf).where(F.col("k") <= -2), "pid", [], "beta"), "lead-sums")
+    w = bt.replicate_weights(sums.select("pid"), "pid", B, "l")
+    reps = bt.weighted_cells(sums, w, "pid", [])
     band = reps.agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))
-    point = leads.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_distinct("pid").alias("n_unit"), F.avg("beta").alias("mean")).alias("p")).scalar()
+    point = sums.agg(F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_unit"), (F.sum("s1") / F.sum("n")).alias("mean")).alias("p")).scalar()
     return band.withColumn("p", point).select("p.*", "lo", "hi")
 
 
@@ -202,7 +203,7 @@ def _(spark, sf):
     + f", m AS (SELECT unnest([0.5::DOUBLE, 1, 1.5, 2, 2.5, 3]) AS mbar) SELECT {r('mbar', 'mbar')}, {r('jump1 - mbar * max_step', 'lo')}, {r('jump1 + mbar * max_step', 'hi')}, (jump1 - mbar * max_step > 0 OR jump1 + mbar * max_step < 0) AS excludes_zero, {r('abs(jump1) / max_step', 'breakdown')} FROM fl, sp, m",
 )
 def _(spark, sf):
-    terms = es.pretrend_terms(es.points_by_k(es_rows(spark, sf)).select("k", "beta"), [])
+    terms = es.pretrend_terms(es_points_and_reps(spark, sf)[0].select("k", "beta"), [])
     return es.identified_set(terms, [0.5, 1.0, 1.5, 2.0, 2.5, 3.0])
 
 
@@ -241,7 +242,7 @@ def _(spark, sf):
     + f", rp AS (SELECT rep, sum(w * sxy) / sum(w * sxx) AS beta FROM us JOIN wt USING (pid) GROUP BY 1) SELECT {n('count(*)', 'n_boot')}, {r('(SELECT sum(sxy) / sum(sxx) FROM us)', 'beta')}, {r('(SELECT sum(sxy) / sum(sxx) FROM us) / 3.0', 'frac')}, {r('quantile_cont(beta, 0.025)', 'lo')}, {r('quantile_cont(beta, 0.975)', 'hi')}, {r('avg(CASE WHEN beta > 0 THEN 1.0 ELSE 0.0 END)', 'p_gt0')} FROM rp",
 )
 def _(spark, sf):
-    sums = fe.unit_cross_sums(fe_rows(spark, sf), "pid", "dlst", "shape")
+    sums = materialise(fe.unit_cross_sums(fe_rows(spark, sf), "pid", "dlst", "shape"), "within-sums")
     w = bt.replicate_weights(sums.select("pid"), "pid", 100, "f")
     reps = sums.join(w, "pid").groupBy("rep").agg((F.sum(F.col("w") * F.col("sxy")) / F.sum(F.col("w") * F.col("sxx"))).alias("beta"))
     band = bt.interval(reps, [], "beta").select("n_boot", "lo", "hi", F.col("p_gt").alias("p_gt0"))
@@ -291,8 +292,9 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = harsh_rows(spark, sf)
-    w = bt.replicate_weights(rows.select("pid").distinct(), "pid", 60, "h", "poisson")
-    return bt.interval(fe.bootstrap_slope_given_bins(rows, w, "pid", "ab", "dlst", "harsh"), [], "beta").drop("p_gt")
+    sums = materialise(fe.cross_sums(rows, "pid", "ab", "dlst", "harsh"), "bin-sums")
+    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", 60, "h", "poisson")
+    return bt.interval(fe.bootstrap_slope_given_bins(sums, w, "pid", "ab"), [], "beta").drop("p_gt")
 
 
 # ---------------- grouped regression ----------------
@@ -488,7 +490,7 @@ def clear_stream(spark, sf):
     return st.read_scene_stream(spark, path, clear.schema)
 
 
-@query("stream_composite", S + f"SELECT cell, epoch, {n('count(value)', 'n')}, {r('CASE WHEN count(value) >= 3 THEN avg(value) END', 'mean', 5)} FROM clear GROUP BY ALL", 5)
+@query("stream_composite", S + f"SELECT cell, epoch, {n('count(value)', 'n')}, {r('CASE WHEN count(value) >= 3 THEN avg(value) END', 'mean', 8)} FROM clear GROUP BY ALL", 8)
 def _(spark, sf):
     sums = st.running_sums(clear_stream(spark, sf), ["cell", "epoch"], "value")
     state = st.latest_state(spark, st.run_to_table(sums, "composite"), ["cell", "epoch"])

@@ -14,6 +14,7 @@ from regrowth.operators import reshape as rs
 from regrowth.plans import fixtures as fx
 from regrowth.plans.registry import n, query, r
 from regrowth.plans.sources_and_panel import size_classes, strata_sql, usual_strata
+from regrowth.session import materialise
 from regrowth.plans.sql_fit import MELT, bins_sql, fit_sql
 
 L = f"WITH {fx.LONG_SQL}\n"
@@ -116,8 +117,8 @@ def _(spark, sf):
 
 def boot_fits(spark, sf, seed: str, scheme: str):
     ev = event_post(spark, sf).withColumn("bin", bn.age_bin())
-    sums = bt.unit_sums(bn.long_measures(ev, ["dlst", "dndvi"]), "pid", ["measure", "bin"], "y")
-    w = bt.replicate_weights(ev.select("pid").distinct(), "pid", BOOT, seed, scheme)
+    sums = materialise(bt.unit_sums(bn.long_measures(ev, ["dlst", "dndvi"]), "pid", ["measure", "bin"], "y"), "bin-sums")
+    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", BOOT, seed, scheme)
     cells = bt.weighted_cells(sums, w, "pid", ["measure", "bin"]).withColumn("centre", bn.bin_centre())
     return ft.fit_bins(cells, ["rep", "measure"])
 
@@ -128,7 +129,7 @@ def boot_fits(spark, sf, seed: str, scheme: str):
 )
 def _(spark, sf):
     ev = event_post(spark, sf)
-    sums = bt.unit_sums(ev, "pid", [], "dlst")
+    sums = materialise(bt.unit_sums(ev, "pid", [], "dlst"), "unit-sums")
     w = bt.replicate_weights(sums.select("pid"), "pid", BOOT, "m")
     return sums.join(w, "pid").groupBy("rep").agg(
         F.sum("w").alias("draws"), F.count(F.lit(1)).alias("n_units"), (F.sum(F.col("w") * F.col("s1")) / F.sum(F.col("w") * F.col("n"))).alias("mean")
@@ -160,8 +161,8 @@ def _(spark, sf):
 def _(spark, sf):
     p = fx.post_panel(spark, sf)
     rows = bn.long_measures(bn.strata_rows(p.withColumn("bin", bn.age_bin()), usual_strata()), ["dlst", "dndvi"])
-    sums = bt.unit_sums(rows, "pid", ["stratum", "measure", "bin"], "y")
-    w = bt.replicate_weights(p.select("pid").distinct(), "pid", 21, "s", "poisson")
+    sums = materialise(bt.unit_sums(rows, "pid", ["stratum", "measure", "bin"], "y"), "stratum-sums")
+    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", 21, "s", "poisson")
     cells = bt.weighted_cells(sums, w, "pid", ["stratum", "measure", "bin"]).withColumn("centre", bn.bin_centre())
     return bt.interval(ft.fit_bins(cells, ["rep", "stratum", "measure"]), ["stratum", "measure"], "tau", least=21).drop("p_gt")
 
@@ -246,8 +247,8 @@ def wide_remaining(shares, keys):
 )
 def _(spark, sf):
     rows = paired_rows(spark, sf)
-    sums = bt.unit_sums(bn.long_measures(rows, ["dlst", "dndvi"]), "pid", ["measure", "bin"], "y")
-    w = bt.replicate_weights(rows.select("pid").distinct(), "pid", 120, "r", "poisson")
+    sums = materialise(bt.unit_sums(bn.long_measures(rows, ["dlst", "dndvi"]), "pid", ["measure", "bin"], "y"), "paired-sums")
+    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", 120, "r", "poisson")
     cells = bt.weighted_cells(sums, w, "pid", ["measure", "bin"])
     gaps = wide_remaining(ft.share_of_first(cells, ["rep", "measure"]), ["rep", "bin"])
     return bt.interval(gaps, ["bin"], "gap", least=100)

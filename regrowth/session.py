@@ -47,3 +47,13 @@ def cut_lineage(df):
     """Reliable checkpoint: survives lost executors, unlike a local one."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialise(df, name: str):
+    """Write a result that several branches read to the shared folder, once, and read it back.
+
+    Keeps retries and later branches from deriving it again from the source.
+    """
+    path = new_work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
