@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from regrowth.session import cut_lineage
 
+TILE = 16  # cells per side of a join tile
+
 
 def pixel_id(row="row", col="col"):
     """One sortable number per cell."""
@@ -96,17 +98,22 @@ def candidate_controls(unit_px: DataFrame, profile: DataFrame, intact: DataFrame
     """Intact cells within ``reach`` of a unit inside the wide elevation and slope bands, with the squared distance.
 
     A unit is described by its row runs, which are copied to the tiles they can reach; intact cells sit in one
-    tile. A tile holds at most tile*tile cells, so no key can grow with the data, and the nearest run is kept by a
-    map-side minimum.
+    tile. A tile holds at most TILE*TILE cells, so no key can grow with the data, and the nearest run is kept by a
+    map-side minimum. Both sides are spread by tile explicitly, because the join grows its input and a small input
+    would otherwise be coalesced into a few tasks; a shuffled join needs these exchanges anyway.
     """
-    tile = reach
     runs = row_runs(unit_px, [unit]).join(profile.select(unit, "elev_mean", "slope_mean"), unit)
-    spread = runs.withColumn("_tr", F.explode(F.sequence(F.floor((F.col("row") - reach) / tile), F.floor((F.col("row") + reach) / tile)))).withColumn(
-        "_tc", F.explode(F.sequence(F.floor((F.col("c0") - reach) / tile), F.floor((F.col("c1") + reach) / tile)))
-    )
-    spread = spread.withColumnRenamed("row", "_row")
-    cells = intact.select("row", "col", "elev", "slope").withColumns(
-        {"_tr": F.floor(F.col("row") / tile), "_tc": F.floor(F.col("col") / tile)}
+    span = lambda lo, hi: F.explode(F.sequence(F.floor((lo - reach) / TILE), F.floor((hi + reach) / TILE)))
+    spread = runs.withColumn("_tr", span(F.col("row"), F.col("row"))).withColumn("_tc", span(F.col("c0"), F.col("c1")))
+    # drop tiles whose nearest corner is already too far
+    far_r = F.greatest(F.lit(0), F.col("_tr") * TILE - F.col("row"), F.col("row") - F.col("_tr") * TILE - (TILE - 1))
+    far_c = F.greatest(F.lit(0), F.col("_tc") * TILE - F.col("c1"), F.col("c0") - F.col("_tc") * TILE - (TILE - 1))
+    n_parts = int(intact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = spread.where(far_r * far_r + far_c * far_c <= reach * reach).withColumnRenamed("row", "_row").repartition(n_parts, "_tr", "_tc")
+    cells = (
+        intact.select("row", "col", "elev", "slope")
+        .withColumns({"_tr": F.floor(F.col("row") / TILE), "_tc": F.floor(F.col("col") / TILE)})
+        .repartition(n_parts, "_tr", "_tc")
     )
     dc = F.greatest(F.lit(0), F.col("c0") - F.col("col"), F.col("col") - F.col("c1"))
     dr = F.col("row") - F.col("_row")
@@ -134,21 +141,26 @@ def tiered_controls(candidates: DataFrame, unit: str, least: int = 30) -> DataFr
     return far.join(n1, unit).where(F.col("tier1") | (F.col("n_tier1") < least))
 
 
-def unit_minus_control(unit_px: DataFrame, controls: DataFrame, obs: DataFrame, unit: str, period: str, value: str) -> DataFrame:
+def unit_minus_control(unit_px: DataFrame, controls: DataFrame, obs: DataFrame, unit: str, period: str, value: str, periods: list) -> DataFrame:
     """Mean over unit cells minus mean over control cells per period.
 
-    Needs max(3, 0.3 * cells) unit values and 20 control values. Both roles go through one join and one grouping.
+    Needs max(3, 0.3 * cells) unit values and 20 control values. Observations are laid out one row per cell first,
+    so a (unit, cell) pair meets all ``periods`` (a fixed short list) in one join.
     """
+    wide = obs.groupBy("row", "col").agg(*[F.max(F.when(F.col(period) == p, F.col(value))).alias(f"_v{i}") for i, p in enumerate(periods)])
     roles = unit_px.select(unit, "row", "col", F.lit(True).alias("_own")).unionByName(controls.select(unit, "row", "col", F.lit(False).alias("_own")))
+    aggs = []
+    for i in range(len(periods)):
+        own, ctl = F.when(F.col("_own"), F.col(f"_v{i}")), F.when(~F.col("_own"), F.col(f"_v{i}"))
+        aggs += [F.count(own).alias(f"_nu{i}"), F.count(ctl).alias(f"_nc{i}"), (F.avg(own) - F.avg(ctl)).alias(f"_d{i}")]
+    per_unit = roles.join(wide, ["row", "col"]).groupBy(unit).agg(*aggs)
     n_px = unit_px.groupBy(unit).agg(F.count(F.lit(1)).alias("_n_px"))
-    own, ctl = F.when(F.col("_own"), F.col(value)), F.when(~F.col("_own"), F.col(value))
-    sums = roles.join(obs, ["row", "col"]).groupBy(unit, period).agg(
-        F.count(own).alias("n_unit"), F.count(ctl).alias("n_ctrl"), F.avg(own).alias("_u"), F.avg(ctl).alias("_c")
-    )
-    gated = sums.join(n_px, unit).where(
-        (F.col("n_unit") >= F.greatest(F.lit(3.0), 0.3 * F.col("_n_px"))) & (F.col("n_ctrl") >= 20)
-    )
-    return gated.withColumn("delta", F.col("_u") - F.col("_c")).drop("_u", "_c", "_n_px")
+    cells = [
+        F.struct(F.lit(p).alias(period), F.col(f"_nu{i}").alias("n_unit"), F.col(f"_nc{i}").alias("n_ctrl"), F.col(f"_d{i}").alias("delta"))
+        for i, p in enumerate(periods)
+    ]
+    rows = per_unit.join(n_px, unit).select(unit, "_n_px", F.inline(F.array(*cells)))
+    return rows.where((F.col("n_unit") >= F.greatest(F.lit(3.0), 0.3 * F.col("_n_px"))) & (F.col("n_ctrl") >= 20)).drop("_n_px")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, cell: float) -> DataFrame:

@@ -151,7 +151,7 @@ def observations(spark, sf):
 )
 def _(spark, sf):
     u, cand = controls(spark, sf)
-    return sp.unit_minus_control(u, sp.tiered_controls(cand, "unit"), observations(spark, sf), "unit", "period", "value")
+    return sp.unit_minus_control(u, sp.tiered_controls(cand, "unit"), observations(spark, sf), "unit", "period", "value", list(range(1994, 2003)))
 
 
 PREPOST = "SELECT pid, year, agent, elev, area_ha, src, max(dlst) FILTER (is_pre) AS pre_v, max(dlst) FILTER (yr = year + 1) AS post_v FROM lp WHERE is_pre OR yr = year + 1 GROUP BY ALL HAVING pre_v IS NOT NULL AND post_v IS NOT NULL"
