@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from regrowth.session import cut_lineage
+from regrowth.session import cut_lineage, spread
 
 TILE = 16  # cells per side of a join tile
 
@@ -104,21 +104,18 @@ def candidate_controls(unit_px: DataFrame, profile: DataFrame, intact: DataFrame
     """
     runs = row_runs(unit_px, [unit]).join(profile.select(unit, "elev_mean", "slope_mean"), unit)
     span = lambda lo, hi: F.explode(F.sequence(F.floor((lo - reach) / TILE), F.floor((hi + reach) / TILE)))
-    spread = runs.withColumn("_tr", span(F.col("row"), F.col("row"))).withColumn("_tc", span(F.col("c0"), F.col("c1")))
+    tiled = runs.withColumn("_tr", span(F.col("row"), F.col("row"))).withColumn("_tc", span(F.col("c0"), F.col("c1")))
     # drop tiles whose nearest corner is already too far
     far_r = F.greatest(F.lit(0), F.col("_tr") * TILE - F.col("row"), F.col("row") - F.col("_tr") * TILE - (TILE - 1))
     far_c = F.greatest(F.lit(0), F.col("_tc") * TILE - F.col("c1"), F.col("c0") - F.col("_tc") * TILE - (TILE - 1))
-    n_parts = int(intact.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = spread.where(far_r * far_r + far_c * far_c <= reach * reach).withColumnRenamed("row", "_row").repartition(n_parts, "_tr", "_tc")
-    cells = (
-        intact.select("row", "col", "elev", "slope")
-        .withColumns({"_tr": F.floor(F.col("row") / TILE), "_tc": F.floor(F.col("col") / TILE)})
-        .repartition(n_parts, "_tr", "_tc")
+    tiled = spread(tiled.where(far_r * far_r + far_c * far_c <= reach * reach).withColumnRenamed("row", "_row"), "_tr", "_tc")
+    cells = intact.select("row", "col", "elev", "slope").withColumns(
+        {"_tr": F.floor(F.col("row") / TILE), "_tc": F.floor(F.col("col") / TILE)}
     )
     dc = F.greatest(F.lit(0), F.col("c0") - F.col("col"), F.col("col") - F.col("c1"))
     dr = F.col("row") - F.col("_row")
     pairs = (
-        cells.join(spread, ["_tr", "_tc"])
+        spread(cells, "_tr", "_tc").join(tiled, ["_tr", "_tc"])
         .withColumn("d2", dr * dr + dc * dc)
         .where(
             (F.col("d2") <= reach * reach)
@@ -165,22 +162,22 @@ def unit_minus_control(unit_px: DataFrame, controls: DataFrame, obs: DataFrame,
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, cell: float) -> DataFrame:
     """Half-open box join west <= x < east, south <= y < north through shared grid cells."""
-    spread = boxes.withColumn("_bx", F.explode(F.sequence(F.floor(F.col("west") / cell), F.floor(F.col("east") / cell)))).withColumn(
+    tiled = boxes.withColumn("_bx", F.explode(F.sequence(F.floor(F.col("west") / cell), F.floor(F.col("east") / cell)))).withColumn(
         "_by", F.explode(F.sequence(F.floor(F.col("south") / cell), F.floor(F.col("north") / cell)))
     )
     keyed = points.withColumns({"_bx": F.floor(F.col(x) / cell), "_by": F.floor(F.col(y) / cell)})
     hit = (F.col(x) >= F.col("west")) & (F.col(x) < F.col("east")) & (F.col(y) >= F.col("south")) & (F.col(y) < F.col("north"))
-    return keyed.join(spread, ["_bx", "_by"]).where(hit).drop("_bx", "_by")
+    return keyed.join(tiled, ["_bx", "_by"]).where(hit).drop("_bx", "_by")
 
 
 def windows_in_footprints(windows: DataFrame, scenes: DataFrame, cell: int) -> DataFrame:
     """Windows (r0, c0, r1, c1) that lie fully inside a footprint (fr0, fc0, fr1, fc1), met at the window's corner cell."""
-    spread = scenes.withColumn("_tr", F.explode(F.sequence(F.floor(F.col("fr0") / cell), F.floor(F.col("fr1") / cell)))).withColumn(
+    tiled = scenes.withColumn("_tr", F.explode(F.sequence(F.floor(F.col("fr0") / cell), F.floor(F.col("fr1") / cell)))).withColumn(
         "_tc", F.explode(F.sequence(F.floor(F.col("fc0") / cell), F.floor(F.col("fc1") / cell)))
     )
     keyed = windows.withColumns({"_tr": F.floor(F.col("r0") / cell), "_tc": F.floor(F.col("c0") / cell)})
     inside = (F.col("r0") >= F.col("fr0")) & (F.col("c0") >= F.col("fc0")) & (F.col("r1") <= F.col("fr1")) & (F.col("c1") <= F.col("fc1"))
-    return keyed.join(spread, ["_tr", "_tc"]).where(inside).drop("_tr", "_tc")
+    return keyed.join(tiled, ["_tr", "_tc"]).where(inside).drop("_tr", "_tc")
 
 
 def terrain_gradient(grid: DataFrame, value: str, size: float) -> DataFrame:

@@ -57,3 +57,12 @@ def materialise(df, name: str):
     path = new_work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df, *keys: str):
+    """Hash-partition by ``keys`` with the session's partition count.
+
+    For inputs that grow after the exchange (exploded, joined to many): adaptive coalescing looks at their small
+    size before the growth and would run them in a few tasks. A later join or grouping on the keys reuses it.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
