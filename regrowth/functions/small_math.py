@@ -14,16 +14,20 @@ register_pickle_by_value(sys.modules[__name__])  # executors need no copy of thi
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def solve_normal(gram: pd.Series, rhs: pd.Series) -> pd.Series:
-    """Solve one small symmetric system per row; ``gram`` is row-major. NULL when singular."""
+    """Least-squares coefficients from one small cross-product matrix per row; ``gram`` is row-major.
+
+    Redundant columns share their effect (minimum norm), constant ones get 0.
+    """
     out = []
     for g, b in zip(gram, rhs):
         b = np.asarray(b, float)
         m = np.asarray(g, float).reshape(len(b), len(b))
-        scale = np.sqrt(np.clip(np.diag(m), 0, None))
-        if not np.isfinite(m).all() or (scale == 0).any() or np.linalg.matrix_rank(m / np.outer(scale, scale)) < len(b):
+        if not (np.isfinite(m).all() and np.isfinite(b).all()):
             out.append(None)
-        else:
-            out.append((np.linalg.solve(m / np.outer(scale, scale), b / scale) / scale).tolist())
+            continue
+        scale = np.sqrt(np.clip(np.diag(m), 0, None))
+        scale[scale == 0] = 1.0
+        out.append((np.linalg.lstsq(m / np.outer(scale, scale), b / scale, rcond=1e-12)[0] / scale).tolist())
     return pd.Series(out)
 
 

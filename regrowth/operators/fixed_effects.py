@@ -93,6 +93,26 @@ def two_way(df: DataFrame, unit: str, period: str, y: str, x: str, periods: list
     )
 
 
+def two_way_demean(df: DataFrame, unit: str, period: str, columns: list[str], periods: list[str]) -> DataFrame:
+    """Rows with unit and period means swept out of ``columns`` (suffix _tw), without alternating passes."""
+    dummies = {f"_p{i}": F.when(F.col(period) == p, 1.0).otherwise(0.0) for i, p in enumerate(periods[1:])}
+    w = within_demean(df.withColumns(dummies), unit, [*columns, *dummies])
+    d = [f"{x}_w" for x in dummies]
+    cross = lambda a, b: F.sum(F.col(a) * F.col(b))
+    sums = w.agg(
+        F.array(*[cross(a, b) for a in d for b in d]).alias("dd"),
+        *[F.array(*[cross(a, f"{x}_w") for a in d]).alias(f"d_{x}") for x in columns],
+    )
+    coefs = sums.select(F.struct(*[solve_normal("dd", f"d_{x}").alias(x) for x in columns])).scalar()
+    out = w.withColumn("_c", coefs)
+    for x in columns:
+        value = F.col(f"{x}_w")
+        for i, a in enumerate(d):
+            value = value - F.get(F.col(f"_c.{x}"), F.lit(i)) * F.col(a)
+        out = out.withColumn(f"{x}_tw", value)
+    return out.drop("_c", *dummies, *d, *[f"{x}_w" for x in columns])
+
+
 def slope_given_bins(df: DataFrame, bins: str, y: str, x: str) -> DataFrame:
     """Coefficient of x in y ~ bin dummies + x: the within-bin slope."""
     sums = df.groupBy(bins).agg(

@@ -279,6 +279,18 @@ def _(spark, sf):
     return g.where("disturbed").select("row", "col").exceptAll(g.where(F.col("lst") > 27).select("row", "col"))
 
 
+@query("mask_union", G + "SELECT \"row\", \"col\" FROM grid WHERE disturbed UNION SELECT \"row\", \"col\" FROM grid WHERE lst > 27")
+def _(spark, sf):
+    g = fx.pixel_grid(spark, sf)
+    return g.where("disturbed").select("row", "col").union(g.where(F.col("lst") > 27).select("row", "col")).distinct()
+
+
+@query("mask_intersect", G + "SELECT \"row\", \"col\" FROM grid WHERE disturbed INTERSECT SELECT \"row\", \"col\" FROM grid WHERE lst > 25")
+def _(spark, sf):
+    g = fx.pixel_grid(spark, sf)
+    return g.where("disturbed").select("row", "col").intersect(g.where(F.col("lst") > 25).select("row", "col"))
+
+
 @query("priority_mosaic", G + f"SELECT \"row\", \"col\", {r('coalesce(CASE WHEN slope > 15 THEN lst END, CASE WHEN elev < 1200 THEN elev END, slope)', 'value', 9)} FROM grid", 9)
 def _(spark, sf):
     g = fx.pixel_grid(spark, sf)

@@ -250,17 +250,17 @@ def _(spark, sf):
     return band.withColumn("beta", beta).withColumn("frac", F.col("beta") / 3.0)
 
 
-def two_way_sql(periods: list[str]) -> str:
+def two_way_sql(periods: list[str], carry: str = "") -> str:
     """Exact two-way slope by sweeping out one demeaned period dummy after another."""
     d = [f"p{i}" for i in range(1, len(periods))]
     raw = ", ".join(f"CASE WHEN epoch = '{p}' THEN 1.0::DOUBLE ELSE 0 END AS p{i}" for i, p in enumerate(periods) if i)
     cols = ["dlst", "shape", *d]
-    parts = [f"t0 AS (SELECT pid, {', '.join(f'{x} - avg({x}) OVER (PARTITION BY pid) AS {x}' for x in cols)} FROM (SELECT pid, dlst, shape, {raw} FROM g))"]
+    parts = [f"t0 AS (SELECT {carry}pid, {', '.join(f'{x} - avg({x}) OVER (PARTITION BY pid) AS {x}' for x in cols)} FROM (SELECT {carry}pid, dlst, shape, {raw} FROM g))"]
     rest = list(cols)
     for i, x in enumerate(d):
         rest.remove(x)
         coef = ", ".join(f"sum({y} * {x}) / sum({x} * {x}) AS c_{y}" for y in rest)
-        parts.append(f"q{i} AS (SELECT {coef} FROM t{i}), t{i + 1} AS (SELECT {', '.join(f'{y} - c_{y} * {x} AS {y}' for y in rest)} FROM t{i}, q{i})")
+        parts.append(f"q{i} AS (SELECT {coef} FROM t{i}), t{i + 1} AS (SELECT {carry}pid, {', '.join(f'{y} - c_{y} * {x} AS {y}' for y in rest)} FROM t{i}, q{i})")
     return ", " + ",\n".join(parts) + f", fin AS (SELECT sum(dlst * shape) / sum(shape * shape) AS beta2, sum(shape * shape) AS left_ FROM t{len(d)})"
 
 
@@ -269,6 +269,11 @@ def _(spark, sf):
     return fe.two_way(fe_rows(spark, sf), "pid", "epoch", "dlst", "shape", list(fx.PERIODS))
 
 
+@query("two_way_demean", L + FE + SHAPE + two_way_sql(list(fx.PERIODS), "epoch, ") + f" SELECT pid, epoch, {r('dlst', 'dlst_tw')}, {r('shape', 'shape_tw')} FROM t{len(fx.PERIODS) - 1}")
+def _(spark, sf):
+    return fe.two_way_demean(fe_rows(spark, sf), "pid", "epoch", ["dlst", "shape"], list(fx.PERIODS)).select("pid", "epoch", "dlst_tw", "shape_tw")
+
+
 HARSH = ", hx AS (SELECT epoch, avg(v) / 1e5 - (SELECT avg(v) / 1e5 FROM lp) AS harsh FROM lp GROUP BY 1), hd AS (SELECT ev.pid, dlst, least(greatest(trunc(age), 1), 21) AS ab, harsh FROM ev JOIN hx USING (epoch))"
 
 
@@ -427,6 +432,20 @@ def _(spark, sf):
     return g.where(F.col("n") >= 20).withColumn("age", bn.bin_centre()).drop("bin")
 
 
+@query(
+    "event_dive_strata",
+    L + EV + f", z AS (SELECT *, {BANDS} FROM ev WHERE coalesce(contains(event, '颱風'), false)), g AS (SELECT CASE WHEN grouping(area_band) = 0 THEN 'area_band' ELSE 'elev_band' END AS grouping, coalesce(area_band, elev_band) AS level, count(*) AS n_rows, count(DISTINCT pid) AS n_units, avg(dlst) AS dlst, stddev_samp(dlst) / sqrt(count(*)) AS dlst_se, avg(dndvi) AS dndvi FROM z GROUP BY GROUPING SETS ((area_band), (elev_band))) SELECT grouping, level, {n('n_rows', 'n_rows')}, {n('n_units', 'n_units')}, {r('dlst', 'dlst')}, {r('dlst_se', 'dlst_se')}, {r('dndvi', 'dndvi')} FROM g WHERE n_rows >= 60 AND level IS NOT NULL",
+)
+def _(spark, sf):
+    ev = event_post(spark, sf).where(fc.contains_or_false("event", "颱風")).withColumns({"elev_band": bn.band_of("elev", ELEV), "area_band": bn.band_of("area_ha", AREA)})
+    aggs = [
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("pid").alias("n_units"), F.avg("dlst").alias("dlst"),
+        (F.stddev_samp("dlst") / F.sqrt(F.count(F.lit(1)))).alias("dlst_se"), F.avg("dndvi").alias("dndvi"),
+    ]
+    g = ag.with_total(ev, ["area_band", "elev_band"], aggs)
+    return g.where((F.col("grouping") != "all") & (F.col("n_rows") >= 60) & F.col("level").isNotNull())
+
+
 @query("cohort_abs_series", L + f" SELECT year, agent, epoch, {n('count(*)', 'n')}, {r('avg(v) / 1e5', 'unit_level')}, {r('avg(ctl) / 1e5', 'control_level')}, {r('avg(dlst)', 'gap')}, {r('stddev_samp(dlst) / sqrt(count(*))', 'se')} FROM lp WHERE n_ctrl >= 30 GROUP BY 1, 2, 3 HAVING count(*) >= 15")
 def _(spark, sf):
     lp = fx.long_panel(spark, sf).where(F.col("n_ctrl") >= 30)
@@ -481,6 +500,19 @@ def _(spark, sf):
     return ml.predict(model, ml.vary(base, "chm", [5.0 + 5 * i for i in range(10)]), FEATS).select("band", "chm", "prediction")
 
 
+@query("counterfactual")
+def _(spark, sf):
+    """Predicted contrast of height 5 against 25 and of the observed 10-90 % range, at each band's median terrain."""
+    model, px, _ = height_model(spark, sf)
+    rows = px.withColumn("band", bn.band_of("elev", MODEL_BANDS))
+    base = ml.typical_rows(rows, ["band"], FEATS)
+    ends = qt.exact_quantiles(rows, ["band"], "chm", [0.1, 0.9], ["p10", "p90"])
+    heights = F.array(*[F.struct(F.lit(k).alias("at"), v.alias("h")) for k, v in (("h5", F.lit(5.0)), ("h25", F.lit(25.0)), ("p10", F.col("p10")), ("p90", F.col("p90")))])
+    rows = base.join(ends, "band").select("*", F.inline(heights)).withColumn("chm", F.col("h"))
+    at = lambda k: F.max(F.when(F.col("at") == k, F.col("prediction")))
+    return ml.predict(model, rows, FEATS).groupBy("band").agg((at("h25") - at("h5")).alias("wide_range"), (at("p90") - at("p10")).alias("observed_range"))
+
+
 # ---------------- streams ----------------
 
 

@@ -320,3 +320,41 @@ def _(spark, sf):
     rows = size_classes(event_post(spark, sf))
     f = ft.fit_bins(ft.binned_sums(rows, ["cls"], "dlst"), ["cls"]).select("cls", "tau")
     return f.join(qt.medians(rows, ["cls"], "area_ha", "med_area"), "cls").join(qt.medians(rows, ["cls"], "elev", "med_elev"), "cls")
+
+
+@query("era_cohort_mix", L + EV + f" SELECT CASE WHEN yr <= 1998 THEN 'early' ELSE 'late' END AS part, year, {n('count(*)', 'n')} FROM ev WHERE age >= 5 GROUP BY 1, 2 HAVING count(*) >= 50")
+def _(spark, sf):
+    tail = event_post(spark, sf).where(F.col("age") >= 5)
+    g = tail.groupBy(F.when(F.col("yr") <= 1998, "early").otherwise("late").alias("part"), "year").agg(F.count(F.lit(1)).alias("n"))
+    return g.where(F.col("n") >= 50)
+
+
+@query("mixed_fit", L + ", " + MELT + ",\n" + fit_sql(bins_sql("ml", "measure", "y", 10), "measure", "f") + f" SELECT measure, {r('amp', 'amp', 3)}, {r('tau', 'tau', 3)}, {n('n_bins', 'n_bins')} FROM f", 3)
+def _(spark, sf):
+    """Both sources pooled."""
+    rows = bn.long_measures(fx.post_panel(spark, sf), ["dlst", "dndvi"])
+    return ft.fit_bins(ft.binned_sums(rows, ["measure"], "y"), ["measure"]).select("measure", "amp", "tau", "n_bins")
+
+
+WIDE_BINS = "SELECT agent, 0.6::DOUBLE + (floor(bin / 2) + 0.5::DOUBLE) * 2 AS t, avg(y) AS m, power(greatest(stddev_samp(y) / sqrt(count(y)), 1e-3::DOUBLE), -2.0) AS w, count(y) AS n FROM (SELECT agent, bin, dndvi AS y FROM ev WHERE agent <> '' AND dndvi IS NOT NULL) GROUP BY agent, floor(bin / 2) HAVING count(y) >= 6"
+
+
+@query("recovery_fit_loose", L + EV + ",\n" + fit_sql(WIDE_BINS, "agent", "f", 4) + f" SELECT agent, {r('amp', 'amp', 3)}, {r('tau', 'tau', 3)}, {n('n_bins', 'n_bins')} FROM f", 3)
+def _(spark, sf):
+    """Two-year bins with lower gates, for thin strata."""
+    ev = ag.named_groups(event_post(spark, sf), "agent")
+    f = ft.recovery_fit(ev, ["agent"], "dndvi", min_bin=6, min_bins=4, min_rows=60, step=2.0)
+    return f.select("agent", "amp", "tau", "n_bins")
+
+
+@query(
+    "net_anomaly_fraction",
+    L + EV + NETA + ", b AS (SELECT floor(age - 0.6::DOUBLE) AS bin, count(*) AS n, avg(net) AS m FROM na GROUP BY 1 HAVING count(*) >= 12) "
+    + f"SELECT {n('bin', 'bin')}, {n('n', 'n')}, {r('m / (SELECT m FROM b WHERE bin = 0)', 'remaining')}, {r('100 * (1 - m / (SELECT m FROM b WHERE bin = 0))', 'dissipated_pct')} FROM b",
+)
+def _(spark, sf):
+    lp = fx.long_panel(spark, sf).where((F.col("src") == "event") & F.col("clean"))
+    pre = rs.pre_mean(lp, "pid", "dlst", F.col("is_pre"))
+    post = lp.where(fc.after_event()).join(pre, "pid").withColumns({"net": F.col("dlst") - F.col("reference"), "bin": bn.floor_bin(), "case": F.lit("net")})
+    share = ft.share_of_first(ag.mean_se(post, ["case", "bin"], "net", 12), ["case"])
+    return share.select("bin", "n", "remaining", (100 * (1 - F.col("remaining"))).alias("dissipated_pct"))
