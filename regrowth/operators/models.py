@@ -8,6 +8,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from regrowth.functions.draws import uniform
+from regrowth.operators.binning import long_measures
 from regrowth.operators.quantiles import exact_quantiles
 
 
@@ -32,12 +33,10 @@ def held_out_r2(model: GBTRegressionModel, test: DataFrame, features: list[str],
 
 
 def typical_rows(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
-    """Exact median of every feature per group."""
-    out = None
-    for f in features:
-        m = exact_quantiles(df, keys, f, [0.5], [f])
-        out = m if out is None else out.join(m, keys)
-    return out
+    """Exact median of every feature per group, all features in one selection."""
+    long = long_measures(df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]), features, "_feature", "_value")
+    medians = exact_quantiles(long, [*keys, "_feature"], "_value", [0.5], ["_m"])
+    return medians.groupBy(*keys).agg(*[F.max(F.when(F.col("_feature") == f, F.col("_m"))).alias(f) for f in features])
 
 
 def vary(base: DataFrame, feature: str, values: list[float]) -> DataFrame:

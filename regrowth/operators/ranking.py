@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regrowth.functions.draws import uniform
+from regrowth.operators.quantiles import range_of
 
 SALTS = 64
 
@@ -27,12 +28,12 @@ def global_row_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
     A bounded, hash-chosen set of tuples cuts the key space into slices; each slice is numbered on its own and
     shifted by the sizes of the slices before it.
     """
-    n_cuts = 63
+    n_cuts = 1023
     key = F.struct(*order)
     pool = df.select(*order).distinct()
     picked = pool.orderBy(F.xxhash64(*order)).limit(n_cuts).agg(F.sort_array(F.collect_list(key)).alias("_cuts"))
     cut = df.withColumn("_cuts", picked.scalar())
-    sliced = cut.withColumn("_slice", F.size(F.filter("_cuts", lambda e: e <= key))).drop("_cuts")
+    sliced = cut.withColumn("_slice", range_of(F.col("_cuts"), key, n_cuts)).drop("_cuts")
     sizes = sliced.groupBy("_slice").agg(F.count_distinct(*order).alias("_size"))
     shift = F.coalesce(F.sum("_size").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_slice", shift.alias("_shift"))  # at most n_cuts + 1 rows

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from regrowth.session import cut_lineage, spread
+from regrowth.session import materialise, spread
 
 TILE = 16  # cells per side of a join tile
 
@@ -28,11 +28,11 @@ def connected_components(px: DataFrame, min_px: int = 10) -> DataFrame:
     """Label 8-connected cells with the smallest pixel id of their component; components below ``min_px`` drop out.
 
     Cells are first merged into horizontal runs, which are linked to runs of the next row. The links then shrink
-    by alternating large-star and small-star steps, each written to the shared checkpoint folder.
+    by alternating large-star and small-star steps, each written to the shared folder.
     """
     runs = row_runs(px, []).withColumn("run", F.col("row") * F.lit(1 << 31) + F.col("c0"))
-    runs = cut_lineage(runs)
-    below = runs.select((F.col("row") - 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("run").alias("other"), )
+    runs = materialise(runs, "runs")
+    below = runs.select((F.col("row") - 1).alias("row"), F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.col("run").alias("other"))
     # runs of one row do not overlap, so a run meets few runs of the next row; tiles keep the join local
     width = 64
     tile = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
@@ -44,10 +44,9 @@ def connected_components(px: DataFrame, min_px: int = 10) -> DataFrame:
         .select(F.greatest("run", "other").alias("u"), F.least("run", "other").alias("v"))
         .distinct()
     )
-    edges = cut_lineage(edges)
+    edges = materialise(edges, "links")
     while True:
-        starred = _small_star(_large_star(edges))
-        starred = cut_lineage(starred)
+        starred = materialise(_small_star(_large_star(edges)), "links")
         if _edge_state(starred) == _edge_state(edges):
             edges = starred
             break

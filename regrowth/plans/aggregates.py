@@ -12,6 +12,7 @@ from regrowth.operators import ranking as rk
 from regrowth.operators import spatial as sp
 from regrowth.plans import fixtures as fx
 from regrowth.plans.registry import n, query, r
+from regrowth.session import materialise
 
 U, L = f"WITH {fx.UNIT_SQL}\n", f"WITH {fx.LONG_SQL}\n"
 P, S, G = f"WITH {fx.PIXEL_SQL}\n", f"WITH {fx.SCENE_SQL}\n", f"WITH {fx.GRID_SQL}\n"
@@ -258,7 +259,7 @@ def _(spark, sf):
 
 @query("union_all", f"WITH {fx.WIDE_SQL} " + " UNION ALL ".join(f"SELECT pid, '{p}' AS epoch, {r(f'dlst_{p}', 'dlst')} FROM wide WHERE dlst_{p} IS NOT NULL" for p in fx.PERIODS))
 def _(spark, sf):
-    w = fx.wide_panel(spark, sf)
+    w = materialise(fx.wide_panel(spark, sf), "wide")  # read once per period
     return rk.union_all([w.where(F.col(f"dlst_{p}").isNotNull()).select("pid", F.lit(p).alias("epoch"), F.col(f"dlst_{p}").alias("dlst")) for p in fx.PERIODS])
 
 

@@ -524,17 +524,20 @@ def clear_stream(spark, sf):
 
 @query("stream_composite", S + f"SELECT cell, epoch, {n('count(value)', 'n')}, {r('CASE WHEN count(value) >= 3 THEN avg(value) END', 'mean', 8)} FROM clear GROUP BY ALL", 8)
 def _(spark, sf):
-    sums = st.running_sums(clear_stream(spark, sf), ["cell", "epoch"], "value")
-    state = st.latest_state(spark, st.run_to_table(sums, "composite"), ["cell", "epoch"])
-    return state.select("cell", "epoch", "n", F.when(F.col("n") >= 3, F.col("total") / F.col("n")).alias("mean"))
+    # ten-day windows that start on the first of the month shown; the watermark lets old windows leave the state
+    sums = st.running_sums(clear_stream(spark, sf), [F.window("ts", "10 days", None, "3 days").alias("w"), "cell"], "value")
+    state = st.latest_state(spark, st.run_to_table(sums, "composite"), ["w", "cell"])
+    epoch = F.concat(F.lit("w"), F.floor((F.dayofmonth("w.start") - 1) / 10).cast("string"))
+    return state.select("cell", epoch.alias("epoch"), "n", F.when(F.col("n") >= 3, F.col("total") / F.col("n")).alias("mean"))
 
 
 @query("stream_accumulate_units", S + f"SELECT cell, CAST(day(ts) AS BIGINT) AS day, {n('count(value)', 'n')}, {r('sum(value)', 'total', 4)} FROM clear GROUP BY ALL", 4)
 def _(spark, sf):
     twice = clear_stream(spark, sf)
     twice = twice.union(twice)  # every scene delivered twice; each counts once
-    sums = st.running_sums(twice, [F.col("cell"), F.dayofmonth("ts").alias("day")], "value", id_column="event_id")
-    return st.latest_state(spark, st.run_to_table(sums, "units"), ["cell", "day"])
+    sums = st.running_sums(twice, [F.col("cell"), F.window("ts", "1 day").alias("w")], "value", id_column="event_id")
+    state = st.latest_state(spark, st.run_to_table(sums, "units"), ["cell", "w"])
+    return state.select("cell", F.dayofmonth("w.start").cast("long").alias("day"), "n", "total")
 
 
 # ---------------- verification ----------------

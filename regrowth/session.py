@@ -43,12 +43,6 @@ def new_work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Reliable checkpoint: survives lost executors, unlike a local one."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialise(df, name: str):
     """Write a result that several branches read to the shared folder, once, and read it back.
 
