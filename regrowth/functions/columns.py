@@ -139,3 +139,15 @@ def standard_error(x) -> Column:
 
 def gated(n, least: int, value) -> Column:
     return F.when(c(n) >= least, c(value))
+
+
+def utc_micros(df, name: str) -> Column:
+    """Microseconds since 1970 of a timestamp column; zone-less values are taken as UTC whatever the session zone."""
+    if df.schema[name].dataType.typeName() == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(name))
+    return F.unix_micros(name)
+
+
+def utc_day(instant) -> Column:
+    """Calendar day of an instant in UTC."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(c(instant)) / 86400).cast("int"))

@@ -145,7 +145,13 @@ def _(spark, sf):
     return es.wald_of_leads(points, reps).select("df", "wald")
 
 
-@query("pretrend_wald_p")
+TAIL = (  # upper chi-square tail for 3 degrees of freedom: Simpson's rule on 2 u^2 exp(-u^2 / 2) / sqrt(2 pi)
+    "1 - (SELECT sum(h / 3 * (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * 2 * power(i * h, 2) * exp(-power(i * h, 2) / 2) / sqrt(2 * pi())) "
+    "FROM (SELECT sqrt(wald) / 2000 AS h), (SELECT unnest(range(0, 2001)) AS i))"
+)
+
+
+@query("pretrend_wald_p", L + ES + KG + REPS + wald_sql(N_LEADS) + f" SELECT {n(str(N_LEADS), 'df')}, {r('wald', 'wald', 4)}, {r(TAIL, 'p', 4)} FROM wd", 4)
 def _(spark, sf):
     points, reps = es_points_and_reps(spark, sf)
     return es.wald_of_leads(points, reps)
@@ -517,7 +523,9 @@ def _(spark, sf):
 
 
 def clear_stream(spark, sf):
-    clear = fx.scenes(spark, sf).where(fc.clear_sky("qa")).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "cell", "epoch", "value")
+    scenes = fx.scenes(spark, sf)
+    instant = F.timestamp_micros(fc.utc_micros(scenes, "ts"))
+    clear = scenes.where(fc.clear_sky("qa")).select("event_id", instant.alias("ts"), "cell", "epoch", "value")
     path = st.stage_as_files(clear, 4, "ts")
     return st.read_scene_stream(spark, path, clear.schema)
 
@@ -527,7 +535,7 @@ def _(spark, sf):
     # ten-day windows that start on the first of the month shown; the watermark lets old windows leave the state
     sums = st.running_sums(clear_stream(spark, sf), [F.window("ts", "10 days", None, "3 days").alias("w"), "cell"], "value")
     state = st.latest_state(spark, st.run_to_table(sums, "composite"), ["w", "cell"])
-    epoch = F.concat(F.lit("w"), F.floor((F.dayofmonth("w.start") - 1) / 10).cast("string"))
+    epoch = F.concat(F.lit("w"), F.floor((F.dayofmonth(fc.utc_day("w.start")) - 1) / 10).cast("string"))
     return state.select("cell", epoch.alias("epoch"), "n", F.when(F.col("n") >= 3, F.col("total") / F.col("n")).alias("mean"))
 
 
@@ -537,7 +545,7 @@ def _(spark, sf):
     twice = twice.union(twice)  # every scene delivered twice; each counts once
     sums = st.running_sums(twice, [F.col("cell"), F.window("ts", "1 day").alias("w")], "value", id_column="event_id")
     state = st.latest_state(spark, st.run_to_table(sums, "units"), ["cell", "w"])
-    return state.select("cell", F.dayofmonth("w.start").cast("long").alias("day"), "n", "total")
+    return state.select("cell", F.dayofmonth(fc.utc_day("w.start")).cast("long").alias("day"), "n", "total")
 
 
 # ---------------- verification ----------------

@@ -176,6 +176,27 @@ def _(spark, sf):
     return ft.compare_forms(bins, "case", 12)
 
 
+CORE = """, b AS (SELECT measure, 0.6::DOUBLE + (bin + 0.5::DOUBLE) AS t, avg(y) AS m, power(greatest(stddev_samp(y) / sqrt(count(y)), 1e-3::DOUBLE), -2.0) AS w FROM ml WHERE src = 'event' GROUP BY measure, bin HAVING count(y) >= 12),
+  x AS (SELECT measure, 'linear' AS form, t AS x, m, w FROM b UNION ALL SELECT measure, 'logarithmic', ln(t), m, w FROM b),
+  c AS (SELECT measure, form, sum(w * x) / sum(w) AS mx, sum(w * m) / sum(w) AS mm FROM x GROUP BY ALL),
+  l AS (SELECT measure, form, count(*) AS nb, sum(w * (m - mm) * (m - mm)) AS sst, sum(w * (m - mm) * (m - mm)) - power(sum(w * (x - mx) * (m - mm)), 2) / sum(w * (x - mx) * (x - mx)) AS chi2 FROM x JOIN c USING (measure, form) GROUP BY ALL),
+  e AS (SELECT measure, 'exponential' AS form, count(*) AS nb, any_value(sst) AS sst, sum(w * power(m - amp * exp(-t / tau), 2)) AS chi2 FROM b JOIN f USING (measure) JOIN (SELECT measure, sst FROM l WHERE form = 'linear') USING (measure) GROUP BY ALL),
+  z AS (SELECT * FROM l UNION ALL SELECT * FROM e)"""
+
+
+@query(
+    "model_selection_core",
+    L + ", " + MELT + ",\n" + fit_sql("SELECT measure, t, m, w, n FROM (" + bins_sql("ml", "measure", "y", 12).replace("WHERE y IS NOT NULL", "WHERE y IS NOT NULL AND src = 'event'") + ")", "measure", "f") + CORE
+    + f" SELECT measure, form, {n('nb', 'n_bins')}, {r('chi2', 'chi2', 3)}, {r('1 - chi2 / sst', 'r2_w', 3)}, {r('chi2 + 4 + 12.0 / (nb - 3)', 'aicc', 3)} FROM z",
+    3,
+)
+def _(spark, sf):
+    """The two-parameter forms whose chi-square has a SQL twin."""
+    rows = bn.long_measures(event_post(spark, sf), ["dlst", "dndvi"])
+    forms = ft.compare_forms(ft.binned_sums(rows, ["measure"], "y"), "measure", 12)
+    return forms.where(F.col("form").isin("linear", "logarithmic", "exponential")).select("measure", "form", "n_bins", "chi2", "r2_w", "aicc")
+
+
 @query(
     "offset_fit",
     L + EV + f""", b AS (SELECT 0.6::DOUBLE + (bin + 0.5::DOUBLE) AS t, avg(dlst) AS m, power(greatest(stddev_samp(dlst) / sqrt(count(*)), 1e-3::DOUBLE), -2.0) AS w FROM ev GROUP BY bin HAVING count(*) >= 12),

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from regrowth.functions.columns import utc_micros
+
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN is the only missing marker of the inputs; Spark needs NULL to skip it."""
@@ -67,7 +69,7 @@ def fingerprint(df: DataFrame, name: str) -> DataFrame:
     parts = []
     for field in df.schema:
         is_time = field.dataType.typeName() in ("timestamp", "timestamp_ntz")
-        value = F.unix_micros(F.col(field.name).cast("timestamp")) if is_time else F.col(field.name)
+        value = utc_micros(df, field.name) if is_time else F.col(field.name)
         parts.append(F.coalesce(value.cast("string"), F.lit("~")))
     digest = F.md5(F.concat_ws("|", *parts))
     half = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
