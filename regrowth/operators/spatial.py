@@ -45,12 +45,10 @@ def connected_components(px: DataFrame, min_px: int = 10) -> DataFrame:
         .distinct()
     )
     edges = materialise(edges, "links")
-    while True:
-        starred = materialise(_small_star(_large_star(edges)), "links")
-        if _edge_state(starred) == _edge_state(edges):
-            edges = starred
-            break
-        edges = starred
+    state, before = _edge_state(edges), None
+    while state != before:
+        edges = materialise(_small_star(_large_star(edges)), "links")
+        state, before = _edge_state(edges), state
     labels = edges.groupBy("u").agg(F.min("v").alias("label"))
     tagged = runs.join(labels, runs["run"] == labels["u"], "left").withColumn("label", F.coalesce("label", "run"))
     sizes = tagged.groupBy("label").agg(F.sum(F.col("c1") - F.col("c0") + 1).alias("_n")).where(F.col("_n") >= min_px)

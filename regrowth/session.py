@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(app: str = "regrowth", master: str | None = None, **conf: str) -> SparkSession:
-    """Session with adaptive execution on; anything the cluster already sets is kept."""
+    """Session with the settings the operators rely on; sizes such as partition counts are left to the caller."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

@@ -272,3 +272,35 @@ def test_result_diff_tolerance(spark):
     b = spark.createDataFrame([("x", 1.0 + 1e-12), ("y", None), ("z", 3.1), ("new", 1.0)], "key string, value double")
     got = {r.key: r.status for r in vf.result_diff(a, b, "key", "value").collect()}
     assert got == {"z": "changed", "gone": "missing", "new": "added"}
+
+
+def test_hot_unit_keeps_results_whole(spark):
+    """One unit with a third of all rows: means, top-k, samples and replicates still cover every row."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"pid": np.where(rng.random(3000) < 0.34, 7, rng.integers(100, 160, 3000)), "y": rng.normal(5, 1, 3000)})
+    pdf["id"] = np.arange(3000)
+    df = spark.createDataFrame(pdf)
+    got = fe.within_demean(df, "pid", ["y"]).toPandas()
+    assert len(got) == 3000
+    np.testing.assert_allclose(got.sort_values("id").y_w, pdf.y - pdf.groupby("pid").y.transform("mean"), atol=1e-12)
+    top = rk.top_k_per_group(df, ["pid"], [F.desc("y"), F.col("id")], 40).groupBy("pid").count().toPandas().set_index("pid")["count"]
+    want = pdf.groupby("pid").size().clip(upper=40)
+    assert (top.sort_index() == want.sort_index()).all()
+    sample = rk.sample_per_stratum(df, ["pid"], "id", 25, "s").groupBy("pid").count().toPandas().set_index("pid")["count"]
+    assert (sample.sort_index() == pdf.groupby("pid").size().clip(upper=25).sort_index()).all()
+    w = bt.replicate_weights(df.select("pid").distinct(), "pid", 10, "h")
+    cells = bt.weighted_cells(bt.unit_sums(df, "pid", [], "y"), w, "pid", []).toPandas()
+    assert len(cells) == 10 and cells.n.min() > 0
+
+
+def test_streamed_sums_equal_batch(spark):
+    from regrowth.streaming import accumulate as st
+
+    rows = [(i, f"2024-01-{1 + i % 20:02d} 00:00:00", i % 5, float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, t string, cell int, value double").select("id", F.to_timestamp("t").alias("ts"), "cell", "value")
+    stream = st.read_scene_stream(spark, st.stage_as_files(df, 5, "ts"), df.schema)
+    doubled = stream.union(stream)  # every record arrives twice
+    sums = st.running_sums(doubled, ["cell"], "value", id_column="id")
+    got = st.latest_state(spark, st.run_to_table(sums, "test-sums"), ["cell"]).toPandas().set_index("cell").sort_index()
+    want = df.groupBy("cell").agg(F.count("value").alias("n"), F.sum("value").alias("total")).toPandas().set_index("cell").sort_index()
+    assert (got.n == want.n).all() and np.allclose(got.total, want.total)
