@@ -36,7 +36,7 @@ def within_slope(sums: DataFrame) -> DataFrame:
     )
 
 
-def tau_by_grid(df: DataFrame, unit: str, y: str, age: str, lo: float = 1.0, hi: float = 60.0, step: float = 0.25, chunk: int = 20) -> DataFrame:
+def tau_by_grid(df: DataFrame, unit: str, y: str, age: str, lo: float = 1.0, hi: float = 60.0, step: float = 0.25, chunk: int = 8) -> DataFrame:
     """tau that minimises the squared error with a free amplitude per unit.
 
     SSR(tau) = sum over units of (Syy - Syw^2 / Sww). The grid is cut into chunks and a row carries one chunk of
