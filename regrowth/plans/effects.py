@@ -10,7 +10,6 @@ from regrowth.operators import binning as bn
 from regrowth.operators import bootstrap as bt
 from regrowth.operators import did
 from regrowth.operators import event_study as es
-from regrowth.operators import fitting as ft
 from regrowth.operators import fixed_effects as fe
 from regrowth.operators import models as ml
 from regrowth.operators import quantiles as qt

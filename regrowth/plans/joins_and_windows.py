@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 from regrowth.functions import columns as fc
 from regrowth.operators import aggregate as ag
 from regrowth.operators import binning as bn
-from regrowth.operators import did
 from regrowth.operators import fixed_effects as fe
 from regrowth.operators import matching as mt
-from regrowth.operators import quantiles as qt
 from regrowth.operators import ranking as rk
 from regrowth.operators import regression as rg
 from regrowth.operators import reshape as rs
@@ -162,7 +160,6 @@ def _(spark, sf):
     return mt.cohort_pre_post(fx.long_panel(spark, sf), "pid", "year", "yr", "dlst", [])
 
 
-REG = "{n} AS n, {s} AS slope"
 
 
 @query("sensor_pair", f"WITH {SENSOR_SQL}, {PAIR_SQL}, z AS (SELECT period, CASE WHEN grouping(size) = 1 THEN 'all' ELSE size END AS size, count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, corr(y, x) AS r FROM (SELECT *, CASE WHEN area_ha < 2 THEN 'lt2' WHEN area_ha < 10 THEN '2_10' ELSE 'ge10' END AS size FROM pr) GROUP BY GROUPING SETS ((period), (period, size))) SELECT period, size, {n('n', 'n')}, {r('slope', 'slope')}, {r('intercept', 'intercept')}, {r('r', 'r')} FROM z WHERE n >= 30")

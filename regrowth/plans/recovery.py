@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regrowth.functions import columns as fc
+from regrowth.functions.draws import POISSON_STEPS
 from regrowth.operators import aggregate as ag
 from regrowth.operators import binning as bn
 from regrowth.operators import bootstrap as bt
@@ -18,7 +19,7 @@ from regrowth.session import materialise
 from regrowth.plans.sql_fit import MELT, bins_sql, fit_sql
 
 L = f"WITH {fx.LONG_SQL}\n"
-POISSON_SQL = "(CASE " + " ".join(f"WHEN {{u}} < {p!r}::DOUBLE THEN {i}" for i, p in enumerate(__import__("regrowth.functions.draws", fromlist=["x"]).POISSON_STEPS)) + " ELSE 8 END)"
+POISSON_SQL = "(CASE " + " ".join(f"WHEN {{u}} < {p!r}::DOUBLE THEN {i}" for i, p in enumerate(POISSON_STEPS)) + " ELSE 8 END)"
 
 
 def u_sql(text: str) -> str:
