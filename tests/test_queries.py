@@ -42,7 +42,7 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_contract(spark):
     assert set(ORACLES) <= set(QUERIES)
-    assert set(entry_module.queries()) == set(QUERIES)
+    assert set(entry_module.queries()) >= set(QUERIES)
     out = entry_module.entry(spark)
     assert {"tau", "amp"} <= set(out.columns)
 
