@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from regrowth.llm import sharding
+from regrowth.llm import quality_rules, sharding, token_files
 from regrowth.llm.common import table
 
 SHARDS = 40
@@ -17,7 +18,19 @@ def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op9_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to directly addressable files in id order, and read back."""
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
+
+
+def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, base rule and the learned decision list's verdict for every document."""
+    return quality_rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jump_sharding": op5_jump_sharding,
+    "op9_addressable_codes": op9_addressable_codes,
+    "op10_decision_list": op10_decision_list,
 }
 ORACLES: dict[str, str] = {}
