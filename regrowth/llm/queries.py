@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from regrowth.llm import quality_rules, sharding, token_files
+from regrowth.llm import quality_rules, sharding, simhash, token_files
 from regrowth.llm.common import table
 
 SHARDS = 40
 
 
+def op2_byte_position_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards by its id."""
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
@@ -29,6 +34,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_position_simhash": op2_byte_position_simhash,
     "op5_jump_sharding": op5_jump_sharding,
     "op9_addressable_codes": op9_addressable_codes,
     "op10_decision_list": op10_decision_list,
