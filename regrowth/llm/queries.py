@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from regrowth.llm import quality_rules, sharding, simhash, token_files
+from regrowth.llm import chunked_bpe, quality_rules, sharding, simhash, token_files
 from regrowth.llm.common import table
 
 SHARDS = 40
@@ -18,6 +18,11 @@ def op2_byte_position_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the rank file, and decoded."""
+    return chunked_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards by its id."""
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
@@ -35,6 +40,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_position_simhash": op2_byte_position_simhash,
+    "op4_chunked_bpe": op4_chunked_bpe,
     "op5_jump_sharding": op5_jump_sharding,
     "op9_addressable_codes": op9_addressable_codes,
     "op10_decision_list": op10_decision_list,
