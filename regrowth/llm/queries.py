@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from regrowth.llm import chunked_bpe, quality_rules, sharding, simhash, token_files
+from regrowth.llm import chunked_bpe, decontaminate, quality_rules, sharding, simhash, token_files
 from regrowth.llm.common import table
 
 SHARDS = 40
@@ -28,6 +28,11 @@ def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified overlaps between documents and benchmark items; documents without any have no row."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written to directly addressable files in id order, and read back."""
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 0)
@@ -42,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_position_simhash": op2_byte_position_simhash,
     "op4_chunked_bpe": op4_chunked_bpe,
     "op5_jump_sharding": op5_jump_sharding,
+    "op8_spaced_seeds": op8_spaced_seeds,
     "op9_addressable_codes": op9_addressable_codes,
     "op10_decision_list": op10_decision_list,
 }
