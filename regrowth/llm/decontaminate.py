@@ -38,7 +38,7 @@ _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def token_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes, for all words at once."""
+    """A 64-bit hash of each word, for all words at once: the sum of its scrambled (byte, place) pairs."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     data = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
     ends = np.cumsum(lengths)

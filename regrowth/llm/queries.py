@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from regrowth.llm import chunked_bpe, decontaminate, quality_rules, sharding, simhash, token_files
+from regrowth.llm import chunked_bpe, decontaminate, language_id, quality_rules, sharding, simhash, token_files
 from regrowth.llm.common import table
 
 SHARDS = 40
 
 
+def op1_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the documents outside fold 0."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_position_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -44,6 +49,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_string_kernel": op1_string_kernel,
     "op2_byte_position_simhash": op2_byte_position_simhash,
     "op4_chunked_bpe": op4_chunked_bpe,
     "op5_jump_sharding": op5_jump_sharding,
