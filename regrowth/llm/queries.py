@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from regrowth.llm import chunked_bpe, decontaminate, language_id, quality_rules, sharding, simhash, token_files
+from regrowth.llm import chunked_bpe, decontaminate, language_id, pii, quality_rules, separator_scan, sharding, simhash, token_files
 from regrowth.llm.common import table
 
 SHARDS = 40
@@ -33,6 +33,16 @@ def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, found by scanning flat token files for separators."""
+    return separator_scan.document_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50256)
+
+
+def op7_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and added spans of personal data of every document."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified overlaps between documents and benchmark items; documents without any have no row."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -53,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_position_simhash": op2_byte_position_simhash,
     "op4_chunked_bpe": op4_chunked_bpe,
     "op5_jump_sharding": op5_jump_sharding,
+    "op6_separator_scan": op6_separator_scan,
+    "op7_candidate_boosting": op7_candidate_boosting,
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_addressable_codes": op9_addressable_codes,
     "op10_decision_list": op10_decision_list,
