@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from regrowth.llm import chunked_bpe, decontaminate, language_id, pii, quality_rules, separator_scan, sharding, simhash, token_files
+from regrowth.llm import chunked_bpe, decontaminate, language_id, language_model, pii, quality_rules, separator_scan, sharding, simhash, token_files
 from regrowth.llm.common import table
 
 SHARDS = 40
@@ -23,6 +23,11 @@ def op2_byte_position_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_hierarchical_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from the documents outside fold 0."""
+    return language_model.learn_and_score(table(spark, sf_dir, "documents"))
+
+
 def op4_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the rank file, and decoded."""
     return chunked_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -61,6 +66,7 @@ def op10_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_string_kernel": op1_string_kernel,
     "op2_byte_position_simhash": op2_byte_position_simhash,
+    "op3_hierarchical_pitman_yor": op3_hierarchical_pitman_yor,
     "op4_chunked_bpe": op4_chunked_bpe,
     "op5_jump_sharding": op5_jump_sharding,
     "op6_separator_scan": op6_separator_scan,
