@@ -32,10 +32,6 @@ def half_even(x) -> Column:
     return F.rint(c(x)).cast("long")
 
 
-def clamp(x, lo, hi) -> Column:
-    return F.least(F.greatest(c(x), F.lit(lo)), F.lit(hi))
-
-
 def event_time(mid, t_event) -> Column:
     return half_even(c(mid) - c(t_event))
 

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from regrowth.functions.draws import poisson_count, uniform
 from regrowth.operators.ranking import hashed_rank
-from regrowth.session import spread
 
 
 def replicate_weights(units: DataFrame, unit: str, n_boot: int, seed: str, scheme: str = "multinomial") -> DataFrame:
@@ -26,8 +25,8 @@ def replicate_weights(units: DataFrame, unit: str, n_boot: int, seed: str, schem
         # draw first, count second: each draw is evaluated once
         draws = F.transform(reps, lambda rep: F.struct(rep.alias("rep"), uniform(F.lit(seed), F.col(unit), rep).alias("u")))
         counts = F.transform(draws, lambda d: F.struct(d["rep"].alias("rep"), poisson_count(d["u"]).alias("w")))
-        return spread(units.select(unit), unit).select(unit, F.inline(F.filter(counts, lambda c: c["w"] > 0)))
-    ranked = spread(hashed_rank(units.select(unit), unit, "_rank", "_total"), "_rank")
+        return units.select(unit).select(unit, F.inline(F.filter(counts, lambda c: c["w"] > 0)))
+    ranked = hashed_rank(units.select(unit), unit, "_rank", "_total")
     draws = ranked.withColumn("rep", F.explode(reps)).withColumn("_pick", F.floor(uniform(F.lit(seed), "_rank", "rep") * F.col("_total")))
     counts = draws.groupBy("rep", "_pick").agg(F.count(F.lit(1)).alias("w"))
     return counts.join(ranked.select(unit, F.col("_rank").alias("_pick")), "_pick").select(unit, "rep", "w")
@@ -47,7 +46,7 @@ def weighted_cells(sums: DataFrame, weights: DataFrame, unit: str, keys: list[st
     """Per (rep, cell): n, mean and SE that duplicated rows would give."""
     w = F.col("w")
     agg = (
-        spread(sums, unit).join(weights, unit)
+        sums.join(weights, unit)
         .groupBy("rep", *keys)
         .agg(F.sum(w * F.col("n")).alias("n"), F.sum(w * F.col("s1")).alias("_s1"), F.sum(w * F.col("s2")).alias("_s2"))
     )

@@ -13,14 +13,14 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from regrowth.operators.binning import age_bin, bin_centre
 
 register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
 # Bounds and floors of the fit.
-TAU_LO, TAU_HI, AMP_BOUND, SE_FLOOR = 0.3, 60.0, 25.0, 1e-3
+TAU_LO, TAU_HI, AMP_BOUND, OFFSET_BOUND, SE_FLOOR = 0.3, 60.0, 25.0, 10.0, 1e-3
 SCAN, ZOOM = 60, 40
 RATIO = (TAU_HI / TAU_LO) ** (1.0 / (SCAN - 1))
 
@@ -86,8 +86,8 @@ def _profile_fit(points: pd.Series, bound: pd.Series) -> pd.DataFrame:
         width = max((len(p) for p in chunk), default=0)
         t, m, w = (np.zeros((len(chunk), width)) for _ in range(3))
         for i, pts in enumerate(chunk):
-            for j, p in enumerate(pts):
-                t[i, j], m[i, j], w[i, j] = p["t"], p["m"], p["w"]
+            if len(pts):
+                t[i, : len(pts)], m[i, : len(pts)], w[i, : len(pts)] = np.array([(p["t"], p["m"], p["w"]) for p in pts]).T
         cap = bound.iloc[start : start + 256].to_numpy()[:, None]
 
         def best(grid):
@@ -293,7 +293,11 @@ def compare_forms(bins: DataFrame, key: str, min_bin: int = 12) -> DataFrame:
 
 
 def offset_fit(bins: DataFrame, keys: list[str], min_bin: int = 12, step: float = 0.05) -> DataFrame:
-    """A*exp(-t/tau) + c on a tau grid: for each tau a 2 x 2 weighted solve, then the smallest chi-square."""
+    """A*exp(-t/tau) + c on a tau grid: for each tau a 2 x 2 weighted solve, then the smallest chi-square.
+
+    Where the solution leaves the box (amplitude +-25, offset +-10), the best point of the box's edges is taken; ``on_bound``
+    says so.
+    """
     b = bins.where((F.col("n") >= min_bin) & F.col("se").isNotNull())
     n_grid = int(round((TAU_HI - TAU_LO) / step))
     grid = F.transform(F.sequence(F.lit(0), F.lit(n_grid)), lambda i: F.lit(TAU_LO) + i * F.lit(step))
@@ -310,10 +314,24 @@ def offset_fit(bins: DataFrame, keys: list[str], min_bin: int = 12, step: float
     g = g.withColumn("amp", (F.col("sem") * F.col("s1") - F.col("sm") * F.col("se_")) / det).withColumn(
         "offset", (F.col("see") * F.col("sm") - F.col("se_") * F.col("sem")) / det
     )
-    g = g.where((F.abs("amp") <= AMP_BOUND) & (F.abs("offset") <= 10))
-    chi2 = F.col("smm") - F.col("amp") * F.col("sem") - F.col("offset") * F.col("sm")
-    return g.withColumn("chi2", chi2).groupBy(*keys).agg(
-        F.min_by(F.struct("tau", "amp", "offset", "chi2", "n_bins"), F.struct(F.round("chi2", 9), "tau")).alias("b")
+    inside = (F.abs("amp") <= AMP_BOUND) & (F.abs("offset") <= OFFSET_BOUND)
+    clip = lambda x, b: F.greatest(F.lit(-b), F.least(F.lit(b), x))
+    spots = []
+    for side in (-1.0, 1.0):
+        a, o = F.lit(side * AMP_BOUND), F.lit(side * OFFSET_BOUND)
+        spots += [(a, clip((F.col("sm") - a * F.col("se_")) / F.col("s1"), OFFSET_BOUND)), (clip((F.col("sem") - o * F.col("se_")) / F.col("see"), AMP_BOUND), o)]
+    spots.append((F.when(inside, F.col("amp")), F.when(inside, F.col("offset"))))
+
+    def cost(a, o):
+        cross = a * F.col("sem") + o * F.col("sm")
+        return F.col("smm") - 2 * cross + a * a * F.col("see") + 2 * a * o * F.col("se_") + o * o * F.col("s1")
+
+    # the solution inside the box, if there is one, is the smallest of all
+    best = F.array_min(F.array_compact(F.array(*[F.when(a.isNotNull(), F.struct(cost(a, o).alias("chi2"), a.alias("amp"), o.alias("offset"))) for a, o in spots])))
+    g = g.withColumn("_best", F.when(inside, F.struct(cost(F.col("amp"), F.col("offset")).alias("chi2"), F.col("amp"), F.col("offset"))).otherwise(best))
+    g = g.select(*keys, "tau", "n_bins", "_best.*", (~inside).alias("on_bound"))
+    return g.groupBy(*keys).agg(
+        F.min_by(F.struct("tau", "amp", "offset", "chi2", "n_bins", "on_bound"), F.struct(F.round("chi2", 9), "tau")).alias("b")
     ).select(*keys, "b.*")
 
 
@@ -322,9 +340,3 @@ def share_of_first(bins: DataFrame, keys: list[str], min_bin: int = 12) -> DataF
     ready = bins.where(F.col("n") >= min_bin)
     ref = ready.where(F.col("bin") == 0).select(*keys, F.col("mean").alias("_ref"))
     return ready.join(ref, keys).withColumn("remaining", F.when(F.col("bin") == 0, 1.0).otherwise(F.col("mean") / F.col("_ref"))).drop("_ref")
-
-
-def largest_step(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Largest absolute change between consecutive rows of a short curve (one row per k)."""
-    gap = F.abs(F.col(value) - F.lag(value).over(W.partitionBy(*keys).orderBy(order)))
-    return df.withColumn("_gap", gap).groupBy(*keys).agg(F.max("_gap").alias("max_step"))

@@ -63,6 +63,12 @@ def tau_by_grid(df: DataFrame, unit: str, y: str, age: str, lo: float = 1.0, hi:
     return grid.agg(F.min_by("tau", F.struct(F.round("ssr", 9), "tau")).alias("tau_fe"), F.min("ssr").alias("ssr"))
 
 
+def listed(period: str, periods: list[str]):
+    """0.0 for a listed period; any other stops the query, because it would count as the base period."""
+    message = F.concat(F.lit("period not listed: "), F.coalesce(F.col(period).cast("string"), F.lit("null")))
+    return F.when(F.col(period).isin(periods), F.lit(0.0)).otherwise(F.raise_error(message).cast("double"))
+
+
 def two_way(df: DataFrame, unit: str, period: str, y: str, x: str, periods: list[str]) -> DataFrame:
     """Slope on x with unit and period effects, and the share of x's within-unit variation that is left.
 
@@ -71,6 +77,7 @@ def two_way(df: DataFrame, unit: str, period: str, y: str, x: str, periods: list
     """
     dummies = {f"_p{i}": F.when(F.col(period) == p, 1.0).otherwise(0.0) for i, p in enumerate(periods[1:])}
     cols = [y, x, *dummies]
+    df = df.withColumn(y, F.col(y) + listed(period, periods))
     w = within_demean(df.withColumns(dummies), unit, cols)
     d = [f"{x_}_w" for x_ in dummies]
     cross = lambda a, b: F.sum(F.col(a) * F.col(b))
@@ -96,6 +103,7 @@ def two_way(df: DataFrame, unit: str, period: str, y: str, x: str, periods: list
 def two_way_demean(df: DataFrame, unit: str, period: str, columns: list[str], periods: list[str]) -> DataFrame:
     """Rows with unit and period means swept out of ``columns`` (suffix _tw), without alternating passes."""
     dummies = {f"_p{i}": F.when(F.col(period) == p, 1.0).otherwise(0.0) for i, p in enumerate(periods[1:])}
+    df = df.withColumn(columns[0], F.col(columns[0]) + listed(period, periods))
     w = within_demean(df.withColumns(dummies), unit, [*columns, *dummies])
     d = [f"{x}_w" for x in dummies]
     cross = lambda a, b: F.sum(F.col(a) * F.col(b))

@@ -15,37 +15,38 @@ def cohort_pre_post(long: DataFrame, unit: str, year: str, obs_year: str, value:
     return g.where(F.col("pre_v").isNotNull() & F.col("post_v").isNotNull())
 
 
-def invert_line(value, slope, intercept):
-    return (value - intercept) / slope
-
-
 def chain_calibration(points: DataFrame, links: list[DataFrame], value: str, se: str, keys: list[str]) -> DataFrame:
     """Carry a value back through one or more calibration lines, over every combination of lines.
 
-    ``points`` (keys, value, se) and each link (slope, intercept, chain) share the column ``chain``; a link holds
-    the few calibrations of one sensor step, so the join multiplies rows by a handful.
+    Each link (slope, intercept) holds the few calibrations of one sensor step: it becomes one array value that meets every
+    point, so nothing is joined. ``se_eq`` divides the standard error by the product of the smallest slopes.
     """
-    rows = points.withColumns({"_v": F.col(value), "_den": F.lit(None).cast("double")})
-    mins = []
+    rows, den = points.withColumn("_v", F.col(value)), F.lit(1.0)
     for i, link in enumerate(links):
-        step = link.select("chain", F.col("slope").alias("_m"), F.col("intercept").alias("_b"))
-        rows = rows.join(step, "chain").withColumn("_v", invert_line(F.col("_v"), F.col("_m"), F.col("_b")))
-        rows = rows.withColumn(f"_m{i}", F.col("_m")).drop("_m", "_b")
-        mins.append(F.min(f"_m{i}"))
-    den = mins[0]
-    for m in mins[1:]:
-        den = den * m
-    return rows.groupBy(*keys, value, se).agg(
-        F.min("_v").alias("eq_lo"), F.max("_v").alias("eq_hi"), F.avg("_v").alias("eq_mid"), F.count(F.lit(1)).alias("n_chains"), (F.first(se) / den).alias("se_eq")
+        lines = link.agg(F.collect_list(F.struct("slope", "intercept")).alias("l"), F.min("slope").alias("m"))
+        rows = rows.withColumn(f"_k{i}", lines.select(F.struct("l", "m")).scalar()).withColumn("_line", F.explode(f"_k{i}.l"))
+        back = F.try_divide(F.col("_v") - F.col("_line.intercept"), F.col("_line.slope"))
+        rows = rows.withColumns({"_v": back, f"_m{i}": F.col(f"_k{i}.m")}).drop("_line", f"_k{i}")
+        den = den * F.col(f"_m{i}")
+    return rows.withColumn("_den", den).groupBy(*keys, value, se).agg(
+        F.min("_v").alias("eq_lo"), F.max("_v").alias("eq_hi"), F.avg("_v").alias("eq_mid"), F.count(F.lit(1)).alias("n_chains"),
+        F.try_divide(F.first(se), F.first("_den")).alias("se_eq"),
     )
 
 
-def tolerance_match(left: DataFrame, right: DataFrame, keys: list[str], left_value: str, right_value: str, tol: float) -> DataFrame:
-    """Pairs on equal keys whose values differ by at most ``tol``: buckets of width ``tol``, three per left row.
+def tolerance_sums(left: DataFrame, right: DataFrame, keys: list[str], row: str, left_value: str, right_value: str, tol: float, cuts: int = 16) -> DataFrame:
+    """(row, n, total): number and sum of right values within ``tol`` of each left row's value, on equal keys.
 
-    Buckets turn the band condition into an equality, so a hot key is spread over its buckets.
+    Right rows are summed by buckets of width tol / cuts. The buckets that lie inside the band are met as sums, and only the
+    buckets at its two ends as rows.
     """
-    lb = F.floor(F.col(left_value) / tol)
-    spread = left.withColumn("_b", F.explode(F.array(lb - 1, lb, lb + 1)))
-    keyed = right.withColumn("_b", F.floor(F.col(right_value) / tol))
-    return spread.join(keyed, [*keys, "_b"]).where(F.abs(F.col(left_value) - F.col(right_value)) <= tol).drop("_b")
+    width = tol / cuts
+    bucket = lambda c: F.floor(c / width)
+    v = F.col(left_value)
+    first, last = bucket(v - tol), bucket(v + tol)
+    sums = right.groupBy(*keys, bucket(F.col(right_value)).alias("_b")).agg(F.count(F.lit(1)).alias("n"), F.sum(right_value).alias("total"))
+    inner = left.select(row, *keys, F.explode(F.sequence(first + 1, last - 1)).alias("_b")).join(sums, [*keys, "_b"]).select(row, "n", "total")
+    ends = left.select(row, *keys, left_value, F.explode(F.array(first, last)).alias("_b"))
+    pairs = ends.join(right.select(*keys, right_value, bucket(F.col(right_value)).alias("_b")), [*keys, "_b"])
+    pairs = pairs.where(F.abs(v - F.col(right_value)) <= tol).select(row, F.lit(1).cast("long").alias("n"), F.col(right_value).alias("total"))
+    return inner.unionByName(pairs).groupBy(row).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))

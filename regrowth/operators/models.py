@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
@@ -27,11 +26,6 @@ def fit_boosted(train: DataFrame, features: list[str], label: str, rounds: int =
     return model.fit(assemble(train, features).select("features", label))
 
 
-def held_out_r2(model: GBTRegressionModel, test: DataFrame, features: list[str], label: str) -> float:
-    scored = model.transform(assemble(test, features))
-    return RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2").evaluate(scored)
-
-
 def typical_rows(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """Exact median of every feature per group, all features in one selection."""
     long = long_measures(df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]), features, "_feature", "_value")

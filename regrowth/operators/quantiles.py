@@ -1,20 +1,15 @@
-"""Exact quantiles whose memory does not grow with the group.
+"""Exact quantiles, by two operators for two shapes of data; the caller picks.
 
-``percentile`` keeps every distinct value of a group in one buffer. Here equal values are counted first (map-side
-combine) and the counts are written once. If no group has more than ``SMALL_GROUP`` distinct values the built-in
-works on those counts. Otherwise a bounded sketch cuts each group into value ranges, the ranges are counted, and
-only the ranges that hold a wanted rank are ordered.
+``exact_quantiles`` is for groups of any width: a bounded sketch of the rows cuts each group into value ranges, rows are counted
+by range with map-side combine, and only the ranges that hold a wanted rank are counted by value and ordered. Nothing is
+written and nothing is known before the plan runs. ``small_quantiles`` is one aggregate for very many groups of few values each;
+it keeps a group's distinct values in one buffer.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from regrowth.session import materialise
-
-SMALL_GROUP = 200_000  # distinct values per group that the built-in may buffer
-EDGES = 63  # 64 ranges; one less than a power of two so that a range is found by halving
-
 
 def range_of(edges: Column, value: Column, n_edges: int) -> Column:
     """Number of sorted edges <= value, by halving (log2 steps per row)."""
@@ -29,38 +24,39 @@ def range_of(edges: Column, value: Column, n_edges: int) -> Column:
     )
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str], min_n: int = 1, count: str | None = None,
-    small_group: int = SMALL_GROUP,
-) -> DataFrame:
+def n_ranges(df: DataFrame, per_partition: int = 4, least: int = 64, most: int = 4096) -> int:
+    """Ranges to cut a table or group into: a few for each shuffle partition, as a power of two so that halving finds one."""
+    n = max(least, per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(most, 1 << (n - 1).bit_length())
+
+
+def small_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str], min_n: int = 1, count: str | None = None) -> DataFrame:
+    """Like ``exact_quantiles``, for groups of few distinct values."""
+    out = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.count(value).alias("_total"), F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs])).alias("_q")
+    )
+    picks = [F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(names)]
+    return out.where(F.col("_total") >= min_n).select(*keys, *([F.col("_total").alias(count)] if count else []), *picks)
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str], min_n: int = 1, count: str | None = None) -> DataFrame:
     """One row per group with linearly interpolated quantiles; groups below ``min_n`` values are left out.
 
     ``count`` names an output column for the number of non-null values.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    counted = materialise(counted, "value-counts")
-    widest = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
-    if widest <= small_group:
-        out = counted.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs]), F.col("_n")).alias("_q"))
-        out = out.where(F.col("_total") >= min_n)
-        picks = [F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(names)]
-        return out.select(*keys, *([F.col("_total").alias(count)] if count else []), *picks)
-    return _select_ranks(counted, keys, probs, names, min_n, count)
-
-
-def _select_ranks(counted: DataFrame, keys: list[str], probs: list[float], names: list[str], min_n: int, count: str | None) -> DataFrame:
-    groups = keys
-    steps = [(i + 1) / (EDGES + 1) for i in range(EDGES)]
-    sketch = counted.groupBy(*groups).agg(F.percentile_approx("_v", steps, 2000).alias("_edges"), F.sum("_n").alias("_total"))
+    groups, edges = keys, n_ranges(df) - 1
+    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    steps = [(i + 1) / (edges + 1) for i in range(edges)]
+    sketch = rows.groupBy(*groups).agg(F.percentile_approx("_v", steps, 4 * (edges + 1)).alias("_edges"), F.count(F.lit(1)).alias("_total"))
     if groups:
-        ranged = _eq_join(counted, sketch.where(F.col("_total") >= min_n), groups)
+        ranged = _eq_join(rows, sketch.where(F.col("_total") >= min_n), groups)
     else:
-        ranged = counted.withColumn("_s", sketch.select(F.struct("_edges", "_total")).scalar())
-        ranged = ranged.select("_v", "_n", "_s.*").where(F.col("_total") >= min_n)
-    ranged = ranged.withColumn("_range", range_of(F.col("_edges"), F.col("_v"), EDGES)).drop("_edges")
+        ranged = rows.withColumn("_s", sketch.select(F.struct("_edges", "_total")).scalar())
+        ranged = ranged.select("_v", "_s.*").where(F.col("_total") >= min_n)
+    ranged = ranged.withColumn("_range", range_of(F.col("_edges"), F.col("_v"), edges)).drop("_edges")
 
-    by_range = ranged.groupBy(*groups, "_range", "_total").agg(F.sum("_n").alias("_in_range"))
-    # at most EDGES + 1 rows per group
+    by_range = ranged.groupBy(*groups, "_range", "_total").agg(F.count(F.lit(1)).alias("_in_range"))
+    # at most one row per range and group
     before = F.coalesce(
         F.sum("_in_range").over(W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
     )
@@ -80,7 +76,10 @@ def _select_ranks(counted: DataFrame, keys: list[str], probs: list[float], names
         .groupBy(*groups, "_range", "_before", "_total")
         .agg(F.collect_set(F.struct(F.col("_spot.i").alias("i"), "_side", "_rank", F.col("_spot.pos").alias("pos"))).alias("_want"))
     )
-    inside = _eq_join(ranged.drop("_total"), wanted, groups + ["_range"])
+    # of the ranges that hold a wanted rank, the values with their counts
+    kept = _eq_join(ranged.select(*groups, "_range", "_v"), wanted.select(*groups, "_range"), groups + ["_range"])
+    values = kept.groupBy(*groups, "_range", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    inside = _eq_join(values, wanted, groups + ["_range"])
     upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*groups, "_range").orderBy("_v"))
     hits = (
         inside.withColumn("_upto", upto)

@@ -7,14 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regrowth.functions.draws import uniform
-from regrowth.operators.quantiles import range_of
-
-SALTS = 64
+from regrowth.operators.quantiles import n_ranges, range_of
 
 
 def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """First ``k`` rows of each group. Rows are thinned within salted slices first, so a hot group is shared out."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(n_ranges(df)))
     slices = df.withColumn("_salt", salt)
     slices = slices.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("_r") <= k)
     name = rank or "_r"
@@ -23,18 +21,18 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int,
 
 
 def global_row_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Dense 1..n numbering of distinct ``order`` tuples over the whole table, ascending.
+    """Dense 1..n numbering of distinct ``order`` tuples over the whole table, ascending; NULL counts as a value and comes first.
 
     A bounded, hash-chosen set of tuples cuts the key space into slices; each slice is numbered on its own and
     shifted by the sizes of the slices before it.
     """
-    n_cuts = 1023
+    n_cuts = n_ranges(df) - 1
     key = F.struct(*order)
     pool = df.select(*order).distinct()
     picked = pool.orderBy(F.xxhash64(*order)).limit(n_cuts).agg(F.sort_array(F.collect_list(key)).alias("_cuts"))
     cut = df.withColumn("_cuts", picked.scalar())
     sliced = cut.withColumn("_slice", range_of(F.col("_cuts"), key, n_cuts)).drop("_cuts")
-    sizes = sliced.groupBy("_slice").agg(F.count_distinct(*order).alias("_size"))
+    sizes = sliced.groupBy("_slice").agg(F.count_distinct(key).alias("_size"))
     shift = F.coalesce(F.sum("_size").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_slice", shift.alias("_shift"))  # at most n_cuts + 1 rows
     ranked = sliced.withColumn("_local", F.dense_rank().over(W.partitionBy("_slice").orderBy(*order)))
@@ -48,9 +46,10 @@ def hashed_rank(df: DataFrame, key: str, rank: str, total: str) -> DataFrame:
 
     md5 prefixes are even slices of the key space by construction, so no sampling is needed.
     """
-    hashed = df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_slice", F.substring("_h", 1, 3))
+    digits = 3 if n_ranges(df) <= 1 << 12 else 4
+    hashed = df.withColumn("_h", F.md5(F.col(key).cast("string"))).withColumn("_slice", F.substring("_h", 1, digits))
     sizes = hashed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_size"))
-    w = W.orderBy("_slice")  # at most 4,096 rows
+    w = W.orderBy("_slice")  # one row per slice
     offsets = sizes.select(
         "_slice",
         F.coalesce(F.sum("_size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_shift"),
@@ -67,7 +66,7 @@ def hashed_rank(df: DataFrame, key: str, rank: str, total: str) -> DataFrame:
 
 def exact_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """Exactly ``n`` rows (all, if fewer) with the smallest keyed draws; ``key`` must be unique."""
-    drawn = df.withColumn("_u", uniform(F.lit(seed), key)).withColumn("_slice", F.floor(F.col("_u") * 4096).cast("int"))
+    drawn = df.withColumn("_u", uniform(F.lit(seed), key)).withColumn("_slice", F.floor(F.col("_u") * n_ranges(df, least=4096, most=1 << 16)).cast("int"))
     sizes = drawn.groupBy("_slice").agg(F.count(F.lit(1)).alias("_size"))
     before = F.coalesce(F.sum("_size").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_slice", "_size", before.alias("_before")).where(F.col("_before") < n)
@@ -81,8 +80,18 @@ def exact_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
 
 
 def every_nth(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """Rows 1, n+1, 2n+1, ... in key order."""
-    return global_row_number(df, order, "_row").where((F.col("_row") - 1) % n == 0).drop("_row")
+    """Rows 1, n+1, 2n+1, ... in key order; rows with equal keys are counted one by one."""
+    numbered = global_row_number(df, order, "_group")
+    sizes = df.groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
+    tied = numbered.withColumn("_tie", F.row_number().over(W.partitionBy("_group").orderBy(*[F.xxhash64(*df.columns)])))
+    # the place of a group's first row: all rows of the groups before it, by slices of groups
+    groups = global_row_number(sizes, order, "_group").withColumn("_slice", F.floor(F.col("_group") / 10_000))
+    totals = groups.groupBy("_slice").agg(F.sum("_n").alias("_s"))
+    ahead = totals.select("_slice", F.coalesce(F.sum("_s").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    inside = F.coalesce(F.sum("_n").over(W.partitionBy("_slice").orderBy("_group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    first = groups.withColumn("_inside", inside).join(ahead, "_slice").select("_group", (F.col("_ahead") + F.col("_inside")).alias("_first"))
+    row = F.col("_first") + F.col("_tie") - 1
+    return tied.join(first, "_group").where(row % n == 0).drop("_group", "_tie", "_first")
 
 
 def sample_per_stratum(df: DataFrame, stratum: list[str], key: str, k: int, seed: str) -> DataFrame:

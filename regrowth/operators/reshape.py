@@ -29,7 +29,10 @@ def long_to_wide(long: DataFrame, keys: list[str], period: str, periods: list[st
     aggs = [
         F.max(F.when(F.col(period) == p, F.col(v))).alias(f"{v}_{p}") for p in periods for v in values
     ]
-    return long.groupBy(*keys).agg(*aggs)
+    # a period outside the list would vanish: it stops the query instead
+    message = F.concat(F.lit("period not listed: "), F.coalesce(F.col(period).cast("string"), F.lit("null")))
+    first = F.when(F.col(period).isin(periods), F.col(values[0])).otherwise(F.raise_error(message).cast("double"))
+    return long.withColumn(values[0], first).groupBy(*keys).agg(*aggs)
 
 
 def reference_lookup(long: DataFrame, unit: str, value: str, flag: Column) -> DataFrame:

@@ -6,14 +6,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from regrowth.session import materialise, spread
+from regrowth.session import discard, materialise, new_work_path
 
 TILE = 16  # cells per side of a join tile
-
-
-def pixel_id(row="row", col="col"):
-    """One sortable number per cell."""
-    return F.col(row) * F.lit(1 << 31) + F.col(col)
+LINE = 256  # cells of a line's tile
 
 
 def row_runs(px: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,10 +40,13 @@ def connected_components(px: DataFrame, min_px: int = 10) -> DataFrame:
         .select(F.greatest("run", "other").alias("u"), F.least("run", "other").alias("v"))
         .distinct()
     )
-    edges = materialise(edges, "links")
+    spark, path = px.sparkSession, new_work_path(px.sparkSession, "links")
+    edges = materialise(edges, "links", path)
     state, before = _edge_state(edges), None
     while state != before:
-        edges = materialise(_small_star(_large_star(edges)), "links")
+        old, path = path, new_work_path(spark, "links")
+        edges = materialise(_small_star(_large_star(edges)), "links", path)
+        discard(spark, old)  # the round before is not read again
         state, before = _edge_state(edges), state
     labels = edges.groupBy("u").agg(F.min("v").alias("label"))
     tagged = runs.join(labels, runs["run"] == labels["u"], "left").withColumn("label", F.coalesce("label", "run"))
@@ -96,8 +95,7 @@ def candidate_controls(unit_px: DataFrame, profile: DataFrame, intact: DataFrame
 
     A unit is described by its row runs, which are copied to the tiles they can reach; intact cells sit in one
     tile. A tile holds at most TILE*TILE cells, so no key can grow with the data, and the nearest run is kept by a
-    map-side minimum. Both sides are spread by tile explicitly, because the join grows its input and a small input
-    would otherwise be coalesced into a few tasks; a shuffled join needs these exchanges anyway.
+    map-side minimum.
     """
     runs = row_runs(unit_px, [unit]).join(profile.select(unit, "elev_mean", "slope_mean"), unit)
     span = lambda lo, hi: F.explode(F.sequence(F.floor((lo - reach) / TILE), F.floor((hi + reach) / TILE)))
@@ -105,14 +103,14 @@ def candidate_controls(unit_px: DataFrame, profile: DataFrame, intact: DataFrame
     # drop tiles whose nearest corner is already too far
     far_r = F.greatest(F.lit(0), F.col("_tr") * TILE - F.col("row"), F.col("row") - F.col("_tr") * TILE - (TILE - 1))
     far_c = F.greatest(F.lit(0), F.col("_tc") * TILE - F.col("c1"), F.col("c0") - F.col("_tc") * TILE - (TILE - 1))
-    tiled = spread(tiled.where(far_r * far_r + far_c * far_c <= reach * reach).withColumnRenamed("row", "_row"), "_tr", "_tc")
+    tiled = tiled.where(far_r * far_r + far_c * far_c <= reach * reach).withColumnRenamed("row", "_row")
     cells = intact.select("row", "col", "elev", "slope").withColumns(
         {"_tr": F.floor(F.col("row") / TILE), "_tc": F.floor(F.col("col") / TILE)}
     )
     dc = F.greatest(F.lit(0), F.col("c0") - F.col("col"), F.col("col") - F.col("c1"))
     dr = F.col("row") - F.col("_row")
     pairs = (
-        spread(cells, "_tr", "_tc").join(tiled, ["_tr", "_tc"])
+        cells.join(tiled, ["_tr", "_tc"])
         .withColumn("d2", dr * dr + dc * dc)
         .where(
             (F.col("d2") <= reach * reach)
@@ -135,26 +133,20 @@ def tiered_controls(candidates: DataFrame, unit: str, least: int = 30) -> DataFr
     return far.join(n1, unit).where(F.col("tier1") | (F.col("n_tier1") < least))
 
 
-def unit_minus_control(unit_px: DataFrame, controls: DataFrame, obs: DataFrame, unit: str, period: str, value: str, periods: list) -> DataFrame:
-    """Mean over unit cells minus mean over control cells per period.
+def unit_minus_control(unit_px: DataFrame, controls: DataFrame, obs: DataFrame, unit: str, period: str, value: str) -> DataFrame:
+    """Mean over unit cells minus mean over control cells, for every period observed.
 
-    Needs max(3, 0.3 * cells) unit values and 20 control values. Observations are laid out one row per cell first,
-    so a (unit, cell) pair meets all ``periods`` (a fixed short list) in one join.
+    Needs max(3, 0.3 * cells) unit values and 20 control values. A cell's few observations are laid side by side first, so
+    a (unit, cell) pair meets all of them in one join, and are summed by unit and period with map-side combine.
     """
-    wide = obs.groupBy("row", "col").agg(*[F.max(F.when(F.col(period) == p, F.col(value))).alias(f"_v{i}") for i, p in enumerate(periods)])
+    cells = obs.groupBy("row", "col").agg(F.collect_list(F.struct(F.col(period).alias("_p"), F.col(value).alias("_v"))).alias("_o"))
     roles = unit_px.select(unit, "row", "col", F.lit(True).alias("_own")).unionByName(controls.select(unit, "row", "col", F.lit(False).alias("_own")))
-    aggs = []
-    for i in range(len(periods)):
-        own, ctl = F.when(F.col("_own"), F.col(f"_v{i}")), F.when(~F.col("_own"), F.col(f"_v{i}"))
-        aggs += [F.count(own).alias(f"_nu{i}"), F.count(ctl).alias(f"_nc{i}"), (F.avg(own) - F.avg(ctl)).alias(f"_d{i}")]
-    per_unit = roles.join(wide, ["row", "col"]).groupBy(unit).agg(*aggs)
+    own, ctl = F.when(F.col("_own"), F.col("_v")), F.when(~F.col("_own"), F.col("_v"))
+    rows = roles.join(cells, ["row", "col"]).select(unit, "_own", F.inline("_o"))
+    sums = rows.groupBy(unit, F.col("_p").alias(period)).agg(F.count(own).alias("n_unit"), F.count(ctl).alias("n_ctrl"), (F.avg(own) - F.avg(ctl)).alias("delta"))
     n_px = unit_px.groupBy(unit).agg(F.count(F.lit(1)).alias("_n_px"))
-    cells = [
-        F.struct(F.lit(p).alias(period), F.col(f"_nu{i}").alias("n_unit"), F.col(f"_nc{i}").alias("n_ctrl"), F.col(f"_d{i}").alias("delta"))
-        for i, p in enumerate(periods)
-    ]
-    rows = per_unit.join(n_px, unit).select(unit, "_n_px", F.inline(F.array(*cells)))
-    return rows.where((F.col("n_unit") >= F.greatest(F.lit(3.0), 0.3 * F.col("_n_px"))) & (F.col("n_ctrl") >= 20)).drop("_n_px")
+    enough = (F.col("n_unit") >= F.greatest(F.lit(3.0), 0.3 * F.col("_n_px"))) & (F.col("n_ctrl") >= 20)
+    return sums.join(n_px, unit).where(enough).drop("_n_px")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, cell: float) -> DataFrame:
@@ -178,10 +170,17 @@ def windows_in_footprints(windows: DataFrame, scenes: DataFrame, cell: int) -> D
 
 
 def terrain_gradient(grid: DataFrame, value: str, size: float) -> DataFrame:
-    """Slope (degrees), aspect components from neighbours; central differences, one-sided at gaps and edges."""
+    """Slope (degrees), aspect components from neighbours; central differences, one-sided at gaps and edges.
+
+    A line of cells is cut into tiles, and the cells at a tile's edges are lent to the next tile, so that no window grows with
+    the grid in either direction.
+    """
     out = grid
     for name, along, across in (("_gx", "col", "row"), ("_gy", "row", "col")):
-        w = W.partitionBy(across).orderBy(along)
+        tile, place = F.floor(F.col(along) / LINE), F.pmod(F.col(along), F.lit(LINE))
+        lent = F.array_compact(F.array(F.lit(0), F.when(place == 0, -1), F.when(place == LINE - 1, 1)))
+        out = out.withColumn("_lent", F.explode(lent)).withColumn("_tile", tile + F.col("_lent"))
+        w = W.partitionBy(across, "_tile").orderBy(along)
         prev = F.when(F.lag(along).over(w) == F.col(along) - 1, F.lag(value).over(w))
         nxt = F.when(F.lead(along).over(w) == F.col(along) + 1, F.lead(value).over(w))
         diff = (
@@ -189,7 +188,7 @@ def terrain_gradient(grid: DataFrame, value: str, size: float) -> DataFrame:
             .when(nxt.isNotNull(), nxt - F.col(value))
             .when(prev.isNotNull(), F.col(value) - prev)
         )
-        out = out.withColumn(name, diff / size)
+        out = out.withColumn(name, diff / size).where(F.col("_lent") == 0).drop("_lent", "_tile")
     steep = F.degrees(F.atan(F.hypot("_gx", "_gy")))
     aspect = F.atan2(-F.col("_gx"), F.col("_gy"))
     return out.withColumns({"slope_deg": steep, "northness_g": F.cos(aspect), "eastness_g": F.sin(aspect)}).drop("_gx", "_gy")

@@ -71,7 +71,7 @@ def _(spark, sf):
     named = u.where(F.col("event").isNotNull() & F.col("agent").isNotNull())
     keys = ["event", "agent", "year"]
     sums = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("area_ha").alias("area_ha"))
-    groups = sums.join(qt.medians(named, keys, "elev", "elev_med"), keys)
+    groups = sums.join(qt.small_quantiles(named, keys, "elev", [0.5], ["elev_med"]), keys)
     total = u.agg(F.count(F.lit(1)).alias("n"), F.sum("area_ha").alias("area_ha"))
     return groups.unionByName(total, allowMissingColumns=True).orderBy(F.desc("n"), "event", "year", "agent")
 
@@ -222,7 +222,8 @@ def _(spark, sf):
 
 @query("composite_median", S + f"SELECT cell, epoch, {r('median(value)', 'median')} FROM clear GROUP BY ALL")
 def _(spark, sf):
-    return qt.medians(fx.scenes(spark, sf).where(fc.clear_sky("qa")), ["cell", "epoch"], "value")
+    # a cell has few observations in a period: one aggregate
+    return qt.small_quantiles(fx.scenes(spark, sf).where(fc.clear_sky("qa")), ["cell", "epoch"], "value", [0.5], ["median"])
 
 
 @query("per_sensor_composite", S + f"SELECT cell, epoch, sensor, {n('count(value)', 'n_clear')}, {r('CASE WHEN count(value) >= 3 THEN avg(value) END', 'mean', 8)} FROM clear GROUP BY ALL", 8)

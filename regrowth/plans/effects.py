@@ -525,26 +525,27 @@ def clear_stream(spark, sf):
     scenes = fx.scenes(spark, sf)
     instant = F.timestamp_micros(fc.utc_micros(scenes, "ts"))
     clear = scenes.where(fc.clear_sky("qa")).select("event_id", instant.alias("ts"), "cell", "epoch", "value")
-    path = st.stage_as_files(clear, 4, "ts")
-    return st.read_scene_stream(spark, path, clear.schema)
+    path, per_batch = st.stage_as_files(clear, "ts")
+    return st.read_scene_stream(spark, path, clear.schema, per_batch)
 
 
-@query("stream_composite", S + f"SELECT cell, epoch, {n('count(value)', 'n')}, {r('CASE WHEN count(value) >= 3 THEN avg(value) END', 'mean', 8)} FROM clear GROUP BY ALL", 8)
+@query("stream_composite", S + f"SELECT cell, strftime(ts, '%Y-%m') AS month, epoch, {n('count(value)', 'n')}, {r('CASE WHEN count(value) >= 3 THEN avg(value) END', 'mean', 8)} FROM clear GROUP BY ALL", 8)
 def _(spark, sf):
-    # ten-day windows that start on the first of the month shown; the watermark lets old windows leave the state
-    sums = st.running_sums(clear_stream(spark, sf), [F.window("ts", "10 days", None, "3 days").alias("w"), "cell"], "value")
-    state = st.latest_state(spark, st.run_to_table(sums, "composite"), ["w", "cell"])
-    epoch = F.concat(F.lit("w"), F.floor((F.dayofmonth(fc.utc_day("w.start")) - 1) / 10).cast("string"))
-    return state.select("cell", epoch.alias("epoch"), "n", F.when(F.col("n") >= 3, F.col("total") / F.col("n")).alias("mean"))
+    # daily windows, which the watermark lets leave the state; thirds of a calendar month are sums of days
+    sums = st.running_sums(clear_stream(spark, sf), [F.window("ts", "1 day").alias("w"), "cell"], "value")
+    state = st.latest_state(spark, st.run_to_table(sums, "composite"), ["w", "cell"]).withColumn("day", fc.utc_day("w.start"))
+    third = F.concat(F.lit("w"), F.floor((F.dayofmonth("day") - 1) / 10).cast("string"))
+    out = state.groupBy("cell", F.date_format("day", "yyyy-MM").alias("month"), third.alias("epoch")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return out.select("cell", "month", "epoch", "n", F.when(F.col("n") >= 3, F.col("total") / F.col("n")).alias("mean"))
 
 
-@query("stream_accumulate_units", S + f"SELECT cell, CAST(day(ts) AS BIGINT) AS day, {n('count(value)', 'n')}, {r('sum(value)', 'total', 4)} FROM clear GROUP BY ALL", 4)
+@query("stream_accumulate_units", S + f"SELECT cell, strftime(ts, '%Y-%m-%d') AS day, {n('count(value)', 'n')}, {r('sum(value)', 'total', 4)} FROM clear GROUP BY ALL", 4)
 def _(spark, sf):
     twice = clear_stream(spark, sf)
     twice = twice.union(twice)  # every scene delivered twice; each counts once
     sums = st.running_sums(twice, [F.col("cell"), F.window("ts", "1 day").alias("w")], "value", id_column="event_id")
     state = st.latest_state(spark, st.run_to_table(sums, "units"), ["cell", "w"])
-    return state.select("cell", F.dayofmonth(fc.utc_day("w.start")).cast("long").alias("day"), "n", "total")
+    return state.select("cell", F.date_format(fc.utc_day("w.start"), "yyyy-MM-dd").alias("day"), "n", "total")
 
 
 # ---------------- verification ----------------

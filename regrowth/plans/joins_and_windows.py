@@ -110,17 +110,17 @@ n1 AS (SELECT unit, count_if(tier1) AS n1 FROM far GROUP BY 1),
 ctrl AS (SELECT far.*, n1 FROM far JOIN n1 USING (unit) WHERE tier1 OR n1 < 30)"""
 
 
-def controls(spark, sf):
+def controls(spark, sf, **limits):
     g = fx.pixel_grid(spark, sf)
     u = grid_units(spark, sf).select("unit", "row", "col")
     profile = sp.unit_profile(u, g.select("row", "col", "elev", "slope"), "unit", ["elev", "slope"])
-    return u, sp.candidate_controls(u, profile, g.where(~F.col("disturbed")), "unit")
+    return u, sp.candidate_controls(u, profile, g.where(~F.col("disturbed")), "unit", **limits)
 
 
 @query("control_match", G + f", {CAND} SELECT unit, {n('count(*)', 'n_ctrl')}, {n('min(d2)', 'nearest')}, {n('max(d2)', 'farthest')} FROM far WHERE tier1 GROUP BY 1")
 def _(spark, sf):
-    _, cand = controls(spark, sf)
-    close = cand.where(F.col("d2").between(16, 900) & (F.col("d_elev") <= 150) & (F.col("d_slope") <= 10))
+    _, cand = controls(spark, sf, reach=30, d_elev=150.0, d_slope=10.0)
+    close = cand.where(F.col("d2") >= 16)
     return close.groupBy("unit").agg(F.count(F.lit(1)).alias("n_ctrl"), F.min("d2").alias("nearest"), F.max("d2").alias("farthest"))
 
 
@@ -149,7 +149,7 @@ def observations(spark, sf):
 )
 def _(spark, sf):
     u, cand = controls(spark, sf)
-    return sp.unit_minus_control(u, sp.tiered_controls(cand, "unit"), observations(spark, sf), "unit", "period", "value", list(range(1994, 2003)))
+    return sp.unit_minus_control(u, sp.tiered_controls(cand, "unit"), observations(spark, sf), "unit", "period", "value")
 
 
 PREPOST = "SELECT pid, year, agent, elev, area_ha, src, max(dlst) FILTER (is_pre) AS pre_v, max(dlst) FILTER (yr = year + 1) AS post_v FROM lp WHERE is_pre OR yr = year + 1 GROUP BY ALL HAVING pre_v IS NOT NULL AND post_v IS NOT NULL"
@@ -171,27 +171,40 @@ def _(spark, sf):
 
 CHAIN = f"""WITH {SENSOR_SQL},
 q AS (SELECT a.sensor AS sa, b.sensor AS sb, period, regr_slope(a.value, b.value) AS slope, regr_intercept(a.value, b.value) AS intercept FROM sv a JOIN sv b USING (pid, period) GROUP BY ALL HAVING count(*) >= 30),
-c1 AS (SELECT slope, intercept FROM q WHERE sa = 'A' AND sb = 'N' AND abs(slope) > 1e-3), c2 AS (SELECT slope, intercept FROM q WHERE sa = 'N' AND sb = 'R' AND abs(slope) > 1e-3),
+c1 AS (SELECT slope, intercept FROM q WHERE sa = 'A' AND sb = 'N'), c2 AS (SELECT slope, intercept FROM q WHERE sa = 'N' AND sb = 'R'),
 p AS (SELECT period, avg(value) AS raw, stddev_samp(value) / sqrt(count(*)) AS se FROM sv WHERE sensor = 'A' GROUP BY 1),
+lo AS (SELECT min(c1.slope) * (SELECT min(slope) FROM c2) AS den FROM c1),
 e AS (SELECT period, raw, se, ((raw - c1.intercept) / c1.slope - c2.intercept) / c2.slope AS v FROM p, c1, c2)"""
 
 
-@query("calibration_chain", CHAIN + f" SELECT period, {n('count(*)', 'n_chains')}, {r('min(v) / 1e3', 'eq_lo', 4)}, {r('max(v) / 1e3', 'eq_hi', 4)}, {r('avg(v) / 1e3', 'eq_mid', 4)}, {r('any_value(se)', 'se', 4)} FROM e GROUP BY 1", 4)
+def six(expr: str, alias: str) -> str:
+    """SQL twin of ``six_digits``."""
+    p = f"pow(10.0::DOUBLE, floor(log10(abs({expr}))) - 5)"
+    return f"CASE WHEN ({expr}) = 0 THEN 0.0::DOUBLE ELSE round(({expr}) / {p}, 0) * {p} END AS {alias}"
+
+
+def six_digits(c):
+    """Six significant digits: a flat calibration line carries a value very far."""
+    p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(c))) - 5)
+    return F.when(c == 0, 0.0).otherwise(F.round(c / p, 0) * p)
+
+
+@query("calibration_chain", CHAIN + f" SELECT period, {n('count(*)', 'n_chains')}, {six('min(v)', 'eq_lo')}, {six('max(v)', 'eq_hi')}, {six('avg(v)', 'eq_mid')}, {r('any_value(se)', 'se')}, {six('any_value(se) / any_value(den)', 'se_eq')} FROM e, lo GROUP BY 1", 12)
 def _(spark, sf):
-    def line(a, b):
-        q = ag.simple_regression(sensor_pairs(spark, sf, a, b), ["period"], "x", "y", 30).where(F.abs("slope") > 1e-3)
-        return q.select(F.lit("chain").alias("chain"), "slope", "intercept")
+    def lines(a, b):
+        return ag.simple_regression(sensor_pairs(spark, sf, a, b), ["period"], "x", "y", 30).select("slope", "intercept")
 
     p = sensor_values(spark, sf).where(F.col("sensor") == "A").groupBy("period").agg(F.avg("value").alias("raw"), fc.standard_error("value").alias("se"))
-    out = mt.chain_calibration(p.withColumn("chain", F.lit("chain")), [line("A", "N"), line("N", "R")], "raw", "se", ["period"])
-    return out.select("period", "n_chains", (F.col("eq_lo") / 1e3).alias("eq_lo"), (F.col("eq_hi") / 1e3).alias("eq_hi"), (F.col("eq_mid") / 1e3).alias("eq_mid"), "se")
+    out = mt.chain_calibration(p, [lines("A", "N"), lines("N", "R")], "raw", "se", ["period"])
+    return out.select("period", "n_chains", *[six_digits(F.col(c)).alias(c) for c in ("eq_lo", "eq_hi", "eq_mid")], F.round("se", 6).alias("se"), six_digits(F.col("se_eq")).alias("se_eq"))
 
 
 @query("tolerance_match", f"SELECT s_suppkey, {n('count(*)', 'n')}, {r('avg(c_acctbal)', 'mean_bal', 4)} FROM supplier JOIN customer ON s_nationkey = c_nationkey AND abs(s_acctbal - c_acctbal) <= 500 GROUP BY 1", 4)
 def _(spark, sf):
     s = fx.table(spark, sf, "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"]).withColumnRenamed("s_nationkey", "nat")
-    c = fx.table(spark, sf, "customer", ["c_custkey", "c_nationkey", "c_acctbal"]).withColumnRenamed("c_nationkey", "nat")
-    return mt.tolerance_match(s, c, ["nat"], "s_acctbal", "c_acctbal", 500.0).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.avg("c_acctbal").alias("mean_bal"))
+    c = fx.table(spark, sf, "customer", ["c_nationkey", "c_acctbal"]).withColumnRenamed("c_nationkey", "nat")
+    out = mt.tolerance_sums(s, c, ["nat"], "s_suppkey", "s_acctbal", "c_acctbal", 500.0)
+    return out.select("s_suppkey", "n", (F.col("total") / F.col("n")).alias("mean_bal"))
 
 
 # ---------------- windows and sequences ----------------

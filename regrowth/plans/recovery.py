@@ -205,7 +205,7 @@ def _(spark, sf):
     s AS (SELECT tau, count(*) AS n_bins, sum(w) AS s1, sum(w * exp(-t / tau)) AS se, sum(w * exp(-t / tau) * exp(-t / tau)) AS see, sum(w * m) AS sm, sum(w * m * exp(-t / tau)) AS sem, sum(w * m * m) AS smm FROM b, g GROUP BY 1),
     q AS (SELECT tau, n_bins, (sem * s1 - sm * se) / (see * s1 - se * se) AS amp, (see * sm - se * sem) / (see * s1 - se * se) AS off, smm, sem, sm FROM s WHERE see * s1 - se * se > 0),
     z AS (SELECT *, smm - amp * sem - off * sm AS chi2 FROM q WHERE abs(amp) <= 25 AND abs(off) <= 10)
-    SELECT {r('tau', 'tau', 4)}, {r('amp', 'amp', 4)}, {r('off', '"offset"', 4)}, {r('chi2', 'chi2', 4)}, {n('n_bins', 'n_bins')} FROM z ORDER BY round(chi2, 9), tau LIMIT 1""",
+    SELECT {r('tau', 'tau', 4)}, {r('amp', 'amp', 4)}, {r('off', '"offset"', 4)}, {r('chi2', 'chi2', 4)}, {n('n_bins', 'n_bins')}, false AS on_bound FROM z ORDER BY round(chi2, 9), tau LIMIT 1""",
     4,
 )
 def _(spark, sf):

@@ -37,13 +37,9 @@ def _(spark, sf):
     dim = u.groupBy("event", "year").agg(F.coalesce(F.min("agent"), F.lit("")).alias("agent"), F.count(F.lit(1)).alias("n"))
     code = F.concat_ws("/", F.col("year"), F.col("event"))
     path = new_work_path(spark, "dim")
-    # one JSON object {code: fields} per year, as the dimension files are laid out
-    dim.groupBy("year").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(code, F.struct("event", "year", "agent", "n"))))).alias("value")).select(
-        "value"
-    ).repartition("value").write.text(path)
-    lines = spark.read.text(path)
-    parsed = F.from_json("value", "map<string, struct<event string, year bigint, agent string, n bigint>>")
-    return lines.select(F.explode(parsed).alias("code", "item")).select("code", "item.*")
+    # one JSON object {code: fields} on a line, as the dimension files are laid out
+    dim.select(F.to_json(F.create_map(code, F.struct("event", "year", "agent", "n"))).alias("value")).write.text(path)
+    return tb.scan_json_dimension(spark, path, "event string, year bigint, agent string, n bigint")
 
 
 SCENE_LIST = """SELECT epoch, scene AS id, count(*) FILTER (qa <> 0 AND (qa & 62) = 0) AS clear_px FROM sc GROUP BY 1, 2"""
@@ -114,8 +110,9 @@ def _(spark, sf):
 
 
 def _print_sql(name: str, cols: list[str]) -> str:
-    text = "concat_ws('|', " + ", ".join(f"coalesce(CAST({x} AS VARCHAR), '~')" for x in cols) + ")"
-    return f"SELECT '{name}' AS table_name, {n('count(*)', 'n_rows')}, CAST(bit_xor(('0x' || substr(md5({text}), 1, 15))::BIGINT) AS BIGINT) AS checksum FROM {name}"
+    text = "concat_ws('|', " + ", ".join(f"coalesce(length(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '~')" for x in cols) + ")"
+    h = f"('0x' || substr(md5({text}), 1, 15))::BIGINT"
+    return f"SELECT '{name}' AS table_name, {n('count(*)', 'n_rows')}, CAST(bit_xor({h}) AS BIGINT) AS checksum, CAST(sum({h}::HUGEINT) % 1152921504606846976 AS BIGINT) AS total FROM {name}"
 
 
 PRINTED = {
@@ -220,9 +217,9 @@ def _(spark, sf):
     return rs.surrogate_key(fx.units(spark, sf), ["event", "year", "elev", "area_ha"]).select("pid", "gid")
 
 
-@query("code_assign", U + f"SELECT year, coalesce(event, '') AS name, {n('row_number() OVER (ORDER BY year, coalesce(event, chr(0)))', 'code')}, {n('count(*)', 'n')} FROM unit GROUP BY year, event")
+@query("code_assign", U + f"SELECT year, event AS name, {n('row_number() OVER (ORDER BY year, event NULLS FIRST)', 'code')}, {n('count(*)', 'n')} FROM unit GROUP BY year, event")
 def _(spark, sf):
-    u = fx.units(spark, sf).withColumn("name", F.coalesce("event", F.lit("")))
+    u = fx.units(spark, sf).withColumn("name", F.col("event"))
     return rs.code_dimension(u, "year", "name").select("year", "name", "code", "n")
 
 

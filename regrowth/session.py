@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -27,14 +29,22 @@ def get_spark(app: str = "regrowth", master: str | None = None, **conf: str) ->
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, else a fresh one for local tests."""
-    current = spark.sparkContext.getCheckpointDir()
-    root = spark.conf.get("spark.checkpoint.dir", None) or current
+    """The folder all executors see: ``spark.checkpoint.dir``, else one below a warehouse that is not a machine's own disk.
+
+    A local master (tests) has one machine, so there a fresh folder is used and removed when Python ends. A cluster without
+    either setting is an error: files on one machine's disk would be missing on the others.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("regrowth.work.dir", root)
-    if current is None:
-        spark.sparkContext.setCheckpointDir(root)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir", "") or ""
+        if "://" in warehouse and not warehouse.startswith("file:"):
+            root = f"{warehouse.rstrip('/')}/_work"
+        elif spark.sparkContext.master.startswith("local"):
+            root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
@@ -43,20 +53,18 @@ def new_work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df, name: str):
+def materialise(df, name: str, path: str | None = None):
     """Write a result that several branches read to the shared folder, once, and read it back.
 
-    Keeps retries and later branches from deriving it again from the source.
+    Keeps retries and later branches from deriving it again from the source. A caller that knows when the result is no longer
+    read passes its own ``path`` and discards it then.
     """
-    path = new_work_path(df.sparkSession, name)
+    path = path or new_work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df, *keys: str):
-    """Hash-partition by ``keys`` with the session's partition count.
-
-    For inputs that grow after the exchange (exploded, joined to many): adaptive coalescing looks at their small
-    size before the growth and would run them in a few tasks. A later join or grouping on the keys reuses it.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a work path that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

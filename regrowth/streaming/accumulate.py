@@ -46,8 +46,12 @@ def latest_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return newest.select(*keys, "_s.*")
 
 
-def stage_as_files(df: DataFrame, n_files: int, order: str) -> str:
-    """Write a bounded table as ``n_files`` files in time order, as arriving scenes would be laid out."""
+def stage_as_files(df: DataFrame, order: str, batches: int = 4) -> tuple[str, int]:
+    """Write a bounded table as files in time order, as arriving scenes would be laid out.
+
+    As many files as the session shuffles into; returns the folder and the files of one micro-batch.
+    """
     path = new_work_path(df.sparkSession, "arrivals")
+    n_files = max(batches, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df.repartitionByRange(n_files, order).write.parquet(path)
-    return path
+    return path, -(-n_files // batches)

@@ -37,20 +37,79 @@ def panel(spark):
     return pd.DataFrame(rows, columns=["pid", "epoch", "age", "y"])
 
 
-@pytest.mark.parametrize("small_group", [0, 10**6])
-def test_exact_quantiles(spark, small_group):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(3)
     g = rng.choice(["a", "b", "c"], 4000, p=[0.7, 0.299, 0.001])
     v = np.where(rng.random(4000) < 0.33, 1.5, rng.normal(size=4000).round(3))  # one value holds a third of the rows
     pdf = pd.DataFrame({"g": g, "v": v})
     probs = [0.0, 0.025, 0.5, 0.9, 1.0]
     df = spark.createDataFrame(pdf)
-    got = qt.exact_quantiles(df, ["g"], "v", probs, list("abcde"), count="n", small_group=small_group).toPandas().set_index("g")
+    got = qt.exact_quantiles(df, ["g"], "v", probs, list("abcde"), count="n").toPandas().set_index("g")
     for key, part in pdf.groupby("g"):
         assert got.loc[key, "n"] == len(part)
         np.testing.assert_allclose(got.loc[key, list("abcde")].astype(float), np.quantile(part.v, probs), atol=1e-12)
-    whole = qt.exact_quantiles(df, [], "v", probs, list("abcde"), small_group=small_group).toPandas()
+    whole = qt.exact_quantiles(df, [], "v", probs, list("abcde")).toPandas()
     np.testing.assert_allclose(whole.iloc[0].astype(float), np.quantile(pdf.v, probs), atol=1e-12)
+    small = qt.small_quantiles(df, ["g"], "v", probs, list("abcde"), count="n").toPandas().set_index("g")
+    np.testing.assert_allclose(small.loc[got.index, list("abcde")].astype(float), got[list("abcde")].astype(float), atol=1e-12)
+    assert qt.exact_quantiles(df, ["g"], "v", probs, list("abcde"), min_n=100).count() == 2
+
+
+def test_quantiles_of_a_wide_group(spark):
+    df = spark.range(1_000_000).select(((F.col("id") * 611953) % 1_000_003 / 7).alias("v"))
+    got = qt.exact_quantiles(df, [], "v", [0.1, 0.5, 0.999], list("abc")).first()
+    np.testing.assert_allclose(list(got), np.quantile(df.toPandas().v, [0.1, 0.5, 0.999]))
+
+
+def test_numbers_and_samples_with_nulls_and_ties(spark):
+    df = spark.createDataFrame([(i % 50, None if i % 3 == 0 else f"n{i % 7}") for i in range(2050)], "a int, b string")
+    keys = df.distinct()
+    got = rk.global_row_number(keys, ["a", "b"], "n").collect()
+    assert sorted(r.n for r in got) == list(range(1, keys.count() + 1))
+    tied = spark.createDataFrame([(i // 10, i) for i in range(500)], "k int, i int")
+    assert rk.every_nth(tied, ["k"], 7).count() == 72
+
+
+def test_unlisted_period_is_an_error(spark):
+    from regrowth.operators import fixed_effects as fe
+    from regrowth.operators import reshape as rs
+
+    df = spark.createDataFrame([(1, "p1", 1.0, 2.0), (1, "p2", 2.0, 1.0), (1, "p9", 2.0, 3.0), (2, "p1", 1.0, 1.0)], "u int, p string, y double, x double")
+    for plan in (fe.two_way(df, "u", "p", "y", "x", ["p1", "p2"]), fe.two_way_demean(df, "u", "p", ["y", "x"], ["p1", "p2"]), rs.long_to_wide(df, ["u"], "p", ["p1", "p2"], ["y"])):
+        with pytest.raises(Exception, match="period not listed"):
+            plan.collect()
+
+
+def test_offset_fit_holds_the_bound(spark):
+    from regrowth.operators import fitting as ft
+
+    rows = [(g, 0.5 + i, amp * math.exp(-(0.5 + i) / 4) + off, 0.1, 50) for g, amp, off in (("in", 3.0, 0.5), ("out", 60.0, 1.0)) for i in range(12)]
+    bins = spark.createDataFrame(rows, "g string, centre double, mean double, se double, n long")
+    got = {r.g: r for r in ft.offset_fit(bins, ["g"]).collect()}
+    assert got["in"].amp == pytest.approx(3, abs=0.05) and not got["in"].on_bound
+    assert got["out"].amp == pytest.approx(25) and got["out"].on_bound and abs(got["out"].offset) <= 10
+
+
+def test_tolerance_sums_and_gradient_tiles(spark):
+    from regrowth.operators import matching as mt
+    from regrowth.operators import spatial as sp
+
+    rng = np.random.default_rng(5)
+    a = pd.DataFrame({"i": range(60), "k": rng.integers(0, 3, 60), "v": rng.uniform(-900, 900, 60).round(2)})
+    b = pd.DataFrame({"k": rng.integers(0, 3, 400), "w": np.append(rng.uniform(-900, 900, 399).round(2), a.v[0] + 100)})
+    got = {r.i: (r.n, round(r.total, 4)) for r in mt.tolerance_sums(spark.createDataFrame(a), spark.createDataFrame(b), ["k"], "i", "v", "w", 100.0).collect()}
+    for r in a.itertuples():
+        near = b[(b.k == r.k) & ((b.w - r.v).abs() <= 100)]
+        assert got.get(r.i, (0, 0.0)) == (len(near), round(float(near.w.sum()), 4))
+    grid = pd.DataFrame([(r, c, math.sin(r / 3) * c) for r in range(4) for c in range(600) if (r, c) != (1, 300)], columns=["row", "col", "z"])
+    out = sp.terrain_gradient(spark.createDataFrame(grid), "z", 30.0).toPandas()
+    assert len(out) == len(grid)
+    z = {(r.row, r.col): r.z for r in grid.itertuples()}
+    for r in out.sample(300, random_state=1).itertuples():
+        def d(da, db):
+            lo, hi = z.get((r.row - da, r.col - db)), z.get((r.row + da, r.col + db))
+            return ((hi - lo) / 2 if lo is not None and hi is not None else hi - r.z if hi is not None else r.z - lo if lo is not None else math.nan) / 30
+        assert r.slope_deg == pytest.approx(math.degrees(math.atan(math.hypot(d(0, 1), d(1, 0)))))
 
 
 def test_global_row_number_and_samples(spark):
@@ -265,6 +324,8 @@ def test_merge_replace_fingerprint(spark):
     a = tb.fingerprint(old, "t").first()
     assert a == tb.fingerprint(old.orderBy(F.desc("key")).repartition(3), "t").first()
     assert a.checksum != tb.fingerprint(new, "t").first().checksum
+    one, two = (tb.fingerprint(old.unionAll(spark.createDataFrame([x, x], old.schema)), "t").first() for x in (("c", 1), ("d", 4)))
+    assert one.checksum == two.checksum and one.total != two.total  # equal rows cancel in one and not in the other
 
 
 def test_result_diff_tolerance(spark):
@@ -298,7 +359,8 @@ def test_streamed_sums_equal_batch(spark):
 
     rows = [(i, f"2024-01-{1 + i % 20:02d} 00:00:00", i % 5, float(i)) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, t string, cell int, value double").select("id", F.to_timestamp("t").alias("ts"), "cell", "value")
-    stream = st.read_scene_stream(spark, st.stage_as_files(df, 5, "ts"), df.schema)
+    path, per_batch = st.stage_as_files(df, "ts", 5)
+    stream = st.read_scene_stream(spark, path, df.schema, per_batch)
     doubled = stream.union(stream)  # every record arrives twice
     sums = st.running_sums(doubled, ["cell"], "value", id_column="id")
     got = st.latest_state(spark, st.run_to_table(sums, "test-sums"), ["cell"]).toPandas().set_index("cell").sort_index()
