@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 from regrowth.functions.draws import poisson_count, uniform
 from regrowth.operators.ranking import hashed_rank
 
+#: Replicates of the method's intervals by what they are for; every query takes its number from here.
+REPLICATES = {"clocks": 300, "strata": 120, "event": 400, "within": 400, "bins": 200}
+
 
 def replicate_weights(units: DataFrame, unit: str, n_boot: int, seed: str, scheme: str = "multinomial") -> DataFrame:
     """(unit, rep, w) with w > 0 for each unit of ``units`` (distinct, one column)."""

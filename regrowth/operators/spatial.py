@@ -227,6 +227,12 @@ def first_valid(frames: list[DataFrame], value: str) -> DataFrame:
     return stacked.groupBy("row", "col").agg(F.min_by(value, "_rank").alias(value))
 
 
+def largest_valid(frames: list[DataFrame], value: str) -> DataFrame:
+    """Mosaic: the largest value that any frame has at a cell."""
+    stacked = reduce(DataFrame.unionByName, [f.select("row", "col", value) for f in frames])
+    return stacked.where(F.col(value).isNotNull()).groupBy("row", "col").agg(F.max(value).alias(value))
+
+
 def majority_code(px: DataFrame, unit: str, code: str) -> DataFrame:
     """Most frequent code per unit, the smallest on a tie; codes are counted before anything is compared."""
     counts = px.groupBy(unit, code).agg(F.count(F.lit(1)).alias("_n"))

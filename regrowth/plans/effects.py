@@ -70,7 +70,7 @@ def _(spark, sf):
 
 # ---------------- event study ----------------
 
-B = 60
+B = bt.REPLICATES["event"]
 ES = NET.replace("FROM lp WHERE is_pre", "FROM lp WHERE is_pre AND clean AND src = 'event'") + ", es AS (SELECT * FROM net WHERE k BETWEEN -7 AND 13 AND k <> -1)"
 KG = ", kg AS (SELECT k FROM es GROUP BY 1 HAVING count(*) >= 25), ek AS (SELECT * FROM es WHERE k IN (SELECT k FROM kg)), su AS (SELECT pid, k, count(*) AS n, sum(beta) AS s FROM ek GROUP BY 1, 2),\n"
 REPS = multinomial_sql("SELECT DISTINCT pid FROM es", "pid", B, "e") + ", rp AS (SELECT rep, k, sum(w * s) / sum(w * n) AS beta FROM su JOIN wt USING (pid) GROUP BY 1, 2), pt AS (SELECT k, count(*) AS n, avg(beta) AS beta FROM ek GROUP BY 1)"
@@ -86,29 +86,6 @@ def _(spark, sf):
     return es.curve(es_rows(spark, sf), "pid", [], B, "e")
 
 
-@query(
-    "event_study_by_cohort",
-    L + ES + ", ky AS (SELECT year, k FROM es GROUP BY 1, 2 HAVING count(*) >= 10), big AS (SELECT year FROM es GROUP BY 1 HAVING count(DISTINCT pid) >= 20), ek AS (SELECT es.* FROM es JOIN ky USING (year, k) WHERE year IN (SELECT year FROM big))"
-    + f" SELECT year, k, {n('count(*)', 'n')}, {r('avg(beta)', 'beta')} FROM ek GROUP BY 1, 2",
-)
-def _(spark, sf):
-    rows = es_rows(spark, sf)
-    big = rows.groupBy("year").agg(F.count_distinct("pid").alias("u")).where(F.col("u") >= 20)
-    rows = rows.join(big, "year", "left_semi")
-    return es.curve(rows, "pid", ["year"], 20, "y", min_n=10).select("year", "k", "n", "beta")
-
-
-@query(
-    "event_study_by_agent",
-    L + ES + ", au AS (SELECT agent FROM es WHERE agent <> '' GROUP BY 1 HAVING count(DISTINCT pid) >= 20), ka AS (SELECT agent, k FROM es GROUP BY 1, 2 HAVING count(*) >= 10) SELECT agent, k, "
-    + f"{n('count(*)', 'n')}, {r('avg(beta)', 'beta')} FROM es JOIN ka USING (agent, k) WHERE agent IN (SELECT agent FROM au) GROUP BY 1, 2",
-)
-def _(spark, sf):
-    rows = ag.named_groups(es_rows(spark, sf), "agent")
-    big = rows.groupBy("agent").agg(F.count_distinct("pid").alias("u")).where(F.col("u") >= 20)
-    return es.curve(rows.join(big, "agent", "left_semi"), "pid", ["agent"], 20, "a", min_n=10).select("agent", "k", "n", "beta")
-
-
 def es_points_and_reps(spark, sf):
     sums = es.event_time_sums(es_rows(spark, sf), "pid", [])
     return es.points_by_k(sums, "pid", []), es.replicate_curve(sums, "pid", [], B, "e", 25)
@@ -177,14 +154,16 @@ def _(spark, sf):
 @query(
     "pretrend_slopes_ci",
     L + ES + KG + REPS + ", " + terms_sql("rp", "rep")
-    + f" SELECT {n('count(*)', 'n_boot')}, {r('quantile_cont(slope_ref, 0.025)', 'slope_lo')}, {r('quantile_cont(slope_ref, 0.975)', 'slope_hi')}, {r('quantile_cont(max_step, 0.025)', 'step_lo')}, {r('quantile_cont(max_step, 0.975)', 'step_hi')}, {r('quantile_cont(jump1 - slope_ref * (k1 + 1), 0.025)', 'adj_lo')}, {r('quantile_cont(jump1 - slope_ref * (k1 + 1), 0.975)', 'adj_hi')} FROM sl JOIN fl USING (rep) JOIN sp USING (rep)",
+    + f" SELECT {n('count(*)', 'n_boot')}, {r('quantile_cont(slope_ref, 0.025)', 'slope_lo')}, {r('quantile_cont(slope_ref, 0.975)', 'slope_hi')}, {r('quantile_cont(max_step, 0.025)', 'step_lo')}, {r('quantile_cont(max_step, 0.975)', 'step_hi')}, {r('quantile_cont(jump1 - slope_ref * (k1 + 1), 0.025)', 'adj_lo')}, {r('quantile_cont(jump1 - slope_ref * (k1 + 1), 0.975)', 'adj_hi')}, {r('quantile_cont(slope_free, 0.025)', 'free_lo')}, {r('quantile_cont(slope_free, 0.975)', 'free_hi')}, {r('quantile_cont(jump1 - slope_free * (k1 + 1), 0.025)', 'adj_free_lo')}, {r('quantile_cont(jump1 - slope_free * (k1 + 1), 0.975)', 'adj_free_hi')}, {r('avg(CASE WHEN jump1 - slope_ref * (k1 + 1) > 0 THEN 1.0 ELSE 0.0 END)', 'p_gt0')} FROM sl JOIN fl USING (rep) JOIN sp USING (rep)",
 )
 def _(spark, sf):
     t = es.pretrend_terms(es_points_and_reps(spark, sf)[1], ["rep"])
     q = lambda x, p, name: F.percentile(x, F.lit(p)).alias(name)
     return t.agg(
         F.count(F.lit(1)).alias("n_boot"), q("slope_ref", 0.025, "slope_lo"), q("slope_ref", 0.975, "slope_hi"), q("max_step", 0.025, "step_lo"),
-        q("max_step", 0.975, "step_hi"), q("adjusted_ref", 0.025, "adj_lo"), q("adjusted_ref", 0.975, "adj_hi"),
+        q("max_step", 0.975, "step_hi"), q("adjusted_ref", 0.025, "adj_lo"), q("adjusted_ref", 0.975, "adj_hi"), q("slope_free", 0.025, "free_lo"),
+        q("slope_free", 0.975, "free_hi"), q("adjusted_free", 0.025, "adj_free_lo"), q("adjusted_free", 0.975, "adj_free_hi"),
+        F.avg(F.when(F.col("adjusted_ref") > 0, 1.0).otherwise(0.0)).alias("p_gt0"),
     )
 
 
@@ -243,12 +222,12 @@ def _(spark, sf):
 
 @query(
     "fe_bootstrap",
-    L + FE + SHAPE + ", us AS (SELECT pid, sum(yw * gw) AS sxy, sum(gw * gw) AS sxx FROM dm GROUP BY 1),\n" + multinomial_sql("SELECT DISTINCT pid FROM us", "pid", 100, "f")
+    L + FE + SHAPE + ", us AS (SELECT pid, sum(yw * gw) AS sxy, sum(gw * gw) AS sxx FROM dm GROUP BY 1),\n" + multinomial_sql("SELECT DISTINCT pid FROM us", "pid", bt.REPLICATES["within"], "f")
     + f", rp AS (SELECT rep, sum(w * sxy) / sum(w * sxx) AS beta FROM us JOIN wt USING (pid) GROUP BY 1) SELECT {n('count(*)', 'n_boot')}, {r('(SELECT sum(sxy) / sum(sxx) FROM us)', 'beta')}, {r('(SELECT sum(sxy) / sum(sxx) FROM us) / 3.0', 'frac')}, {r('quantile_cont(beta, 0.025)', 'lo')}, {r('quantile_cont(beta, 0.975)', 'hi')}, {r('avg(CASE WHEN beta > 0 THEN 1.0 ELSE 0.0 END)', 'p_gt0')} FROM rp",
 )
 def _(spark, sf):
     sums = materialise(fe.unit_cross_sums(fe_rows(spark, sf), "pid", "dlst", "shape"), "within-sums")
-    w = bt.replicate_weights(sums.select("pid"), "pid", 100, "f")
+    w = bt.replicate_weights(sums.select("pid"), "pid", bt.REPLICATES["within"], "f")
     reps = sums.join(w, "pid").groupBy("rep").agg((F.sum(F.col("w") * F.col("sxy")) / F.sum(F.col("w") * F.col("sxx"))).alias("beta"))
     band = bt.interval(reps, [], "beta").select("n_boot", "lo", "hi", F.col("p_gt").alias("p_gt0"))
     beta = fe.within_slope(sums).select("beta").scalar()
@@ -296,14 +275,14 @@ def _(spark, sf):
 
 @query(
     "ols_dummies_ci",
-    L + EV + HARSH + ", us AS (SELECT pid, ab, count(*) AS n, sum(dlst) AS sy, sum(harsh) AS sx, sum(harsh * dlst) AS sxy, sum(harsh * harsh) AS sxx FROM hd GROUP BY 1, 2),\n" + poisson_sql("SELECT DISTINCT pid FROM us", "pid", 60, "h")
+    L + EV + HARSH + ", us AS (SELECT pid, ab, count(*) AS n, sum(dlst) AS sy, sum(harsh) AS sx, sum(harsh * dlst) AS sxy, sum(harsh * harsh) AS sxx FROM hd GROUP BY 1, 2),\n" + poisson_sql("SELECT DISTINCT pid FROM us", "pid", bt.REPLICATES["bins"], "h")
     + f", cl AS (SELECT rep, ab, sum(w * n) AS n, sum(w * sy) AS sy, sum(w * sx) AS sx, sum(w * sxy) AS sxy, sum(w * sxx) AS sxx FROM us JOIN wt USING (pid) GROUP BY 1, 2), rp AS (SELECT rep, sum(sxy - sx * sy / n) / sum(sxx - sx * sx / n) AS beta FROM cl GROUP BY 1) SELECT {n('count(*)', 'n_boot')}, {r('avg(beta)', 'boot_mean', 5)}, {r('quantile_cont(beta, 0.025)', 'lo', 5)}, {r('quantile_cont(beta, 0.975)', 'hi', 5)} FROM rp",
     5,
 )
 def _(spark, sf):
     rows = harsh_rows(spark, sf)
     sums = materialise(fe.cross_sums(rows, "pid", "ab", "dlst", "harsh"), "bin-sums")
-    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", 60, "h", "poisson")
+    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", bt.REPLICATES["bins"], "h", "poisson")
     return bt.interval(fe.bootstrap_slope_given_bins(sums, w, "pid", "ab"), [], "beta").drop("p_gt")
 
 
@@ -346,10 +325,13 @@ def _(spark, sf):
     return rg.window_contrast(sliced(spark, sf), ["slice"], "chm", "lst", 20.0, 25.0, 30.0, 50, ddof=1)
 
 
+P_SQL = "(SELECT 2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi()) * sum(h / 3 * (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * power(greatest(cos(a0 + i * h), 0), n - 3)) FROM (SELECT atan(abs(t) / sqrt(n - 2.0)) AS a0, (pi() / 2 - atan(abs(t) / sqrt(n - 2.0))) / 2000 AS h), (SELECT unnest(range(0, 2001)) AS i))"
+
+
 @query(
     "slice_sensitivity",
     P + SLICED + ",\n" + sweep_sql("gs", "slice", "lst", XS, "rs", "chm") + ",\n" + sweep_sql("gs", "slice", "lst", [*XS, "elev"], "re", "chm")
-    + f", w AS (SELECT 'without' AS model, * FROM ({CONTRAST.format(src='rs')}) UNION ALL SELECT 'with_elev', * FROM ({CONTRAST.format(src='re')})) SELECT model, {n('count(*)', 'n')}, {r('sum(slope / (se * se)) / sum(1 / (se * se))', 'pooled')}, {r('sqrt(1 / sum(1 / (se * se)))', 'pooled_se')}, {r('regr_slope(slope, slice * 250 + 125) * 1000', 'trend')} FROM w GROUP BY 1",
+    + f", w AS (SELECT 'without' AS model, * FROM ({CONTRAST.format(src='rs')}) UNION ALL SELECT 'with_elev', * FROM ({CONTRAST.format(src='re')})), pm AS (SELECT model, sum(slope / (se * se)) / sum(1 / (se * se)) AS pm FROM w GROUP BY 1), t0 AS (SELECT model, count(*) AS n, corr(slope, slice * 250 + 125) AS r FROM w GROUP BY 1), t AS (SELECT model, n, r * sqrt((n - 2) / (1 - r * r)) AS t FROM t0), tp AS (SELECT model, {P_SQL} AS tp FROM t) SELECT model, {n('count(*)', 'n')}, {r('sum(slope / (se * se)) / sum(1 / (se * se))', 'pooled')}, {r('sqrt(1 / sum(1 / (se * se)))', 'pooled_se')}, {r('regr_slope(slope, slice * 250 + 125) * 1000', 'trend')}, {r('sum(power(slope - pm, 2) / (se * se))', 'cochran_q')}, {r('any_value(tp)', 'trend_p')} FROM w JOIN pm USING (model) JOIN tp USING (model) GROUP BY 1",
 )
 def _(spark, sf):
     rows = sliced(spark, sf)
@@ -360,8 +342,12 @@ def _(spark, sf):
     both = rk.union_all(out)
     pooled = ag.pooled_by_variance(both, ["model"], "slope", "se").select("model", "n", "pooled", "pooled_se")
     mid = (F.col("slice") * 250 + 125).cast("double")
-    trend = both.groupBy("model").agg((F.regr_slope(F.col("slope"), mid) * 1000).alias("trend"))
-    return pooled.join(trend, "model")
+    trend = rg.slope_with_se(both.withColumn("mid", mid), ["model"], "mid", "slope")
+    trend = trend.select("model", (F.col("slope") * 1000).alias("trend"), F.col("p").alias("trend_p"))
+    # spread of the slices about their pooled value: Q = sum of w v^2 - (sum of w v)^2 / sum of w
+    w, v = 1 / (F.col("se") * F.col("se")), F.col("slope")
+    spread = both.groupBy("model").agg((F.sum(w * v * v) - F.sum(w * v) * F.sum(w * v) / F.sum(w)).alias("cochran_q"))
+    return pooled.join(trend, "model").join(spread, "model")
 
 
 ANOM = ", md AS (SELECT slice, median(res) AS m FROM rs WHERE chm >= 24 AND chm < 26 GROUP BY 1), an AS (SELECT rs.*, res - m AS anom FROM rs JOIN md USING (slice))"
@@ -399,8 +385,6 @@ def _(spark, sf):
     return g.select("height", ((F.col("hi") - F.col("lo")) / 6 * 10).alias("slope"))
 
 
-P_SQL = "(SELECT 2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi()) * sum(h / 3 * (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * power(greatest(cos(a0 + i * h), 0), n - 3)) FROM (SELECT atan(abs(t) / sqrt(n - 2.0)) AS a0, (pi() / 2 - atan(abs(t) / sqrt(n - 2.0))) / 2000 AS h), (SELECT unnest(range(0, 2001)) AS i))"
-
 
 @query(
     "linregress_se_p",

@@ -87,7 +87,7 @@ def _(spark, sf):
 
 # ---------------- bootstrap ----------------
 
-BOOT = 40
+BOOT = bt.REPLICATES["clocks"]
 UNIT_SUMS = ", " + MELT.replace("FROM post", "FROM ev") + ", us AS (SELECT pid, measure, bin, count(*) AS n, sum(y) AS s1, sum(y * y) AS s2 FROM ml GROUP BY ALL)"
 
 
@@ -156,14 +156,14 @@ def _(spark, sf):
 @query(
     "strata_bootstrap",
     L + ", " + MELT + f", st AS ({strata_sql('ml')}), us AS (SELECT pid, stratum, measure, bin, count(*) AS n, sum(y) AS s1, sum(y * y) AS s2 FROM st GROUP BY ALL),\n"
-    + poisson_sql("SELECT DISTINCT pid FROM post", "pid", 21, "s") + ",\n" + fit_sql(boot_bins("stratum, measure, bin"), "rep, stratum, measure", "f") + f" SELECT stratum, measure, {BAND} FROM f GROUP BY 1, 2 HAVING count(tau) > 20",
+    + poisson_sql("SELECT DISTINCT pid FROM post", "pid", bt.REPLICATES["strata"], "s") + ",\n" + fit_sql(boot_bins("stratum, measure, bin"), "rep, stratum, measure", "f") + f" SELECT stratum, measure, {BAND} FROM f GROUP BY 1, 2 HAVING count(tau) > 20",
     2,
 )
 def _(spark, sf):
     p = fx.post_panel(spark, sf)
     rows = bn.long_measures(bn.strata_rows(p.withColumn("bin", bn.age_bin()), usual_strata()), ["dlst", "dndvi"])
     sums = materialise(bt.unit_sums(rows, "pid", ["stratum", "measure", "bin"], "y"), "stratum-sums")
-    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", 21, "s", "poisson")
+    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", bt.REPLICATES["strata"], "s", "poisson")
     cells = bt.weighted_cells(sums, w, "pid", ["stratum", "measure", "bin"]).withColumn("centre", bn.bin_centre())
     return bt.interval(ft.fit_bins(cells, ["rep", "stratum", "measure"]), ["stratum", "measure"], "tau", least=21).drop("p_gt")
 
@@ -264,13 +264,13 @@ def wide_remaining(shares, keys):
 @query(
     "remaining_curve_ci",
     L + EV + ", " + MELT.replace("FROM post WHERE", "FROM ev WHERE dlst IS NOT NULL AND dndvi IS NOT NULL AND") + ", us AS (SELECT pid, measure, CAST(floor(age - 0.6::DOUBLE) AS BIGINT) AS bin, count(*) AS n, sum(y) AS s1, sum(y * y) AS s2 FROM ml GROUP BY ALL),\n"
-    + poisson_sql("SELECT DISTINCT pid FROM us", "pid", 120, "r") + f", cb AS (SELECT * FROM {cell_sql('measure, bin')} WHERE n >= 12), z AS (SELECT rep, cb.measure, cb.bin, cb.mean / f.mean AS rem FROM cb JOIN cb f USING (rep, measure) WHERE f.bin = 0), w AS (SELECT rep, bin, max(rem) FILTER (measure = 'dlst') - max(rem) FILTER (measure = 'dndvi') AS gap FROM z GROUP BY 1, 2) SELECT {n('bin', 'bin')}, {n('count(gap)', 'n_boot')}, {r('avg(gap)', 'boot_mean', 5)}, {r('quantile_cont(gap, 0.025)', 'lo', 5)}, {r('quantile_cont(gap, 0.975)', 'hi', 5)}, {r('avg(CASE WHEN gap > 0 THEN 1.0 ELSE 0.0 END)', 'p_gt', 5)} FROM w WHERE gap IS NOT NULL GROUP BY 1 HAVING count(gap) >= 100",
+    + poisson_sql("SELECT DISTINCT pid FROM us", "pid", bt.REPLICATES["event"], "r") + f", cb AS (SELECT * FROM {cell_sql('measure, bin')} WHERE n >= 12), z AS (SELECT rep, cb.measure, cb.bin, cb.mean / f.mean AS rem FROM cb JOIN cb f USING (rep, measure) WHERE f.bin = 0), w AS (SELECT rep, bin, max(rem) FILTER (measure = 'dlst') - max(rem) FILTER (measure = 'dndvi') AS gap FROM z GROUP BY 1, 2) SELECT {n('bin', 'bin')}, {n('count(gap)', 'n_boot')}, {r('avg(gap)', 'boot_mean', 5)}, {r('quantile_cont(gap, 0.025)', 'lo', 5)}, {r('quantile_cont(gap, 0.975)', 'hi', 5)}, {r('avg(CASE WHEN gap > 0 THEN 1.0 ELSE 0.0 END)', 'p_gt', 5)} FROM w WHERE gap IS NOT NULL GROUP BY 1 HAVING count(gap) >= 100",
     5,
 )
 def _(spark, sf):
     rows = paired_rows(spark, sf)
     sums = materialise(bt.unit_sums(bn.long_measures(rows, ["dlst", "dndvi"]), "pid", ["measure", "bin"], "y"), "paired-sums")
-    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", 120, "r", "poisson")
+    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", bt.REPLICATES["event"], "r", "poisson")
     cells = bt.weighted_cells(sums, w, "pid", ["measure", "bin"])
     gaps = wide_remaining(ft.share_of_first(cells, ["rep", "measure"]), ["rep", "bin"])
     return bt.interval(gaps, ["bin"], "gap", least=100)
