@@ -93,8 +93,8 @@ def _index(benchmark: DataFrame) -> DataFrame:
 
 
 def _filter(index: DataFrame) -> np.ndarray:
-    """The bitmap of the benchmark's hashes, as bytes; each task sends its set words, which Spark combines."""
-    low = index.select((F.shiftrightunsigned(F.col("hash"), 40)).alias("bit"))
+    """The bitmap of the benchmark's hashes, two bits for each; each task sends its set words, which Spark combines."""
+    low = index.select(F.explode(F.array(F.shiftrightunsigned("hash", 40), F.shiftrightunsigned("hash", 12).bitwiseAND(F.lit(FILTER_BITS - 1)))).alias("bit"))
     words = low.groupBy(F.shiftrightunsigned("bit", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("v"))
     out = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
     got = words.toArrow()  # at most FILTER_BITS / 64 rows
@@ -102,6 +102,10 @@ def _filter(index: DataFrame) -> np.ndarray:
     return out
 
 
+def _is_set(bits: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    return ((bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def stretches(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """doc_id, at (first word kept), words, hits (hash, pos) of each run of windows that pass the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -118,8 +122,8 @@ def stretches(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 tokens = token_hashes(words)
                 found = []
                 for h in seed_hashes(tokens):
-                    spot = (h >> np.uint64(40)).astype(np.int64)
-                    ok = np.flatnonzero((bits[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1))
+                    ok = np.flatnonzero(_is_set(bits, h >> np.uint64(40)))
+                    ok = ok[_is_set(bits, (h[ok] >> np.uint64(12)) & np.uint64(FILTER_BITS - 1))]
                     found.append((ok, h[ok].view(np.int64)))
                 pos = np.concatenate([p for p, _ in found])
                 if not len(pos):
