@@ -13,6 +13,14 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
 #: On the smallest tables these have no unit that passes the gates; their SQL then gives a row of NULLs where Spark gives none.
 THIN = {"pretrend_wald", "pretrend_wald_p", "pretrend_slopes", "id_set_breakdown"}
+#: Run by default; REGROWTH_ALL_QUERIES=1 runs every query.
+SAMPLE = {
+    "scan_parquet", "scan_json_dim", "fingerprint", "wide_to_long", "event_date_resolve", "surrogate_key", "code_assign", "overlapping_strata",
+    "quantiles", "composite_median", "unit_minus_control", "calibration_chain", "tolerance_match", "grid_gradient", "connected_components",
+    "did_pooled", "multinomial_weights", "recovery_fit", "offset_fit", "severity_match_ci", "era_profile", "tau_ratio_ci", "fe_two_way",
+    "maximum_mosaic", "stream_composite", "stream_accumulate_units", "table_diff", "uniform_sample", "every_seventh",
+}
+NAMES = sorted((set(ORACLES) if os.environ.get("REGROWTH_ALL_QUERIES") else SAMPLE) - THIN)
 
 
 @pytest.fixture(scope="module")
@@ -29,12 +37,20 @@ def plain(rows, names):
     return sorted((tuple(fix(r[i]) for i in order) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - THIN))
+def same(a, b) -> bool:
+    """Equal, but for a last digit that rounds either way."""
+    coarse = lambda row: [str(round(v, 2) if isinstance(v, float) else v) for v in row]
+    near = lambda x, y: x == y or (isinstance(x, float) and isinstance(y, float) and abs(x - y) <= 2e-6 * max(1, abs(x)))
+    return len(a) == len(b) and all(all(map(near, x, y)) for x, y in zip(sorted(a, key=coarse), sorted(b, key=coarse)))
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     rel = duck.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(rel.columns)
-    assert plain([tuple(r) for r in df.collect()], df.columns) == plain(rel.fetchall(), rel.columns)
+    got, want = plain([tuple(r) for r in df.collect()], df.columns), plain(rel.fetchall(), rel.columns)
+    assert got == want or same(got, want)
 
 
 def test_contract(spark):
@@ -44,7 +60,7 @@ def test_contract(spark):
     assert {"tau", "amp"} <= set(out.columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"gbt_model", "partial_dependence", "counterfactual"}))
+@pytest.mark.parametrize("name", NAMES)
 def test_plans_without_pairs_of_everything(spark, name):
     """No cartesian product, and no nested loop but with one row on a side (a whole-table number)."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
