@@ -11,32 +11,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from regrowth.llm import chunked_bpe, decontaminate, language_id, pii, simhash
-from regrowth.llm.common import table
+from regrowth.llm.common import ship, table
 from regrowth.session import materialise
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that the classifier knows go."""
+    ship(spark)
     return language_id.keep_identified(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component the document with the smallest id stays."""
+    ship(spark)
     return simhash.keep_one(docs, simhash.near_duplicates(docs))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a verified overlap with a benchmark item go."""
+    ship(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become the name of their kind; n_chars follows."""
+    ship(spark)
     return pii.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, their digests, and the digest of the decoded bytes."""
+    ship(spark)
     return chunked_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -15,7 +18,22 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACE = r"[\x20\x09-\x0D]"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once for a context: their Python workers import it."""
+    context = spark.sparkContext
+    if getattr(context, "_regrowth_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / "regrowth.zip"  # read by the driver only, which serves it
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._regrowth_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
