@@ -4,8 +4,8 @@ Drawing units with replacement equals giving each unit a count, so a replicate i
 sums and rows are never duplicated. Two schemes:
 
 * multinomial: N draws out of N units per replicate, counts add up to N (needs N*B draw rows);
-* poisson: an independent Poisson(1) count per unit and replicate, computed in place, no shuffle before
-  the sums. Use it when N*B is too large to shuffle.
+* poisson: an independent Poisson(1) count per unit and replicate, drawn in place (``poisson_cells``): one exchange of
+  the unit sums by unit, one of the replicates' sums. Use it when N*B is too large to shuffle.
 
 Draws come from md5 of the keys, so results do not depend on partitioning or retries.
 """
@@ -21,14 +21,19 @@ from regrowth.operators.ranking import hashed_rank
 REPLICATES = {"clocks": 300, "strata": 120, "event": 400, "within": 400, "bins": 200}
 
 
+def _poisson_draws(unit: str, n_boot: int, seed: str):
+    """Array of (rep, w) with w > 0. Draw first, count second: each draw is evaluated once."""
+    reps = F.sequence(F.lit(1), F.lit(n_boot))
+    draws = F.transform(reps, lambda rep: F.struct(rep.alias("rep"), uniform(F.lit(seed), F.col(unit), rep).alias("u")))
+    counts = F.transform(draws, lambda d: F.struct(d["rep"].alias("rep"), poisson_count(d["u"]).alias("w")))
+    return F.filter(counts, lambda c: c["w"] > 0)
+
+
 def replicate_weights(units: DataFrame, unit: str, n_boot: int, seed: str, scheme: str = "multinomial") -> DataFrame:
     """(unit, rep, w) with w > 0 for each unit of ``units`` (distinct, one column)."""
     reps = F.sequence(F.lit(1), F.lit(n_boot))
     if scheme == "poisson":
-        # draw first, count second: each draw is evaluated once
-        draws = F.transform(reps, lambda rep: F.struct(rep.alias("rep"), uniform(F.lit(seed), F.col(unit), rep).alias("u")))
-        counts = F.transform(draws, lambda d: F.struct(d["rep"].alias("rep"), poisson_count(d["u"]).alias("w")))
-        return units.select(unit).select(unit, F.inline(F.filter(counts, lambda c: c["w"] > 0)))
+        return units.select(unit).select(unit, F.inline(_poisson_draws(unit, n_boot, seed)))
     ranked = hashed_rank(units.select(unit), unit, "_rank", "_total")
     draws = ranked.withColumn("rep", F.explode(reps)).withColumn("_pick", F.floor(uniform(F.lit(seed), "_rank", "rep") * F.col("_total")))
     counts = draws.groupBy("rep", "_pick").agg(F.count(F.lit(1)).alias("w"))
@@ -45,13 +50,11 @@ def unit_sums(df: DataFrame, unit: str, keys: list[str], value: str) -> DataFram
     )
 
 
-def weighted_cells(sums: DataFrame, weights: DataFrame, unit: str, keys: list[str]) -> DataFrame:
-    """Per (rep, cell): n, mean and SE that duplicated rows would give."""
+def _replicate_means(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per (rep, cell): n, mean and SE that duplicated rows would give; weights are combined before the shuffle."""
     w = F.col("w")
-    agg = (
-        sums.join(weights, unit)
-        .groupBy("rep", *keys)
-        .agg(F.sum(w * F.col("n")).alias("n"), F.sum(w * F.col("s1")).alias("_s1"), F.sum(w * F.col("s2")).alias("_s2"))
+    agg = rows.groupBy("rep", *keys).agg(
+        F.sum(w * F.col("n")).alias("n"), F.sum(w * F.col("s1")).alias("_s1"), F.sum(w * F.col("s2")).alias("_s2")
     )
     mean = F.col("_s1") / F.col("n")
     var = (F.col("_s2") - F.col("n") * mean * mean) / (F.col("n") - 1)
@@ -62,6 +65,22 @@ def weighted_cells(sums: DataFrame, weights: DataFrame, unit: str, keys: list[st
     )
 
 
+def weighted_cells(sums: DataFrame, weights: DataFrame, unit: str, keys: list[str]) -> DataFrame:
+    """Replicate means with weights from a table."""
+    return _replicate_means(sums.join(weights, unit), keys)
+
+
+def poisson_cells(sums: DataFrame, unit: str, keys: list[str], n_boot: int, seed: str) -> DataFrame:
+    """Replicate means with Poisson weights drawn in place.
+
+    A unit's few cells meet in one row, its weights are drawn there once, and every cell takes part in the replicates that drew
+    the unit: one exchange by unit, no weight table and no join.
+    """
+    cells = sums.groupBy(unit).agg(F.collect_list(F.struct(*keys, "n", "s1", "s2")).alias("_cells"))
+    drawn = cells.select("_cells", F.explode(_poisson_draws(unit, n_boot, seed)).alias("_d"))
+    return _replicate_means(drawn.select(F.col("_d.rep").alias("rep"), F.col("_d.w").alias("w"), F.inline("_cells")), keys)
+
+
 def interval(df: DataFrame, keys: list[str], value: str, centre: float | None = 0.0, least: int = 1) -> DataFrame:
     """2.5 and 97.5 percentiles over replicates (a bounded number per cell), their mean and P(value > centre)."""
     return (

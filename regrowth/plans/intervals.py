@@ -35,9 +35,8 @@ def quant(expr: str, p: float, alias: str, digits: int = 2) -> str:
 
 def replicate_fits(rows, keys: list[str], n_boot: int, seed: str):
     """Fits of every replicate by keys and measure; rows hold ``bin`` and both measures."""
-    sums = materialise(bt.unit_sums(bn.long_measures(rows, ["dlst", "dndvi"]), "pid", [*keys, "measure", "bin"], "y"), "replicate-sums")
-    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", n_boot, seed, "poisson")
-    cells = bt.weighted_cells(sums, w, "pid", [*keys, "measure", "bin"]).withColumn("centre", bn.bin_centre())
+    sums = bt.unit_sums(bn.long_measures(rows, ["dlst", "dndvi"]), "pid", [*keys, "measure", "bin"], "y")
+    cells = bt.poisson_cells(sums, "pid", [*keys, "measure", "bin"], n_boot, seed).withColumn("centre", bn.bin_centre())
     return ft.fit_bins(cells, ["rep", *keys, "measure"])
 
 
@@ -179,9 +178,9 @@ NET_CELLS = ", us AS (SELECT pid, measure, bin, count(*) AS n, sum(y) AS s FROM
 
 
 def net_replicates(spark, sf):
-    sums = materialise(bt.unit_sums(net_measures(spark, sf), "pid", ["measure", "bin"], "y"), "net-sums")
-    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", B["event"], "n", "poisson")
-    return bt.weighted_cells(sums, w, "pid", ["measure", "bin"]).where(F.col("n") >= 12)
+    # two queries' branches read the replicates
+    cells = bt.poisson_cells(bt.unit_sums(net_measures(spark, sf), "pid", ["measure", "bin"], "y"), "pid", ["measure", "bin"], B["event"], "n")
+    return materialise(cells.where(F.col("n") >= 12), "net-replicates")
 
 
 @query("net_anomaly_ci", L + NET_SQL + NET_CELLS + f" SELECT measure, {n('bin', 'bin')}, {n('count(*)', 'n_boot')}, {quant('mean', 0.025, 'lo', 5)}, {quant('mean', 0.975, 'hi', 5)} FROM cb GROUP BY 1, 2 HAVING count(*) >= 100", 5)

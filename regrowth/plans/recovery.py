@@ -118,9 +118,13 @@ def _(spark, sf):
 
 def boot_fits(spark, sf, seed: str, scheme: str):
     ev = event_post(spark, sf).withColumn("bin", bn.age_bin())
-    sums = materialise(bt.unit_sums(bn.long_measures(ev, ["dlst", "dndvi"]), "pid", ["measure", "bin"], "y"), "bin-sums")
-    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", BOOT, seed, scheme)
-    cells = bt.weighted_cells(sums, w, "pid", ["measure", "bin"]).withColumn("centre", bn.bin_centre())
+    sums = bt.unit_sums(bn.long_measures(ev, ["dlst", "dndvi"]), "pid", ["measure", "bin"], "y")
+    if scheme == "poisson":
+        cells = bt.poisson_cells(sums, "pid", ["measure", "bin"], BOOT, seed)
+    else:
+        sums = materialise(sums, "bin-sums")
+        cells = bt.weighted_cells(sums, bt.replicate_weights(sums.select("pid").distinct(), "pid", BOOT, seed, scheme), "pid", ["measure", "bin"])
+    cells = cells.withColumn("centre", bn.bin_centre())
     return ft.fit_bins(cells, ["rep", "measure"])
 
 
@@ -162,9 +166,8 @@ def _(spark, sf):
 def _(spark, sf):
     p = fx.post_panel(spark, sf)
     rows = bn.long_measures(bn.strata_rows(p.withColumn("bin", bn.age_bin()), usual_strata()), ["dlst", "dndvi"])
-    sums = materialise(bt.unit_sums(rows, "pid", ["stratum", "measure", "bin"], "y"), "stratum-sums")
-    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", bt.REPLICATES["strata"], "s", "poisson")
-    cells = bt.weighted_cells(sums, w, "pid", ["stratum", "measure", "bin"]).withColumn("centre", bn.bin_centre())
+    sums = bt.unit_sums(rows, "pid", ["stratum", "measure", "bin"], "y")
+    cells = bt.poisson_cells(sums, "pid", ["stratum", "measure", "bin"], bt.REPLICATES["strata"], "s").withColumn("centre", bn.bin_centre())
     return bt.interval(ft.fit_bins(cells, ["rep", "stratum", "measure"]), ["stratum", "measure"], "tau", least=21).drop("p_gt")
 
 
@@ -269,9 +272,8 @@ def wide_remaining(shares, keys):
 )
 def _(spark, sf):
     rows = paired_rows(spark, sf)
-    sums = materialise(bt.unit_sums(bn.long_measures(rows, ["dlst", "dndvi"]), "pid", ["measure", "bin"], "y"), "paired-sums")
-    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", bt.REPLICATES["event"], "r", "poisson")
-    cells = bt.weighted_cells(sums, w, "pid", ["measure", "bin"])
+    sums = bt.unit_sums(bn.long_measures(rows, ["dlst", "dndvi"]), "pid", ["measure", "bin"], "y")
+    cells = bt.poisson_cells(sums, "pid", ["measure", "bin"], bt.REPLICATES["event"], "r")
     gaps = wide_remaining(ft.share_of_first(cells, ["rep", "measure"]), ["rep", "bin"])
     return bt.interval(gaps, ["bin"], "gap", least=100)
 
