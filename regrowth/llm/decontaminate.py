@@ -195,6 +195,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a verified overlap; rows without an id stay."""
-    hit = overlaps(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
+    """The documents without a verified overlap; rows without an id stay.
+
+    The ids that go are written first: where they are few, their size is known and the texts are filtered in place.
+    """
+    hit = materialise(overlaps(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
     return docs.join(hit, docs["doc_id"].cast("long") == F.col("_hit"), "left_anti")

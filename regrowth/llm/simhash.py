@@ -97,7 +97,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents whose id names their component; of repeated rows with that id one stays, and rows without an id stay."""
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("component_id").alias("_keep")).distinct()
-    with_id = docs.where(F.col("doc_id").isNotNull()).join(first, F.col("doc_id") == F.col("_keep"), "left_semi")
-    return with_id.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The documents whose id names their component; of repeated rows with that id one stays, and rows without an id stay.
+
+    The ids that go, and those that occur more than once, are written first: where they are few, their size is known and the
+    texts are filtered in place; where they are many, the planner shuffles.
+    """
+    found = materialise(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "found")
+    gone = materialise(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")), "gone")
+    repeated = materialise(found.where((F.col("doc_id") == F.col("component_id")) & (F.col("n") > 1)).select(F.col("doc_id").alias("_many")), "repeated")
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    once = kept.join(repeated, F.col("doc_id") == F.col("_many"), "left_anti")
+    many = kept.join(repeated, F.col("doc_id") == F.col("_many"), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(many)
