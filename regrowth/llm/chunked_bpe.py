@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 STEP, OVERLAP = 32_768, 1_024
 #: The pattern decides a pre-token by at most this many characters behind its end, white space aside.
 GUARD = 4
+#: Texts that a task encodes before it hands their rows on.
+ROWS = 256
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
@@ -143,12 +145,16 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, key: str = "do
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks_file, pattern)
         for batch in batches:
-            out = []
-            for t in batch.column("text").to_pylist():
-                ids = own.encode(t or "")
-                out.append((*_digest(own, ids), ids))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")] + [pa.array(c, k) for c, k in zip(cols, kinds[1:], strict=False)], names)
+            for at in range(0, max(1, batch.num_rows), ROWS):
+                part = batch.slice(at, ROWS)
+                digests, kept = [], []
+                for t in part.column("text").to_pylist():
+                    ids = own.encode(t or "")
+                    digests.append(_digest(own, ids))
+                    if with_ids:
+                        kept.append(np.array(ids, dtype=np.int32))
+                cols = list(zip(*digests, strict=True)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([part.column("doc_id")] + [pa.array(c, k) for c, k in zip([*cols, kept] if with_ids else cols, kinds[1:], strict=True)], names)
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
