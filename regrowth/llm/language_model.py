@@ -1,7 +1,10 @@
 """A hierarchical Pitman-Yor language model over whole corpora, and texts scored by it.
 
 A word is predicted in the restaurant of the word before it; all these context restaurants share one parent, the restaurant
-without context, whose base is uniform. The ``CLASSES`` most frequent words (and the end of a text) are dishes and contexts of
+without context, whose base is uniform. In ``learn_and_score`` every word (by its 64-bit hash) and the end of a text is a dish
+and a context of its own; restaurants, their sums and the parent are tables (see ``pair_values``).
+
+``learn`` and ``score`` are the model of bounded size: the ``CLASSES`` most frequent words (and the end of a text) are dishes and contexts of
 their own. All other words are one class with a restaurant of its own below it, in which only their counts matter; so the
 tables of the model are bounded by ``CLASSES`` squared, while every token of the corpus is counted and scored.
 
@@ -28,15 +31,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from regrowth.llm.common import crc_bucket, lower_words, raw_bytes
-from regrowth.session import materialise
+from regrowth.llm.decontaminate import token_hashes
+from regrowth.session import discard, materialise, new_work_path
 
 #: Words with a restaurant of their own, and words whose counts every scoring task holds, at most.
 CLASSES, HELD_WORDS = 2_048, 131_072
 SWEEPS, BURN_IN = 7, 3
 EXACT_CUSTOMERS = 512
 STRENGTH = 1.0
+#: Tokens whose pairs a counting task adds up before it hands them on.
+PAIRS_AT_ONCE = 2_000_000
 #: The end of a text; no word is empty.
 END = b""
+#: Hashes of the end of a text and of its start, which is a context only.
+END_HASH, START_HASH = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
 def log_stirling(discount: float, n: int) -> np.ndarray:
@@ -318,6 +326,166 @@ def score(docs: DataFrame, model: Model, folds: int = 10, key: str = "doc_id", t
     )
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.Table]:
+    """Several batches at a time: the draws work count by count, which short batches would repeat."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _word_pairs(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each word (and of the end) and of the word before it."""
+    words = lower_words(text)
+    own = np.append(token_hashes(words), END_HASH) if words else np.array([END_HASH])
+    return np.append(START_HASH, own[:-1]), own
+
+
+def _counted(u: np.ndarray, v: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    first = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
+    size = np.diff(np.append(first, len(u))) if n is None else np.add.reduceat(n[order], first)
+    return u[first], v[first], size
+
+
+def all_pairs(rows: DataFrame) -> DataFrame:
+    """u, v, c: every pair of neighbouring words of the texts, and how often it is in the training texts (``train``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            u, v, n = _counted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(n)], ["u", "v", "n"])
+
+        for batch in batches:
+            for train, t in zip(batch.column("train").to_pylist(), raw_bytes(batch, "text"), strict=True):
+                u, v = _word_pairs(t)
+                held.append((u, v, np.full(len(u), int(train))))
+                size += len(u)
+                if size >= PAIRS_AT_ONCE:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return rows.select("train", "text").mapInArrow(run, "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("c"))
+
+
+def _of(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(n).to_numpy() for n in names]
+
+
+def pair_values(pairs: DataFrame, seed: int = 7, sweeps: int = SWEEPS, burn_in: int = BURN_IN) -> tuple[DataFrame, int]:
+    """u, v, known, base, value (log10 probability of v after u) of every pair in u, v, c, and the training tokens.
+
+    Every word is a dish and a context. Restaurants are rows (u, v) of a table; the sums of tables by context and by dish are
+    tables as well and are joined to it in each sweep, so nothing on the driver or in a task follows the vocabulary. A pair seen
+    once has one table whatever is drawn: only pairs seen more often are drawn anew.
+    """
+    spark = pairs.sparkSession
+    work: list[str] = []
+
+    def kept_as(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        work.append(new_work_path(spark, name))
+        return materialise(df, name, work[-1]), work[-1]
+
+    once = F.sum(F.when(F.col("c") == 1, 1).otherwise(0))
+    contexts, _ = kept_as(pairs.groupBy("u").agg(F.sum("c").alias("cu"), once.alias("su")), "contexts")
+    dishes, _ = kept_as(pairs.groupBy("v").agg(F.sum("c").alias("cv"), once.alias("sv")), "dishes")
+    n_train, n_types = (int(x or 0) for x in dishes.agg(F.sum("cv"), F.sum((F.col("cv") > 0).cast("int"))).first())
+    seen = {r.c: r.m for r in pairs.where("c between 1 and 2").groupBy("c").agg(F.count(F.lit(1)).alias("m")).collect()}
+    discount, types = discount_of(seen.get(1, 0), seen.get(2, 0)), n_types + 1
+    state = pairs.where("c > 1").join(contexts.select("u", "su"), "u").select("u", "v", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("kept"), F.col("su").cast("long").alias("su"))
+    state, at = kept_as(state, "seating")
+    # v, tables of its dish (the parent's customers), the parent's tables of it, its kept probabilities
+    parent, parent_at, total = dishes.select("v", F.lit(None).cast("long").alias("pt"), F.array().cast("array<double>").alias("p")), None, None
+    unseen, sums = [], []
+    for sweep in range(-1, sweeps):
+        keep = sweep >= burn_in
+        if sweep >= 0:
+            tables, base = state.groupBy("u").agg(F.sum("t").alias("tu")), parent.select("v", "now")
+            joined = state.join(tables, "u").join(base, "v")
+
+            def draw(batches: Iterator[pa.RecordBatch], sweep=sweep, keep=keep) -> Iterator[pa.RecordBatch]:
+                stirling = log_stirling(discount, EXACT_CUSTOMERS)
+                for got in _gathered(batches):
+                    u, v, c, t, total, su, tu, now = _of(got, "u", "v", "c", "t", "kept", "su", "tu", "now")
+                    if len(u):  # a retried task draws the same numbers
+                        own = np.random.default_rng([seed, sweep + 1, *(int(x) for x in (u[0].view(np.uint64), v[0].view(np.uint64))), len(u)])
+                        t = draw_tables(c, su + tu - t, now, discount, own, stirling)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (u, v, c, t, total + t * keep, su))], ["u", "v", "c", "t", "kept", "su"])
+
+            before = at
+            state, at = kept_as(joined.select("u", "v", "c", "t", "kept", "su", "tu", "now").mapInArrow(draw, "u long, v long, c long, t long, kept long, su long"), "seating")
+            discard(spark, before)
+        if keep:
+            sums.append(kept_as(state.groupBy("u").agg(F.sum("t").alias(f"t{len(sums)}")), "context-tables")[0])
+        drawn = state.groupBy("v").agg(F.sum("t").alias("tv"))
+        old = parent.select("v", "pt", "p")
+        customers = dishes.join(old, "v").join(drawn, "v", "left").select("v", (F.col("sv") + F.coalesce("tv", F.lit(0))).cast("long").alias("tv"), "pt", "p")
+        customers, customers_at = kept_as(customers, "customers")
+        n0, ones, twos, some = (int(x or 0) for x in customers.agg(F.sum("tv"), F.sum((F.col("tv") == 1).cast("int")), F.sum((F.col("tv") == 2).cast("int")), F.sum((F.col("tv") > 0).cast("int"))).first())
+        d0, others = discount_of(ones, twos), float(some if total is None else total)
+
+        def seat(batches: Iterator[pa.RecordBatch], sweep=sweep, d0=d0, others=others) -> Iterator[pa.RecordBatch]:
+            stirling = log_stirling(d0, EXACT_CUSTOMERS)
+            for got in _gathered(batches):
+                v, tv = _of(got, "v", "tv")
+                pt = np.where(got.column("pt").is_null().to_numpy(), np.minimum(tv, 1), got.column("pt").fill_null(0).to_numpy())
+                if len(v):
+                    own = np.random.default_rng([seed, sweep + 1, int(v[0].view(np.uint64)), len(v)])
+                    pt = draw_tables(tv, others - pt, np.full(len(v), 1 / types), d0, own, stirling)
+                yield from pa.table([got.column("v"), got.column("tv"), pa.array(pt), got.column("p")], ["v", "tv", "pt", "p"]).to_batches()
+
+        seated, seated_at = kept_as(customers.mapInArrow(seat, "v long, tv long, pt long, p array<double>"), "parent")
+        total = int(seated.agg(F.sum("pt")).first()[0] or 0)
+        back = (STRENGTH + d0 * total) / types
+        now = (F.col("tv") - F.lit(d0) * F.col("pt") + F.lit(back)) / F.lit(STRENGTH + n0)
+        parent = seated.select("v", "pt", (F.concat("p", F.array(now)) if keep else F.col("p")).alias("p"), now.alias("now"))
+        for old_at in (customers_at, parent_at):
+            if old_at and not keep:  # kept probabilities are columns of the later tables
+                discard(spark, old_at)
+        parent_at = seated_at
+    rounds = len(sums)
+    for k, s in enumerate(sums):
+        contexts = contexts.join(s, "u", "left").withColumn(f"b{k}", (F.lit(STRENGTH) + F.lit(discount) * (F.col("su") + F.coalesce(f"t{k}", F.lit(0)))) / (F.lit(STRENGTH) + F.col("cu"))).drop(f"t{k}")
+    rows = pairs.where("c <= 1").select("u", "v", "c", (F.col("c") * rounds).alias("kept")).unionByName(state.select("u", "v", "c", "kept"))
+    words = dishes.select("v", "cv").join(parent.select("v", "p"), "v")
+    rows = rows.join(contexts, "u").join(words, "v")
+    backed = sum(F.col(f"b{k}") * F.get("p", F.lit(k)) for k in range(rounds)) / rounds
+    own = (F.col("c") - F.lit(discount / rounds) * F.col("kept")) / (F.lit(STRENGTH) + F.col("cu"))
+    base = F.log10((F.col("cv") + 0.1) / F.lit(float(n_train + 0.1 * types))) if n_train else F.lit(0.0)
+    return rows.select("u", "v", (F.col("cv") > 0).alias("known"), base.alias("base"), F.log10(own + backed).alias("value")), n_train
+
+
+def score_words(docs: DataFrame, folds: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``score`` by the model of all words, learned from the texts outside fold 0."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).cast("long").alias("doc_id"), (crc_bucket(key, folds) == 0).alias("held_out"), F.col(text).alias("text"))
+    pairs = materialise(all_pairs(rows.select((~F.col("held_out")).alias("train"), "text")), "pair-counts")
+    values, n_train = pair_values(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rid, t in zip(batch.column("rid").to_pylist(), raw_bytes(batch, "text"), strict=True):
+                u, v, n = _counted(*_word_pairs(t))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), rid)), pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(n)], ["rid", "u", "v", "n"])
+
+    held = rows.select("rid", "text").mapInArrow(run, "rid long, u long, v long, n long")
+    held = held.join(values, ["u", "v"])
+    n = F.col("n")
+    sums = held.groupBy("rid").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known"), n).otherwise(0)).alias("n_known"), F.sum(n * F.col("base")).alias("base_score"), F.sum(n * F.col("value")).alias("score"))
+    return rows.select("rid", "doc_id", "held_out").join(sums, "rid").select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
 def perplexity(scored: DataFrame) -> DataFrame:
     """Per token, of the model and of the base, inside and outside the training texts."""
     per = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
@@ -326,4 +494,4 @@ def perplexity(scored: DataFrame) -> DataFrame:
 
 def learn_and_score(docs: DataFrame, folds: int = 10) -> DataFrame:
     """Learns outside fold 0 and scores every text."""
-    return score(docs, learn(docs.where(crc_bucket("doc_id", folds) != 0)), folds)
+    return score_words(docs, folds)

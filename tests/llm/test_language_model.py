@@ -112,3 +112,53 @@ def test_nothing_to_learn_from(spark):
     out = {r.doc_id: r for r in lm.score(docs, model).collect()}
     assert out[1].n_tokens == 3 and out[1].n_known == 0 and out[1].base_score == 0 and out[2].n_tokens == 1
     assert lm.learn_and_score(docs.limit(0)).count() == 0
+
+
+def test_words_beyond_the_most_frequent_are_contexts_too(spark):
+    rnd = random.Random(8)
+    n, rows = 6000, []
+    for i in range(3000):
+        at, words = rnd.randrange(n), []
+        for _ in range(20):
+            words.append(f"w{at}")
+            at = (at * 7 + 1) % n  # each word has one successor
+        rows.append((i, " ".join(words)))
+    out = lm.learn_and_score(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.held_out: r for r in lm.perplexity(out).collect()}
+    assert got[True].base > 2000 and got[True].model < 20
+
+
+def test_probabilities_after_a_context_sum_to_one(spark):
+    rnd = random.Random(4)
+    vocabulary = ["a", "b", "c", "d"]
+    train = [" ".join(rnd.choices(vocabulary, [8, 4, 2, 1], k=rnd.randint(0, 12))) for _ in range(40)]
+    # each word, the end and a new word after each context; ``new`` is a context without customers
+    held = [f"{x} {y}" for x in [*vocabulary, "new"] for y in [*vocabulary, "new"]] + [*vocabulary, "new", ""]
+    rows = spark.createDataFrame([(True, t) for t in train] + [(False, t) for t in held], "train boolean, text string")
+    pairs = lm.all_pairs(rows)
+    count = Counter(p for t in train for p in zip(["^", *tokens(t)[:-1]], tokens(t)))
+    assert sorted(r.c for r in pairs.where("c > 0").collect()) == sorted(count.values())
+    values, n_train = lm.pair_values(pairs)
+    assert n_train == sum(count.values())
+    after = {}
+    for r in values.collect():
+        after.setdefault(r.u, []).append(10**r.value)
+    assert len(after) == 6
+    for own in after.values():
+        assert len(own) == 6 and sum(own) == pytest.approx(1)
+
+
+def test_all_word_scores_count_like_brute_force(spark):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 30)))) for i in range(80)]
+    rows += [(200, None), (201, ""), (202, "Ünknown A x  b\n"), (None, "a b"), (5, "c"), (5, "c")]
+    fold = lambda i: zlib.crc32(str("null" if i is None else i).encode()) % 10
+    counts = Counter(x for i, t in rows if fold(i) for x in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    want = []
+    for i, t in rows:
+        own = tokens(t)
+        base = sum(math.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in own)
+        want.append((str(i), fold(i) == 0, len(own), sum(counts[x] > 0 for x in own), n, round(base, 6)))
+    out = lm.learn_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == sorted(want)
