@@ -61,3 +61,22 @@ def test_held_out_accuracy(spark):
     wrong = sorted((round(r.score, 2), len(r._k1), r._k0, r.lang_pred) for r in out if r.lang_pred != r._k0)
     print(len(out), right, wrong[:20], sorted(round(r.score, 3) for r in out)[:12])
     assert right >= 0.97 * len(out)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
+def test_texts_of_unlearned_languages_and_noise_go(spark):
+    rnd = random.Random(2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    other = [
+        "Ang lahat ng tao ay isinilang na malaya at pantay-pantay sa karangalan at mga karapatan. Sila ay pinagkalooban ng katwiran at budhi",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である", "Люди",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+        " ".join("".join(rnd.choice("bcdfghjklmnpqrstvwxz") for _ in range(rnd.randint(3, 9))) for _ in range(60)),
+    ]
+    short = ["only a short one", "the", "no", "All human beings are born free."]
+    extra = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(other + short)], docs.schema)
+    kept = {r.doc_id for r in li.keep_identified(docs.unionByName(extra)).select("doc_id").collect()}
+    assert [i for i in range(len(other + short)) if 10**9 + i in kept] == list(range(len(other), len(other + short)))
+    clean = [r.doc_id for r in docs.where("lang is not null").collect() if r.doc_id is not None]
+    assert sum(i not in kept for i in clean) <= 0.002 * len(clean)
