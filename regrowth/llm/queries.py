@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from regrowth.llm import chunked_bpe, decontaminate, fill_middle, language_id, language_model, periodic_runs, pii, quality_rules, separator_scan, sharding, simhash, token_files
+from regrowth.llm import chunked_bpe, decontaminate, fill_middle, language_id, language_model, periodic_runs, pii, quality_rules, separator_scan, sharding, simhash, suffix_dedup, token_files
 from regrowth.llm.common import table
 
 SHARDS = 40
@@ -68,6 +68,11 @@ def op11_difference_cover_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_two_stage_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that occur more than once in all documents."""
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op13_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document rewritten for filling in its middle, or left plain, by draws from its id."""
     return fill_middle.digests(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_addressable_codes": op9_addressable_codes,
     "op10_decision_list": op10_decision_list,
     "op11_difference_cover_runs": op11_difference_cover_runs,
+    "op12_two_stage_suffixes": op12_two_stage_suffixes,
     "op13_content_chunks": op13_content_chunks,
 }
 ORACLES: dict[str, str] = {}
