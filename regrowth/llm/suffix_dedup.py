@@ -3,8 +3,8 @@
 Equal texts are one text first: each of them is a repeat from end to end. In every other text each string of ``length`` bytes
 (a window) picks an anchor, the least hash of its 128-byte pieces, so equal windows pick equal anchors at the same place. A
 stretch of windows with one anchor is a piece of text of a few hundred bytes; pieces whose anchor occurs once hold no repeat
-and go. The others meet by the anchor's hash: equal pieces are counted before they are shuffled, and the distinct ones are
-dealt to buckets of bounded size whose suffixes are sorted in two stages. Suffixes smaller than their successor are sorted
+and go. The others are counted by anchor hash and digest, so that equal pieces are one before they are shuffled. Where an anchor
+has several distinct pieces, the text of one of each is fetched and dealt to buckets of bounded size whose suffixes are sorted in two stages. Suffixes smaller than their successor are sorted
 directly; all others are induced from them by a scan of the first-byte buckets in order (a suffix larger than its successor
 comes where its successor has been met). Neighbours in suffix order with a common prefix of ``length`` mark the windows that
 occur again. An anchor with more distinct text than fits a bucket (a line that stands in very many texts) is dealt by narrower
@@ -17,13 +17,15 @@ result is judged on the input: what goes from one text does not save its twin el
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from regrowth.session import materialise
+from regrowth.session import materialise, new_work_path
 
 #: Bytes of an anchor (a power of two), and of the text whose anchors are looked for at a time (under 2**20).
 ANCHOR, STRETCH = 128, 1 << 18
@@ -70,87 +72,100 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return hashes[place[first]].view(np.int64), place[first], windows[first], count
 
 
-def _bodies(batch: pa.RecordBatch) -> list[bytes]:
-    return batch.column("body").to_pylist()
-
-
-def _anchor_rows(length: int):
-    names = ["h", "rid", "at", "start", "n"]
-
-    def of(bodies: list[bytes], rids: list[int], offset: int = 0) -> pa.RecordBatch:
-        ends = np.cumsum([len(b) for b in bodies])
-        h, at, start, n = anchors(np.frombuffer(b"".join(bodies), dtype=np.uint8), ends, length)
+def laid_out(bodies: list[bytes], length: int) -> Iterator[tuple[int, bytes, int, np.ndarray]]:
+    """(first text, joined texts, offset, ends) of texts laid out together up to STRETCH bytes; a longer one comes in stretches
+    that overlap by a window, each with its offset."""
+    first, size = 0, 0
+    for k, body in enumerate(bodies):
+        if size + len(body) > STRETCH:
+            if k > first:
+                yield first, b"".join(bodies[first:k]), 0, np.cumsum([len(x) for x in bodies[first:k]])
+            first, size = k, 0
+        if len(body) > STRETCH:
+            for at in range(0, len(body) - length + 1, STRETCH):
+                part = body[at : at + STRETCH + length - 1]
+                yield k, part, at, np.array([len(part)])
+            first = k + 1
+        else:
+            size += len(body)
+    if first < len(bodies):
+        yield first, b"".join(bodies[first:]), 0, np.cumsum([len(x) for x in bodies[first:]])
+
+
+def pieces(bodies: list[bytes], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays (text, h, d, at, start, n): anchor hash, digest of the piece, and anchor, first window and windows in the text."""
+    for first, joined, offset, ends in laid_out(bodies, length):
+        h, at, start, n = anchors(np.frombuffer(joined, dtype=np.uint8), ends, length)
+        cuts = zip(start.tolist(), (start + n + length - 1).tolist(), strict=True)
+        d = np.array([xxhash.xxh64_intdigest(joined[x:y]) for x, y in cuts], dtype=np.uint64).view(np.int64)
         text = np.searchsorted(ends, start, side="right")
         begin = np.append(0, ends[:-1])[text] - offset
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.array(rids, dtype=np.int64)[text]), *(pa.array(c.astype(np.int32)) for c in (at - begin, start - begin, n))], names)
+        yield text + first, h, d, at - begin, start - begin, n
 
+
+def _anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, rids, size = [], [], 0
-            for body, rid in zip(_bodies(batch), batch.column("rid").to_pylist(), strict=True):
-                if len(body) > STRETCH:  # windows of a long text, a stretch at a time
-                    for a in range(0, len(body) - length + 1, STRETCH):
-                        yield of([body[a : a + STRETCH + length - 1]], [rid], a)
-                    continue
-                if size + len(body) > STRETCH:
-                    yield of(held, rids)
-                    held, rids, size = [], [], 0
-                held.append(body)
-                rids.append(rid)
-                size += len(body)
-            if held:
-                yield of(held, rids)
+            rids = batch.column("rid").to_numpy()
+            for text, h, d, _, start, n in pieces(batch.column("body").to_pylist(), length):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), pa.array(d), pa.array(rids[text]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "d", "rid", "start", "n"])
 
     return run
 
 
-PIECES = "node long, base int, g long, lead int, content binary"
-_PIECES = pa.schema([("node", pa.int64()), ("base", pa.int32()), ("g", pa.int64()), ("lead", pa.int32()), ("content", pa.binary())])
+CONTENTS = "g long, d long, lead int, content binary"
+_CONTENTS = pa.schema([("g", pa.int64()), ("d", pa.int64()), ("lead", pa.int32()), ("content", pa.binary())])
+NARROW = "over_g long, over_d long, base int, g long, lead int, content binary"
+_NARROW = pa.schema([("over_g", pa.int64()), ("over_d", pa.int64()), ("base", pa.int32()), ("g", pa.int64()), ("lead", pa.int32()), ("content", pa.binary())])
+SPANS = "g long, d long, a int, b int"
+_SPANS = pa.schema([("g", pa.int64()), ("d", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 _ROWS = 4096
 
 
-def _piece_rows(length: int):
-    """Text of each anchor's windows: (node, base) says where it stands, ``lead`` where its anchor is in it."""
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([],) * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _content_rows(length: int):
+    """The pieces a text was chosen to stand for, found by their (anchor hash, digest); ``lead`` is the anchor's place in one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            bodies = batch.column("body").to_pylist()
+            wanted = [{(x["h"], x["d"]) for x in found} for found in batch.column("found").to_pylist()]
             rows = []
-            for rid, body, found in zip(batch.column("rid").to_pylist(), _bodies(batch), batch.column("found").to_pylist(), strict=True):
-                for x in found:
-                    a = x["start"]
-                    rows.append((rid, a, x["h"], x["at"] - a, body[a : a + x["n"] + length - 1]))
-                    if len(rows) >= _ROWS:
-                        yield _batch(rows)
-                        rows = []
-            yield _batch(rows)
+            for text, h, d, at, start, n in pieces(bodies, length):
+                for k, x, y, place, a, windows in zip(*(c.tolist() for c in (text, h, d, at, start, n)), strict=True):
+                    if (x, y) in wanted[k]:
+                        wanted[k].remove((x, y))
+                        rows.append((x, y, place - a, bodies[k][a : a + windows + length - 1]))
+                        if len(rows) >= _ROWS:
+                            yield _batch(rows, _CONTENTS)
+                            rows = []
+            yield _batch(rows, _CONTENTS)
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else ([],) * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES, strict=True)], schema=_PIECES)
-
-
 def _narrow_rows(length: int, width: int):
     """Distinct pieces cut into stretches of up to ``width`` windows, aligned by the anchor and keyed by their common bytes."""
-    import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for node, g, lead, content in zip(*(batch.column(c).to_pylist() for c in ("cid", "g", "lead", "content")), strict=True):
+            for g, d, lead, content in zip(*(batch.column(c).to_pylist() for c in ("g", "d", "lead", "content")), strict=True):
                 windows = len(content) - length + 1
                 for block in range(-lead // width, (windows - 1 - lead) // width + 1):
                     origin = lead + block * width  # where the block's first window would start
                     a, b = max(0, origin), min(windows, origin + width)
-                    common = content[origin + width - 1 : origin + length]
-                    key = hashlib.blake2b(common, digest_size=8, salt=(g & (1 << 64) - 1).to_bytes(8, "little"), person=(block & 0xFFFF).to_bytes(2, "little")).digest()
-                    rows.append((node, a, int.from_bytes(key, "little", signed=True), lead - a, content[a : b + length - 1]))
+                    common = xxhash.xxh64_intdigest(content[origin + width - 1 : origin + length], (g + block) & (1 << 64) - 1)
+                    rows.append((g, d, a, common - (common >> 63 << 64), lead - a, content[a : b + length - 1]))
                     if len(rows) >= _ROWS:
-                        yield _batch(rows)
+                        yield _batch(rows, _NARROW)
                         rows = []
-            yield _batch(rows)
+            yield _batch(rows, _NARROW)
 
     return run
 
@@ -238,47 +253,35 @@ def stretches(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-SPANS = "g long, d binary, a int, b int"
-_SPANS = pa.schema([("g", pa.int64()), ("d", pa.binary()), ("a", pa.int32()), ("b", pa.int32())])
-
-
 def _sort_bucket(length: int):
-    def run(pieces: pa.Table) -> pa.Table:
-        contents = pieces.column("content").to_pylist()
+    def run(held: pa.Table) -> pa.Table:
         out = []
-        for g, d, marked in zip(pieces.column("g").to_pylist(), pieces.column("d").to_pylist(), repeated_windows(contents, length), strict=True):
+        for g, d, marked in zip(held.column("g").to_pylist(), held.column("d").to_pylist(), repeated_windows(held.column("content").to_pylist(), length), strict=True):
             for a, b in zip(*stretches(marked), strict=True):
                 out.append((g, d, int(a), int(b) + length - 1))
-        columns = zip(*out, strict=True) if out else ([],) * 4
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _SPANS, strict=True)], schema=_SPANS)
+        return pa.Table.from_batches([_batch(out, _SPANS)])
 
     return run
 
 
-def repeated_spans(pieces: DataFrame, length: int, bucket_bytes: int, anchor_bytes: int, narrower: tuple[int, ...] = NARROWER) -> DataFrame:
-    """(node, a, b) of repeated stretches of the pieces' nodes; they may overlap. ``pieces`` as in PIECES, with content digest d."""
-    counted = pieces.groupBy("g", "lead", "content", "d").agg(F.count(F.lit(1)).alias("n"))
-    size = F.octet_length("content").cast("long")
-    counted = materialise(counted.withColumn("cid", F.monotonically_increasing_id()), "distinct-pieces")
-    per_anchor = counted.groupBy("g").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    per_anchor = materialise(per_anchor, "anchors-with-several")
-    # a piece that occurs as a whole again is a repeat from end to end
-    found = counted.where("n > 1").select("g", "d", F.lit(0).alias("a"), F.octet_length("content").alias("b"))
-    hot = per_anchor.where(F.col("bytes") > anchor_bytes) if narrower else per_anchor.limit(0)
-    fitting = per_anchor.where(F.col("bytes") <= anchor_bytes) if narrower else per_anchor
-    total = fitting.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(1, -(-int(total) // bucket_bytes))
-    dealt = counted.join(fitting.select("g"), "g", "left_semi").select("g", "d", "content", F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("bucket"))
-    found = found.unionByName(dealt.groupBy("bucket").applyInArrow(_sort_bucket(length), SPANS))
-    if narrower and not hot.isEmpty():
-        cut = counted.join(hot.select("g"), "g", "left_semi").select("cid", "g", "lead", "content")
-        cut = cut.mapInArrow(_narrow_rows(length, narrower[0]), PIECES).withColumn("d", F.unhex(F.md5("content")))
-        cut = materialise(cut, "narrow-pieces")
-        inside = repeated_spans(cut, length, bucket_bytes, anchor_bytes, narrower[1:])
-        found = found.unionByName(counted.join(inside, F.col("cid") == F.col("node")).select("g", "d", inside["a"], inside["b"]))
-    found = materialise(found, "repeated-stretches")
-    placed = pieces.select("node", "base", "g", "d").join(found, ["g", "d"])
-    return placed.select("node", (F.col("base") + F.col("a")).alias("a"), (F.col("base") + F.col("b")).alias("b"))
+def repeated_spans(contents: DataFrame, length: int, bucket_bytes: int, anchor_bytes: int, narrower: tuple[int, ...] = NARROWER) -> DataFrame:
+    """(g, d, a, b): stretches of distinct pieces that occur in another piece too. ``contents`` as in CONTENTS, all of a key distinct."""
+    per_key = contents.groupBy("g").agg(F.sum(F.octet_length("content").cast("long")).alias("bytes"), F.count(F.lit(1)).alias("k"))
+    per_key = materialise(per_key.where("k > 1"), "keys-with-several")
+    few = F.col("bytes") <= anchor_bytes if narrower else F.lit(True)
+    buckets = max(1, -(-int(per_key.where(few).agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes))
+    dealt = contents.join(per_key.where(few).select("g"), "g", "left_semi").select("g", "d", "content", F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("bucket"))
+    found = dealt.groupBy("bucket").applyInArrow(_sort_bucket(length), SPANS)
+    many = per_key.where(~few)
+    if many.isEmpty():
+        return found
+    cut = contents.join(many.select("g"), "g", "left_semi").mapInArrow(_narrow_rows(length, narrower[0]), NARROW)
+    cut = materialise(cut.withColumn("d", F.xxhash64("content")), "narrow-pieces")
+    counted = materialise(cut.groupBy("g", "d", "lead", "content").agg(F.count(F.lit(1)).alias("c")), "distinct-narrow-pieces")
+    whole = counted.where("c > 1").select("g", "d", F.lit(0).alias("a"), F.octet_length("content").alias("b"))
+    inside = whole.unionByName(repeated_spans(counted.drop("c"), length, bucket_bytes, anchor_bytes, narrower[1:]))
+    back = cut.select("over_g", "over_d", "base", "g", "d").join(inside, ["g", "d"])
+    return found.unionByName(back.select(F.col("over_g").alias("g"), F.col("over_d").alias("d"), (F.col("base") + F.col("a")).alias("a"), (F.col("base") + F.col("b")).alias("b")))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -290,7 +293,7 @@ def _cut_rows():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for body, spans in zip(_bodies(batch), batch.column("spans").to_pylist(), strict=True):
+            for body, spans in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 kept, at, removed, runs = [], 0, 0, 0
                 end = -1
                 for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
@@ -316,25 +319,42 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     if length <= ANCHOR:
         raise ValueError(f"length must be over {ANCHOR}")
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    size, none = F.octet_length("body").cast("long"), F.lit(0).cast("long")
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("body"))
-    brief = rows.where(F.octet_length("body") < length).select("doc_id", F.octet_length("body").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("body").alias("kept"))
-    long_rows = rows.where(F.octet_length("body") >= length).withColumn("digest", F.unhex(F.sha2("body", 256)))
-    slim = materialise(long_rows.select("doc_id", "digest", F.octet_length("body").cast("long").alias("n_bytes")), "text-digests")
-    copied = materialise(slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"), "copied-texts")
-    copies = slim.join(copied, "digest", "left_semi").select(
+    brief = rows.where(size < length).select("doc_id", size.alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("body").alias("kept"))
+    long_rows = rows.where(size >= length).withColumn("digest", F.unhex(F.sha2("body", 256)))
+    # each text once, dealt by its digest; later joins find it there and never shuffle texts again
+    distinct = long_rows.groupBy("digest").agg(F.first("body").alias("body"), F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    texts = bucketed(distinct.withColumn("rid", F.monotonically_increasing_id()), "digest", "distinct_texts")
+    copied = texts.where("copies > 1").select("digest")
+    copies = long_rows.select("doc_id", "digest", size.alias("n_bytes")).join(copied, "digest", "left_semi").select(
         "doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
-    single = long_rows.join(copied, "digest", "left_anti").select("doc_id", "body", F.lit(True).alias("single"))
-    one_of = long_rows.join(copied, "digest", "left_semi").dropDuplicates(["digest"]).select(F.lit(None).cast("long").alias("doc_id"), "body", F.lit(False).alias("single"))
-    texts = materialise(single.unionByName(one_of).withColumn("rid", F.monotonically_increasing_id()), "distinct-texts")
-    met = materialise(texts.select("rid", "body").mapInArrow(_anchor_rows(length), "h long, rid long, at int, start int, n int"), "anchors")
-    shared = met.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
-    per_text = met.join(shared, "h").groupBy("rid").agg(F.collect_list(F.struct("h", "at", "start", "n")).alias("found"))
-    pieces = texts.select("rid", "body").join(per_text, "rid").mapInArrow(_piece_rows(length), PIECES).withColumn("d", F.unhex(F.md5("content")))
-    pieces = materialise(pieces, "pieces")
-    spans = repeated_spans(pieces, length, bucket_bytes, anchor_bytes)
-    per_text = spans.groupBy(F.col("node").alias("rid")).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    cut = texts.where("single").join(per_text, "rid", "left").select("doc_id", "body", "spans").mapInArrow(_cut_rows(), RESULT)
-    return brief.unionByName(copies).unionByName(cut)
+    met = materialise(texts.select("rid", "body").mapInArrow(_anchor_rows(length), "h long, d long, rid long, start int, n int"), "anchors")
+    counted = met.groupBy("h", "d").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("rid"), F.max("n").alias("n"))
+    per_anchor = counted.groupBy("h").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("k")).where("all > 1")
+    counted = materialise(counted.join(per_anchor, "h"), "shared-pieces")
+    names = texts.select("rid", "digest")
+    chosen = counted.where("k > 1").groupBy("rid").agg(F.collect_list(F.struct("h", "d")).alias("found")).join(names, "rid").select("digest", "found")
+    contents = texts.select("digest", "body").join(chosen, "digest").select("body", "found").mapInArrow(_content_rows(length), CONTENTS)
+    contents = materialise(contents, "distinct-pieces")
+    # a piece that occurs as a whole again is a repeat from end to end
+    found = counted.where("c > 1").select(F.col("h").alias("g"), "d", F.lit(0).alias("a"), (F.col("n") + (length - 1)).alias("b"))
+    found = materialise(found.unionByName(repeated_spans(contents, length, bucket_bytes, anchor_bytes)).withColumnRenamed("g", "h"), "repeated-stretches")
+    placed = met.join(found.hint("merge"), ["h", "d"])  # both grow with the texts
+    spans = placed.groupBy("rid").agg(F.collect_list(F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))).alias("spans"))
+    cut = texts.where("copies = 1").select("digest", "doc_id", "body").join(spans.join(names, "rid").select("digest", "spans"), "digest", "left")
+    return brief.unionByName(copies).unionByName(cut.select("doc_id", "body", "spans").mapInArrow(_cut_rows(), RESULT))
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``key``, as many as the session shuffles into, and read back as such."""
+    spark = df.sparkSession
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(slots, key).option("path", new_work_path(spark, name)).option("compression", "zstd").saveAsTable(table)
+    back = spark.table(table)
+    spark.sql(f"drop table {table}")  # only the name: the files are ours and stay
+    return back
 
 
 def digests(found: DataFrame) -> DataFrame:
