@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from regrowth.functions.small_math import solve_normal
+from regrowth.operators.moments import Moments
 
 MIN_OBS, MIN_SPAN = 4, 4.0  # fixed values: observations and years a unit must cover
 
@@ -69,56 +70,69 @@ def listed(period: str, periods: list[str]):
     return F.when(F.col(period).isin(periods), F.lit(0.0)).otherwise(F.raise_error(message).cast("double"))
 
 
+def unit_period_moments(df: DataFrame, unit: str, period: str, columns: list[str], periods: list[str]) -> DataFrame:
+    """Per unit: n, ``mean`` and centred ``cross`` of the columns (upper triangle), and for each period but the first how often
+    it occurs (``seen``) and the columns' sums in it (``in_<column>``). Period effects need no dummy columns beyond these."""
+    m = Moments(columns)
+    df = df.withColumn(columns[0], F.col(columns[0]) + listed(period, periods)).dropna(subset=columns)
+    at = [F.col(period) == p for p in periods[1:]]
+    n = F.count(F.lit(1))
+    cross = [(F.var_pop(a) if a == b else F.covar_pop(a, b)) * n for a, b in m.pairs]
+    sums = [F.array(*[F.sum(F.when(c, F.col(v)).otherwise(0.0)) for c in at]).alias(f"in_{v}") for v in columns]
+    return df.groupBy(unit).agg(
+        n.alias("n"), F.array(*[F.avg(v) for v in columns]).alias("mean"), F.array(*cross).alias("cross"),
+        F.array(*[F.sum(F.when(c, 1.0).otherwise(0.0)) for c in at]).alias("seen"), *sums,
+    )
+
+
+def period_normal(units: DataFrame, columns: list[str], n_periods: int) -> DataFrame:
+    """One row: n_rows, ``cross`` of the columns within units, and the period dummies' cross products within units with each other
+    (``dd``, row-major) and with each column (``d_<column>``). A unit adds to each, so its rows are never met again."""
+    k = n_periods - 1
+    seen = lambda i: F.get("seen", F.lit(i))
+    half = {(i, j): F.sum((seen(i) if i == j else F.lit(0.0)) - seen(i) * seen(j) / F.col("n")) for i in range(k) for j in range(i, k)}
+    dd = [half[min(i, j), max(i, j)] for i in range(k) for j in range(k)]
+    with_columns = [
+        F.array(*[F.sum(F.get(f"in_{v}", F.lit(i)) - seen(i) * F.get("mean", F.lit(c))) for i in range(k)]).alias(f"d_{v}") for c, v in enumerate(columns)
+    ]
+    pairs = len(columns) * (len(columns) + 1) // 2
+    cross = F.array(*[F.sum(F.get("cross", F.lit(i))) for i in range(pairs)])
+    return units.agg(F.sum("n").alias("n_rows"), cross.alias("cross"), F.array(*dd).alias("dd"), *with_columns)
+
+
 def two_way(df: DataFrame, unit: str, period: str, y: str, x: str, periods: list[str]) -> DataFrame:
     """Slope on x with unit and period effects, and the share of x's within-unit variation that is left.
 
-    Everything is demeaned within units; the few period dummies are then eliminated through their cross-product
-    matrix, which is the exact limit of alternating demeaning. The first period is the base.
+    From one row of moments per unit; the period dummies are then eliminated through their cross products within units, which is
+    the exact limit of alternating demeaning. The first period is the base.
     """
-    dummies = {f"_p{i}": F.when(F.col(period) == p, 1.0).otherwise(0.0) for i, p in enumerate(periods[1:])}
-    cols = [y, x, *dummies]
-    df = df.withColumn(y, F.col(y) + listed(period, periods))
-    w = within_demean(df.withColumns(dummies), unit, cols)
-    d = [f"{x_}_w" for x_ in dummies]
-    cross = lambda a, b: F.sum(F.col(a) * F.col(b))
-    sums = w.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        cross(f"{x}_w", f"{x}_w").alias("gg"),
-        cross(f"{x}_w", f"{y}_w").alias("gy"),
-        F.array(*[cross(a, b) for a in d for b in d]).alias("dd"),
-        F.array(*[cross(a, f"{x}_w") for a in d]).alias("dg"),
-        F.array(*[cross(a, f"{y}_w") for a in d]).alias("dy"),
-    )
-    sums = sums.withColumn("cg", solve_normal("dd", "dg"))
+    m = Moments([y, x])
+    sums = period_normal(unit_period_moments(df, unit, period, [y, x], periods), [y, x], len(periods))
+    sums = sums.withColumn("cg", solve_normal("dd", f"d_{x}"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    left = F.col("gg") - dot("cg", "dg")
-    return sums.select(
-        "n_rows",
-        (F.col("gy") / F.col("gg")).alias("beta_unit"),
-        ((F.col("gy") - dot("cg", "dy")) / left).alias("beta_two_way"),
-        (left / F.col("gg")).alias("share_left"),
-    )
+    one = F.struct("cross")
+    gg, gy = m.cross(one, x, x), m.cross(one, x, y)
+    left = gg - dot("cg", f"d_{x}")
+    return sums.select("n_rows", (gy / gg).alias("beta_unit"), ((gy - dot("cg", f"d_{y}")) / left).alias("beta_two_way"), (left / gg).alias("share_left"))
 
 
 def two_way_demean(df: DataFrame, unit: str, period: str, columns: list[str], periods: list[str]) -> DataFrame:
-    """Rows with unit and period means swept out of ``columns`` (suffix _tw), without alternating passes."""
-    dummies = {f"_p{i}": F.when(F.col(period) == p, 1.0).otherwise(0.0) for i, p in enumerate(periods[1:])}
-    df = df.withColumn(columns[0], F.col(columns[0]) + listed(period, periods))
-    w = within_demean(df.withColumns(dummies), unit, [*columns, *dummies])
-    d = [f"{x}_w" for x in dummies]
-    cross = lambda a, b: F.sum(F.col(a) * F.col(b))
-    sums = w.agg(
-        F.array(*[cross(a, b) for a in d for b in d]).alias("dd"),
-        *[F.array(*[cross(a, f"{x}_w") for a in d]).alias(f"d_{x}") for x in columns],
-    )
-    coefs = sums.select(F.struct(*[solve_normal("dd", f"d_{x}").alias(x) for x in columns])).scalar()
-    out = w.withColumn("_c", coefs)
-    for x in columns:
-        value = F.col(f"{x}_w")
-        for i, a in enumerate(d):
-            value = value - F.get(F.col(f"_c.{x}"), F.lit(i)) * F.col(a)
-        out = out.withColumn(f"{x}_tw", value)
-    return out.drop("_c", *dummies, *d, *[f"{x}_w" for x in columns])
+    """Rows with unit and period means swept out of ``columns`` (suffix _tw), without alternating passes.
+
+    A swept value is the value less its period's effect less one number of its unit and column, so the rows meet only those.
+    """
+    units = unit_period_moments(df, unit, period, columns, periods)
+    effects = period_normal(units, columns, len(periods)).select(F.struct(*[solve_normal("dd", f"d_{v}").alias(v) for v in columns])).scalar()
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
+    own = units.withColumn("_e", effects).select(
+        unit, *[(F.get("mean", F.lit(i)) - dot(F.col(f"_e.{v}"), F.col("seen")) / F.col("n")).alias(f"_u_{v}") for i, v in enumerate(columns)])
+    out = df.withColumn(columns[0], F.col(columns[0]) + listed(period, periods)).join(own, unit).withColumn("_e", effects)
+    for v in columns:
+        effect = F.lit(0.0)
+        for i, p in enumerate(periods[1:]):
+            effect = F.when(F.col(period) == p, F.get(F.col(f"_e.{v}"), F.lit(i))).otherwise(effect)
+        out = out.withColumn(f"{v}_tw", F.col(v) - effect - F.col(f"_u_{v}"))
+    return out.drop("_e", *[f"_u_{v}" for v in columns])
 
 
 def slope_given_bins(df: DataFrame, bins: str, y: str, x: str) -> DataFrame:

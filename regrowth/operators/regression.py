@@ -4,26 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from regrowth.functions.small_math import solve_normal, t_two_sided
+from regrowth.functions.small_math import t_two_sided
+from regrowth.operators.moments import Moments, part_of
 
 
 def grouped_ols(df: DataFrame, keys: list[str], y: str, xs: list[str], min_n: int = 0) -> DataFrame:
-    """Per group: covariate means, y mean and slopes, from one pass of cross products.
+    """Per group: covariate means, y mean and slopes, from one pass of moments; rows with a null in one of them are left out."""
+    m = Moments([y, *xs])
+    g = m.table(df, keys).where(F.col("n") >= min_n).withColumn("_m", F.struct("n", "mean", "cross"))
+    g = g.withColumn("_b", m.slopes(F.col("_m"), y, xs))
+    means = [m.mean(F.col("_m"), v).alias(f"mean_{v}") for v in [y, *xs]]
+    return g.select(*keys, "n", *means, *[F.get("_b", F.lit(i)).alias(f"b_{x}") for i, x in enumerate(xs)])
 
-    Covariates are shifted by whole-table means first so that the sums keep their digits.
+
+def residual_moments(df: DataFrame, keys: list[str], y: str, xs: list[str], against: str, min_n: int = 0, recentre: bool = False) -> DataFrame:
+    """Per group the mean and root mean square of the residual of y on xs, and its line on ``against``: slope, intercept, r.
+
+    All from one table of moments; ``recentre`` adds the group mean of y back to the residual.
+    """
+    m = Moments([y, *xs, against])
+    g = m.table(df, keys).where(F.col("n") >= min_n).withColumn("_m", F.struct("n", "mean", "cross"))
+    g = g.withColumn("_b", m.slopes(F.col("_m"), y, xs))
+    res, other, one = m.residual(F.col("_b"), y, xs), {against: F.lit(1.0)}, F.col("_m")
+    mean = m.mean(one, y) if recentre else F.lit(0.0)
+    rr, rc, cc = m.cross_of(one, res, res), m.cross_of(one, res, other), m.cross(one, against, against)
+    slope = rc / cc
+    return g.select(
+        *keys, "n", mean.alias("mean"), F.sqrt(rr / F.col("n") + mean * mean).alias("rms"),
+        slope.alias("slope"), (mean - slope * m.mean(one, against)).alias("intercept"), (rc / F.sqrt(rr * cc)).alias("r"),
+    )
+
+
+def residual_windows(df: DataFrame, keys: list[str], y: str, models: dict[str, list[str]], x: str, lo: float, mid: float, hi: float, least: int, ddof: int, min_n: int = 0, scale: float = 2.0) -> DataFrame:
+    """Per key and model: scale * (mean residual in [mid, hi) - mean residual in [lo, mid)) with its SE.
+
+    A model names covariates of y; its residual is fitted in each key over all rows. One scan: the windows' moments are merged
+    for the fits and then read apart.
     """
-    shift = df.agg(F.struct(*[F.avg(v).alias(v) for v in [y, *xs]])).scalar()
-    z = df.withColumn("_shift", shift)
-    for v in [y, *xs]:
-        z = z.withColumn(f"_z_{v}", F.col(v) - F.col(f"_shift.{v}"))
-    pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(v).alias(f"mean_{v}") for v in [y, *xs]]
-    aggs += [F.covar_pop(f"_z_{a}", f"_z_{b}").alias(f"_c_{a}_{b}") for a, b in pairs]
-    aggs += [F.covar_pop(f"_z_{a}", f"_z_{y}").alias(f"_y_{a}") for a in xs]
-    g = z.groupBy(*keys).agg(*aggs).where(F.col("n") >= min_n)
-    cell = lambda a, b: F.col(f"_c_{a}_{b}") if (a, b) in pairs else F.col(f"_c_{b}_{a}")
-    g = g.withColumn("_b", solve_normal(F.array(*[cell(a, b) for a in xs for b in xs]), F.array(*[F.col(f"_y_{a}") for a in xs])))
-    return g.select(*keys, "n", *[f"mean_{v}" for v in [y, *xs]], *[F.get("_b", F.lit(i)).alias(f"b_{x}") for i, x in enumerate(xs)])
+    covariates = list(dict.fromkeys(v for xs in models.values() for v in xs))
+    m = Moments([y, *covariates])
+    part = F.when((F.col(x) >= lo) & (F.col(x) < mid), "low").when((F.col(x) >= mid) & (F.col(x) < hi), "high").otherwise("rest")
+    g = m.by_part(df, keys, part).withColumn("_m", m.total(F.col("parts")))
+    g = g.withColumns({"n": F.col("_m.n"), "_low": part_of(F.col("parts"), "low"), "_high": part_of(F.col("parts"), "high")})
+    g = g.where((F.col("n") >= min_n) & (F.col("_low.n") > least) & (F.col("_high.n") > least))
+    out = []
+    for name, xs in models.items():
+        res = m.residual(m.slopes(F.col("_m"), y, xs), y, xs)
+        side = {s: (m.mean_of(F.col(s), res), m.cross_of(F.col(s), res, res) / (F.col(f"{s}.n") - ddof) / F.col(f"{s}.n")) for s in ("_low", "_high")}
+        out.append(F.struct(F.lit(name).alias("model"), ((side["_high"][0] - side["_low"][0]) * scale).alias("slope"), (F.sqrt(side["_high"][1] + side["_low"][1]) * scale).alias("se")))
+    return g.select(*keys, "n", F.inline(F.array(*out)))
 
 
 def residuals(df: DataFrame, keys: list[str], y: str, xs: list[str], min_n: int = 0, recentre: bool = False, out: str = "res") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regrowth.functions import columns as fc
+from regrowth.functions.small_math import t_two_sided
 from regrowth.operators import aggregate as ag
 from regrowth.operators import binning as bn
 from regrowth.operators import bootstrap as bt
@@ -313,8 +314,23 @@ def sliced(spark, sf):
 
 @query("terrain_residual", P + SLICED + ",\n" + sweep_sql("gs", "slice", "lst", XS, "rs", "l_orderkey, l_linenumber, chm, elev") + f" SELECT slice, {n('count(*)', 'n')}, {r('sqrt(avg(res * res))', 'rms')}, {r('corr(res, chm)', 'r_chm')} FROM rs GROUP BY 1")
 def _(spark, sf):
-    rows = rg.residuals(sliced(spark, sf), ["slice"], "lst", XS, 500)
-    return rows.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("res") * F.col("res"))).alias("rms"), F.corr("res", "chm").alias("r_chm"))
+    return rg.residual_moments(sliced(spark, sf), ["slice"], "lst", XS, "chm", 500).select("slice", "n", "rms", F.col("r").alias("r_chm"))
+
+
+GROUND = {"low": (0.0, 1200.0), "middle": (1200.0, 2400.0), "high": (2400.0, 3601.0)}
+BANDED = ", bx AS (SELECT *, CASE WHEN elev < 1200 THEN 'low' WHEN elev < 2400 THEN 'middle' ELSE 'high' END AS band FROM px WHERE elev >= 0 AND elev < 3601)"
+CENTRED = ", rc AS (SELECT rb.*, res + avg(lst) OVER (PARTITION BY band) AS back FROM rb)"
+
+
+@query(
+    "terrain_recentred",
+    P + BANDED + ",\n" + sweep_sql("bx", "band", "lst", ["elev", *XS], "rb", "lst, chm") + CENTRED
+    + f" SELECT band, {n('count(*)', 'n')}, {r('avg(back)', 'mean')}, {r('sqrt(avg(back * back))', 'rms')}, {r('regr_slope(back, chm)', 'slope')}, {r('regr_intercept(back, chm)', 'intercept')}, {r('corr(back, chm)', 'r')} FROM rc GROUP BY 1 HAVING count(*) >= 2000",
+)
+def _(spark, sf):
+    """Height gradient of the residual about its band's own mean, with elevation among the covariates."""
+    rows = fx.pixel_sample(spark, sf).withColumn("band", bn.band_of("elev", [(k, *v) for k, v in GROUND.items()])).where(F.col("band").isNotNull())
+    return rg.residual_moments(rows, ["band"], "lst", ["elev", *XS], "chm", 2000, recentre=True)
 
 
 CONTRAST = "SELECT slice, count(*) AS n, (avg(res) FILTER (chm >= 25 AND chm < 30) - avg(res) FILTER (chm >= 20 AND chm < 25)) * 2 AS slope, 2 * sqrt(var_pop(res) FILTER (chm >= 20 AND chm < 25) / count(*) FILTER (chm >= 20 AND chm < 25) + var_pop(res) FILTER (chm >= 25 AND chm < 30) / count(*) FILTER (chm >= 25 AND chm < 30)) AS se FROM {src} GROUP BY 1 HAVING count(*) FILTER (chm >= 20 AND chm < 25) > 50 AND count(*) FILTER (chm >= 25 AND chm < 30) > 50"
@@ -334,20 +350,16 @@ P_SQL = "(SELECT 2 * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(p
     + f", w AS (SELECT 'without' AS model, * FROM ({CONTRAST.format(src='rs')}) UNION ALL SELECT 'with_elev', * FROM ({CONTRAST.format(src='re')})), pm AS (SELECT model, sum(slope / (se * se)) / sum(1 / (se * se)) AS pm FROM w GROUP BY 1), t0 AS (SELECT model, count(*) AS n, corr(slope, slice * 250 + 125) AS r FROM w GROUP BY 1), t AS (SELECT model, n, r * sqrt((n - 2) / (1 - r * r)) AS t FROM t0), tp AS (SELECT model, {P_SQL} AS tp FROM t) SELECT model, {n('count(*)', 'n')}, {r('sum(slope / (se * se)) / sum(1 / (se * se))', 'pooled')}, {r('sqrt(1 / sum(1 / (se * se)))', 'pooled_se')}, {r('regr_slope(slope, slice * 250 + 125) * 1000', 'trend')}, {r('sum(power(slope - pm, 2) / (se * se))', 'cochran_q')}, {r('any_value(tp)', 'trend_p')} FROM w JOIN pm USING (model) JOIN tp USING (model) GROUP BY 1",
 )
 def _(spark, sf):
-    rows = sliced(spark, sf)
-    out = []
-    for model, xs in (("without", XS), ("with_elev", [*XS, "elev"])):
-        res = rg.residuals(rows, ["slice"], "lst", xs, 500)
-        out.append(rg.window_contrast(res, ["slice"], "chm", "res", 20.0, 25.0, 30.0, 50, ddof=0).withColumn("model", F.lit(model)))
-    both = rk.union_all(out)
-    pooled = ag.pooled_by_variance(both, ["model"], "slope", "se").select("model", "n", "pooled", "pooled_se")
-    mid = (F.col("slice") * 250 + 125).cast("double")
-    trend = rg.slope_with_se(both.withColumn("mid", mid), ["model"], "mid", "slope")
-    trend = trend.select("model", (F.col("slope") * 1000).alias("trend"), F.col("p").alias("trend_p"))
-    # spread of the slices about their pooled value: Q = sum of w v^2 - (sum of w v)^2 / sum of w
-    w, v = 1 / (F.col("se") * F.col("se")), F.col("slope")
-    spread = both.groupBy("model").agg((F.sum(w * v * v) - F.sum(w * v) * F.sum(w * v) / F.sum(w)).alias("cochran_q"))
-    return pooled.join(trend, "model").join(spread, "model")
+    both = rg.residual_windows(sliced(spark, sf), ["slice"], "lst", {"without": XS, "with_elev": [*XS, "elev"]}, "chm", 20.0, 25.0, 30.0, 50, ddof=0, min_n=500)
+    # pooled value, trend over the slices' heights and spread about the pooled value, all in one aggregate
+    w, v, mid = 1 / (F.col("se") * F.col("se")), F.col("slope"), (F.col("slice") * 250 + 125).cast("double")
+    count = F.count(F.lit(1))
+    g = both.groupBy("model").agg(
+        count.alias("n"), (F.sum(w * v) / F.sum(w)).alias("pooled"), F.sqrt(1 / F.sum(w)).alias("pooled_se"), (F.regr_slope(v, mid) * 1000).alias("trend"),
+        F.corr(v, mid).alias("_r"), (F.sum(w * v * v) - F.sum(w * v) * F.sum(w * v) / F.sum(w)).alias("cochran_q"),
+    )
+    df = (F.col("n") - 2).cast("double")
+    return g.withColumn("trend_p", t_two_sided(F.col("_r") * F.sqrt(df / (1 - F.col("_r") * F.col("_r"))), df)).drop("_r")
 
 
 ANOM = ", md AS (SELECT slice, median(res) AS m FROM rs WHERE chm >= 24 AND chm < 26 GROUP BY 1), an AS (SELECT rs.*, res - m AS anom FROM rs JOIN md USING (slice))"
