@@ -3,19 +3,20 @@
 Drawing units with replacement equals giving each unit a count, so a replicate is a weighted sum of per-unit
 sums and rows are never duplicated. Two schemes:
 
-* multinomial: N draws out of N units per replicate, counts add up to N (needs N*B draw rows);
-* poisson: an independent Poisson(1) count per unit and replicate, drawn in place (``poisson_cells``): one exchange of
-  the unit sums by unit, one of the replicates' sums. Use it when N*B is too large to shuffle.
+* multinomial: N draws out of N units per replicate, counts add up to N;
+* poisson: an independent Poisson(1) count per unit and replicate.
 
+Both run where the units' sums are (``replicates``): what is shuffled afterwards is a vector of B numbers per task and cell.
 Draws come from md5 of the keys, so results do not depend on partitioning or retries.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from regrowth.functions.draws import poisson_count, uniform
-from regrowth.operators.ranking import hashed_rank
+from regrowth.operators.replicates import multinomial_table, replicate_sums
+from regrowth.session import materialise
 
 #: Replicates of the method's intervals by what they are for; every query takes its number from here.
 REPLICATES = {"clocks": 300, "strata": 120, "event": 400, "within": 400, "bins": 200}
@@ -31,13 +32,9 @@ def _poisson_draws(unit: str, n_boot: int, seed: str):
 
 def replicate_weights(units: DataFrame, unit: str, n_boot: int, seed: str, scheme: str = "multinomial") -> DataFrame:
     """(unit, rep, w) with w > 0 for each unit of ``units`` (distinct, one column)."""
-    reps = F.sequence(F.lit(1), F.lit(n_boot))
     if scheme == "poisson":
         return units.select(unit).select(unit, F.inline(_poisson_draws(unit, n_boot, seed)))
-    ranked = hashed_rank(units.select(unit), unit, "_rank", "_total")
-    draws = ranked.withColumn("rep", F.explode(reps)).withColumn("_pick", F.floor(uniform(F.lit(seed), "_rank", "rep") * F.col("_total")))
-    counts = draws.groupBy("rep", "_pick").agg(F.count(F.lit(1)).alias("w"))
-    return counts.join(ranked.select(unit, F.col("_rank").alias("_pick")), "_pick").select(unit, "rep", "w")
+    return multinomial_table(units, unit, n_boot, seed)
 
 
 def unit_sums(df: DataFrame, unit: str, keys: list[str], value: str) -> DataFrame:
@@ -50,35 +47,43 @@ def unit_sums(df: DataFrame, unit: str, keys: list[str], value: str) -> DataFram
     )
 
 
-def _replicate_means(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per (rep, cell): n, mean and SE that duplicated rows would give; weights are combined before the shuffle."""
-    w = F.col("w")
-    agg = rows.groupBy("rep", *keys).agg(
-        F.sum(w * F.col("n")).alias("n"), F.sum(w * F.col("s1")).alias("_s1"), F.sum(w * F.col("s2")).alias("_s2")
-    )
-    mean = F.col("_s1") / F.col("n")
-    var = (F.col("_s2") - F.col("n") * mean * mean) / (F.col("n") - 1)
-    return (
-        agg.withColumn("mean", mean)
-        .withColumn("se", F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0)) / F.col("n"))))
-        .drop("_s1", "_s2")
-    )
+def _means(sums: DataFrame) -> DataFrame:
+    """n, s1, s2 as n, mean and the SE that duplicated rows would give."""
+    mean = F.col("s1") / F.col("n")
+    var = (F.col("s2") - F.col("n") * mean * mean) / (F.col("n") - 1)
+    rows = sums.withColumns({"n": F.col("n").cast("long"), "mean": mean, "se": F.when(F.col("n") > 1, F.sqrt(F.greatest(var, F.lit(0.0)) / F.col("n")))})
+    return rows.drop("s1", "s2")
 
 
 def weighted_cells(sums: DataFrame, weights: DataFrame, unit: str, keys: list[str]) -> DataFrame:
-    """Replicate means with weights from a table."""
-    return _replicate_means(sums.join(weights, unit), keys)
+    """Replicate means with weights from a table; weights are combined before the shuffle."""
+    w = F.col("w")
+    rows = sums.join(weights, unit).groupBy("rep", *keys).agg(*[F.sum(w * F.col(s)).alias(s) for s in ("n", "s1", "s2")])
+    return _means(rows)
+
+
+def replicate_cells(sums: DataFrame, unit: str, keys: list[str], n_boot: int, seed: str, scheme: str) -> DataFrame:
+    """Replicate means of cells: rep, keys, n, mean, se."""
+    return _means(replicate_sums(sums, unit, keys, ["n", "s1", "s2"], n_boot, seed, scheme)).drop("draws", "n_units")
 
 
 def poisson_cells(sums: DataFrame, unit: str, keys: list[str], n_boot: int, seed: str) -> DataFrame:
-    """Replicate means with Poisson weights drawn in place.
+    """Replicate means with Poisson weights."""
+    return replicate_cells(sums, unit, keys, n_boot, seed, "poisson")
+
+
+def statistic(df: DataFrame, unit: str, keys: list[str], terms: dict[str, Column], value: Column, n_boot: int, seed: str, scheme: str = "multinomial") -> DataFrame:
+    """An own statistic with its bootstrap interval by keys.
 
-    A unit's few cells meet in one row, its weights are drawn there once, and every cell takes part in the replicates that drew
-    the unit: one exchange by unit, no weight table and no join.
+    ``terms`` are row expressions that are summed (a null counts as 0); ``value`` is any expression of the summed names. Returns
+    keys, ``point`` and the columns of ``interval``.
     """
-    cells = sums.groupBy(unit).agg(F.collect_list(F.struct(*keys, "n", "s1", "s2")).alias("_cells"))
-    drawn = cells.select("_cells", F.explode(_poisson_draws(unit, n_boot, seed)).alias("_d"))
-    return _replicate_means(drawn.select(F.col("_d.rep").alias("rep"), F.col("_d.w").alias("w"), F.inline("_cells")), keys)
+    named = {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in terms.items()}
+    sums = materialise(df.groupBy(unit, *keys).agg(*[F.sum(v).alias(k) for k, v in named.items()]), "unit-terms")
+    point = sums.groupBy(*keys).agg(*[F.sum(k).alias(k) for k in named]).select(*keys, value.alias("point"))
+    reps = replicate_sums(sums, unit, keys, list(named), n_boot, seed, scheme).select("rep", *keys, value.alias("_value"))
+    band = interval(reps, keys, "_value")
+    return point.join(band, keys) if keys else point.crossJoin(band)  # one row each
 
 
 def interval(df: DataFrame, keys: list[str], value: str, centre: float | None = 0.0, least: int = 1) -> DataFrame:

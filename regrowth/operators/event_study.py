@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from regrowth.functions.columns import half_even
 from regrowth.functions.small_math import chi2_tail, inverse_form
-from regrowth.operators.bootstrap import interval, replicate_weights, unit_sums, weighted_cells
+from regrowth.operators.bootstrap import interval, unit_sums
+from regrowth.operators.replicates import replicate_sums
 from regrowth.operators.reshape import net_of_reference, reference_lookup
 from regrowth.session import materialise
 
@@ -32,11 +33,11 @@ def points_by_k(sums: DataFrame, unit: str, keys: list[str], min_n: int = 25) ->
 
 
 def replicate_curve(sums: DataFrame, unit: str, keys: list[str], n_boot: int, seed: str, min_n: int, scheme: str = "multinomial") -> DataFrame:
-    """Mean beta per (rep, keys, k); one weight per unit and replicate serves every k, so replicates are joint."""
+    """Mean beta per (rep, keys, k); one weight per unit and replicate serves every k, so replicates are joint. Units whose k are
+    all thin still take their draws."""
     cells = points_by_k(sums, unit, keys, min_n).select(*keys, "k")
-    weights = replicate_weights(sums.select(unit).distinct(), unit, n_boot, seed, scheme)
-    kept = sums.join(cells, [*keys, "k"], "left_semi")
-    return weighted_cells(kept, weights, unit, [*keys, "k"]).select("rep", *keys, "k", F.col("mean").alias("beta"))
+    reps = replicate_sums(sums, unit, [*keys, "k"], ["n", "s1"], n_boot, seed, scheme)
+    return reps.join(cells, [*keys, "k"], "left_semi").select("rep", *keys, "k", (F.col("s1") / F.col("n")).alias("beta"))
 
 
 def curve(rows: DataFrame, unit: str, keys: list[str], n_boot: int, seed: str, min_n: int = 25, scheme: str = "multinomial") -> DataFrame:

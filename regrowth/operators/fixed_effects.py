@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from regrowth.functions.small_math import solve_normal
 from regrowth.operators.moments import Moments
+from regrowth.operators.replicates import replicate_sums
+from regrowth.session import materialise
 
 MIN_OBS, MIN_SPAN = 4, 4.0  # fixed values: observations and years a unit must cover
 
@@ -37,31 +43,88 @@ def within_slope(sums: DataFrame) -> DataFrame:
     )
 
 
-def tau_by_grid(df: DataFrame, unit: str, y: str, age: str, lo: float = 1.0, hi: float = 60.0, step: float = 0.25, chunk: int = 8) -> DataFrame:
-    """tau that minimises the squared error with a free amplitude per unit.
+def tau_grid(lo: float = 1.0, hi: float = 60.0, step: float = 0.25) -> list[float]:
+    return [lo + i * step for i in range(int(round((hi - lo) / step)) + 1)]
+
+
+#: Places of a unit's vector before its costs: rows, Sgy, Sgg, Say, Saa about the unit means (g = exp(-age / tau), a = age).
+WITHIN = ("n", "sgy", "sgg", "say", "saa")
+
+
+def unit_vectors(df: DataFrame, unit: str, y: str, age: str, taus: list[float], shape_tau: Column | float = 1.0) -> DataFrame:
+    """(unit, v): the within-unit sums named in ``WITHIN``, then for every tau the squared error with a free amplitude,
+    Syy - Syw^2 / Sww with w = exp(-age / tau).
 
-    SSR(tau) = sum over units of (Syy - Syw^2 / Sww). The grid is cut into chunks and a row carries one chunk of
-    sums, so rows multiply by the number of chunks rather than of grid points and combine before the shuffle.
+    Rows of one age are added up first, so a unit is as many numbers as it has different ages, however many rows it has.
     """
-    n_grid = int(round((hi - lo) / step)) + 1
-    n_chunks = -(-n_grid // chunk)
-    rows = df.select(unit, F.col(y).alias("_y"), F.col(age).alias("_a")).withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-    aggs = [F.sum(F.col("_y") * F.col("_y")).alias("_yy")]
-    for j in range(chunk):
-        tau = F.lit(lo) + (F.col("_c") * chunk + j) * F.lit(step)
-        w = F.exp(-F.col("_a") / tau)
-        aggs += [F.sum(F.col("_y") * w).alias(f"_n{j}"), F.sum(w * w).alias(f"_d{j}")]
-    per_unit = rows.groupBy(unit, "_c").agg(*aggs)
-    cost = [
-        F.sum(F.col("_yy") - F.when(F.col(f"_d{j}") > 1e-12, F.col(f"_n{j}") * F.col(f"_n{j}") / F.col(f"_d{j}")).otherwise(0.0)).alias(f"_s{j}")
-        for j in range(chunk)
-    ]
-    per_chunk = per_unit.groupBy("_c").agg(*cost)
-    points = F.array(
-        *[F.struct((F.lit(lo) + (F.col("_c") * chunk + j) * F.lit(step)).alias("tau"), F.col(f"_s{j}").alias("ssr")) for j in range(chunk)]
+    yv = F.col(y)
+    ages = df.where(yv.isNotNull()).groupBy(unit, F.col(age).cast("double").alias("a")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(yv).alias("s"), F.sum(yv * yv).alias("q"))
+    units = ages.groupBy(unit).agg(F.sort_array(F.collect_list(F.struct("a", "n", "s", "q"))).alias("_p"))
+    units = units.withColumn("_t", F.lit(shape_tau) if isinstance(shape_tau, float) else shape_tau)
+    kind, grid = df.schema[unit].dataType, np.array(taus)
+    schema = T.StructType([T.StructField(unit, kind), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for points, tau in zip(batch.column("_p").to_pylist(), batch.column("_t").to_pylist(), strict=True):
+                a, n, s, q = (np.array([p[k] for p in points]) for k in ("a", "n", "s", "q"))
+                g, total = np.exp(-a / tau), n.sum()
+                gw, aw, yw = g - n @ g / total, a - n @ a / total, s - n * (s.sum() / total)
+                w = np.exp(-a[:, None] / grid)
+                num, den = s @ w, n @ (w * w)
+                cost = q.sum() - np.where(den > 1e-12, num * num / np.maximum(den, 1e-12), 0.0)
+                out.append(np.concatenate([[total, yw @ gw, n @ (gw * gw), yw @ aw, n @ (aw * aw)], cost]))
+            yield pa.RecordBatch.from_arrays([batch.column(unit), pa.array(out, pa.list_(pa.float64()))], [unit, "v"])
+
+    return units.mapInArrow(run, schema)
+
+
+def vector_total(units: DataFrame, v: str = "v") -> DataFrame:
+    """One row: the arrays added up element by element, combined in each task before the shuffle."""
+    sums = units.select(F.posexplode(v).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    return sums.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias(v))
+
+
+def best_tau(costs: Column, taus: list[float]) -> Column:
+    """The tau of the least cost (to nine digits); ties go to the smallest."""
+    pairs = F.zip_with(costs, F.array(*[F.lit(t) for t in taus]), lambda c, t: F.struct(F.round(c, 9).alias("c"), t.alias("t")))
+    return F.array_min(pairs)["t"]
+
+
+def tau_by_grid(df: DataFrame, unit: str, y: str, age: str, lo: float = 1.0, hi: float = 60.0, step: float = 0.25) -> DataFrame:
+    """tau that minimises the squared error with a free amplitude per unit, and that error."""
+    taus = tau_grid(lo, hi, step)
+    costs = vector_total(unit_vectors(df, unit, y, age, taus)).select(F.slice("v", len(WITHIN) + 1, len(taus)).alias("c")).where(F.size("c") > 0)
+    return costs.select(best_tau(F.col("c"), taus).alias("tau_fe"), F.array_min("c").alias("ssr"))
+
+
+def within_intervals(df: DataFrame, unit: str, y: str, age: str, clock: DataFrame, n_boot: int, n_boot_tau: int, seed: str) -> DataFrame:
+    """Within-unit share of the pooled curve, slope in age and tau, each with its bootstrap interval over units; one row.
+
+    ``clock`` is one row (tau, amp) of the pooled fit. Shape slopes and costs of a replicate are weighted sums of the units'
+    vectors; tau is searched in steps of 0.25 for the point and 0.5 for the first ``n_boot_tau`` replicates.
+    """
+    taus, k = tau_grid(), len(WITHIN)
+    clock = materialise(clock.select("tau", "amp"), "clock")
+    tau, amp = clock.select("tau").scalar(), clock.select("amp").scalar()
+    units = materialise(unit_vectors(df, unit, y, age, taus, tau), "unit-vectors")
+    at = lambda name: F.get("v", F.lit(WITHIN.index(name)))
+    costs = F.slice("v", k + 1, len(taus))
+    pooled_slope = df.where(F.col(y).isNotNull()).select(F.avg(-amp / tau * F.exp(-F.col(age) / tau))).scalar()
+    point = vector_total(units).select(
+        at("n").cast("long").alias("n_rows"), (at("sgy") / at("sgg")).alias("beta"), (at("say") / at("saa")).alias("slope"), best_tau(costs, taus).alias("tau_fe"))
+    coarse = F.filter(costs, lambda c, i: i % 2 == 0)
+    reps = replicate_sums(units, unit, [], ["v"], n_boot, seed).select(
+        (at("sgy") / at("sgg")).alias("beta"), (at("say") / at("saa")).alias("slope"), F.when(F.col("rep") <= n_boot_tau, best_tau(coarse, taus[::2])).alias("tau"))
+    q = lambda c, p, name: F.percentile(c, F.lit(p)).alias(name)
+    band = reps.agg(
+        F.count("beta").alias("n_boot"), q("beta", 0.025, "beta_lo"), q("beta", 0.975, "beta_hi"), q("slope", 0.025, "slope_lo"), q("slope", 0.975, "slope_hi"),
+        q("tau", 0.025, "tau_lo"), q("tau", 0.975, "tau_hi"), F.count("tau").alias("n_boot_tau"), F.avg((F.signum("beta") == F.signum(amp)).cast("double")).alias("p_same_sign"),
     )
-    grid = per_chunk.select(F.inline(points)).where(F.col("tau") <= hi + 1e-9)
-    return grid.agg(F.min_by("tau", F.struct(F.round("ssr", 9), "tau")).alias("tau_fe"), F.min("ssr").alias("ssr"))
+    rows = point.withColumn("_b", band.select(F.struct("*")).scalar()).withColumns({"n_units": units.select(F.count(F.lit(1))).scalar(), "tau_pooled": tau, "amp_pooled": amp, "pooled_slope": pooled_slope})
+    rows = rows.select(*rows.drop("_b").columns, "_b.*").where(F.col("n_rows").isNotNull())
+    return rows.withColumns({"frac": F.col("beta") / F.col("amp_pooled"), "frac_lo": F.col("beta_lo") / F.col("amp_pooled"), "frac_hi": F.col("beta_hi") / F.col("amp_pooled")})
 
 
 def listed(period: str, periods: list[str]):
@@ -151,10 +214,9 @@ def cross_sums(df: DataFrame, unit: str, bins: str, y: str, x: str) -> DataFrame
     )
 
 
-def bootstrap_slope_given_bins(sums: DataFrame, weights: DataFrame, unit: str, bins: str) -> DataFrame:
+def bootstrap_slope_given_bins(sums: DataFrame, unit: str, bins: str, n_boot: int, seed: str, scheme: str = "poisson") -> DataFrame:
     """The within-bin slope of every replicate."""
-    w = F.col("w")
-    cells = sums.join(weights, unit).groupBy("rep", bins).agg(*[F.sum(w * F.col(s)).alias(s) for s in ("n", "sy", "sx", "sxy", "sxx")])
+    cells = replicate_sums(sums, unit, [bins], ["n", "sy", "sx", "sxy", "sxx"], n_boot, seed, scheme)
     num = F.sum(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"))
     den = F.sum(F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))
     return cells.groupBy("rep").agg((num / den).alias("beta"))

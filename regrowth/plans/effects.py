@@ -11,6 +11,7 @@ from regrowth.operators import binning as bn
 from regrowth.operators import bootstrap as bt
 from regrowth.operators import did
 from regrowth.operators import event_study as es
+from regrowth.operators import fitting as ft
 from regrowth.operators import fixed_effects as fe
 from regrowth.operators import models as ml
 from regrowth.operators import quantiles as qt
@@ -22,6 +23,7 @@ from regrowth.plans.joins_and_windows import KEEP, PREPOST
 from regrowth.plans.recovery import EV, event_post, multinomial_sql, poisson_sql
 from regrowth.plans.registry import n, query, r
 from regrowth.plans.sources_and_panel import AREA, ELEV, NET
+from regrowth.plans.sql_fit import MELT, bins_sql, fit_sql
 from regrowth.session import materialise
 from regrowth.streaming import accumulate as st
 
@@ -175,8 +177,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     sums = materialise(bt.unit_sums(es_rows(spark, sf).where(F.col("k") <= -2), "pid", [], "beta"), "lead-sums")
-    w = bt.replicate_weights(sums.select("pid"), "pid", B, "l")
-    reps = bt.weighted_cells(sums, w, "pid", [])
+    reps = bt.replicate_cells(sums, "pid", [], B, "l", "multinomial")
     band = reps.agg(F.percentile("mean", F.lit(0.025)).alias("lo"), F.percentile("mean", F.lit(0.975)).alias("hi"))
     point = sums.agg(F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_unit"), (F.sum("s1") / F.sum("n")).alias("mean")).alias("p")).scalar()
     return band.withColumn("p", point).select("p.*", "lo", "hi")
@@ -221,18 +222,45 @@ def _(spark, sf):
     return fe.tau_by_grid(fe_rows(spark, sf), "pid", "dlst", "age")
 
 
-@query(
-    "fe_bootstrap",
-    L + FE + SHAPE + ", us AS (SELECT pid, sum(yw * gw) AS sxy, sum(gw * gw) AS sxx FROM dm GROUP BY 1),\n" + multinomial_sql("SELECT DISTINCT pid FROM us", "pid", bt.REPLICATES["within"], "f")
-    + f", rp AS (SELECT rep, sum(w * sxy) / sum(w * sxx) AS beta FROM us JOIN wt USING (pid) GROUP BY 1) SELECT {n('count(*)', 'n_boot')}, {r('(SELECT sum(sxy) / sum(sxx) FROM us)', 'beta')}, {r('(SELECT sum(sxy) / sum(sxx) FROM us) / 3.0', 'frac')}, {r('quantile_cont(beta, 0.025)', 'lo')}, {r('quantile_cont(beta, 0.975)', 'hi')}, {r('avg(CASE WHEN beta > 0 THEN 1.0 ELSE 0.0 END)', 'p_gt0')} FROM rp",
-)
+TAU_BOOT = 150  # replicates of the tau search
+
+
+def within_sql() -> str:
+    """Both measures: pooled fit, units' sums and costs, weights of each measure's units, statistics of the replicates."""
+    kept = "SELECT measure, pid FROM ml WHERE src = 'event' GROUP BY ALL HAVING count(*) >= 4 AND max(age) - min(age) >= 4"
+    bins = bins_sql("(SELECT * FROM ml WHERE src = 'event')", "measure", "y", 12)
+    weights = ",\n".join(multinomial_sql(f"SELECT pid FROM ku WHERE measure = '{m}'", "pid", bt.REPLICATES["within"], f"f-{m}", f"w_{m}") for m in ("dlst", "dndvi"))
+    return (
+        L + ", " + MELT + ",\n" + fit_sql(bins, "measure", "f") + f", ku AS ({kept}), fm AS (SELECT measure, pid, age, y, exp(-age / tau) AS g FROM ml JOIN ku USING (measure, pid) JOIN f USING (measure) WHERE src = 'event'),\n"
+        "dm AS (SELECT measure, pid, y - avg(y) OVER w AS y, g - avg(g) OVER w AS g, age - avg(age) OVER w AS a FROM fm WINDOW w AS (PARTITION BY measure, pid)),\n"
+        "us AS (SELECT measure, pid, count(*) AS n, sum(y * g) AS gy, sum(g * g) AS gg, sum(y * a) AS ay, sum(a * a) AS aa FROM dm GROUP BY ALL),\n"
+        "gr AS (SELECT i, 1.0::DOUBLE + i * 0.25::DOUBLE AS tau FROM (SELECT unnest(range(0, 237)) AS i)),\n"
+        "co AS (SELECT measure, pid, i, gr.tau, sum(y * y) - CASE WHEN sum(exp(-2 * age / gr.tau)) > 1e-12 THEN power(sum(y * exp(-age / gr.tau)), 2) / sum(exp(-2 * age / gr.tau)) ELSE 0 END AS cost FROM fm, gr GROUP BY ALL),\n"
+        + weights + ",\nwt AS (SELECT 'dlst' AS measure, * FROM w_dlst UNION ALL SELECT 'dndvi', * FROM w_dndvi),\n"
+        f"rt AS (SELECT measure, rep, tau, sum(w * cost) AS c FROM co JOIN wt USING (measure, pid) WHERE i % 2 = 0 AND rep <= {TAU_BOOT} GROUP BY ALL),\n"
+        "rb AS (SELECT measure, rep, arg_min(tau, round(c, 9) * 1e3 + tau * 1e-9) AS tau FROM rt GROUP BY ALL),\n"
+        "rp AS (SELECT measure, rep, sum(w * gy) / sum(w * gg) AS beta, sum(w * ay) / sum(w * aa) AS slope FROM us JOIN wt USING (measure, pid) GROUP BY ALL),\n"
+        "pt AS (SELECT measure, sum(n) AS n_rows, count(*) AS n_units, sum(gy) / sum(gg) AS beta, sum(ay) / sum(aa) AS slope FROM us GROUP BY ALL),\n"
+        "ct AS (SELECT measure, arg_min(tau, round(c, 9) * 1e3 + tau * 1e-9) AS tau FROM (SELECT measure, tau, sum(cost) AS c FROM co GROUP BY ALL) GROUP BY ALL),\n"
+        "ps AS (SELECT measure, avg(-amp / tau * exp(-age / tau)) AS s FROM fm JOIN f USING (measure) GROUP BY ALL)\n"
+        f"SELECT measure, {n('any_value(pt.n_rows)', 'n_rows')}, {n('any_value(pt.n_units)', 'n_units')}, {n('count(rp.beta)', 'n_boot')}, {n('count(rb.tau)', 'n_boot_tau')}, {r('any_value(f.tau)', 'tau_pooled', 3)}, {r('any_value(f.amp)', 'amp_pooled', 3)}, "
+        f"{r('any_value(ps.s)', 'pooled_slope', 3)}, {r('any_value(pt.beta)', 'beta', 3)}, {r('quantile_cont(rp.beta, 0.025)', 'beta_lo', 3)}, {r('quantile_cont(rp.beta, 0.975)', 'beta_hi', 3)}, {r('any_value(pt.beta / f.amp)', 'frac', 3)}, "
+        f"{r('quantile_cont(rp.beta, 0.025) / any_value(f.amp)', 'frac_lo', 3)}, {r('quantile_cont(rp.beta, 0.975) / any_value(f.amp)', 'frac_hi', 3)}, {r('any_value(pt.slope)', 'slope', 3)}, {r('quantile_cont(rp.slope, 0.025)', 'slope_lo', 3)}, "
+        f"{r('quantile_cont(rp.slope, 0.975)', 'slope_hi', 3)}, {r('any_value(ct.tau)', 'tau_fe', 3)}, {r('quantile_cont(rb.tau, 0.025)', 'tau_lo', 3)}, {r('quantile_cont(rb.tau, 0.975)', 'tau_hi', 3)}, {r('avg(CASE WHEN sign(rp.beta) = sign(f.amp) THEN 1.0 ELSE 0 END)', 'p_same_sign', 3)}\n"
+        "FROM rp LEFT JOIN rb USING (measure, rep) JOIN pt USING (measure) JOIN f USING (measure) JOIN ct USING (measure) JOIN ps USING (measure) GROUP BY measure"
+    )
+
+
+@query("fe_bootstrap", within_sql(), 3)
 def _(spark, sf):
-    sums = materialise(fe.unit_cross_sums(fe_rows(spark, sf), "pid", "dlst", "shape"), "within-sums")
-    w = bt.replicate_weights(sums.select("pid"), "pid", bt.REPLICATES["within"], "f")
-    reps = sums.join(w, "pid").groupBy("rep").agg((F.sum(F.col("w") * F.col("sxy")) / F.sum(F.col("w") * F.col("sxx"))).alias("beta"))
-    band = bt.interval(reps, [], "beta").select("n_boot", "lo", "hi", F.col("p_gt").alias("p_gt0"))
-    beta = fe.within_slope(sums).select("beta").scalar()
-    return band.withColumn("beta", beta).withColumn("frac", F.col("beta") / 3.0)
+    """Within-unit share, slope and tau with their intervals for both measures; shape and amplitude from the pooled fit."""
+    out = []
+    for m in ("dlst", "dndvi"):
+        rows = event_post(spark, sf).where(F.col(m).isNotNull())
+        clock = ft.recovery_fit(rows.withColumn("one", F.lit(0)), ["one"], m)
+        kept = fe.long_enough(rows, "pid")
+        out.append(fe.within_intervals(kept, "pid", m, "age", clock, bt.REPLICATES["within"], TAU_BOOT, f"f-{m}").withColumn("measure", F.lit(m)))
+    return rk.union_all(out)
 
 
 def two_way_sql(periods: list[str], carry: str = "") -> str:
@@ -282,9 +310,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = harsh_rows(spark, sf)
-    sums = materialise(fe.cross_sums(rows, "pid", "ab", "dlst", "harsh"), "bin-sums")
-    w = bt.replicate_weights(sums.select("pid").distinct(), "pid", bt.REPLICATES["bins"], "h", "poisson")
-    return bt.interval(fe.bootstrap_slope_given_bins(sums, w, "pid", "ab"), [], "beta").drop("p_gt")
+    reps = fe.bootstrap_slope_given_bins(fe.cross_sums(rows, "pid", "ab", "dlst", "harsh"), "pid", "ab", bt.REPLICATES["bins"], "h")
+    return bt.interval(reps, [], "beta").drop("p_gt")
 
 
 # ---------------- grouped regression ----------------

@@ -12,6 +12,7 @@ from regrowth.operators import bootstrap as bt
 from regrowth.operators import fitting as ft
 from regrowth.operators import quantiles as qt
 from regrowth.operators import reshape as rs
+from regrowth.operators.replicates import replicate_sums
 from regrowth.plans import fixtures as fx
 from regrowth.plans.registry import n, query, r
 from regrowth.plans.sources_and_panel import size_classes, strata_sql, usual_strata
@@ -32,10 +33,31 @@ def poisson_sql(units: str, unit: str, n_boot: int, seed: str, out: str = "wt")
 
 
 def multinomial_sql(units: str, unit: str, n_boot: int, seed: str, out: str = "wt") -> str:
-    u = u_sql(f"'{seed}-' || rk || '-' || rep")
+    """Weights of N draws of N units: the draws are split over 8 slices of the units down a binary tree, then drawn in a slice.
+
+    Eight slices serve up to 2**19 units, as in ``replicates.unit_slices``.
+    """
+    u = lambda parts: u_sql(f"'{seed}-' || {parts}")
+    levels, t = [], out
+    for level in range(3):
+        prev = f"{t}_c{level}"
+        span = 8 >> level  # slices below a node
+        size = lambda lo, hi: f"(SELECT coalesce(sum(n), 0) FROM {t}_z WHERE slice >= {lo} AND slice < {hi})"  # noqa: E731, B023
+        levels.append(
+            f"{t}_p{level} AS (SELECT node, {size(f'node * {span}', f'node * {span} + {span // 2}')}::DOUBLE / nullif({size(f'node * {span}', f'(node + 1) * {span}')}, 0) AS p FROM (SELECT DISTINCT node FROM {prev})),\n"
+            f"{t}_d{level} AS (SELECT rep, node, m, p, k, exp(lgamma(m + 1) - lgamma(k + 1) - lgamma(m - k + 1) + k * ln(p) + (m - k) * ln(1 - p)) AS f FROM (SELECT rep, node, m, p, unnest(range(0, m + 1)) AS k FROM {prev} JOIN {t}_p{level} USING (node) WHERE p > 0 AND p < 1)),\n"
+            f"{t}_q{level} AS (SELECT rep, node, min(k) AS k FROM (SELECT rep, node, k, sum(f) OVER (PARTITION BY rep, node ORDER BY k) AS below FROM {t}_d{level}) WHERE below >= {u(f"'split-{level}-' || node || '-' || rep")} GROUP BY 1, 2),\n"
+            f"{t}_l{level} AS (SELECT rep, node, m, coalesce(k, CASE WHEN p >= 1 THEN m ELSE 0 END) AS k FROM {prev} LEFT JOIN {t}_q{level} USING (rep, node) LEFT JOIN {t}_p{level} USING (node)),\n"
+            f"{t}_c{level + 1} AS (SELECT rep, 2 * node AS node, k AS m FROM {t}_l{level} UNION ALL SELECT rep, 2 * node + 1, m - k FROM {t}_l{level})"
+        )
     return (
-        f"{out}_r AS (SELECT {unit}, row_number() OVER (ORDER BY md5({unit}::VARCHAR), {unit}) - 1 AS rk, count(*) OVER () AS total FROM ({units})),\n"
-        f"{out} AS (SELECT {unit}, rep, w FROM (SELECT rep, CAST(floor({u} * total) AS BIGINT) AS rk, count(*) AS w FROM {out}_r, (SELECT unnest(range(1, {n_boot + 1})) AS rep) GROUP BY 1, 2) JOIN {out}_r USING (rk))"
+        f"{t}_u AS (SELECT {unit}, ('0x' || substr(md5({unit}::VARCHAR), 1, 8))::UBIGINT % 8 AS slice FROM ({units})),\n"
+        f"{t}_r AS (SELECT {unit}, CAST(slice AS BIGINT) AS slice, row_number() OVER (PARTITION BY slice ORDER BY md5({unit}::VARCHAR), {unit}::VARCHAR) - 1 AS rk FROM {t}_u),\n"
+        f"{t}_z AS (SELECT slice, count(*) AS n FROM {t}_r GROUP BY 1),\n"
+        f"{t}_c0 AS (SELECT rep, 0::BIGINT AS node, (SELECT count(*) FROM {t}_r) AS m FROM (SELECT unnest(range(1, {n_boot + 1})) AS rep)),\n"
+        + ",\n".join(levels)
+        + f",\n{t}_k AS (SELECT rep, node AS slice, CAST(floor({u("rep || '-' || node || '-' || j")} * n) AS BIGINT) AS rk FROM (SELECT rep, node, n, unnest(range(0, m)) AS j FROM {t}_c3 JOIN {t}_z ON node = slice)),\n"
+        + f"{t} AS (SELECT {unit}, rep, count(*) AS w FROM {t}_k JOIN {t}_r USING (slice, rk) GROUP BY 1, 2)"
     )
 
 
@@ -119,12 +141,7 @@ def _(spark, sf):
 def boot_fits(spark, sf, seed: str, scheme: str):
     ev = event_post(spark, sf).withColumn("bin", bn.age_bin())
     sums = bt.unit_sums(bn.long_measures(ev, ["dlst", "dndvi"]), "pid", ["measure", "bin"], "y")
-    if scheme == "poisson":
-        cells = bt.poisson_cells(sums, "pid", ["measure", "bin"], BOOT, seed)
-    else:
-        sums = materialise(sums, "bin-sums")
-        cells = bt.weighted_cells(sums, bt.replicate_weights(sums.select("pid").distinct(), "pid", BOOT, seed, scheme), "pid", ["measure", "bin"])
-    cells = cells.withColumn("centre", bn.bin_centre())
+    cells = bt.replicate_cells(sums, "pid", ["measure", "bin"], BOOT, seed, scheme).withColumn("centre", bn.bin_centre())
     return ft.fit_bins(cells, ["rep", "measure"])
 
 
@@ -134,11 +151,8 @@ def boot_fits(spark, sf, seed: str, scheme: str):
 )
 def _(spark, sf):
     ev = event_post(spark, sf)
-    sums = materialise(bt.unit_sums(ev, "pid", [], "dlst"), "unit-sums")
-    w = bt.replicate_weights(sums.select("pid"), "pid", BOOT, "m")
-    return sums.join(w, "pid").groupBy("rep").agg(
-        F.sum("w").alias("draws"), F.count(F.lit(1)).alias("n_units"), (F.sum(F.col("w") * F.col("s1")) / F.sum(F.col("w") * F.col("n"))).alias("mean")
-    )
+    reps = replicate_sums(bt.unit_sums(ev, "pid", [], "dlst"), "pid", [], ["n", "s1"], BOOT, "m")
+    return reps.select("rep", "draws", "n_units", (F.col("s1") / F.col("n")).alias("mean"))
 
 
 @query(
