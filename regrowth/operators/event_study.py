@@ -53,6 +53,7 @@ def wald_of_leads(points: DataFrame, reps: DataFrame) -> DataFrame:
 
     Replicates are B x (number of leads) rows, whatever the size of the panel.
     """
+    reps = materialise(reps.select("rep", "k", "beta"), "lead-replicates")  # read by both sides of the covariance
     leads = points.where(F.col("k") <= -2)
     n_leads = leads.agg(F.count(F.lit(1))).scalar()
     full = reps.join(leads.select("k"), "k", "left_semi").withColumn("_m", F.count(F.lit(1)).over(W.partitionBy("rep")))

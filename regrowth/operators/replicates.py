@@ -125,14 +125,15 @@ def _sum_of(vectors: Column) -> Column:
     return F.aggregate(vectors, F.array().cast("array<double>"), add)
 
 
-def unit_slices(units: DataFrame, unit: str) -> tuple[DataFrame, int]:
-    """``units`` with ``_slice`` (by the md5 of the key) and the array of slice sizes ``_sizes`` in every row."""
+def unit_slices(units: DataFrame, unit: str) -> tuple[DataFrame, list[int]]:
+    """``units`` with ``_slice`` (by the md5 of the key), and the slices' sizes: one number per some 65,000 units."""
     slices = max(LEAST_SLICES, 1 << max(0, (max(1, units.count()) - 1) // SLICE_UNITS).bit_length())
     number = F.conv(F.substring(F.md5(F.col(unit).cast("string")), 1, 8), 16, 10).cast("long")
     dealt = units.withColumn("_slice", number % slices)
-    counts = dealt.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("_slice", "n"))).alias("m"))
-    sizes = counts.select(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: F.coalesce(F.get(F.map_values(F.map_filter("m", lambda k, v: k == s)), F.lit(0)), F.lit(0).cast("long")))).scalar()
-    return dealt.withColumn("_sizes", sizes), slices
+    sizes = [0] * slices
+    for row in dealt.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).where(F.col("_slice").isNotNull()).collect():
+        sizes[row["_slice"]] = row["n"]
+    return dealt.where(F.col("_slice").isNotNull()), sizes
 
 
 def replicate_sums(sums: DataFrame, unit: str, keys: list[str], values: list[str], n_boot: int, seed: str, scheme: str = "multinomial") -> DataFrame:
@@ -162,13 +163,13 @@ def replicate_sums(sums: DataFrame, unit: str, keys: list[str], values: list[str
 
         partial = cells.mapInArrow(run, schema)
     else:
-        cells, _ = unit_slices(materialise(cells, "unit-cells"), "_unit")
+        cells, sizes = unit_slices(materialise(cells, "unit-cells"), "_unit")
 
         def run_slice(table: pa.Table) -> pa.Table:
             units = table.column("_unit").to_pylist()
             order = sorted(range(len(units)), key=lambda i: (hashlib.md5(units[i].encode()).hexdigest(), units[i]))
             rows = table.column("_cells").to_pylist()
-            own, sizes = table.column("_slice")[0].as_py(), table.column("_sizes")[0].as_py()
+            own = table.column("_slice")[0].as_py()
             held, rows = _Vectors(n_boot), [rows[i] for i in order]
             for first in range(0, n_boot, AT_A_TIME):
                 held.add(rows, first, slice_weights(seed, len(rows), sizes, own, range(first + 1, min(n_boot, first + AT_A_TIME) + 1)))
@@ -193,13 +194,13 @@ def replicate_sums(sums: DataFrame, unit: str, keys: list[str], values: list[str
 def multinomial_table(units: DataFrame, unit: str, n_boot: int, seed: str) -> DataFrame:
     """(unit, rep, w) with w > 0: the weights that ``replicate_sums`` draws, as rows, for callers that need them apart."""
     kind = units.schema[unit].dataType
-    dealt, _ = unit_slices(materialise(units.select(unit), "units"), unit)
+    dealt, sizes = unit_slices(materialise(units.select(unit), "units"), unit)
     dealt = dealt.withColumn("_unit", F.col(unit).cast("string"))
 
     def run_slice(table: pa.Table) -> pa.Table:
         units = table.column("_unit").to_pylist()
         order = sorted(range(len(units)), key=lambda i: (hashlib.md5(units[i].encode()).hexdigest(), units[i]))
-        w = slice_weights(seed, len(units), table.column("_sizes")[0].as_py(), table.column("_slice")[0].as_py(), range(1, n_boot + 1))
+        w = slice_weights(seed, len(units), sizes, table.column("_slice")[0].as_py(), range(1, n_boot + 1))
         at, rep = np.nonzero(w)
         return pa.table({"_unit": pa.array([units[order[i]] for i in at], pa.string()), "rep": pa.array(rep + 1, pa.int32()), "w": pa.array(w[at, rep].astype(np.int64), pa.int64())})
 

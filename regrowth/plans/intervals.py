@@ -99,14 +99,14 @@ def severity_rows(spark, sf, least: int = 60):
 
 @query(
     "severity_match_ci",
-    L + SEV_SQL.format(least=20) + replicate_sql("sg", "severity, cls", B["strata"], "v")
+    L + SEV_SQL.format(least=60) + replicate_sql("sg", "severity, cls", B["strata"], "v")
     + f", w AS (SELECT rep, severity, max(tau) FILTER (cls = 'landslide') AS a, max(tau) FILTER (cls = 'annual_loss') AS b FROM f GROUP BY 1, 2), z AS (SELECT severity, cls AS what, tau AS v FROM f UNION ALL SELECT severity, 'ratio', a / b FROM w WHERE a IS NOT NULL AND b IS NOT NULL)"
     + f" SELECT severity, what, {n('count(*)', 'n_boot')}, {quant('v', 0.025, 'lo')}, {quant('v', 0.975, 'hi')} FROM z GROUP BY 1, 2",
     2,
 )
 def _(spark, sf):
-    """Four severity bins, both classes and their ratio. 20 units a cell instead of 60: the small tables have few units."""
-    f = materialise(replicate_fits(severity_rows(spark, sf, 20), ["severity", "cls"], B["strata"], "v"), "severity-fits")
+    """Four severity bins, both classes and their ratio."""
+    f = materialise(replicate_fits(severity_rows(spark, sf), ["severity", "cls"], B["strata"], "v"), "severity-fits")
     pick = lambda c: F.max(F.when(F.col("cls") == c, F.col("tau")))
     ratio = f.groupBy("rep", "severity").agg((pick("landslide") / pick("annual_loss")).alias("v")).where(F.col("v").isNotNull())
     both = f.select("severity", F.col("cls").alias("what"), F.col("tau").alias("v")).unionByName(ratio.select("severity", F.lit("ratio").alias("what"), "v"))

@@ -75,11 +75,22 @@ def _(spark, sf):
     return f.select("amp", "tau", "amp_se", "tau_se", "n_bins")
 
 
+STRATUM_ROWS = 100  # the method's least rows of a stratum, whatever the measure
+
+
+def strata_panel(spark, sf):
+    """Rows by stratum, of strata with enough rows."""
+    rows = bn.strata_rows(fx.post_panel(spark, sf), usual_strata())
+    large = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= STRATUM_ROWS)
+    return rows.join(large.select("stratum"), "stratum", "left_semi")
+
+
 def strata_measures(spark, sf):
-    return bn.long_measures(bn.strata_rows(fx.post_panel(spark, sf), usual_strata()), ["dlst", "dndvi"])
+    return bn.long_measures(strata_panel(spark, sf), ["dlst", "dndvi"])
 
 
-STRATA_FIT = ", " + MELT + f", st AS ({strata_sql('ml')}),\n" + fit_sql(bins_sql("st", "stratum, measure", "y", 10), "stratum, measure", "f")
+LARGE = f"SELECT stratum FROM ({strata_sql('post')}) GROUP BY 1 HAVING count(*) >= {STRATUM_ROWS}"
+STRATA_FIT = ", " + MELT + f", st AS (SELECT * FROM ({strata_sql('ml')}) WHERE stratum IN ({LARGE})),\n" + fit_sql(bins_sql("st", "stratum, measure", "y", 10), "stratum, measure", "f")
 
 
 @query("strata_fits", L + STRATA_FIT + f" SELECT stratum, measure, {FIT_COLS} FROM f", 3)
@@ -102,8 +113,7 @@ def _(spark, sf):
 
 @query("dissipated_fraction", L + STRATA_FIT + f", a AS (SELECT unnest([5.0::DOUBLE, 10, 15, 20]) AS at_age) SELECT stratum, {r('at_age', 'at_age', 3)}, {r('100 * (1 - exp(-at_age / tau))', 'dissipated_pct', 3)} FROM f, a WHERE measure = 'dlst'", 3)
 def _(spark, sf):
-    rows = bn.strata_rows(fx.post_panel(spark, sf), usual_strata())
-    f = ft.fit_bins(ft.binned_sums(rows, ["stratum"], "dlst"), ["stratum"])
+    f = ft.fit_bins(ft.binned_sums(strata_panel(spark, sf), ["stratum"], "dlst"), ["stratum"])
     return ft.dissipated(f, [5.0, 10.0, 15.0, 20.0]).select("stratum", "at_age", "dissipated_pct")
 
 
@@ -243,14 +253,14 @@ def _(spark, sf):
 
 @query(
     "leave_one_period_out",
-    L + EV + ", ep AS (SELECT DISTINCT epoch AS left_out FROM lp), lo AS (SELECT left_out, ev.* FROM ev JOIN ep ON ev.epoch <> ep.left_out),\n" + fit_sql(bins_sql("lo", "left_out", "dlst", 12), "left_out", "f") + f" SELECT left_out, {r('tau', 'tau', 3)}, {r('amp', 'amp', 3)} FROM f",
+    L + EV + ", ep AS (SELECT DISTINCT epoch AS left_out FROM lp), lo AS (SELECT left_out, ev.* FROM ev JOIN ep ON ev.epoch <> ep.left_out),\n" + fit_sql(bins_sql("lo", "left_out", "dlst", 12), "left_out", "f") + f" SELECT left_out, {r('tau', 'tau', 3)}, {r('amp', 'amp', 3)} FROM f WHERE left_out IN (SELECT left_out FROM lo WHERE dlst IS NOT NULL GROUP BY 1 HAVING count(*) >= 80)",
     3,
 )
 def _(spark, sf):
     ev = event_post(spark, sf)
     others = F.array_except(F.array(*[F.lit(p) for p in fx.PERIODS]), F.array("epoch"))
     rows = ev.withColumn("left_out", F.explode(others))  # a row serves every refit that keeps its period
-    return ft.recovery_fit(rows, ["left_out"], "dlst", min_rows=0).select("left_out", "tau", "amp")
+    return ft.recovery_fit(rows, ["left_out"], "dlst").select("left_out", "tau", "amp")
 
 
 REM = ", pr AS (SELECT * FROM ev WHERE dlst IS NOT NULL AND dndvi IS NOT NULL), b AS (SELECT bin, count(*) AS n, avg(dlst) AS t, avg(dndvi) AS g FROM pr GROUP BY 1 HAVING count(*) >= 12), z AS (SELECT bin, t / (SELECT t FROM b WHERE bin = 0) AS thermal, g / (SELECT g FROM b WHERE bin = 0) AS green FROM b)"
@@ -310,14 +320,14 @@ def _(spark, sf):
 
 
 SEVM = """, sev AS (SELECT pid, avg(dndvi) AS sev FROM post WHERE age >= 0.6 AND age < 3.0 GROUP BY 1),
-sm AS (SELECT CASE WHEN src = 'event' THEN 'landslide' ELSE 'annual_loss' END AS cls, CASE WHEN sev >= -1.0 AND sev < -0.30 THEN 'severe' WHEN sev >= -0.30 AND sev < -0.20 THEN 'high' WHEN sev >= -0.20 AND sev < 0 THEN 'light' END AS severity, post.* FROM post JOIN sev USING (pid)),
-gt AS (SELECT severity, cls FROM sm WHERE severity IS NOT NULL GROUP BY ALL HAVING count(DISTINCT pid) >= 20), sg AS (SELECT sm.* FROM sm JOIN gt USING (severity, cls)),\n"""
-SEVERITY = [("severe", -1.0, -0.30), ("high", -0.30, -0.20), ("light", -0.20, 0.0)]
+sm AS (SELECT CASE WHEN src = 'event' THEN 'landslide' ELSE 'annual_loss' END AS cls, CASE WHEN sev >= -1.0 AND sev < -0.30 THEN 'severe' WHEN sev >= -0.30 AND sev < -0.20 THEN 'high' WHEN sev >= -0.20 AND sev < -0.12 THEN 'moderate' WHEN sev >= -0.12 AND sev < 0 THEN 'light' END AS severity, post.* FROM post JOIN sev USING (pid)),
+gt AS (SELECT severity, cls FROM sm WHERE severity IS NOT NULL GROUP BY ALL HAVING count(DISTINCT pid) >= 60), sg AS (SELECT sm.* FROM sm JOIN gt USING (severity, cls)),\n"""
+SEVERITY = [("severe", -1.0, -0.30), ("high", -0.30, -0.20), ("moderate", -0.20, -0.12), ("light", -0.12, 0.0)]  # fixed values
 
 
 @query(
     "severity_match",
-    L + SEVM + fit_sql(bins_sql("sg", "severity, cls", "dlst", 10), "severity, cls", "f", 4) + f" SELECT severity, cls, {r('amp', 'amp', 3)}, {r('tau', 'tau', 3)}, {r('100 * (1 - exp(-10.0 / tau))', 'gone_10', 3)} FROM f",
+    L + SEVM + fit_sql(bins_sql("sg", "severity, cls", "dlst", 10), "severity, cls", "f") + f" SELECT severity, cls, {r('amp', 'amp', 3)}, {r('tau', 'tau', 3)}, {r('100 * (1 - exp(-10.0 / tau))', 'gone_10', 3)} FROM f",
     3,
 )
 def _(spark, sf):
@@ -325,8 +335,8 @@ def _(spark, sf):
     sev = p.where((F.col("age") >= 0.6) & (F.col("age") < 3.0)).groupBy("pid").agg(F.avg("dndvi").alias("sev"))
     rows = p.join(sev, "pid").withColumns({"cls": F.when(F.col("src") == "event", "landslide").otherwise("annual_loss"), "severity": bn.band_of("sev", SEVERITY)})
     rows = rows.where(F.col("severity").isNotNull())
-    enough = rows.groupBy("severity", "cls").agg(F.count_distinct("pid").alias("u")).where(F.col("u") >= 20)
-    f = ft.fit_bins(ft.binned_sums(rows.join(enough, ["severity", "cls"], "left_semi"), ["severity", "cls"], "dlst"), ["severity", "cls"], min_bins=4)
+    enough = rows.groupBy("severity", "cls").agg(F.count_distinct("pid").alias("u")).where(F.col("u") >= 60)
+    f = ft.fit_bins(ft.binned_sums(rows.join(enough, ["severity", "cls"], "left_semi"), ["severity", "cls"], "dlst"), ["severity", "cls"])
     return f.select("severity", "cls", "amp", "tau", (100 * (1 - F.exp(-10.0 / F.col("tau")))).alias("gone_10"))
 
 
@@ -360,9 +370,9 @@ def _(spark, sf):
     return f.join(qt.medians(rows, ["cls"], "area_ha", "med_area"), "cls").join(qt.medians(rows, ["cls"], "elev", "med_elev"), "cls")
 
 
-@query("era_cohort_mix", L + EV + f" SELECT CASE WHEN yr <= 1998 THEN 'early' ELSE 'late' END AS part, year, {n('count(*)', 'n')} FROM ev WHERE age >= 5 GROUP BY 1, 2 HAVING count(*) >= 50")
+@query("era_cohort_mix", L + EV + f" SELECT CASE WHEN yr <= 1998 THEN 'early' ELSE 'late' END AS part, year, {n('count(*)', 'n')} FROM ev WHERE age >= 10 GROUP BY 1, 2 HAVING count(*) >= 50")
 def _(spark, sf):
-    tail = event_post(spark, sf).where(F.col("age") >= 5)
+    tail = event_post(spark, sf).where(F.col("age") >= 10)
     g = tail.groupBy(F.when(F.col("yr") <= 1998, "early").otherwise("late").alias("part"), "year").agg(F.count(F.lit(1)).alias("n"))
     return g.where(F.col("n") >= 50)
 
