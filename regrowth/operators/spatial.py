@@ -133,40 +133,67 @@ def tiered_controls(candidates: DataFrame, unit: str, least: int = 30) -> DataFr
     return far.join(n1, unit).where(F.col("tier1") | (F.col("n_tier1") < least))
 
 
-def unit_minus_control(unit_px: DataFrame, controls: DataFrame, obs: DataFrame, unit: str, period: str, value: str) -> DataFrame:
+def unit_minus_control(unit_px: DataFrame, controls: DataFrame, obs: DataFrame, unit: str, period: str, value: str, periods: list | None = None) -> DataFrame:
     """Mean over unit cells minus mean over control cells, for every period observed.
 
-    Needs max(3, 0.3 * cells) unit values and 20 control values. A cell's few observations are laid side by side first, so
-    a (unit, cell) pair meets all of them in one join, and are summed by unit and period with map-side combine.
+    Needs max(3, 0.3 * cells) unit values and 20 control values. A cell is one row with a count and a sum for every period, so a
+    (unit, cell) pair is one row whatever the number of periods, and pairs are summed by unit before they are shuffled. The few
+    periods are read from ``obs`` unless given; observations of other periods are not used then.
     """
-    cells = obs.groupBy("row", "col").agg(F.collect_list(F.struct(F.col(period).alias("_p"), F.col(value).alias("_v"))).alias("_o"))
+    if periods is None:
+        periods = sorted(x[0] for x in obs.select(period).distinct().collect() if x[0] is not None)
+    at = lambda p: F.when(F.col(period) == p, F.col(value))
+    each = lambda make: [c for i, p in enumerate(periods) for c in make(i, p)]
+    cells = obs.where(F.col(period).isin(periods)).groupBy("row", "col").agg(F.count(F.lit(1)).alias("_all"), *each(lambda i, p: (F.count(at(p)).alias(f"_n{i}"), F.sum(at(p)).alias(f"_s{i}"))))
     roles = unit_px.select(unit, "row", "col", F.lit(True).alias("_own")).unionByName(controls.select(unit, "row", "col", F.lit(False).alias("_own")))
-    own, ctl = F.when(F.col("_own"), F.col("_v")), F.when(~F.col("_own"), F.col("_v"))
-    rows = roles.join(cells, ["row", "col"]).select(unit, "_own", F.inline("_o"))
-    sums = rows.groupBy(unit, F.col("_p").alias(period)).agg(F.count(own).alias("n_unit"), F.count(ctl).alias("n_ctrl"), (F.avg(own) - F.avg(ctl)).alias("delta"))
+    own = lambda c: F.sum(F.when(F.col("_own"), F.col(c)))
+    ctl = lambda c: F.sum(F.when(~F.col("_own"), F.col(c)))
+    side = lambda i, p: (own(f"_n{i}").alias(f"_un{i}"), own(f"_s{i}").alias(f"_us{i}"), ctl(f"_n{i}").alias(f"_cn{i}"), ctl(f"_s{i}").alias(f"_cs{i}"))
+    sums = roles.join(cells, ["row", "col"]).groupBy(unit).agg(F.count(F.lit(1)).alias("_pairs"), *each(side))
+    one = [
+        F.struct(F.lit(p).alias(period), F.coalesce(f"_un{i}", F.lit(0)).alias("n_unit"), F.coalesce(f"_cn{i}", F.lit(0)).alias("n_ctrl"),
+                 (F.col(f"_us{i}") / F.col(f"_un{i}") - F.col(f"_cs{i}") / F.col(f"_cn{i}")).alias("delta"))
+        for i, p in enumerate(periods)
+    ]
     n_px = unit_px.groupBy(unit).agg(F.count(F.lit(1)).alias("_n_px"))
     enough = (F.col("n_unit") >= F.greatest(F.lit(3.0), 0.3 * F.col("_n_px"))) & (F.col("n_ctrl") >= 20)
-    return sums.join(n_px, unit).where(enough).drop("_n_px")
+    if not one:
+        return sums.join(n_px, unit).select(unit, F.lit(None).alias(period), F.lit(0).alias("n_unit"), F.lit(0).alias("n_ctrl"), F.lit(None).cast("double").alias("delta")).limit(0)
+    return sums.join(n_px, unit).select(unit, "_n_px", F.inline(F.array(*one))).where(enough).drop("_n_px")
+
+
+def level_of(span, cell: float):
+    """The level whose tiles, ``cell * 2**level`` wide, are at least as wide as ``span``."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(span / F.lit(float(cell))))).cast("int")
+
+
+def tiled_boxes(boxes: DataFrame, west: str, east: str, south: str, north: str, cell: float) -> DataFrame:
+    """Boxes copied to the tiles of their own level that they touch: at most two by two, however large a box is."""
+    wide = F.greatest(F.col(east) - F.col(west), F.col(north) - F.col(south))
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+    along = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    return boxes.withColumn("_level", F.when(wide > 0, level_of(wide, cell)).otherwise(0)).withColumn("_bx", along(west, east)).withColumn("_by", along(south, north))
+
+
+def probing(points: DataFrame, tiles: DataFrame, x: str, y: str, cell: float) -> DataFrame:
+    """Points with the tile they lie in at every level that holds a box (levels double, so there are few)."""
+    levels = tiles.agg(F.collect_set("_level")).scalar()
+    size = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+    return points.withColumn("_level", F.explode(levels)).withColumns({"_bx": F.floor(F.col(x) / size), "_by": F.floor(F.col(y) / size)})
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, x: str, y: str, cell: float) -> DataFrame:
-    """Half-open box join west <= x < east, south <= y < north through shared grid cells."""
-    tiled = boxes.withColumn("_bx", F.explode(F.sequence(F.floor(F.col("west") / cell), F.floor(F.col("east") / cell)))).withColumn(
-        "_by", F.explode(F.sequence(F.floor(F.col("south") / cell), F.floor(F.col("north") / cell)))
-    )
-    keyed = points.withColumns({"_bx": F.floor(F.col(x) / cell), "_by": F.floor(F.col(y) / cell)})
+    """Half-open box join west <= x < east, south <= y < north through tiles of several levels; ``cell`` is the smallest tile."""
+    tiles = tiled_boxes(boxes, "west", "east", "south", "north", cell)
     hit = (F.col(x) >= F.col("west")) & (F.col(x) < F.col("east")) & (F.col(y) >= F.col("south")) & (F.col(y) < F.col("north"))
-    return keyed.join(tiled, ["_bx", "_by"]).where(hit).drop("_bx", "_by")
+    return probing(points, tiles, x, y, cell).join(tiles, ["_level", "_bx", "_by"]).where(hit).drop("_level", "_bx", "_by")
 
 
 def windows_in_footprints(windows: DataFrame, scenes: DataFrame, cell: int) -> DataFrame:
-    """Windows (r0, c0, r1, c1) that lie fully inside a footprint (fr0, fc0, fr1, fc1), met at the window's corner cell."""
-    tiled = scenes.withColumn("_tr", F.explode(F.sequence(F.floor(F.col("fr0") / cell), F.floor(F.col("fr1") / cell)))).withColumn(
-        "_tc", F.explode(F.sequence(F.floor(F.col("fc0") / cell), F.floor(F.col("fc1") / cell)))
-    )
-    keyed = windows.withColumns({"_tr": F.floor(F.col("r0") / cell), "_tc": F.floor(F.col("c0") / cell)})
+    """Windows (r0, c0, r1, c1) that lie fully inside a footprint (fr0, fc0, fr1, fc1), met at the window's corner."""
+    tiles = tiled_boxes(scenes, "fc0", "fc1", "fr0", "fr1", cell)
     inside = (F.col("r0") >= F.col("fr0")) & (F.col("c0") >= F.col("fc0")) & (F.col("r1") <= F.col("fr1")) & (F.col("c1") <= F.col("fc1"))
-    return keyed.join(tiled, ["_tr", "_tc"]).where(inside).drop("_tr", "_tc")
+    return probing(windows, tiles, "c0", "r0", cell).join(tiles, ["_level", "_bx", "_by"]).where(inside).drop("_level", "_bx", "_by")
 
 
 def terrain_gradient(grid: DataFrame, value: str, size: float) -> DataFrame:

@@ -8,6 +8,7 @@ from regrowth.functions import columns as fc
 from regrowth.operators import aggregate as ag
 from regrowth.operators import binning as bn
 from regrowth.operators import quantiles as qt
+from regrowth.operators import sketches as sk
 from regrowth.operators import ranking as rk
 from regrowth.operators import spatial as sp
 from regrowth.plans import fixtures as fx
@@ -40,6 +41,16 @@ def _(spark, sf):
     return fx.post_panel(spark, sf).groupBy("agent").agg(F.count_distinct("pid").alias("n_units"), F.count_distinct("epoch").alias("n_epochs"))
 
 
+@query("count_distinct_sketch", L + f"SELECT agent, {n('count(DISTINCT pid)', 'n_units')}, true AS within_error FROM post GROUP BY 1")
+def _(spark, sf):
+    """Units by agent from sketches kept by period and then merged, held against the exact count."""
+    rows = fx.post_panel(spark, sf)
+    parts = materialise(sk.distinct_parts(rows, ["agent", "epoch"], "pid"), "distinct-sketches")
+    exact = rows.groupBy("agent").agg(F.count_distinct("pid").alias("n_units"))
+    both = exact.join(sk.merged_distinct(parts, ["agent"], "_about").withColumnRenamed("agent", "_a"), F.col("agent").eqNullSafe(F.col("_a")))
+    return both.select("agent", "n_units", (F.abs(F.col("_about") - F.col("n_units")) <= F.greatest(F.lit(1.0), F.col("n_units") * sk.distinct_error())).alias("within_error"))
+
+
 @query("dedup_composite", L + "SELECT DISTINCT event, year, area_ha, n_px FROM post")
 def _(spark, sf):
     return fx.post_panel(spark, sf).dropDuplicates(["event", "year", "area_ha", "n_px"]).select("event", "year", "area_ha", "n_px")
@@ -55,6 +66,25 @@ def _(spark, sf):
     return qt.exact_quantiles(units, ["src"], "elev", QS, [f"q{int(q * 100):02d}" for q in QS], count="n")
 
 
+@query(
+    "quantiles_sketch",
+    L + f", e AS (SELECT epoch, src, dlst FROM lp WHERE NOT is_pre AND clean), q AS (SELECT unnest({QS[1:-1]}::DOUBLE[]) AS q) SELECT src, {r('q', 'q')}, {n('count(*)', 'n')}, true AS within_error FROM e, q GROUP BY src, q",
+)
+def _(spark, sf):
+    """Quantiles of the anomaly from sketches kept by period and merged; their exact ranks are held against the wanted ones."""
+    rows = fx.long_panel(spark, sf).where(~F.col("is_pre") & F.col("clean")).select("epoch", "src", "dlst")
+    parts = materialise(sk.quantile_parts(rows, ["src", "epoch"], "dlst"), "quantile-sketches")
+    names = [f"q{i}" for i in range(len(QS) - 2)]
+    got = sk.merged_quantiles(parts, ["src"], QS[1:-1], names).drop("sketch")
+    ranked = rows.join(got, "src").groupBy("src").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.struct((F.avg((F.col("dlst") < F.col(x)).cast("double"))).alias("lo"), (F.avg((F.col("dlst") <= F.col(x)).cast("double"))).alias("hi")).alias(x) for x in names],
+    )
+    off = lambda x, q: F.greatest(F.col(f"{x}.lo") - q, q - F.col(f"{x}.hi"), F.lit(0.0))
+    each = F.array(*[F.struct(F.lit(q).alias("q"), (off(x, q) <= sk.rank_error()).alias("within_error")) for x, q in zip(names, QS[1:-1])])
+    return ranked.select("src", "n", F.inline(each))
+
+
 @query("median_iqr", P + f"SELECT {n('floor((chm - 8) / 2)', 'bin')}, {n('count(*)', 'n')}, {r('median(lst)', 'med', 9)}, {r('quantile_cont(lst, 0.25)', 'q25', 9)}, {r('quantile_cont(lst, 0.75)', 'q75', 9)} FROM px WHERE chm >= 8 AND chm < 50 GROUP BY 1 HAVING count(*) >= 50", 9)
 def _(spark, sf):
     px = fx.pixel_sample(spark, sf).where((F.col("chm") >= 8) & (F.col("chm") < 50)).withColumn("bin", bn.age_bin("chm", 8.0, 2.0))

@@ -109,6 +109,23 @@ def _(spark, sf):
     return out.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"), F.sum("dlst").alias("total"))
 
 
+@query(
+    "replace_slices_in_place",
+    L + f", s AS (SELECT epoch, pid, dlst FROM lp WHERE epoch <> 'c97' UNION ALL SELECT 'c97', pid, dlst * 2 FROM lp WHERE epoch = 'c98') SELECT epoch, {n('count(*)', 'n')}, {r('sum(dlst)', 'total', 4)} FROM s GROUP BY 1",
+    4,
+)
+def _(spark, sf):
+    """The same replacement behind the writer, done twice: only the named slice's folder changes."""
+    path = new_work_path(spark, "sliced-panel")
+    lp = fx.long_panel(spark, sf).select("epoch", "pid", "dlst")
+    tb.write_table(lp, path, ["epoch"])
+    stored = spark.read.parquet(path)
+    fresh = stored.where(F.col("epoch") == "c98").select(F.lit("c97").alias("epoch"), "pid", (F.col("dlst") * 2).alias("dlst"))
+    for _ in range(2):
+        tb.replace_partitions(fresh, path, ["epoch"])
+    return spark.read.parquet(path).groupBy("epoch").agg(F.count(F.lit(1)).alias("n"), F.sum("dlst").alias("total"))
+
+
 def _print_sql(name: str, cols: list[str]) -> str:
     text = "concat_ws('|', " + ", ".join(f"coalesce(length(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR), '~')" for x in cols) + ")"
     h = f"('0x' || substr(md5({text}), 1, 15))::BIGINT"

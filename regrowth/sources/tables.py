@@ -59,6 +59,16 @@ def replace_slices(table: DataFrame, fresh: DataFrame, column: str) -> DataFrame
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
+def replace_partitions(fresh: DataFrame, path: str, by: list[str]) -> None:
+    """Write ``fresh`` over the slices of the table at ``path`` that it names; the others are not touched.
+
+    Slices are partition folders. The rows are staged and take the old slices' places when all of them are there, so a write
+    that fails leaves the table as it was, and repeating one gives the same table. A slice without fresh rows stays.
+    """
+    rows = fresh.hint("rebalance", *[F.col(p) for p in by])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def fingerprint(df: DataFrame, name: str) -> DataFrame:
     """Order-free checksum of a table: row count, the xor and the wrapping sum of exact per-row digests.
 
