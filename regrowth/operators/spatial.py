@@ -126,9 +126,10 @@ def candidate_controls(unit_px: DataFrame, profile: DataFrame, intact: DataFrame
 
 
 def tiered_controls(candidates: DataFrame, unit: str, least: int = 30) -> DataFrame:
-    """Close controls where a unit has ``least`` of them, else the wide ones."""
+    """Close controls where a unit has ``least`` of them, else the wide ones. The candidates are written once: the counts and the
+    choice both read them, and finding them is the dear part."""
     close = (F.col("d2").between(16, 900)) & (F.col("d_elev") <= 150) & (F.col("d_slope") <= 10)
-    far = candidates.where(F.col("d2") >= 16).withColumn("tier1", close)
+    far = materialise(candidates.where(F.col("d2") >= 16).withColumn("tier1", close), "candidates")
     n1 = far.groupBy(unit).agg(F.count_if("tier1").alias("n_tier1"))
     return far.join(n1, unit).where(F.col("tier1") | (F.col("n_tier1") < least))
 
@@ -146,10 +147,11 @@ def unit_minus_control(unit_px: DataFrame, controls: DataFrame, obs: DataFrame,
     each = lambda make: [c for i, p in enumerate(periods) for c in make(i, p)]
     cells = obs.where(F.col(period).isin(periods)).groupBy("row", "col").agg(F.count(F.lit(1)).alias("_all"), *each(lambda i, p: (F.count(at(p)).alias(f"_n{i}"), F.sum(at(p)).alias(f"_s{i}"))))
     roles = unit_px.select(unit, "row", "col", F.lit(True).alias("_own")).unionByName(controls.select(unit, "row", "col", F.lit(False).alias("_own")))
-    own = lambda c: F.sum(F.when(F.col("_own"), F.col(c)))
-    ctl = lambda c: F.sum(F.when(~F.col("_own"), F.col(c)))
-    side = lambda i, p: (own(f"_n{i}").alias(f"_un{i}"), own(f"_s{i}").alias(f"_us{i}"), ctl(f"_n{i}").alias(f"_cn{i}"), ctl(f"_s{i}").alias(f"_cs{i}"))
-    sums = roles.join(cells, ["row", "col"]).groupBy(unit).agg(F.count(F.lit(1)).alias("_pairs"), *each(side))
+    # one sum per period and role over the pairs; the two roles of a unit then stand side by side
+    summed = roles.join(cells, ["row", "col"]).groupBy(unit, "_own").agg(F.count(F.lit(1)).alias("_pairs"), *each(lambda i, p: (F.sum(f"_n{i}").alias(f"_n{i}"), F.sum(f"_s{i}").alias(f"_s{i}"))))
+    pick = lambda c, own: F.max(F.when(F.col("_own") == own, F.col(c)))
+    side = lambda i, p: (pick(f"_n{i}", True).alias(f"_un{i}"), pick(f"_s{i}", True).alias(f"_us{i}"), pick(f"_n{i}", False).alias(f"_cn{i}"), pick(f"_s{i}", False).alias(f"_cs{i}"))
+    sums = summed.groupBy(unit).agg(F.sum("_pairs").alias("_pairs"), *each(side))
     one = [
         F.struct(F.lit(p).alias(period), F.coalesce(f"_un{i}", F.lit(0)).alias("n_unit"), F.coalesce(f"_cn{i}", F.lit(0)).alias("n_ctrl"),
                  (F.col(f"_us{i}") / F.col(f"_un{i}") - F.col(f"_cs{i}") / F.col(f"_cn{i}")).alias("delta"))
