@@ -24,14 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 from regrowth.llm.common import lower_words, raw_bytes
 from regrowth.session import materialise
 
-#: Seed masks of one length, 1 for a token that counts. Fixed parameters.
-MASKS = ("111011101101", "110110111011", "111111110000")
-SPAN = 12
+#: Seed masks, 1 for a token that counts. Together they have a seed in every passage of 12 to 20 words with one word in five
+#: changed, wherever the changes stand, and where every fifth or sixth word of a longer one is changed (tested exhaustively).
+MASKS = ("11111", "110111")
+SPAN = max(map(len, MASKS))
 MIN_WORDS, MIN_SAME = 13, 0.8
 #: Bits of the filter that goes to the tasks: 2 MB whatever the benchmark's size.
 FILTER_BITS = 1 << 24
-#: Words kept on either side of a stretch of hits.
-AROUND = 64
 _R = np.uint64(0x9E3779B97F4A7C15)
 _OFFSETS = [np.flatnonzero(np.array(list(m)) == "1") for m in MASKS]
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -57,12 +56,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def seed_hashes(tokens: np.ndarray) -> list[np.ndarray]:
     """For each mask, the hash of every window."""
-    n = len(tokens) - SPAN + 1
-    if n <= 0:
-        return [np.zeros(0, np.uint64)] * len(MASKS)
     out = []
     with np.errstate(over="ignore"):
         for m, offsets in enumerate(_OFFSETS):
+            n = max(0, len(tokens) - len(MASKS[m]) + 1)
             h = np.full(n, m + 1, dtype=np.uint64)
             for o in offsets:
                 h = h * _R + tokens[o : o + n]
@@ -106,8 +103,12 @@ def _is_set(bits: np.ndarray, spot: np.ndarray) -> np.ndarray:
     return ((bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def stretches(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """doc_id, at (first word kept), words, hits (hash, pos) of each run of windows that pass the filter."""
+def stretches(docs: DataFrame, bitmap: np.ndarray, reach: int) -> DataFrame:
+    """doc_id, at (first word kept), words, hits (hash, pos) of the windows that pass the filter.
+
+    ``reach`` words are kept on either side of a hit, as many as the longest item has, so an overlap is never cut; hits whose
+    words would overlap are one stretch.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +118,7 @@ def stretches(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), raw_bytes(batch, "text"), strict=True):
                 words = words_of(text) if doc is not None else []
-                if len(words) < SPAN:
+                if not words:
                     continue
                 tokens = token_hashes(words)
                 found = []
@@ -130,8 +131,8 @@ def stretches(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                     continue
                 order = np.argsort(pos, kind="stable")
                 pos, hashes = pos[order], np.concatenate([x for _, x in found])[order]
-                for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) > SPAN) + 1):
-                    a, b = max(0, int(pos[part[0]]) - AROUND), int(pos[part[-1]]) + SPAN + AROUND
+                for part in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) > 2 * reach + SPAN) + 1):
+                    a, b = max(0, int(pos[part[0]]) - reach), int(pos[part[-1]]) + SPAN + reach
                     out.append({
                         "doc_id": doc, "at": a, "words": [w.decode("utf-8", "replace") for w in words[a:b]],
                         "hits": [{"hash": int(h), "pos": int(p)} for h, p in zip(hashes[part], pos[part], strict=True)],
@@ -141,26 +142,24 @@ def stretches(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, at int, words array<string>, hits array<struct<hash:long,pos:int>>")
 
 
-def _overlap(same: np.ndarray, seed: int) -> tuple[int, int]:
-    """(words, differing words) of the longest stretch around the seed's words with at most one word in five differing.
+def _overlap(same: np.ndarray) -> tuple[int, int]:
+    """(words, differing words) of the longest stretch of a diagonal with at most one word in five differing.
 
-    It begins and ends with an equal word, so that chance neighbours add nothing, and reaches at most ``AROUND`` words beyond
-    the seed on either side.
+    It begins and ends with an equal word, so that chance neighbours add nothing. Ties go to fewer differing words.
     """
-    off = max(0, seed - AROUND)
-    same, seed = same[off : seed + SPAN + AROUND], seed - off
-    if not same[seed : seed + SPAN].any():
-        return 0, 0
     wrong = np.concatenate([[0], np.cumsum(~same)])
-    first = np.flatnonzero(same[: seed + SPAN])
-    last = np.flatnonzero(same[seed:]) + seed
-    a, b = first[:, None], last[None, :] + 1
-    size = np.where(a < b, b - a, 0)
-    bad = wrong[b] - wrong[a]
-    inside = (a <= seed + SPAN - 1) & (b >= seed + 1)
-    size = np.where(inside & (bad <= (1 - MIN_SAME) * size + 1e-9), size, 0)
-    i, j = np.unravel_index(int(size.argmax()), size.shape)
-    return int(size[i, j]), int(bad[i, j]) if size[i, j] else 0
+    allowed = round(1 / (1 - MIN_SAME))
+    level = np.arange(len(wrong)) - allowed * wrong  # a stretch [a, b) is good when level[b] >= level[a]
+    first = np.flatnonzero(same)
+    if not len(first):
+        return 0, 0
+    first = first[np.append(True, level[first[1:]] < np.minimum.accumulate(level[first])[:-1])]  # only a lower start can be of use later
+    last = np.flatnonzero(same) + 1
+    begin = first[np.searchsorted(-level[first], -level[last], side="left").clip(max=len(first) - 1)]
+    size = np.where((level[last] >= level[begin]) & (last > begin), last - begin, 0)
+    bad = np.where(size > 0, wrong[last] - wrong[begin], 0)
+    best = np.lexsort((bad, -size))[0]
+    return int(size[best]), int(bad[best])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -168,11 +167,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull())
     index = materialise(_index(items), "benchmark-seeds")
-    runs = materialise(stretches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _filter(index)), "stretches")
+    reach = int(index.agg(F.max("pos")).first()[0] or 0) + SPAN  # words of the longest item
+    runs = materialise(stretches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _filter(index), reach), "stretches")
     hits = runs.select("doc_id", "at", F.explode("hits").alias("h")).select("doc_id", "at", F.col("h.hash").alias("hash"), F.col("h.pos").alias("p"))
-    found = hits.join(index, "hash").select("doc_id", "at", "item_id", (F.col("p") - F.col("pos")).alias("diagonal"), "pos")
-    # one seed for each diagonal: its first; a long item's further hits lie on the same diagonal
-    found = found.groupBy("doc_id", "at", "item_id", "diagonal").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    found = hits.join(index, "hash").select("doc_id", "at", "item_id", (F.col("p") - F.col("pos")).alias("diagonal"))
+    # a long overlap hits its diagonal many times and is verified once, over the whole of it
+    found = found.select("doc_id", "at", "item_id", "diagonal").distinct()
     pairs = found.join(runs.select("doc_id", "at", "words"), ["doc_id", "at"]).join(items.withColumnRenamed("text", "item"), "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +183,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 shift = r["diagonal"] - r["at"]  # place of the item's first word in the stretch's words
                 lo, hi = max(0, -shift), min(len(item), len(r["words"]) - shift)
                 same = np.array([item[i] == r["words"][i + shift] for i in range(lo, hi)], dtype=bool)
-                best = max((_overlap(same, p - lo) for p in {r["first"], r["last"]}), default=(0, 0))
+                best = _overlap(same)
                 if best[0] >= min(MIN_WORDS, len(item)):
                     out.append({"doc_id": r["doc_id"], "item_id": r["item_id"], "n_words": best[0], "n_substituted": best[1]})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32()), ("n_substituted", pa.int32())]))
 
     schema = "doc_id long, item_id long, n_words int, n_substituted int"
-    checked = pairs.select("doc_id", "item_id", "at", "diagonal", "first", "last", "words", "item").mapInArrow(verify, schema)
+    checked = pairs.select("doc_id", "item_id", "at", "diagonal", "words", "item").mapInArrow(verify, schema)
     best = F.max(F.struct("n_words", (-F.col("n_substituted")).alias("s"))).alias("b")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.n_words").alias("n_words"), (-F.col("b.s")).alias("n_substituted"))
 

@@ -55,15 +55,15 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp (long) of each row."""
+    """doc_id, text_hash and fp (longs) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [fingerprint(t) for t in raw_bytes(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(got, pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _byte(p: int):
@@ -84,8 +84,9 @@ def linked_pairs(distinct: DataFrame) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links)."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", with_hash: bool = False) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links), and the
+    ``text_hash`` if asked for."""
     rows = materialise(fingerprints(docs, key, text), "fingerprints")
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     pairs = materialise(linked_pairs(distinct.select("fp")), "linked-pairs")
@@ -93,19 +94,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     of = distinct.join(names, distinct["fp"] == names["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("_c"))
     least = of.groupBy("_c").agg(F.min("first").alias("component_id"))
     of = materialise(of.join(least, "_c").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    out = rows.join(of, "fp").withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
+    return out.select("doc_id", "fingerprint", "component_id", *["text_hash"] * with_hash)
 
 
-def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents whose id names their component; of repeated rows with that id one stays, and rows without an id stay.
+def keep_one(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component: the one with the least (id, text hash); of its repeated rows one stays. Rows without an id stay.
 
-    The ids that go, and those that occur more than once, are written first: where they are few, their size is known and the
-    texts are filtered in place; where they are many, the planner shuffles.
+    ``found`` comes from ``near_duplicates`` with the text hash: a row is known by its id and its text, so rows that share an id
+    but not the text stand for themselves. What goes, and what occurs more than once, is written first: where that is little its
+    size is known and the texts are filtered in place; where it is much, the planner shuffles.
     """
-    found = materialise(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "found")
-    gone = materialise(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")), "gone")
-    repeated = materialise(found.where((F.col("doc_id") == F.col("component_id")) & (F.col("n") > 1)).select(F.col("doc_id").alias("_many")), "repeated")
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    once = kept.join(repeated, F.col("doc_id") == F.col("_many"), "left_anti")
-    many = kept.join(repeated, F.col("doc_id") == F.col("_many"), "left_semi").dropDuplicates(["doc_id"])
+    at = ["_id", "_hash"]
+    members = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "component_id").agg(F.count(F.lit(1)).alias("n"))
+    members = materialise(members, "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(*at)).alias("_first"))
+    told = members.join(first, "component_id").withColumn("_stays", F.col("_first") == F.struct(*at))
+    gone = materialise(told.where(~F.col("_stays")).select(*at), "gone")
+    repeated = materialise(told.where(F.col("_stays") & (F.col("n") > 1)).select(*at), "repeated")
+    keyed = docs.select("*", F.col(key).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_hash"))
+    kept = keyed.join(gone, at, "left_anti")
+    once = kept.join(repeated, at, "left_anti").select(*docs.columns)
+    many = kept.join(repeated, at, "left_semi").groupBy(*at).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
     return once.unionByName(many)

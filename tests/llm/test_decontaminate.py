@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -19,23 +20,76 @@ def test_token_hashes_depend_on_the_word_alone():
 
 def test_seeds_ignore_masked_positions():
     rnd = random.Random(1)
-    words = [w.encode() for w in text(rnd, d.SPAN)]
     for m, mask in enumerate(d.MASKS):
-        assert len(mask) == d.SPAN
+        words = [w.encode() for w in text(rnd, len(mask))]
         base = d.seed_hashes(d.token_hashes(words))[m]
+        assert len(base) == 1
         for i, keep in enumerate(mask):
             other = words[:i] + [b"zzz"] + words[i + 1 :]
             assert (d.seed_hashes(d.token_hashes(other))[m] == base).all() == (keep == "0")
 
 
-def test_overlap():
-    same = np.ones(30, bool)
-    assert d._overlap(same, 3) == (30, 0)
-    same[[5, 11, 20]] = False
-    assert d._overlap(same, 0) == (30, 3)
-    same[:] = False
-    same[10:22] = True
-    assert d._overlap(same, 10) == (12, 0)
+def test_a_seed_in_every_allowed_placement():
+    """12 to 20 words with one in five changed, every placement; longer ones with every fifth or sixth changed."""
+    bits = [sum(1 << i for i, c in enumerate(m) if c == "1") for m in d.MASKS]
+    hit = lambda kept, n: any(kept >> o & b == b for m, b in zip(d.MASKS, bits) for o in range(n - len(m) + 1))
+    for n in range(12, 21):
+        for gone in itertools.combinations(range(n), n // 5):
+            assert hit((1 << n) - 1 - sum(1 << x for x in gone), n), (n, gone)
+    for n, every in ((200, 5), (200, 6)):
+        for start in range(every):
+            kept = (1 << n) - 1 - sum(1 << x for x in range(start, n, every))
+            assert hit(kept, n)
+
+
+def test_overlap_against_every_stretch():
+    rnd = np.random.default_rng(1)
+    for _ in range(300):
+        same = rnd.random(rnd.integers(0, 40)) < rnd.choice([0.5, 0.8, 0.95])
+        best = (0, 0)
+        for a, b in itertools.combinations(range(len(same) + 1), 2):
+            bad = int((~same[a:b]).sum())
+            if same[a] and same[b - 1] and 5 * bad <= b - a and (b - a, -bad) > (best[0], -best[1]):
+                best = (b - a, bad)
+        assert d._overlap(same) == best
+    assert d._overlap(np.ones(5000, bool)) == (5000, 0)
+
+
+def plain_overlaps(docs, items):
+    """Every document against every item on every diagonal."""
+    out = set()
+    for i, t in docs:
+        w = d.words_of((t or "").encode())
+        for k, u in items:
+            v = d.words_of((u or "").encode())
+            best = (0, 0)
+            for shift in range(-len(v) + 1, len(w)):
+                lo, hi = max(0, -shift), min(len(v), len(w) - shift)
+                size, bad = d._overlap(np.array([v[x] == w[x + shift] for x in range(lo, hi)], dtype=bool))
+                best = max(best, (size, -bad))
+            if v and best[0] >= min(d.MIN_WORDS, len(v)) and len(v) >= 12:
+                out.add((i, k, best[0], -best[1]))
+    return out
+
+
+def test_all_positions_against_comparison(spark):
+    rnd = random.Random(11)
+    items = [(k, " ".join(text(rnd, n))) for k, n in enumerate([12, 13, 15, 20, 30, 90, 200, 200])]
+    docs = []
+    for i in range(60):
+        words = text(rnd, rnd.randint(5, 120))
+        part = items[i % 8][1].split()
+        if i % 3:
+            part = [("x" if rnd.random() < rnd.choice([0.1, 0.18, 0.3]) else w) for w in part]
+        if i % 5 == 0:
+            part = [("x" if j % 5 == 4 else w) for j, w in enumerate(part)]
+        a = rnd.randint(0, max(0, len(part) - 14))
+        docs.append((i, " ".join(words[:9] + part[a if i % 4 else 0 :] + words[9:])))
+    docs.append((99, items[6][1]))
+    out = d.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got, want = {tuple(r) for r in out}, plain_overlaps(docs, items)
+    assert got <= want and len(got) >= 0.97 * len(want)
+    assert (99, 6, 200, 0) in got  # a whole copy of a long item comes back whole
 
 
 def test_planted_passages(spark):

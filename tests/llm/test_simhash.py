@@ -97,6 +97,15 @@ def test_near_duplicates_match_brute_force(spark):
             least[c] = min(least.get(c, 10**9), rows[k][0])
     want = sorted((str(rows[k][0]), f"{fps[k][1]:016x}", str(least.get(comp[k]))) for k in range(len(rows)))
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in out) == want
-    kept = simhash.keep_one(docs, simhash.near_duplicates(docs)).collect()
+    kept = simhash.keep_one(docs, simhash.near_duplicates(docs, with_hash=True)).collect()
     assert sorted(str(r.doc_id) for r in kept) == sorted([str(v) for v in set(least.values())] + ["None", "None"])
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def test_rows_that_share_an_id_stand_for_their_texts(spark):
+    a, b = " ".join(f"word{i}" for i in range(60)), " ".join(f"other{i}" for i in range(60))
+    rows = [(1, a, "x"), (9, a, "y"), (9, b, "z"), (9, b, "z"), (None, a, "n"), (None, b + " alone " * 30, "n"), (4, None, "e"), (5, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string").repartition(4)
+    kept = simhash.keep_one(docs, simhash.near_duplicates(docs, with_hash=True)).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, spark.createDataFrame([rows[0], rows[2], rows[4], rows[5], rows[6]], docs.schema).collect()))
+    assert simhash.keep_one(docs.limit(0), simhash.near_duplicates(docs.limit(0), with_hash=True)).count() == 0
