@@ -22,9 +22,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest id stays."""
+    """Of each near-duplicate component the document with the smallest id (then text hash) stays."""
     ship(spark)
-    return simhash.keep_one(docs, simhash.near_duplicates(docs))
+    return simhash.keep_one(docs, simhash.near_duplicates(docs, with_hash=True))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
