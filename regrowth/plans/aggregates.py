@@ -308,7 +308,7 @@ def _(spark, sf):
 @query("mask_difference", G + "SELECT \"row\", \"col\" FROM grid WHERE disturbed EXCEPT SELECT \"row\", \"col\" FROM grid WHERE lst > 27")
 def _(spark, sf):
     g = fx.pixel_grid(spark, sf)
-    return g.where("disturbed").select("row", "col").exceptAll(g.where(F.col("lst") > 27).select("row", "col"))
+    return g.where("disturbed").select("row", "col").subtract(g.where(F.col("lst") > 27).select("row", "col"))
 
 
 @query("mask_union", G + "SELECT \"row\", \"col\" FROM grid WHERE disturbed UNION SELECT \"row\", \"col\" FROM grid WHERE lst > 27")
