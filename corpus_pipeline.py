@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from regrowth.llm import chunked_bpe, decontaminate, language_id, pii, simhash
+from regrowth.llm import chunked_bpe, decontaminate, language_id, near_copies, pii, simhash
 from regrowth.llm.common import ship, table
 from regrowth.session import materialise
 
@@ -22,9 +22,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest id (then text hash) stays."""
+    """Of documents linked by a similarity of five-word shingles of 0.8 or more the one with the smallest id (then text hash) stays."""
     ship(spark)
-    return simhash.keep_one(docs, simhash.near_duplicates(docs, with_hash=True))
+    return simhash.keep_one(docs, near_copies.near_copies(docs))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
