@@ -7,9 +7,10 @@ every second line of the same system with renumbered positions is posted too. Be
 measured, 0.92 of pairs meet at similarity 0.80 to 0.84, 0.96 at 0.84 to 0.86, 0.99 above. What meets in a list is filtered by the
 differing bits and verified by the Jaccard similarity of the whole shingle sets.
 
-Lists do not form all their pairs. Every member meets the list's leader; a member that is verified against it is in its component.
-Only members that are not are paired with the rest of the list. So a component is what all pairs of the lists would give, while a
-group of n copies costs n pairs a list. Texts of equal words are one node throughout.
+Lists do not form all their pairs. A node first meets the least of its lists' leaders; then, over the components found so far, the
+leaders in other components than its own; then members outside their leader's component meet the rest of the list, again only in
+other components. Pairs left out lie in one component already, so a component is what all pairs of the lists would give, while a
+group of n copies costs about n pairs. Texts of equal words are one node throughout.
 
 Defined cases: texts without a word are one node; a text of under five words has one shingle; repeated rows give one row each; a
 null id is kept and never names a component while another id is there; an empty table gives an empty result.
@@ -125,6 +126,18 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str = "t
     return both.where(shared >= F.lit(SIMILAR) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def _pairs(rows: DataFrame, u: str, v: str) -> DataFrame:
+    return rows.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).distinct()
+
+
+def _placed(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """Members with the components of their leader and of themselves, a node without a link being its own."""
+    names = materialise(components(edges), "names")
+    of = lambda name: names.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
+    out = members.join(of("leader"), "leader", "left").join(of("node"), "node", "left")
+    return out.withColumns({f"of_{c}": F.coalesce(f"of_{c}", c) for c in ("leader", "node")})
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, text_hash and component_id (smallest id reachable over verified links)."""
     rows = materialise(sketches(docs, key, text), "sketches")
@@ -133,16 +146,16 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     posted = postings(nodes).repartition("at")  # one exchange, for the lists and for their members
     lists = posted.groupBy("at").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialise(posted.join(lists, "at").where("node <> leader"), "members")
-    led = members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    edges = materialise(verified(docs, nodes, led, text), "links")
-    # members that their leader does not hold meet the rest of their list; a list of two has no rest
-    larger = members.where("n > 2")
-    apart = larger.join(edges, (larger["leader"] == edges["a"]) & (larger["node"] == edges["b"]), "left_anti")
-    apart = apart.select("at", F.col("node").alias("u"))
-    rest = larger.select("at", F.col("node").alias("v"))
-    others = apart.join(rest, "at").where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    more = materialise(verified(docs, nodes, others, text), "links")
-    names = components(edges.unionByName(more))
+    least = members.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a"))
+    edges = materialise(verified(docs, nodes, least.select("a", "b"), text), "links")
+    at = _placed(members, edges)
+    edges = materialise(edges.unionByName(verified(docs, nodes, _pairs(at.where("of_leader <> of_node"), "leader", "node"), text)), "links")
+    # a list of two has no rest
+    at = materialise(_placed(members.where("n > 2"), edges), "placed")
+    apart = at.where("of_leader <> of_node").select("at", F.col("node").alias("u"), F.col("of_node").alias("of_u"))
+    others = apart.join(at.select("at", F.col("node").alias("v"), F.col("of_node").alias("of_v")), "at").where("of_u <> of_v")
+    edges = materialise(edges.unionByName(verified(docs, nodes, _pairs(others, "u", "v"), text)), "links")
+    names = components(edges)
     of = nodes.join(names, "node", "left").select("node", "first", F.coalesce("component", "node").alias("_c"))
     least = of.groupBy("_c").agg(F.min("first").alias("component_id"))
     of = materialise(of.join(least, "_c").select("node", "component_id"), "node-components")
