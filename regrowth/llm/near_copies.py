@@ -9,8 +9,9 @@ differing bits and verified by the Jaccard similarity of the whole shingle sets.
 
 Lists do not form all their pairs. A node first meets the least of its lists' leaders; then, over the components found so far, the
 leaders in other components than its own; then members outside their leader's component meet the rest of the list, again only in
-other components. Pairs left out lie in one component already, so a component is what all pairs of the lists would give, while a
-group of n copies costs about n pairs. Texts of equal words are one node throughout.
+other components, once for all lists, and only where the shingles that each shares with anyone still allow the similarity. Pairs left
+out lie in one component already or are below it, so a component is what all pairs of the lists would give, while a group of n copies
+costs about n pairs. Texts of equal words are one node throughout.
 
 Defined cases: texts without a word are one node; a text of under five words has one shingle; repeated rows give one row each; a
 null id is kept and never names a component while another id is there; an empty table gives an empty result.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from regrowth.llm.common import lower_words, raw_bytes
 from regrowth.llm.components import components
@@ -96,36 +97,89 @@ def postings(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", by_position.alias("_bytes")).select(F.explode(at).alias("at"), "node")
 
 
+def _bits(a: str, b: str) -> Column:
+    """Differing bits of two fingerprints whose columns begin with ``a`` and ``b``."""
+    return sum(F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in PARTS)
+
+
+def _first_here(a: str, b: str, line: Column) -> Column:
+    """True if two fingerprints share the three positional bytes of no line before the given one."""
+    same = lambda p: F.shiftrightunsigned(F.col(f"{a}{PARTS[p // 8]}").bitwiseXOR(F.col(f"{b}{PARTS[p // 8]}")), 8 * (p % 8)).bitwiseAND(F.lit(255)) == 0
+    shared = sum(F.when(same(p), F.lit(1 << p)).otherwise(F.lit(0)) for p in range(1, POSITIONS + 1))
+    masks = F.slice(F.array(*[F.lit(sum(1 << p for p in x)).cast("long") for x in LINES]), F.lit(1), line)
+    # the outer function holds the shared positions in a variable; the inner one ends at the first earlier line
+    return ~F.exists(F.array(shared.cast("long")), lambda x: F.exists(masks, lambda m: m.bitwiseAND(x) == m))
+
+
+def _side(table: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    return table.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+
+
 def _differing(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs within ``MAX_BITS``."""
-    side = lambda name: nodes.select(F.col("node").alias(name), *[F.col(p).alias(f"{name}_{p}") for p in PARTS])
-    bits = sum(F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in PARTS)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(bits <= MAX_BITS).select("a", "b")
+    both = pairs.join(_side(nodes, "a", PARTS), "a").join(_side(nodes, "b", PARTS), "b")
+    return both.where(_bits("a_", "b_") <= MAX_BITS).select("a", "b")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
-    """The pairs of nodes a, b whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more.
-
-    Sets are made anew from one text of each node that is in a pair; no other text is read into Python again.
-    """
+def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """(node, shingles) of the wanted nodes, made anew from one text of each; no other text is read into Python again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t)[1].view(np.int64) for t in raw_bytes(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    near = materialise(_differing(nodes, pairs), "near-pairs")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.join(wanted, "node").select("node", "text_hash")
     texts = docs.select(F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text")).join(wanted, "text_hash")
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
-    sets = materialise(texts.mapInArrow(run, "node long, shingles array<long>"), "shingle-sets")
+    return materialise(texts.mapInArrow(run, "node long, shingles array<long>"), "shingle-sets")
+
+
+def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of nodes a, b whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more."""
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"s{name}"))
-    both = near.join(side("a"), "a").join(side("b"), "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared >= F.lit(SIMILAR) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
+    """The pairs within ``MAX_BITS`` that are ``similar``."""
+    near = materialise(_differing(nodes, pairs), "near-pairs")
+    return similar(shingle_sets(docs, nodes, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), text), near)
+
+
+def reach(sets: DataFrame) -> DataFrame:
+    """(node, size, common): shingles of each node, and how many of them any other node of ``sets`` has.
+
+    Two nodes share at most the smaller ``common``, so this bounds their similarity from above. A shingle is counted with map-side
+    combine, and only those of one node go on.
+    """
+    own = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    own = own.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    size = F.size("shingles").cast("long")
+    return sets.select("node", size.alias("size")).join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
+def rest_pairs(nodes: DataFrame, at: DataFrame, reached: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different components that a list holds besides its leader, each once, from the first list that has both.
+
+    ``at`` has the members of the lists (at, node, of_node, of_leader). A pair in different components has a member outside its
+    leader's component in every list it is in. Pairs over ``MAX_BITS`` or whose similarity cannot reach ``SIMILAR`` are never made.
+    """
+    known = nodes.select("node", *PARTS).join(reached, "node")
+    columns = [*PARTS, "size", "common", "of", "apart"]
+    held = at.join(known, "node").withColumns({"of": F.col("of_node"), "apart": F.col("of_leader") != F.col("of_node")})
+    one, other = (_side(held, name, ["at", *columns]) for name in ("u", "v"))
+    least = F.least("u_common", "v_common")
+    met = (
+        (F.col("u_at") == F.col("v_at")) & (F.col("u_of") != F.col("v_of")) & (~F.col("v_apart") | (F.col("u") < F.col("v")))
+        & (least * (1 + SIMILAR) >= F.lit(SIMILAR) * (F.col("u_size") + F.col("v_size")))
+        & (_bits("u_", "v_") <= MAX_BITS) & _first_here("u_", "v_", F.shiftrightunsigned("u_at", 24).cast("int"))
+    )
+    return one.where("u_apart").join(other, met).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+
 def _pairs(rows: DataFrame, u: str, v: str) -> DataFrame:
     return rows.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).distinct()
 
@@ -150,11 +204,12 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     edges = materialise(verified(docs, nodes, least.select("a", "b"), text), "links")
     at = _placed(members, edges)
     edges = materialise(edges.unionByName(verified(docs, nodes, _pairs(at.where("of_leader <> of_node"), "leader", "node"), text)), "links")
-    # a list of two has no rest
+    # a list of two has no rest, and neither has one whose members are all in their leader's component
     at = materialise(_placed(members.where("n > 2"), edges), "placed")
-    apart = at.where("of_leader <> of_node").select("at", F.col("node").alias("u"), F.col("of_node").alias("of_u"))
-    others = apart.join(at.select("at", F.col("node").alias("v"), F.col("of_node").alias("of_v")), "at").where("of_u <> of_v")
-    edges = materialise(edges.unionByName(verified(docs, nodes, _pairs(others, "u", "v"), text)), "links")
+    at = at.join(at.where("of_leader <> of_node").select("at").distinct(), "at", "left_semi")
+    sets = shingle_sets(docs, nodes, at.select("node").distinct(), text)
+    near = materialise(rest_pairs(nodes, at, reach(sets)), "near-pairs")
+    edges = materialise(edges.unionByName(similar(sets, near)), "links")
     names = components(edges)
     of = nodes.join(names, "node", "left").select("node", "first", F.coalesce("component", "node").alias("_c"))
     least = of.groupBy("_c").agg(F.min("first").alias("component_id"))
