@@ -1,7 +1,7 @@
 """Sharding by jump consistent hashing: no ring table, and a further shard takes rows only into itself.
 
 Defined cases: a null key hashes like one fixed key; a null text has size 16 and the checksum of no bytes; repeated rows
-share a shard and take one slot each; an empty table gives an empty result; other columns of the input are not read.
+share a shard and take one slot each (which of them takes which is free); an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -51,23 +51,24 @@ def shard_rows(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str =
     """One row per input row: key, size, text_crc32, law, shard, slot, grown_shard (the shard if there were one more).
 
     Slots are gapless from 0 in each shard. A shard is numbered in many hash buckets at once: counts of the buckets give
-    each bucket its first slot, so no task sorts a whole shard. ``buckets`` (per shard) follows the row count by default.
+    each bucket its first slot, so no task sorts a whole shard. The bucket hashes a row number that is written with the rows too,
+    so one key that holds a third of the rows is numbered in all buckets of its shard. ``buckets`` (per shard) follows the row count by default.
     """
     rows = docs.select(
         F.col(key).cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 16).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.col(key).cast("long")).alias("_key"),
+        F.xxhash64(F.col(key).cast("long")).alias("_key"), F.monotonically_increasing_id().alias("_row"),
     )
     rows = rows.withColumns({"shard": jump_column(F.col("_key"), n_shards), "grown_shard": jump_column(F.col("_key"), n_shards + 1)})
     rows = materialise(rows, "shards")
     if buckets is None:
         buckets = max(64, -(-rows.count() // (n_shards * ROWS_PER_BUCKET)))
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_key", "_row"), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32", "size", "_row")
     numbered = rows.withColumn("_at", F.row_number().over(within) - 1)
     return numbered.join(first, ["shard", "_bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("shard").cast("int").alias("shard"),

@@ -38,3 +38,17 @@ def test_shards(spark):
         assert r.grown_shard in (r.shard, 8)
     assert [r.size for r in out if r.doc_id is None] == [16]
     assert sharding.shard_rows(docs.limit(0), 8).count() == 0
+
+
+def test_a_hot_key_is_numbered_in_many_buckets(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 5 ELSE id END AS doc_id", "'same' AS text")
+    seen = []
+    kept = sharding.materialise
+    monkeypatch.setattr(sharding, "materialise", lambda df, name: seen.append(kept(df, name)) or seen[-1])
+    out = sharding.shard_rows(docs, 4, buckets=16).collect()
+    for s in range(4):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+    assert len({r.shard for r in out if r.doc_id == 5}) == 1
+    hot = [sharding.F.pmod(sharding.F.xxhash64("_key", "_row"), sharding.F.lit(16))]
+    largest = seen[0].where("doc_id = 5").groupBy(*hot).count().agg({"count": "max"}).first()[0]
+    assert largest < 150
