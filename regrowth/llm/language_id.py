@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from regrowth.llm.common import crc_bucket
 
 #: Bounds of the classifier's labelled sample: texts learned from and landmark texts, over all languages together, and the
-#: longest text that may be one of them (texts to be classified have no such bound).
+#: longest stretch of a text that is learned from (a longer text gives a window at a place drawn from its id; texts to be classified
+#: have no such bound).
 TRAIN_TEXTS, LANDMARKS, SAMPLE_CHARS = 2_000, 192, 20_000
 #: Strength of the ridge.
 RIDGE = 1e-2
@@ -113,8 +114,9 @@ def _least(shares: np.ndarray) -> float:
 def learn(docs: DataFrame, folds: int = 5) -> Model:
     """From text and language of the documents outside fold 0. The driver gets landmark n-grams and kernel rows of the bounded
     sample, never texts of the corpus."""
-    known = docs.where(F.col("lang").isNotNull() & (crc_bucket("doc_id", folds) != 0) & F.col("text").rlike("\\p{L}"))
-    known = known.where(F.char_length("text") <= SAMPLE_CHARS).select("doc_id", "lang", "text")
+    known = docs.where(F.col("lang").isNotNull() & (crc_bucket("doc_id", folds) != 0))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(13)), F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    known = known.select("doc_id", "lang", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text")).where(F.col("text").rlike("\\p{L}"))
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()}
     if not counts:
         return Model([], None, np.zeros(0))

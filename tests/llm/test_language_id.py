@@ -80,3 +80,13 @@ def test_texts_of_unlearned_languages_and_noise_go(spark):
     assert [i for i in range(len(other + short)) if 10**9 + i in kept] == list(range(len(other), len(other + short)))
     clean = [r.doc_id for r in docs.where("lang is not null").collect() if r.doc_id is not None]
     assert sum(i not in kept for i in clean) <= 0.002 * len(clean)
+
+
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rnd = random.Random(4)
+    make = lambda letters, n: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    rows = [(i, make("abcdefg", 40), "aa") for i in range(60)] + [(i, make("nopqrst", 4500), "bb") for i in range(60, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(len(t) > li.SAMPLE_CHARS for _, t, lang in rows if lang == "bb")
+    got = {r.doc_id: r.lang_pred for r in li.identify(docs).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
