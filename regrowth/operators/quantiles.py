@@ -1,15 +1,18 @@
 """Exact quantiles, by two operators for two shapes of data; the caller picks.
 
 ``exact_quantiles`` is for groups of any width: a bounded sketch of the rows cuts each group into value ranges, rows are counted
-by range with map-side combine, and only the ranges that hold a wanted rank are counted by value and ordered. Nothing is
-written and nothing is known before the plan runs. ``small_quantiles`` is one aggregate for very many groups of few values each;
-it keeps a group's distinct values in one buffer.
+by range with map-side combine, and only the ranges that hold a wanted rank are counted by value and ordered. The values and
+the sketch are written first: a sketch depends on the order in which its parts are merged and a value derived from sums on the order
+of the sums, so a second derivation may cut the ranges elsewhere than the one that was counted. ``small_quantiles`` is one aggregate
+for very many groups of few values each; it keeps a group's distinct values in one buffer.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from regrowth.session import materialise
+
 
 def range_of(edges: Column, value: Column, n_edges: int) -> Column:
     """Number of sorted edges <= value, by halving (log2 steps per row)."""
@@ -46,8 +49,10 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     """
     groups, edges = keys, n_ranges(df) - 1
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    rows = materialise(rows, "quantile-values")
     steps = [(i + 1) / (edges + 1) for i in range(edges)]
     sketch = rows.groupBy(*groups).agg(F.percentile_approx("_v", steps, 4 * (edges + 1)).alias("_edges"), F.count(F.lit(1)).alias("_total"))
+    sketch = materialise(sketch, "quantile-ranges")
     if groups:
         ranged = _eq_join(rows, sketch.where(F.col("_total") >= min_n), groups)
     else:

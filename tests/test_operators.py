@@ -61,6 +61,22 @@ def test_quantiles_of_a_wide_group(spark):
     np.testing.assert_allclose(list(got), np.quantile(df.toPandas().v, [0.1, 0.5, 0.999]))
 
 
+def test_quantiles_where_each_derivation_of_the_sketch_cuts_elsewhere(spark, monkeypatch):
+    """The parts of a sketch are merged in the order in which they arrive; here every merge moves the cuts by up to 300 ranks."""
+    sketch = F.percentile_approx
+    moved = lambda *a: F.sort_array(F.transform(sketch(*a), lambda x: x + F.reflect(F.lit("java.lang.Math"), F.lit("random")).cast("double") * 600))
+    monkeypatch.setattr(qt.F, "percentile_approx", moved)
+    df = spark.range(0, 40_000, 1, 4).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    probs = [i / 40 for i in range(41)]
+    names = [f"q{i}" for i in range(41)]
+    for keys in (["g"], []):
+        got = qt.exact_quantiles(df, keys, "v", probs, names).toPandas()
+        for _, row in got.iterrows():
+            want = np.arange(row.g, 40_000, 2) if keys else np.arange(40_000)
+            np.testing.assert_allclose(row[names].astype(float), np.quantile(want, probs), atol=1e-9)
+        assert len(got) == (2 if keys else 1)
+
+
 def test_numbers_and_samples_with_nulls_and_ties(spark):
     df = spark.createDataFrame([(i % 50, None if i % 3 == 0 else f"n{i % 7}") for i in range(2050)], "a int, b string")
     keys = df.distinct()
