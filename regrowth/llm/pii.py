@@ -3,11 +3,12 @@
 Generators with high recall propose spans, which may overlap: the exact patterns of four kinds, and loose ones (spelled-out
 @ and dots, other separators, numbers without a plus). Boosted trees judge a candidate by its format and by its context, and
 not by the marks that tell exact from loose spans; they are learned from the corpus itself, with the exact spans as
-positive and other candidates as negative rows, and compiled to conditional expressions. For each kind a threshold is
+positive and all other candidates as negative rows (equal ones once, with their number as weight), and compiled to conditional
+expressions. For each kind a threshold is
 calibrated on rows the trees have not seen. Exact spans always stay; a loose one is added if it reaches its threshold and
 overlaps no exact span and no loose one with a higher score.
 
-All of it happens inside a row; nothing is shuffled but the bounded training sample. Places are code points, end exclusive.
+Finding happens inside a row; learning reads every text and shuffles the numbers of its candidates, counted by equal ones. Places are code points, end exclusive.
 
 Defined cases: a null text is empty and has no spans; texts are read whole; repeated rows give one row each; without candidates
 of both labels nothing is learned and the exact spans are the result; an empty table gives an empty result; other columns are
@@ -47,8 +48,6 @@ NEEDS = {
     ("loose", "email"): r"[(\[{<]\x20?(?i:at)\x20?[)\]}>]|\x20@|@\x20|\x20(?i:at)\x20[A-Za-z0-9-]++(?:\.|\x20?[(\[{<]|\x20(?i:dot)\x20)",
     ("loose", "ip"): r"[0-9](?:\x20?[(\[{]|\x20\.|\x20(?i:dot)|,[0-9])", ("loose", "card"): "[0-9]", ("loose", "phone"): "[0-9]",
 }
-#: Bounds of the classifier's sample: documents that candidates are taken from, and candidates, about.
-TRAIN_DOCUMENTS, TRAIN_CANDIDATES = 20_000, 20_000
 TREES, DEPTH = 12, 4
 #: Share of the spans above a threshold that must be exact ones in the calibration rows, and the lowest threshold.
 PRECISION, LEAST = 0.98, 0.8
@@ -177,25 +176,25 @@ def _apart(s: Column) -> Column:
 
 
 def learn(docs: DataFrame) -> Trees:
-    """From candidates of a bounded sample of the documents (``doc_id``, ``_text``)."""
-    share = min(1.0, TRAIN_DOCUMENTS / max(1, docs.count()))
-    found = candidates(docs.where(hash_share(F.col("doc_id"), share)))
+    """From the candidates of all documents (``doc_id``, ``_text``)."""
+    found = candidates(docs)
+
     def labelled(spans, label: float):
         return F.transform(spans, lambda s: F.struct(_struct(F.col("_text"), s).alias("c"), F.lit(label).alias("label")))
 
     spans = F.concat(labelled("_exact", 1.0), labelled("_failed", 0.0), labelled(F.filter("_loose", _apart), 0.0))
-    rows = found.select("doc_id", F.explode(spans).alias("x")).select("doc_id", "x.label", *[f"x.c.{n}" for n in ("kind", "start", *FEATURES)])
+    rows = found.select(hash_share(F.xxhash64("doc_id"), 0.7).alias("fit"), F.explode(spans).alias("x"))
+    rows = rows.select("fit", "x.label", *[f"x.c.{n}" for n in ("kind", *FEATURES)])
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).cast("double").alias("n"))
     rows = materialise(rows, "candidates")
-    share = min(1.0, TRAIN_CANDIDATES / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", "start", "kind"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
-    fit, held = rows.where(hash_share(F.xxhash64("doc_id"), 0.7)), rows.where(~hash_share(F.xxhash64("doc_id"), 0.7))
+    fit, held = rows.where("fit"), rows.where("not fit")
     if {r.label for r in fit.select("label").distinct().collect()} != {0.0, 1.0}:
         return Trees()
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(fit).select("features", "label")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=1).fit(assembled)
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(fit).select("features", "label", "n")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, minInstancesPerNode=1, weightCol="n").fit(assembled)
     out = Trees([_parse(t.toDebugString) for t in model.trees], [float(w) for w in model.treeWeights])
     # calibration: the lowest threshold of a grid from which on nearly all spans of the kind are exact ones
-    scored = held.select("kind", "label", F.floor(out.score(F.col) * 200).alias("step")).groupBy("kind", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
+    scored = held.select("kind", "label", "n", F.floor(out.score(F.col) * 200).alias("step")).groupBy("kind", "step").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label") == 1.0, F.col("n")).otherwise(0.0)).alias("p"))
     got = [(r.kind, r.step, r.n, r.p) for r in scored.collect()]
     for k in range(len(KINDS)):
         for step in range(200, int(200 * LEAST) - 1, -1):

@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from regrowth.llm import pii
 
@@ -111,3 +112,14 @@ def test_empty(spark, corpus):
     assert pii.personal_data(docs.limit(0)).count() == 0
     none = spark.createDataFrame([(1, "no data here")], "doc_id long, text string")
     assert [(r.n_email, r.spans) for r in pii.personal_data(none).collect()] == [(0, "")]
+
+
+def test_trees_and_thresholds_come_from_all_candidates(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(pii, "materialise", lambda df, name: kept.append(df.cache()) or kept[0])
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("write to x@mail.example or 300.1.2."), F.col("doc_id") % 9)).otherwise("nothing here")
+    docs = spark.range(60_000).withColumnRenamed("id", "doc_id").withColumn("_text", text)
+    assert pii.learn(docs).trees
+    weight = F.sum("n") if "n" in kept[0].columns else F.count(F.lit(1))
+    assert kept[0].agg(weight).first()[0] == 80_000  # four candidates of a text
+    kept[0].unpersist()
