@@ -28,7 +28,9 @@ from regrowth.session import materialise
 register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
 #: Units of a slice, about, and the least number of slices (both powers of two); replicates whose weights are held at a time.
-SLICE_UNITS, LEAST_SLICES, AT_A_TIME = 1 << 16, 8, 64
+SLICE_UNITS, LEAST_SLICES, AT_A_TIME = 1 << 16, 8, 16
+#: Units whose Poisson weights are drawn at a time.
+POISSON_UNITS = 1024
 #: Vectors that are added up together on the way to a cell's total.
 FAN_IN = 64
 _STEPS = np.array(POISSON_STEPS)
@@ -85,22 +87,41 @@ def slice_weights(seed: str, units: int, sizes: list[int], own: int, reps: range
     return out
 
 
+class _Cells:
+    """The cells of many units as arrays: a cell's unit (its place in ``order``), its values, and the cells of each key."""
+
+    def __init__(self, cells: pa.Array, order: np.ndarray | None = None):
+        flat = cells if order is None else cells.take(pa.array(order))
+        self.unit = np.repeat(np.arange(len(flat)), flat.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        flat = flat.flatten()
+        values = flat.field("v")
+        width = (len(values.flatten()) // len(values)) if len(values) else 0
+        self.values = values.flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(len(values), width)
+        key, self.by_key = flat.field("key"), {}
+        names = [] if key.null_count == len(key) else [f.name for f in key.type]
+        if not names:
+            self.by_key = {(): slice(None)} if len(flat) else {}
+            return
+        code = np.zeros(len(flat), dtype=np.int64)
+        for i in range(len(names)):
+            coded = key.field(i).dictionary_encode()
+            own = coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)
+            code = np.unique(code * (len(coded.dictionary) + 1) + own, return_inverse=True)[1]
+        by_code = np.argsort(code, kind="stable")
+        for rows in np.split(by_code, np.flatnonzero(np.diff(code[by_code])) + 1):
+            self.by_key[tuple(key.field(i)[int(rows[0])].as_py() for i in range(len(names)))] = rows
+
+
 class _Vectors:
     """Running sums per cell: replicates x values, with the weights' sum and the number of drawn units as the last two values."""
 
     def __init__(self, n_boot: int):
         self.n_boot, self.held = n_boot, {}
 
-    def add(self, cells: list[list[dict]], first: int, weights: np.ndarray) -> None:
+    def add(self, cells: "_Cells", first: int, weights: np.ndarray) -> None:
         """Cells of the units, and the weights of the replicates from ``first`` on."""
-        where: dict[tuple, tuple[list[int], list[list[float]]]] = {}
-        for i, unit in enumerate(cells):
-            for cell in unit:
-                at, values = where.setdefault(tuple(cell["key"].values()) if cell["key"] else (), ([], []))
-                at.append(i)
-                values.append(cell["v"])
-        for key, (at, values) in where.items():
-            w, v = weights[at], np.array(values, dtype=np.float64)
+        for key, rows in cells.by_key.items():
+            w, v = weights[cells.unit[rows]], cells.values[rows]
             if key not in self.held:
                 self.held[key] = np.zeros((self.n_boot, v.shape[1] + 2))
             part = self.held[key][first : first + w.shape[1]]
@@ -156,9 +177,10 @@ def replicate_sums(sums: DataFrame, unit: str, keys: list[str], values: list[str
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, part = _Vectors(n_boot), 0
             for batch in batches:
-                units, rows = batch.column("_unit").to_pylist(), batch.column("_cells").to_pylist()
+                units = batch.column("_unit").to_pylist()
                 part = int.from_bytes(hashlib.md5(units[0].encode()).digest()[:4], "big") if units else part
-                held.add(rows, 0, poisson_weights(seed, units, n_boot))
+                for at in range(0, len(units), POISSON_UNITS):
+                    held.add(_Cells(batch.column("_cells").slice(at, POISSON_UNITS)), 0, poisson_weights(seed, units[at : at + POISSON_UNITS], n_boot))
             yield held.batch(part, arrow)
 
         partial = cells.mapInArrow(run, schema)
@@ -168,11 +190,10 @@ def replicate_sums(sums: DataFrame, unit: str, keys: list[str], values: list[str
         def run_slice(table: pa.Table) -> pa.Table:
             units = table.column("_unit").to_pylist()
             order = sorted(range(len(units)), key=lambda i: (hashlib.md5(units[i].encode()).hexdigest(), units[i]))
-            rows = table.column("_cells").to_pylist()
             own = table.column("_slice")[0].as_py()
-            held, rows = _Vectors(n_boot), [rows[i] for i in order]
+            held, cells = _Vectors(n_boot), _Cells(table.column("_cells").combine_chunks(), np.array(order))
             for first in range(0, n_boot, AT_A_TIME):
-                held.add(rows, first, slice_weights(seed, len(rows), sizes, own, range(first + 1, min(n_boot, first + AT_A_TIME) + 1)))
+                held.add(cells, first, slice_weights(seed, len(order), sizes, own, range(first + 1, min(n_boot, first + AT_A_TIME) + 1)))
             return pa.Table.from_batches([held.batch(own, arrow)])
 
         partial = cells.groupBy("_slice").applyInArrow(run_slice, schema)

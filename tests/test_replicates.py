@@ -99,3 +99,27 @@ def test_within_vectors(spark):
         cost = [((p.y - (p.y @ w) / (w @ w) * w) ** 2).sum() for w in (np.exp(-p.age / t) for t in taus)]
         np.testing.assert_allclose(got.loc[pid, "v"], [len(p), y @ g, g @ g, y @ a, a @ a, *cost], rtol=1e-8, atol=1e-9)
     assert Counter(d.pid) == {k: v[0] for k, v in got.v.items()}
+
+
+def test_cells_of_many_units_stay_arrays():
+    """Memory of a slice is that of its numbers, not of an object for each cell."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, rng = 20_000, np.random.default_rng(5)
+    units, keys, values = np.repeat(np.arange(n), 8), rng.choice(["a", "b", None], 8 * n), rng.normal(size=(8 * n, 3))
+    flat = pa.StructArray.from_arrays([pa.StructArray.from_arrays([pa.array(keys)], ["g"]), pa.FixedSizeListArray.from_arrays(values.ravel(), 3).cast(pa.list_(pa.float64()))], ["key", "v"])
+    table = pa.table({"_cells": pa.ListArray.from_arrays(np.arange(0, 8 * n + 1, 8, dtype=np.int32), flat)})
+    order, weights = rng.permutation(n), rng.integers(0, 4, (n, 16)).astype(float)
+    tracemalloc.start()
+    held = rp._Vectors(16)
+    held.add(rp._Cells(table.column("_cells").combine_chunks(), order), 0, weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    place = np.argsort(order)
+    for g in ("a", "b", None):
+        at = np.array([k is g or k == g for k in keys])
+        w = weights[place[units[at]]]
+        np.testing.assert_allclose(held.held[(g,)], np.column_stack([w.T @ values[at], w.sum(axis=0), (w > 0).sum(axis=0)]), rtol=1e-9, atol=1e-9)
+    assert peak < 40e6
