@@ -90,12 +90,12 @@ def unit_profile(unit_px: DataFrame, layers: DataFrame, unit: str, values: list[
     )
 
 
-def candidate_controls(unit_px: DataFrame, profile: DataFrame, intact: DataFrame, unit: str, reach: int = 50, d_elev: float = 250.0, d_slope: float = 15.0) -> DataFrame:
+def candidate_controls(unit_px: DataFrame, profile: DataFrame, intact: DataFrame, unit: str, reach: int = 50, d_elev: float = 250.0, d_slope: float = 15.0, carry: list[str] | None = None) -> DataFrame:
     """Intact cells within ``reach`` of a unit inside the wide elevation and slope bands, with the squared distance.
 
-    A unit is described by its row runs, which are copied to the tiles they can reach; intact cells sit in one
-    tile. A tile holds at most TILE*TILE cells, so no key can grow with the data, and the nearest run is kept by a
-    map-side minimum.
+    A unit is described by its row runs, which are copied to the tiles they can reach; intact cells sit in one tile. The nearest run
+    of a (unit, cell) pair is picked where its tile is, so pairs are never shuffled. A tile holds at most TILE*TILE
+    cells, so no key can grow with the data. ``carry`` names more columns of ``intact`` to hand on.
     """
     runs = row_runs(unit_px, [unit]).join(profile.select(unit, "elev_mean", "slope_mean"), unit)
     span = lambda lo, hi: F.explode(F.sequence(F.floor((lo - reach) / TILE), F.floor((hi + reach) / TILE)))
@@ -104,31 +104,45 @@ def candidate_controls(unit_px: DataFrame, profile: DataFrame, intact: DataFrame
     far_r = F.greatest(F.lit(0), F.col("_tr") * TILE - F.col("row"), F.col("row") - F.col("_tr") * TILE - (TILE - 1))
     far_c = F.greatest(F.lit(0), F.col("_tc") * TILE - F.col("c1"), F.col("c0") - F.col("_tc") * TILE - (TILE - 1))
     tiled = tiled.where(far_r * far_r + far_c * far_c <= reach * reach).withColumnRenamed("row", "_row")
-    cells = intact.select("row", "col", "elev", "slope").withColumns(
+    cells = intact.select("row", "col", "elev", "slope", *(carry or [])).withColumns(
         {"_tr": F.floor(F.col("row") / TILE), "_tc": F.floor(F.col("col") / TILE)}
     )
+    # few bytes meet here and many pairs leave: the number of tasks must not follow the bytes
+    cells = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_tr", "_tc")
+
     dc = F.greatest(F.lit(0), F.col("c0") - F.col("col"), F.col("col") - F.col("c1"))
     dr = F.col("row") - F.col("_row")
-    pairs = (
-        cells.join(tiled, ["_tr", "_tc"])
-        .withColumn("d2", dr * dr + dc * dc)
-        .where(
-            (F.col("d2") <= reach * reach)
-            & (F.abs(F.col("elev") - F.col("elev_mean")) <= d_elev)
-            & (F.abs(F.col("slope") - F.col("slope_mean")) <= d_slope)
-        )
+    elev, slope = F.abs(F.col("elev") - F.col("elev_mean")), F.abs(F.col("slope") - F.col("slope_mean"))
+    pairs = cells.join(tiled, ["_tr", "_tc"]).withColumn("d2", dr * dr + dc * dc).where((elev <= d_elev) & (slope <= d_slope) & (F.col("d2") <= reach * reach))
+    # keyed by the tile too: the rows lie by tile already, so this aggregate needs no exchange
+    nearest = pairs.groupBy("_tr", "_tc", unit, "row", "col").agg(
+        F.min("d2").alias("d2"), F.first(elev).alias("d_elev"), F.first(slope).alias("d_slope"), *[F.first(c).alias(c) for c in carry or []]
     )
-    return pairs.groupBy(unit, "row", "col").agg(
-        F.min("d2").alias("d2"),
-        F.first(F.abs(F.col("elev") - F.col("elev_mean"))).alias("d_elev"),
-        F.first(F.abs(F.col("slope") - F.col("slope_mean"))).alias("d_slope"),
+    return nearest.drop("_tr", "_tc")
+
+
+CLOSE = "d2 BETWEEN 16 AND 900 AND d_elev <= 150 AND d_slope <= 10"
+
+
+def tiered_sums(candidates: DataFrame, unit: str, sums: list[str], least: int = 30) -> DataFrame:
+    """Per unit: number of close controls, of those chosen by ``tiered_controls``, and sums of columns over the chosen ones.
+
+    Both tiers are summed in one pass over the candidates, in each task, and the choice is made between sums.
+    """
+    close = F.expr(CLOSE)
+    g = candidates.where(F.col("d2") >= 16).groupBy(unit).agg(
+        F.count_if(close).alias("n_tier1"), F.count(F.lit(1)).alias("_n"),
+        *[f for c in sums for f in (F.sum(F.when(close, F.col(c))).alias(f"_close_{c}"), F.sum(c).alias(f"_wide_{c}"))],
     )
+    enough = F.col("n_tier1") >= least
+    chosen = [F.when(enough, F.col(f"_close_{c}")).otherwise(F.col(f"_wide_{c}")).alias(c) for c in sums]
+    return g.select(unit, "n_tier1", F.when(enough, F.col("n_tier1")).otherwise(F.col("_n")).alias("n_ctrl"), *chosen)
 
 
 def tiered_controls(candidates: DataFrame, unit: str, least: int = 30) -> DataFrame:
     """Close controls where a unit has ``least`` of them, else the wide ones. The candidates are written once: the counts and the
     choice both read them, and finding them is the dear part."""
-    close = (F.col("d2").between(16, 900)) & (F.col("d_elev") <= 150) & (F.col("d_slope") <= 10)
+    close = F.expr(CLOSE)
     far = materialise(candidates.where(F.col("d2") >= 16).withColumn("tier1", close), "candidates")
     n1 = far.groupBy(unit).agg(F.count_if("tier1").alias("n_tier1"))
     return far.join(n1, unit).where(F.col("tier1") | (F.col("n_tier1") < least))
@@ -141,17 +155,41 @@ def unit_minus_control(unit_px: DataFrame, controls: DataFrame, obs: DataFrame,
     (unit, cell) pair is one row whatever the number of periods, and pairs are summed by unit before they are shuffled. The few
     periods are read from ``obs`` unless given; observations of other periods are not used then.
     """
-    if periods is None:
-        periods = sorted(x[0] for x in obs.select(period).distinct().collect() if x[0] is not None)
-    at = lambda p: F.when(F.col(period) == p, F.col(value))
+    periods, cells = _period_cells(obs, period, value, periods)
     each = lambda make: [c for i, p in enumerate(periods) for c in make(i, p)]
-    cells = obs.where(F.col(period).isin(periods)).groupBy("row", "col").agg(F.count(F.lit(1)).alias("_all"), *each(lambda i, p: (F.count(at(p)).alias(f"_n{i}"), F.sum(at(p)).alias(f"_s{i}"))))
     roles = unit_px.select(unit, "row", "col", F.lit(True).alias("_own")).unionByName(controls.select(unit, "row", "col", F.lit(False).alias("_own")))
     # one sum per period and role over the pairs; the two roles of a unit then stand side by side
     summed = roles.join(cells, ["row", "col"]).groupBy(unit, "_own").agg(F.count(F.lit(1)).alias("_pairs"), *each(lambda i, p: (F.sum(f"_n{i}").alias(f"_n{i}"), F.sum(f"_s{i}").alias(f"_s{i}"))))
     pick = lambda c, own: F.max(F.when(F.col("_own") == own, F.col(c)))
     side = lambda i, p: (pick(f"_n{i}", True).alias(f"_un{i}"), pick(f"_s{i}", True).alias(f"_us{i}"), pick(f"_n{i}", False).alias(f"_cn{i}"), pick(f"_s{i}", False).alias(f"_cs{i}"))
     sums = summed.groupBy(unit).agg(F.sum("_pairs").alias("_pairs"), *each(side))
+    return _unit_minus(sums, unit_px, unit, period, periods)
+
+
+def unit_minus_tiered(unit_px: DataFrame, profile: DataFrame, intact: DataFrame, obs: DataFrame, unit: str, period: str, value: str, periods: list | None = None) -> DataFrame:
+    """``unit_minus_control`` against the controls of ``tiered_controls``: the cells carry their observations into the search, and
+    its pairs are summed where they are found, so that none is shuffled or written."""
+    periods, cells = _period_cells(obs, period, value, periods)
+    cells = materialise(cells, "period-cells")
+    names = [f"{c}{i}" for i in range(len(periods)) for c in ("_n", "_s")]
+    seen = intact.join(cells.drop("_all"), ["row", "col"], "left")
+    control = tiered_sums(candidate_controls(unit_px, profile, seen, unit, carry=names), unit, names)
+    own = unit_px.select(unit, "row", "col").join(cells, ["row", "col"]).groupBy(unit).agg(*[F.sum(c).alias(f"_u{c[1:]}") for c in names])
+    control = control.select(unit, *[F.col(c).alias(f"_c{c[1:]}") for c in names])
+    return _unit_minus(own.join(control, unit), unit_px, unit, period, periods)
+
+
+def _period_cells(obs: DataFrame, period: str, value: str, periods: list | None) -> tuple[list, DataFrame]:
+    """The periods, and a row per cell with count and sum of each."""
+    if periods is None:
+        periods = sorted(x[0] for x in obs.select(period).distinct().collect() if x[0] is not None)
+    at = lambda p: F.when(F.col(period) == p, F.col(value))
+    each = [c for i, p in enumerate(periods) for c in (F.count(at(p)).alias(f"_n{i}"), F.sum(at(p)).alias(f"_s{i}"))]
+    return periods, obs.where(F.col(period).isin(periods)).groupBy("row", "col").agg(F.count(F.lit(1)).alias("_all"), *each)
+
+
+def _unit_minus(sums: DataFrame, unit_px: DataFrame, unit: str, period: str, periods: list) -> DataFrame:
+    """Rows by unit and period from counts and sums of both roles; too few values leave a row out."""
     one = [
         F.struct(F.lit(p).alias(period), F.coalesce(f"_un{i}", F.lit(0)).alias("n_unit"), F.coalesce(f"_cn{i}", F.lit(0)).alias("n_ctrl"),
                  (F.col(f"_us{i}") / F.col(f"_un{i}") - F.col(f"_cs{i}") / F.col(f"_cn{i}")).alias("delta"))

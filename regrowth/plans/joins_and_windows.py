@@ -110,11 +110,16 @@ n1 AS (SELECT unit, count_if(tier1) AS n1 FROM far GROUP BY 1),
 ctrl AS (SELECT far.*, n1 FROM far JOIN n1 USING (unit) WHERE tier1 OR n1 < 30)"""
 
 
-def controls(spark, sf, **limits):
+def control_inputs(spark, sf):
     g = fx.pixel_grid(spark, sf)
     u = grid_units(spark, sf).select("unit", "row", "col")
     profile = sp.unit_profile(u, g.select("row", "col", "elev", "slope"), "unit", ["elev", "slope"])
-    return u, sp.candidate_controls(u, profile, g.where(~F.col("disturbed")), "unit", **limits)
+    return u, profile, g.where(~F.col("disturbed"))
+
+
+def controls(spark, sf, **limits):
+    u, profile, intact = control_inputs(spark, sf)
+    return u, sp.candidate_controls(u, profile, intact, "unit", **limits)
 
 
 @query("control_match", G + f", {CAND} SELECT unit, {n('count(*)', 'n_ctrl')}, {n('min(d2)', 'nearest')}, {n('max(d2)', 'farthest')} FROM far WHERE tier1 GROUP BY 1")
@@ -127,8 +132,8 @@ def _(spark, sf):
 @query("tiered_match", G + f", {CAND} SELECT unit, {n('any_value(n1)', 'n_tier1')}, {n('count(*)', 'n_ctrl')}, {r('avg(de)', 'd_elev')} FROM ctrl GROUP BY 1")
 def _(spark, sf):
     _, cand = controls(spark, sf)
-    t = sp.tiered_controls(cand, "unit")
-    return t.groupBy("unit").agg(F.max("n_tier1").alias("n_tier1"), F.count(F.lit(1)).alias("n_ctrl"), F.avg("d_elev").alias("d_elev"))
+    t = sp.tiered_sums(cand, "unit", ["d_elev"]).where(F.col("n_ctrl") > 0)
+    return t.select("unit", "n_tier1", "n_ctrl", (F.col("d_elev") / F.col("n_ctrl")).alias("d_elev"))
 
 
 OBS = "obs AS (SELECT CAST(floor(l_orderkey / 100) AS BIGINT) AS \"row\", l_orderkey % 100 AS \"col\", CAST(year(l_shipdate) AS BIGINT) AS period, avg(l_extendedprice / 1e5) AS value FROM lineitem GROUP BY ALL)"
@@ -148,8 +153,8 @@ def observations(spark, sf):
     SELECT unit, period, {n('n_unit', 'n_unit')}, {n('n_ctrl', 'n_ctrl')}, {r('u - c', 'delta')} FROM s JOIN pf USING (unit) WHERE n_unit >= greatest(3, 0.3 * n_px) AND n_ctrl >= 20""",
 )
 def _(spark, sf):
-    u, cand = controls(spark, sf)
-    return sp.unit_minus_control(u, sp.tiered_controls(cand, "unit"), observations(spark, sf), "unit", "period", "value")
+    u, profile, intact = control_inputs(spark, sf)
+    return sp.unit_minus_tiered(u, profile, intact, observations(spark, sf), "unit", "period", "value")
 
 
 PREPOST = "SELECT pid, year, agent, elev, area_ha, src, max(dlst) FILTER (is_pre) AS pre_v, max(dlst) FILTER (yr = year + 1) AS post_v FROM lp WHERE is_pre OR yr = year + 1 GROUP BY ALL HAVING pre_v IS NOT NULL AND post_v IS NOT NULL"

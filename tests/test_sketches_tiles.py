@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from regrowth.operators import sketches as sk
 from regrowth.operators import spatial as sp
+from regrowth.plans.catalogue import QUERIES
 from regrowth.session import new_work_path
 from regrowth.sources import tables as tb
 
@@ -94,3 +95,12 @@ def test_slices_are_replaced_in_place(spark):
     with pytest.raises(Exception, match="stop"):
         tb.replace_partitions(broken, path, ["s"])
     assert read() == [("None", 4), ("a", 9), ("b", 3), ("c", 7)]
+
+
+def test_pairs_of_the_control_search_are_not_written(spark, monkeypatch):
+    """Only cells are written; pairs of unit and cell are summed where they are found."""
+    written, real = [], sp.materialise
+    monkeypatch.setattr(sp, "materialise", lambda df, name, path=None: written.append(name) or real(df, name, path))
+    for name in ("tiered_match", "unit_minus_control"):
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "candidates" not in written and "period-cells" in written
