@@ -7,11 +7,13 @@ every second line of the same system with renumbered positions is posted too. Be
 measured, 0.92 of pairs meet at similarity 0.80 to 0.84, 0.96 at 0.84 to 0.86, 0.99 above. What meets in a list is filtered by the
 differing bits and verified by the Jaccard similarity of the whole shingle sets.
 
-Lists do not form all their pairs. A node first meets the least of its lists' leaders; then, over the components found so far, the
-leaders in other components than its own; then members outside their leader's component meet the rest of the list, again only in
-other components, once for all lists, and only where the shingles that each shares with anyone still allow the similarity. Pairs left
-out lie in one component already or are below it, so a component is what all pairs of the lists would give, while a group of n copies
-costs about n pairs. Texts of equal words are one node throughout.
+Keys have 24 bits, so lists of a few texts that share nothing else are common in a large table. All pairs of a list of up to ``SHORT``
+nodes are met where the list is, by the differing bits of a 64-bit word of the fingerprint that the key has no part of; only what is
+within ``WORD_BITS`` is written. Longer lists do not form all their pairs. A node first meets the least of its lists' leaders; then, over the
+components found so far, the leaders in other components than its own; then members outside their leader's component meet the rest of
+the list, again only in other components, once for all lists, and only where the shingles that each shares with anyone still allow
+the similarity. Pairs left out lie in one component already or are below it, so a component is what all pairs of the lists would give,
+while a group of n copies costs about n pairs. Texts of equal words are one node throughout.
 
 Defined cases: texts without a word are one node; a text of under five words has one shingle; repeated rows give one row each; a
 null id is kept and never names a component while another id is there; an empty table gives an empty result.
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regrowth.llm.common import lower_words, raw_bytes
 from regrowth.llm.components import components
@@ -37,6 +39,9 @@ SYSTEM = [(i, j, i ^ j) for i in range(1, POSITIONS + 1) for j in range(i + 1, P
 LINES = list(dict.fromkeys(SYSTEM + [tuple(sorted(3 * p % POSITIONS + 1 for p in line)) for line in SYSTEM[::2]]))
 #: Differing bits at similarity 0.8: 37.6 on average with a deviation of 5.7; pairs over three deviations more go.
 MAX_BITS = 56
+#: Nodes of a list whose pairs are all met at once. Of the 64 bits of a word 9.7 differ on average at similarity 0.8, with a deviation
+#: of 2.9 (24 is five deviations more), and 32 by chance, with one of 4.
+SHORT, WORD_BITS = 8, 24
 PARTS = ["f0", "f1", "f2", "f3"]
 
 
@@ -88,13 +93,37 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return rows.mapInArrow(run, "doc_id long, text_hash long, node long, " + ", ".join(f"{p} long" for p in PARTS))
 
 
+def free_word(line: tuple[int, int, int]) -> int:
+    """The last of the four words of the fingerprint that holds none of the line's positions."""
+    return max(set(range(4)) - {p // 8 for p in line})
+
+
 def postings(nodes: DataFrame) -> DataFrame:
-    """(at, node): the list of each line's three positional bytes; ``at`` holds the line's number and the bytes."""
+    """(at, node, word): the list of each line's three positional bytes; ``at`` holds the line's number and the bytes."""
     by_position = F.array(*[F.shiftrightunsigned(PARTS[p // 8], 8 * (p % 8)).bitwiseAND(F.lit(255)) for p in range(POSITIONS + 1)])
-    lines = F.array(*[F.struct(F.lit(n).cast("long").alias("n"), *[F.lit(p).alias(x) for p, x in zip(line, "ijk", strict=True)]) for n, line in enumerate(LINES)])
+    lines = F.array(*[
+        F.struct(F.lit(n).cast("long").alias("n"), F.lit(free_word(line)).alias("w"), *[F.lit(p).alias(x) for p, x in zip(line, "ijk", strict=True)])
+        for n, line in enumerate(LINES)
+    ])
     byte = lambda p: F.get("_bytes", p)
-    at = F.transform(lines, lambda t: ((t["n"] * 256 + byte(t["i"])) * 256 + byte(t["j"])) * 256 + byte(t["k"]))
-    return nodes.select("node", by_position.alias("_bytes")).select(F.explode(at).alias("at"), "node")
+    at = F.transform(lines, lambda t: F.struct(
+        (((t["n"] * 256 + byte(t["i"])) * 256 + byte(t["j"])) * 256 + byte(t["k"])).alias("at"), F.get("_words", t["w"]).alias("word")))
+    rows = nodes.select("node", by_position.alias("_bytes"), F.array(*PARTS).alias("_words"))
+    return rows.select("node", F.explode(at).alias("_at")).select("_at.at", "node", "_at.word")
+
+
+def met_lists(posted: DataFrame) -> DataFrame:
+    """(at, node, n, leader, partners) of the lists of several nodes, from one exchange.
+
+    In a list of up to ``SHORT`` nodes ``partners`` are the larger nodes within ``WORD_BITS`` of a node, and nodes without any have no row.
+    """
+    own = W.partitionBy("at")
+    held = posted.repartition("at").withColumns({"n": F.count(F.lit(1)).over(own), "leader": F.min("node").over(own)}).where("n > 1")
+    later = [F.struct(*[F.lead(c, k).over(own.orderBy("node")).alias(c) for c in ("node", "word")]) for k in range(1, SHORT)]
+    held = held.withColumn("_later", F.array(*later))
+    near = F.filter("_later", lambda x: x["node"].isNotNull() & (F.bit_count(x["word"].bitwiseXOR(F.col("word"))) <= WORD_BITS))
+    held = held.select("at", "node", "n", "leader", F.when(F.col("n") <= SHORT, F.transform(near, lambda x: x["node"])).alias("partners"))
+    return held.where((F.col("n") > SHORT) | (F.size("partners") > 0))
 
 
 def _bits(a: str, b: str) -> Column:
@@ -143,12 +172,6 @@ def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(shared >= F.lit(SIMILAR) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, text: str = "text") -> DataFrame:
-    """The pairs within ``MAX_BITS`` that are ``similar``."""
-    near = materialise(_differing(nodes, pairs), "near-pairs")
-    return similar(shingle_sets(docs, nodes, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), text), near)
-
-
 def reach(sets: DataFrame) -> DataFrame:
     """(node, size, common): shingles of each node, and how many of them any other node of ``sets`` has.
 
@@ -161,16 +184,19 @@ def reach(sets: DataFrame) -> DataFrame:
     return sets.select("node", size.alias("size")).join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
 
 
-def rest_pairs(nodes: DataFrame, at: DataFrame, reached: DataFrame) -> DataFrame:
+def rest_pairs(nodes: DataFrame, members: DataFrame, apart: DataFrame, of: DataFrame, reached: DataFrame) -> DataFrame:
     """Pairs (a, b) in different components that a list holds besides its leader, each once, from the first list that has both.
 
-    ``at`` has the members of the lists (at, node, of_node, of_leader). A pair in different components has a member outside its
-    leader's component in every list it is in. Pairs over ``MAX_BITS`` or whose similarity cannot reach ``SIMILAR`` are never made.
+    ``members`` are those of the lists (at, node, leader), ``apart`` the pairs (node, leader) in different components, ``of`` the
+    components (node, of). A pair in different components has a member outside its leader's component in every list it is in. Pairs over
+    ``MAX_BITS`` or whose similarity cannot reach ``SIMILAR`` are never made.
     """
-    known = nodes.select("node", *PARTS).join(reached, "node")
-    columns = [*PARTS, "size", "common", "of", "apart"]
-    held = at.join(known, "node").withColumns({"of": F.col("of_node"), "apart": F.col("of_leader") != F.col("of_node")})
-    one, other = (_side(held, name, ["at", *columns]) for name in ("u", "v"))
+    known = nodes.select("node", *PARTS).join(reached, "node").join(of, "node")
+    lists = members.groupBy("node").agg(F.collect_list(F.struct("at", "leader")).alias("_lists"))  # one entry for each line at most
+    leaders = apart.groupBy("node").agg(F.collect_set("leader").alias("_apart"))
+    held = known.join(lists, "node").join(leaders, "node", "left").withColumn("_in", F.explode("_lists"))
+    held = held.withColumns({"at": F.col("_in.at"), "apart": F.coalesce(F.array_contains("_apart", F.col("_in.leader")), F.lit(False))})
+    one, other = (_side(held, name, ["at", *PARTS, "size", "common", "of", "apart"]) for name in ("u", "v"))
     least = F.least("u_common", "v_common")
     met = (
         (F.col("u_at") == F.col("v_at")) & (F.col("u_of") != F.col("v_of")) & (~F.col("v_apart") | (F.col("u") < F.col("v")))
@@ -184,12 +210,15 @@ def _pairs(rows: DataFrame, u: str, v: str) -> DataFrame:
     return rows.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).distinct()
 
 
-def _placed(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members with the components of their leader and of themselves, a node without a link being its own."""
-    names = materialise(components(edges), "names")
-    of = lambda name: names.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
-    out = members.join(of("leader"), "leader", "left").join(of("node"), "node", "left")
-    return out.withColumns({f"of_{c}": F.coalesce(f"of_{c}", c) for c in ("leader", "node")})
+def _named(wanted: DataFrame, names: DataFrame) -> DataFrame:
+    """(node, of): the component of each wanted node, a node without a link being its own."""
+    return wanted.join(names, "node", "left").select("node", F.coalesce("component", "node").alias("of"))
+
+
+def _across(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs (node, leader) in different components."""
+    leaders = of.select(F.col("node").alias("leader"), F.col("of").alias("of_leader"))
+    return pairs.join(of, "node").join(leaders, "leader").where("of <> of_leader").select("node", "leader")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -197,20 +226,28 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = materialise(sketches(docs, key, text), "sketches")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), *[F.min(p).alias(p) for p in PARTS])
     nodes = materialise(nodes, "nodes")
-    posted = postings(nodes).repartition("at")  # one exchange, for the lists and for their members
-    lists = posted.groupBy("at").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(posted.join(lists, "at").where("node <> leader"), "members")
-    least = members.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a"))
-    edges = materialise(verified(docs, nodes, least.select("a", "b"), text), "links")
-    at = _placed(members, edges)
-    edges = materialise(edges.unionByName(verified(docs, nodes, _pairs(at.where("of_leader <> of_node"), "leader", "node"), text)), "links")
-    # a list of two has no rest, and neither has one whose members are all in their leader's component
-    at = materialise(_placed(members.where("n > 2"), edges), "placed")
-    at = at.join(at.where("of_leader <> of_node").select("at").distinct(), "at", "left_semi")
-    sets = shingle_sets(docs, nodes, at.select("node").distinct(), text)
-    near = materialise(rest_pairs(nodes, at, reach(sets)), "near-pairs")
-    edges = materialise(edges.unionByName(similar(sets, near)), "links")
-    names = components(edges)
+    lists = materialise(met_lists(postings(nodes)), "lists")
+    short = lists.where(F.col("n") <= SHORT).select(F.col("node").alias("a"), F.explode("partners").alias("b"))
+    members = lists.where(F.col("n") > SHORT).select("at", "node", "leader")
+    led = materialise(members.where("leader <> node").select("node", "leader").distinct(), "led")
+    least = led.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
+    near = materialise(_differing(nodes, short.unionByName(least).distinct()), "near-pairs")
+    in_lists = materialise(led.select(F.explode(F.array("node", "leader")).alias("node")).distinct(), "list-nodes")
+    sets = shingle_sets(docs, nodes, near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(in_lists).distinct(), text)
+    edges = materialise(similar(sets, near), "links")
+    names = materialise(components(edges), "names")
+    apart = materialise(_across(led, _named(in_lists, names)), "apart")
+    if not apart.isEmpty():  # a long list with a member outside its leader's component
+        more = similar(sets, _differing(nodes, _pairs(apart, "leader", "node")))
+        edges = materialise(edges.unionByName(more), "links")
+        names = materialise(components(edges), "names")
+        of = materialise(_named(in_lists, names), "list-components")
+        apart = materialise(_across(led, of), "apart")
+        if not apart.isEmpty():
+            near = materialise(rest_pairs(nodes, members, apart, of, reach(sets.join(in_lists, "node", "left_semi"))), "near-pairs")
+            more = materialise(similar(sets, near), "links")
+            if not more.isEmpty():
+                names = components(edges.unionByName(more))
     of = nodes.join(names, "node", "left").select("node", "first", F.coalesce("component", "node").alias("_c"))
     least = of.groupBy("_c").agg(F.min("first").alias("component_id"))
     of = materialise(of.join(least, "_c").select("node", "component_id"), "node-components")

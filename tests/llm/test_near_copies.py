@@ -99,3 +99,22 @@ def test_a_large_group_and_an_empty_table(spark):
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
     assert sum(got[i] == 0 for i in range(400)) == 400 and all(got[i] == i for i in range(400, 800))
     assert near_copies.near_copies(docs.limit(0)).count() == 0
+
+
+def test_short_lists_write_near_pairs_only(spark):
+    """Of the pairs that strangers make in a list few are written; the near pairs of a short list are all met, a long list keeps its members."""
+    rnd = random.Random(3)
+    fps = []
+    for k in range(60):  # twenty lists of three strangers in the first line, of positions 1, 2 and 3
+        fps.append([k // 3 << 8 | 7 << 16 | 9 << 24 | rnd.getrandbits(31) << 32, *[rnd.getrandbits(63) for _ in range(3)]])
+    family = [rnd.getrandbits(63) for _ in range(4)]
+    fps += [[family[0], family[1], family[2], family[3] ^ (1 << k)] for k in range(4)]  # four near ones
+    crowd = [rnd.getrandbits(63) for _ in range(4)]
+    fps += [[crowd[0], crowd[1], crowd[2], crowd[3] ^ (1 << k)] for k in range(near_copies.SHORT + 1)]
+    nodes = spark.createDataFrame([(i, *f) for i, f in enumerate(fps)], "node long, f0 long, f1 long, f2 long, f3 long")
+    rows = near_copies.met_lists(near_copies.postings(nodes)).collect()
+    met = {(r.node, b) for r in rows for b in r.partners or [] if r.at >> 24 == 0}
+    assert len([a for a, _ in met if a < 60]) <= 6  # 3 % of the 60 pairs are within the bits by chance
+    assert {(a, b) for a, b in met if a >= 60} == set(itertools.combinations(range(60, 64), 2))
+    assert sorted(r.node for r in rows if r.at >> 24 == 0 and r.partners is None) == list(range(64, 64 + near_copies.SHORT + 1))
+    assert all(near_copies.free_word(x) not in {p // 8 for p in x} for x in near_copies.LINES)
