@@ -42,25 +42,29 @@ def small_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     return out.where(F.col("_total") >= min_n).select(*keys, *([F.col("_total").alias(count)] if count else []), *picks)
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str], min_n: int = 1, count: str | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], names: list[str], min_n: int = 1, count: str | None = None, repeated: bool = False) -> DataFrame:
     """One row per group with linearly interpolated quantiles; groups below ``min_n`` values are left out.
 
-    ``count`` names an output column for the number of non-null values.
+    ``count`` names an output column for the number of non-null values. ``repeated`` says that values occur many times: they are then
+    counted with map-side combine first, and all that follows works on the distinct values of each group.
     """
     groups, edges = keys, n_ranges(df) - 1
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    n, weight = F.lit(1), []
+    if repeated:
+        rows, n, weight = rows.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_n")), F.col("_n"), ["_n"]
     rows = materialise(rows, "quantile-values")
     steps = [(i + 1) / (edges + 1) for i in range(edges)]
-    sketch = rows.groupBy(*groups).agg(F.percentile_approx("_v", steps, 4 * (edges + 1)).alias("_edges"), F.count(F.lit(1)).alias("_total"))
+    sketch = rows.groupBy(*groups).agg(F.percentile_approx("_v", steps, 4 * (edges + 1)).alias("_edges"), F.sum(n).alias("_total"))
     sketch = materialise(sketch, "quantile-ranges")
     if groups:
         ranged = _eq_join(rows, sketch.where(F.col("_total") >= min_n), groups)
     else:
         ranged = rows.withColumn("_s", sketch.select(F.struct("_edges", "_total")).scalar())
-        ranged = ranged.select("_v", "_s.*").where(F.col("_total") >= min_n)
+        ranged = ranged.select("_v", *weight, "_s.*").where(F.col("_total") >= min_n)
     ranged = ranged.withColumn("_range", range_of(F.col("_edges"), F.col("_v"), edges)).drop("_edges")
 
-    by_range = ranged.groupBy(*groups, "_range", "_total").agg(F.count(F.lit(1)).alias("_in_range"))
+    by_range = ranged.groupBy(*groups, "_range", "_total").agg(F.sum(n).alias("_in_range"))
     # at most one row per range and group
     before = F.coalesce(
         F.sum("_in_range").over(W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
@@ -82,8 +86,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
         .agg(F.collect_set(F.struct(F.col("_spot.i").alias("i"), "_side", "_rank", F.col("_spot.pos").alias("pos"))).alias("_want"))
     )
     # of the ranges that hold a wanted rank, the values with their counts
-    kept = _eq_join(ranged.select(*groups, "_range", "_v"), wanted.select(*groups, "_range"), groups + ["_range"])
-    values = kept.groupBy(*groups, "_range", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    kept = _eq_join(ranged.select(*groups, "_range", "_v", *weight), wanted.select(*groups, "_range"), groups + ["_range"])
+    values = kept.groupBy(*groups, "_range", "_v").agg(F.sum(n).alias("_n"))
     inside = _eq_join(values, wanted, groups + ["_range"])
     upto = F.col("_before") + F.sum("_n").over(W.partitionBy(*groups, "_range").orderBy("_v"))
     hits = (
