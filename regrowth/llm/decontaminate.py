@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -103,6 +104,21 @@ def _is_set(bits: np.ndarray, spot: np.ndarray) -> np.ndarray:
     return ((bits[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
+def hash_filter(hashes: DataFrame):
+    """A test for a column of 64-bit hashes: true for all of ``hashes`` (its only column, ``hash``) and for some others.
+
+    It is of bounded size, so where it is full more rows pass; what passes is still to be joined.
+    """
+    bitmap = hashes.sparkSession.sparkContext.broadcast(_filter(hashes))
+
+    @F.pandas_udf("boolean")
+    def held(column: pd.Series) -> pd.Series:
+        h = column.to_numpy().view(np.uint64)
+        return pd.Series(_is_set(bitmap.value, h >> np.uint64(40)) & _is_set(bitmap.value, (h >> np.uint64(12)) & np.uint64(FILTER_BITS - 1)))
+
+    return held
+
+
 def stretches(docs: DataFrame, bitmap: np.ndarray, reach: int) -> DataFrame:
     """doc_id, at (first word kept), words, hits (hash, pos) of the windows that pass the filter.
 

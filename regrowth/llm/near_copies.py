@@ -9,11 +9,12 @@ differing bits and verified by the Jaccard similarity of the whole shingle sets.
 
 Keys have 24 bits, so lists of a few texts that share nothing else are common in a large table. All pairs of a list of up to ``SHORT``
 nodes are met where the list is, by the differing bits of a 64-bit word of the fingerprint that the key has no part of; only what is
-within ``WORD_BITS`` is written. Longer lists do not form all their pairs. A node first meets the least of its lists' leaders; then, over the
-components found so far, the leaders in other components than its own; then members outside their leader's component meet the rest of
-the list, again only in other components, once for all lists, and only where the shingles that each shares with anyone still allow
-the similarity. Pairs left out lie in one component already or are below it, so a component is what all pairs of the lists would give,
-while a group of n copies costs about n pairs. Texts of equal words are one node throughout.
+within ``WORD_BITS`` is written. Longer lists do not form all their pairs. A node first meets the least of its lists' leaders and
+the smaller partner that it shares most short lists with; then, over the components found so far, partners in other components than its
+own; then members outside their leader's component meet the rest of the list, again only in other components, once for all lists. Pairs
+that the profiles of two nodes rule out (an upper bound of the shingles they share) are never verified on whole sets. Pairs left out lie in one component already or
+are below the similarity, so a component is what all pairs of the lists would give, while a group of n copies costs about n pairs. Texts
+of equal words are one node throughout. Whole texts are not shuffled: those wanted are found by a filter of bounded size first.
 
 Defined cases: texts without a word are one node; a text of under five words has one shingle; repeated rows give one row each; a
 null id is kept and never names a component while another id is there; an empty table gives an empty result.
@@ -22,6 +23,7 @@ null id is kept and never names a component while another id is there; an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from regrowth.llm.common import lower_words, raw_bytes
 from regrowth.llm.components import components
+from regrowth.llm.decontaminate import hash_filter
 from regrowth.llm.simhash import CHUNK, SEED
 from regrowth.session import materialise
 
@@ -43,6 +46,10 @@ MAX_BITS = 56
 #: of 2.9 (24 is five deviations more), and 32 by chance, with one of 4.
 SHORT, WORD_BITS = 8, 24
 PARTS = ["f0", "f1", "f2", "f3"]
+#: Bits of a profile: bit k is set if a shingle's hash is k modulo their number. It tells texts of up to some thousand shingles apart.
+PROFILE_BITS = 1024
+PROFILE = [f"p{k}" for k in range(PROFILE_BITS // 64)]
+BOUND = ["size", "over", *PROFILE]
 
 
 def shingle_set(text: bytes, size: int = SIZE) -> tuple[int, np.ndarray]:
@@ -78,19 +85,28 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")
 
 
+def profile(hashes: np.ndarray) -> np.ndarray:
+    """The number of hashes, how many of them share a bit with an earlier one, and the bits as longs."""
+    bits = np.zeros(PROFILE_BITS, dtype=bool)
+    bits[(hashes % np.uint64(PROFILE_BITS)).astype(np.int64)] = True
+    return np.concatenate([[len(hashes), len(hashes) - bits.sum()], np.packbits(bits, bitorder="little").view("<i8")])
+
+
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash, node (hash of the words) and the fingerprint f0 to f3 of each row."""
+    """doc_id, text_hash, node (hash of the words), the fingerprint f0 to f3 and the profile of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t) for t in raw_bytes(batch, "text")]
             nodes = np.array([n for n, _ in sets], dtype=np.uint64).view(np.int64)
             fps = np.array([wide_fingerprint(s) for _, s in sets], dtype=np.int64).reshape(-1, 4)
+            bounds = np.array([profile(s) for _, s in sets], dtype=np.int64).reshape(-1, len(BOUND))
             columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes), *[pa.array(fps[:, k]) for k in range(4)]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", *PARTS])
+            columns += [pa.array(bounds[:, k]) for k in range(len(BOUND))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", *PARTS, *BOUND])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, " + ", ".join(f"{p} long" for p in PARTS))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, node long, " + ", ".join(f"{p} long" for p in PARTS + BOUND))
 
 
 def free_word(line: tuple[int, int, int]) -> int:
@@ -131,6 +147,13 @@ def _bits(a: str, b: str) -> Column:
     return sum(F.bit_count(F.col(f"{a}{p}").bitwiseXOR(F.col(f"{b}{p}"))) for p in PARTS)
 
 
+def _may_be_similar(a: str, b: str) -> Column:
+    """False if two profiles cannot belong to sets of ``SIMILAR``: hashes in both have a bit in both, or share one with an earlier hash."""
+    both = sum(F.bit_count(F.col(f"{a}{p}").bitwiseAND(F.col(f"{b}{p}"))) for p in PROFILE)
+    most = both + F.least(f"{a}over", f"{b}over")
+    return most * (1 + SIMILAR) + 1e-6 >= F.lit(SIMILAR) * (F.col(f"{a}size") + F.col(f"{b}size"))
+
+
 def _first_here(a: str, b: str, line: Column) -> Column:
     """True if two fingerprints share the three positional bytes of no line before the given one."""
     same = lambda p: F.shiftrightunsigned(F.col(f"{a}{PARTS[p // 8]}").bitwiseXOR(F.col(f"{b}{PARTS[p // 8]}")), 8 * (p % 8)).bitwiseAND(F.lit(255)) == 0
@@ -145,21 +168,22 @@ def _side(table: DataFrame, name: str, columns: list[str]) -> DataFrame:
 
 
 def _differing(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs within ``MAX_BITS``."""
-    both = pairs.join(_side(nodes, "a", PARTS), "a").join(_side(nodes, "b", PARTS), "b")
-    return both.where(_bits("a_", "b_") <= MAX_BITS).select("a", "b")
+    """The pairs within ``MAX_BITS`` whose profiles allow the similarity."""
+    both = pairs.join(_side(nodes, "a", PARTS + BOUND), "a").join(_side(nodes, "b", PARTS + BOUND), "b")
+    return both.where((_bits("a_", "b_") <= MAX_BITS) & _may_be_similar("a_", "b_")).select(*pairs.columns)
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """(node, shingles) of the wanted nodes, made anew from one text of each; no other text is read into Python again."""
+    """(node, shingles) of the wanted nodes, made anew from one text of each; the filter lets few other texts into the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t)[1].view(np.int64) for t in raw_bytes(batch, "text")]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    wanted = nodes.join(wanted, "node").select("node", "text_hash")
-    texts = docs.select(F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text")).join(wanted, "text_hash")
+    wanted = materialise(nodes.join(wanted, "node").select("node", "text_hash"), "wanted-texts")
+    held = hash_filter(wanted.select(F.col("text_hash").alias("hash")))
+    texts = docs.select(F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text")).where(held("text_hash")).join(wanted, "text_hash")
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     return materialise(texts.mapInArrow(run, "node long, shingles array<long>"), "shingle-sets")
 
@@ -172,82 +196,69 @@ def similar(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.where(shared >= F.lit(SIMILAR) * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def reach(sets: DataFrame) -> DataFrame:
-    """(node, size, common): shingles of each node, and how many of them any other node of ``sets`` has.
-
-    Two nodes share at most the smaller ``common``, so this bounds their similarity from above. A shingle is counted with map-side
-    combine, and only those of one node go on.
-    """
-    own = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-    own = own.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    size = F.size("shingles").cast("long")
-    return sets.select("node", size.alias("size")).join(own, "node", "left").select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
-
-
-def rest_pairs(nodes: DataFrame, members: DataFrame, apart: DataFrame, of: DataFrame, reached: DataFrame) -> DataFrame:
+def rest_pairs(nodes: DataFrame, members: DataFrame, apart: DataFrame, of: DataFrame) -> DataFrame:
     """Pairs (a, b) in different components that a list holds besides its leader, each once, from the first list that has both.
 
     ``members`` are those of the lists (at, node, leader), ``apart`` the pairs (node, leader) in different components, ``of`` the
     components (node, of). A pair in different components has a member outside its leader's component in every list it is in. Pairs over
-    ``MAX_BITS`` or whose similarity cannot reach ``SIMILAR`` are never made.
+    ``MAX_BITS`` or whose profiles rule ``SIMILAR`` out are never made.
     """
-    known = nodes.select("node", *PARTS).join(reached, "node").join(of, "node")
+    known = nodes.select("node", *PARTS, *BOUND).join(of, "node")
     lists = members.groupBy("node").agg(F.collect_list(F.struct("at", "leader")).alias("_lists"))  # one entry for each line at most
     leaders = apart.groupBy("node").agg(F.collect_set("leader").alias("_apart"))
     held = known.join(lists, "node").join(leaders, "node", "left").withColumn("_in", F.explode("_lists"))
     held = held.withColumns({"at": F.col("_in.at"), "apart": F.coalesce(F.array_contains("_apart", F.col("_in.leader")), F.lit(False))})
-    one, other = (_side(held, name, ["at", *PARTS, "size", "common", "of", "apart"]) for name in ("u", "v"))
-    least = F.least("u_common", "v_common")
+    one, other = (_side(held, name, ["at", *PARTS, *BOUND, "of", "apart"]) for name in ("u", "v"))
     met = (
         (F.col("u_at") == F.col("v_at")) & (F.col("u_of") != F.col("v_of")) & (~F.col("v_apart") | (F.col("u") < F.col("v")))
-        & (least * (1 + SIMILAR) >= F.lit(SIMILAR) * (F.col("u_size") + F.col("v_size")))
-        & (_bits("u_", "v_") <= MAX_BITS) & _first_here("u_", "v_", F.shiftrightunsigned("u_at", 24).cast("int"))
+        & (_bits("u_", "v_") <= MAX_BITS) & _may_be_similar("u_", "v_") & _first_here("u_", "v_", F.shiftrightunsigned("u_at", 24).cast("int"))
     )
     return one.where("u_apart").join(other, met).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
 
-def _pairs(rows: DataFrame, u: str, v: str) -> DataFrame:
-    return rows.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b")).distinct()
-
-
-def _named(wanted: DataFrame, names: DataFrame) -> DataFrame:
-    """(node, of): the component of each wanted node, a node without a link being its own."""
-    return wanted.join(names, "node", "left").select("node", F.coalesce("component", "node").alias("of"))
-
-
-def _across(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """The pairs (node, leader) in different components."""
-    leaders = of.select(F.col("node").alias("leader"), F.col("of").alias("of_leader"))
-    return pairs.join(of, "node").join(leaders, "leader").where("of <> of_leader").select("node", "leader")
+def _across(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs (a, b) in different components, a node without a link being its own."""
+    for x in ("a", "b"):
+        pairs = pairs.join(names.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")), x, "left")
+    return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, text_hash and component_id (smallest id reachable over verified links)."""
     rows = materialise(sketches(docs, key, text), "sketches")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), *[F.min(p).alias(p) for p in PARTS])
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"), *[F.min(p).alias(p) for p in PARTS + BOUND])
     nodes = materialise(nodes, "nodes")
     lists = materialise(met_lists(postings(nodes)), "lists")
     short = lists.where(F.col("n") <= SHORT).select(F.col("node").alias("a"), F.explode("partners").alias("b"))
+    near = materialise(_differing(nodes, short.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"))), "near-pairs")
     members = lists.where(F.col("n") > SHORT).select("at", "node", "leader")
-    led = materialise(members.where("leader <> node").select("node", "leader").distinct(), "led")
-    least = led.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
-    near = materialise(_differing(nodes, short.unionByName(least).distinct()), "near-pairs")
-    in_lists = materialise(led.select(F.explode(F.array("node", "leader")).alias("node")).distinct(), "list-nodes")
-    sets = shingle_sets(docs, nodes, near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(in_lists).distinct(), text)
-    edges = materialise(similar(sets, near), "links")
+    led = materialise(members.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "led")
+    made: list[DataFrame] = []  # sets of shingles
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The similar ones of the pairs, whose sets are made if they are not there yet."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        for own in made:
+            wanted = wanted.join(own.select("node"), "node", "left_anti")
+        made.append(shingle_sets(docs, nodes, wanted, text))
+        return materialise(similar(reduce(DataFrame.unionByName, made), pairs), "links")
+
+    closest = near.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")).select("a", "b")
+    least = _differing(nodes, led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    edges = links(materialise(closest.unionByName(least).distinct(), "first-pairs"))
     names = materialise(components(edges), "names")
-    apart = materialise(_across(led, _named(in_lists, names)), "apart")
-    if not apart.isEmpty():  # a long list with a member outside its leader's component
-        more = similar(sets, _differing(nodes, _pairs(apart, "leader", "node")))
-        edges = materialise(edges.unionByName(more), "links")
+    more = materialise(_across(near, names), "near-pairs")
+    if not more.isEmpty():
+        edges = edges.unionByName(links(more))
         names = materialise(components(edges), "names")
-        of = materialise(_named(in_lists, names), "list-components")
-        apart = materialise(_across(led, of), "apart")
-        if not apart.isEmpty():
-            near = materialise(rest_pairs(nodes, members, apart, of, reach(sets.join(in_lists, "node", "left_semi"))), "near-pairs")
-            more = materialise(similar(sets, near), "links")
-            if not more.isEmpty():
-                names = components(edges.unionByName(more))
+    apart = materialise(_across(led, names), "apart")
+    if not apart.isEmpty():  # a long list with a member outside its leader's component
+        in_lists = led.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        of = in_lists.join(names, "node", "left").select("node", F.coalesce("component", "node").alias("of"))
+        near = rest_pairs(nodes, members, apart.select(F.col("a").alias("leader"), F.col("b").alias("node")), materialise(of, "list-components"))
+        near = materialise(near, "near-pairs")
+        if not near.isEmpty():
+            names = materialise(components(edges.unionByName(links(near))), "names")
     of = nodes.join(names, "node", "left").select("node", "first", F.coalesce("component", "node").alias("_c"))
     least = of.groupBy("_c").agg(F.min("first").alias("component_id"))
     of = materialise(of.join(least, "_c").select("node", "component_id"), "node-components")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from regrowth.llm.common import lower_words, raw_bytes
 from regrowth.llm.components import components
+from regrowth.llm.decontaminate import hash_filter
 from regrowth.session import materialise
 
 SEED = 42
@@ -102,8 +103,8 @@ def keep_one(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str =
     """One document of each component: the one with the least (id, text hash); of its repeated rows one stays. Rows without an id stay.
 
     ``found`` comes from ``near_duplicates`` with the text hash: a row is known by its id and its text, so rows that share an id
-    but not the text stand for themselves. What goes, and what occurs more than once, is written first: where that is little its
-    size is known and the texts are filtered in place; where it is much, the planner shuffles.
+    but not the text stand for themselves. What goes, and what occurs more than once, is written first; a filter of bounded size holds
+    it, so that other rows pass in place and only what may be of it is shuffled with its text.
     """
     at = ["_id", "_hash"]
     members = found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "component_id").agg(F.count(F.lit(1)).alias("n"))
@@ -113,7 +114,10 @@ def keep_one(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str =
     gone = materialise(told.where(~F.col("_stays")).select(*at), "gone")
     repeated = materialise(told.where(F.col("_stays") & (F.col("n") > 1)).select(*at), "repeated")
     keyed = docs.select("*", F.col(key).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_hash"))
-    kept = keyed.join(gone, at, "left_anti")
+    held = hash_filter(gone.unionByName(repeated).select(F.xxhash64(*at).alias("hash")))
+    keyed = keyed.withColumn("_held", held(F.xxhash64(*at)))
+    clear = keyed.where(~F.col("_held")).select(*docs.columns)
+    kept = materialise(keyed.where("_held").drop("_held"), "held-rows").join(gone, at, "left_anti")
     once = kept.join(repeated, at, "left_anti").select(*docs.columns)
     many = kept.join(repeated, at, "left_semi").groupBy(*at).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
-    return once.unionByName(many)
+    return clear.unionByName(once).unionByName(many)

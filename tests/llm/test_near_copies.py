@@ -118,3 +118,36 @@ def test_short_lists_write_near_pairs_only(spark):
     assert {(a, b) for a, b in met if a >= 60} == set(itertools.combinations(range(60, 64), 2))
     assert sorted(r.node for r in rows if r.at >> 24 == 0 and r.partners is None) == list(range(64, 64 + near_copies.SHORT + 1))
     assert all(near_copies.free_word(x) not in {p // 8 for p in x} for x in near_copies.LINES)
+
+
+def test_profiles_rule_out_strays_and_no_similar_pair(spark):
+    """Strays of a group share most shingles with every member and are similar to none: none of these pairs is verified on whole sets."""
+    rnd = random.Random(12)
+    base = [word(rnd) for _ in range(150)]
+    texts = [changed(rnd, base, 1) for _ in range(30)] + [changed(rnd, base, 5) for _ in range(30)]
+    for n in (3, 40, 900, 6000):  # copies around the similarity, short and long
+        own = [word(rnd) for _ in range(n)]
+        texts += [changed(rnd, own, max(1, round(n * share))) for share in (0.01, 0.02, 0.03, 0.04)]
+    sets = [near_copies.shingle_set(" ".join(t).encode())[1] for t in texts]
+    rows = [(i, *near_copies.wide_fingerprint(s).tolist(), *near_copies.profile(s).tolist()) for i, s in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node long, " + ", ".join(f"{c} long" for c in near_copies.PARTS + near_copies.BOUND))
+    pairs = list(itertools.combinations(range(len(texts)), 2))
+    kept = {(r.a, r.b) for r in near_copies._differing(nodes, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    own = [set(s.tolist()) for s in sets]
+    bits = lambda a, b: sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(rows[a][1:5], rows[b][1:5], strict=True))
+    similar = {(a, b) for a, b in pairs if jaccard(own[a], own[b]) >= 0.8 and bits(a, b) <= near_copies.MAX_BITS}
+    assert len(similar) > 400 and similar <= kept
+    strays = {(a, b) for a, b in pairs if b < 60 and b >= 30 and jaccard(own[a], own[b]) < 0.77}
+    assert len(strays) > 800 and len(kept & strays) < 0.02 * len(strays)
+
+
+def test_texts_that_nothing_asks_for_are_not_shuffled(spark):
+    """The filter lets through what it holds and hardly anything else; what is kept does not depend on it."""
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "concat('word ', id) AS text", "xxhash64(concat('word ', id)) AS text_hash")
+    held = near_copies.hash_filter(rows.where("doc_id < 500").selectExpr("text_hash AS hash"))
+    passed = {r.doc_id for r in rows.where(held("text_hash")).collect()}
+    assert passed.issuperset(range(500)) and len(passed) < 520
+    docs = rows.select("doc_id", "text").unionByName(rows.where("doc_id < 50").select("doc_id", "text"))
+    found = docs.selectExpr("doc_id", "xxhash64(text) AS text_hash", "if(doc_id BETWEEN 100 AND 299, 100, doc_id) AS component_id")
+    kept = [r.doc_id for r in simhash.keep_one(docs, found).collect()]
+    assert sorted(kept) == [*range(101), *range(300, 20_000)]
