@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -111,10 +110,10 @@ def hash_filter(hashes: DataFrame):
     """
     bitmap = hashes.sparkSession.sparkContext.broadcast(_filter(hashes))
 
-    @F.pandas_udf("boolean")
-    def held(column: pd.Series) -> pd.Series:
-        h = column.to_numpy().view(np.uint64)
-        return pd.Series(_is_set(bitmap.value, h >> np.uint64(40)) & _is_set(bitmap.value, (h >> np.uint64(12)) & np.uint64(FILTER_BITS - 1)))
+    @F.arrow_udf("boolean")
+    def held(column: pa.Array) -> pa.Array:
+        h = column.to_numpy(zero_copy_only=False).view(np.uint64)
+        return pa.array(_is_set(bitmap.value, h >> np.uint64(40)) & _is_set(bitmap.value, (h >> np.uint64(12)) & np.uint64(FILTER_BITS - 1)))
 
     return held
 

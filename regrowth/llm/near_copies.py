@@ -97,12 +97,12 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t) for t in raw_bytes(batch, "text")]
-            nodes = np.array([n for n, _ in sets], dtype=np.uint64).view(np.int64)
-            fps = np.array([wide_fingerprint(s) for _, s in sets], dtype=np.int64).reshape(-1, 4)
-            bounds = np.array([profile(s) for _, s in sets], dtype=np.int64).reshape(-1, len(BOUND))
-            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes), *[pa.array(fps[:, k]) for k in range(4)]]
-            columns += [pa.array(bounds[:, k]) for k in range(len(BOUND))]
+            nodes = np.zeros(batch.num_rows, dtype=np.uint64)
+            own = np.zeros((batch.num_rows, len(PARTS + BOUND)), dtype=np.int64)
+            for i, t in enumerate(raw_bytes(batch, "text")):  # one set at a time
+                nodes[i], hashes = shingle_set(t)
+                own[i] = np.concatenate([wide_fingerprint(hashes), profile(hashes)])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes.view(np.int64)), *[pa.array(c) for c in own.T.copy()]]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", *PARTS, *BOUND])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
