@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from regrowth.functions.draws import uniform
 from regrowth.operators.quantiles import exact_quantiles
-from regrowth.session import materialise
+from regrowth.session import materialise, shared_root
 
 #: Bins of a feature, and quantiles of which its edges are taken; rows that a node has at least.
 BINS, FINE, LEAST_ROWS = 32, 512, 50
+#: The method's rounds and learning rate. Its trees have 31 leaves, the best first and to any depth; MLlib grows level by level, and
+#: five levels have 32.
+ROUNDS, STEP, DEPTH = 400, 0.08, 5
 
 
 @dataclass
@@ -68,8 +71,10 @@ def cells(df: DataFrame, features: list[str], label: str, edges: list[list[float
     return found.select(*bins, "n", label)
 
 
-def fit_boosted(train: DataFrame, features: list[str], label: str, rounds: int = 400, depth: int = 5) -> BinnedModel:
-    """The method boosts 400 rounds; a caller that only wants the shape of the answer asks for fewer."""
+def fit_boosted(train: DataFrame, features: list[str], label: str, rounds: int = ROUNDS, depth: int = DEPTH) -> BinnedModel:
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # the rows' errors descend from round to round; MLlib cuts that line by checkpoints
+        context.setCheckpointDir(shared_root(train.sparkSession))
     edges = bin_edges(train, features)
     held = materialise(cells(train, features, label, edges), "cells")
     n = held.agg(F.sum("n")).first()[0] or 0
@@ -77,7 +82,7 @@ def fit_boosted(train: DataFrame, features: list[str], label: str, rounds: int =
     share, depth = (min((LEAST_ROWS - 0.5) / n, 0.4999), depth) if n >= 2 * LEAST_ROWS else (0.0, 0)
     # splits between bins are found in a sample of cells, whose size follows maxBins
     trees = GBTRegressor(
-        featuresCol="features", labelCol=label, weightCol="n", maxIter=rounds, maxDepth=depth, maxBins=8 * BINS, minWeightFractionPerNode=share, seed=42
+        featuresCol="features", labelCol=label, weightCol="n", maxIter=rounds, stepSize=STEP, maxDepth=depth, maxBins=8 * BINS, minWeightFractionPerNode=share, seed=42
     )
     return BinnedModel(trees.fit(assemble(held, [f"_bin_{f}" for f in features]).select("features", label, F.col("n").cast("double").alias("n"))), edges)
 

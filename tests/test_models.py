@@ -1,7 +1,10 @@
 import random
 import statistics
 
+import pytest
+
 from regrowth.operators import models as ml, quantiles as qt
+from regrowth.plans import catalogue, effects, fixtures as fx
 
 FEATURES = ["x", "y"]
 
@@ -49,3 +52,26 @@ def test_typical_rows_from_counted_values(spark):
         assert abs(got[g].low - (xs[int(at)] + (xs[min(int(at) + 1, len(xs) - 1)] - xs[int(at)]) * (at - int(at)))) < 1e-12
     one = qt.exact_quantiles(df, [], "x", [0.5], ["m"], count="n", repeated=True).first()
     assert (one.m, one.n) == (statistics.median(r[0] for r in data), 901)
+
+
+@pytest.mark.parametrize("name", ["gbt_model", "partial_dependence", "counterfactual"])
+def test_height_queries_boost_all_rounds_of_the_method(spark, monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def regressor(**settings):
+        raise Asked(settings)
+
+    px = spark.createDataFrame([(k, 1, float(k % 7), *[float(k % m) for m in range(2, 8)]) for k in range(400)], ["l_orderkey", "l_linenumber", "lst", *effects.FEATS])
+    monkeypatch.setattr(fx, "pixel_sample", lambda spark, sf: px)
+    monkeypatch.setattr(ml, "GBTRegressor", regressor)
+    with pytest.raises(Asked) as asked:
+        catalogue.QUERIES[name](spark, "")
+    settings = asked.value.args[0]
+    assert (settings["maxIter"], settings["stepSize"], settings["maxDepth"]) == (400, 0.08, 5)
+
+
+def test_rounds_are_cut_by_checkpoints_without_a_setting_of_the_session(spark):
+    df = spark.createDataFrame(rows(300), "x double, y double, lst double, g string").coalesce(1)
+    ml.fit_boosted(df, FEATURES, "lst", rounds=1, depth=1)
+    assert spark.sparkContext.getCheckpointDir() is not None
