@@ -123,3 +123,31 @@ def test_trees_and_thresholds_come_from_all_candidates(spark, monkeypatch):
     weight = F.sum("n") if "n" in kept[0].columns else F.count(F.lit(1))
     assert kept[0].agg(weight).first()[0] == 80_000  # four candidates of a text
     kept[0].unpersist()
+
+
+def test_a_pattern_reads_a_text_once_and_again_for_places_only(spark, corpus):
+    docs, _ = corpus
+    found = pii.candidates(docs.selectExpr("doc_id", "coalesce(text, '') as _text"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 8 and plan.count("split(") == 8
+
+
+def test_learning_and_judging_share_one_search(spark, corpus, monkeypatch):
+    docs, _ = corpus
+    want = sorted(map(str, pii.personal_data(docs, pii.learn(docs.selectExpr("doc_id", "coalesce(text, '') as _text"))).collect()))
+    calls, search = [], pii.candidates
+    monkeypatch.setattr(pii, "candidates", lambda *a: calls.append(a) or search(*a))
+    assert sorted(map(str, pii.personal_data(docs).collect())) == want
+    assert len(calls) == 1
+
+
+def test_tests_before_a_generator_lose_no_match(spark):
+    rnd = random.Random(3)
+    parts = ["a.b", "x1", "7.1.2", "1.1(dot)2", "4111 1111 1111", " ", " ", "@", "(at)", "[ At ]", "{aT}", "<at >", " at ", " AT ", "at", ".", "(dot)", " dot ", " [.] ", ",", "12", "300", "4", "+", "-", "(", "é", "\n"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14))) for _ in range(30_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "_text string").withColumn("_digit", F.col("_text").rlike(pii.DIGIT))
+    for how, patterns in (("exact", pii.EXACT), ("loose", pii.LOOSE)):
+        for kind in pii.KINDS:
+            plain = F.regexp_extract_all("_text", F.lit(patterns[kind]), F.lit(0))
+            got = df.select(F.size(plain).alias("n"), (plain == pii._found(F.col("_text"), F.col("_digit"), kind, how)).alias("same")).agg(F.sum("n"), F.min("same")).first()
+            assert got[0] > 0 and got[1], (how, kind)
