@@ -41,10 +41,13 @@ EXACT_CUSTOMERS = 512
 STRENGTH = 1.0
 #: Tokens whose pairs a counting task adds up before it hands them on.
 PAIRS_AT_ONCE = 2_000_000
+#: Pairs that a scoring task holds while the texts' pairs pass by.
+PAIRS_A_TASK = 1_000_000
 #: The end of a text; no word is empty.
 END = b""
 #: Hashes of the end of a text and of its start, which is a context only.
 END_HASH, START_HASH = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+HIGH = np.uint64(0xFFFFFFFF00000000)
 
 
 def log_stirling(discount: float, n: int) -> np.ndarray:
@@ -347,7 +350,8 @@ def _word_pairs(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(u: np.ndarray, v: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((v, u))
+    """Pairs with their numbers, in one sort by the upper halves of both hashes: pairs that share these may stand more than once."""
+    order = np.argsort((u & HIGH) | (v >> np.uint64(32)))
     u, v = u[order], v[order]
     first = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])))
     size = np.diff(np.append(first, len(u))) if n is None else np.add.reduceat(n[order], first)
@@ -396,22 +400,24 @@ def pair_values(pairs: DataFrame, seed: int = 7, sweeps: int = SWEEPS, burn_in:
         work.append(new_work_path(spark, name))
         return materialise(df, name, work[-1]), work[-1]
 
-    once = F.sum(F.when(F.col("c") == 1, 1).otherwise(0))
-    contexts, _ = kept_as(pairs.groupBy("u").agg(F.sum("c").alias("cu"), once.alias("su")), "contexts")
-    dishes, _ = kept_as(pairs.groupBy("v").agg(F.sum("c").alias("cv"), once.alias("sv")), "dishes")
-    n_train, n_types = (int(x or 0) for x in dishes.agg(F.sum("cv"), F.sum((F.col("cv") > 0).cast("int"))).first())
-    seen = {r.c: r.m for r in pairs.where("c between 1 and 2").groupBy("c").agg(F.count(F.lit(1)).alias("m")).collect()}
-    discount, types = discount_of(seen.get(1, 0), seen.get(2, 0)), n_types + 1
+    times = lambda c: F.sum(F.when(F.col("c") == c, 1).otherwise(0))
+    contexts, _ = kept_as(pairs.groupBy("u").agg(F.sum("c").alias("cu"), times(1).alias("su"), times(2).alias("twos")), "contexts")
+    dishes, _ = kept_as(pairs.groupBy("v").agg(F.sum("c").alias("cv"), times(1).alias("sv"), (F.max("c") > 1).alias("again")), "dishes")
+    n_train, n_types, still_ones = (int(x or 0) for x in dishes.agg(F.sum("cv"), F.sum((F.col("cv") > 0).cast("int")), F.sum((~F.col("again") & (F.col("sv") == 1)).cast("int"))).first())
+    discount, types = discount_of(*(int(x or 0) for x in contexts.agg(F.sum("su"), F.sum("twos")).first())), n_types + 1
+    contexts = contexts.drop("twos")
     state = pairs.where("c > 1").join(contexts.select("u", "su"), "u").select("u", "v", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("kept"), F.col("su").cast("long").alias("su"))
     state, at = kept_as(state, "seating")
-    # v, tables of its dish (the parent's customers), the parent's tables of it, its kept probabilities
-    parent, parent_at, total = dishes.select("v", F.lit(None).cast("long").alias("pt"), F.array().cast("array<double>").alias("p")), None, None
-    unseen, sums = [], []
+    # v, tables of its dish (the parent's customers), the parent's tables of it, its kept probabilities; a dish of at most one table
+    # whatever is drawn stays out, as its probability follows from the sweep's numbers
+    moving = dishes.where("again or sv > 1").select("v", "sv")
+    parent, parent_at, total = moving.select("v", F.lit(None).cast("long").alias("pt"), F.array().cast("array<double>").alias("p")), None, None
+    sums, stays = [], []
     for sweep in range(-1, sweeps):
         keep = sweep >= burn_in
         if sweep >= 0:
             tables, base = state.groupBy("u").agg(F.sum("t").alias("tu")), parent.select("v", "now")
-            joined = state.join(tables, "u").join(base, "v")
+            joined = state.join(tables.hint("shuffle_hash"), "u").join(base.hint("shuffle_hash"), "v")  # rows a word: no sort of the state
 
             def draw(batches: Iterator[pa.RecordBatch], sweep=sweep, keep=keep) -> Iterator[pa.RecordBatch]:
                 stirling = log_stirling(discount, EXACT_CUSTOMERS)
@@ -429,9 +435,10 @@ def pair_values(pairs: DataFrame, seed: int = 7, sweeps: int = SWEEPS, burn_in:
             sums.append(kept_as(state.groupBy("u").agg(F.sum("t").alias(f"t{len(sums)}")), "context-tables")[0])
         drawn = state.groupBy("v").agg(F.sum("t").alias("tv"))
         old = parent.select("v", "pt", "p")
-        customers = dishes.join(old, "v").join(drawn, "v", "left").select("v", (F.col("sv") + F.coalesce("tv", F.lit(0))).cast("long").alias("tv"), "pt", "p")
+        customers = moving.join(old, "v").join(drawn, "v", "left").select("v", (F.col("sv") + F.coalesce("tv", F.lit(0))).cast("long").alias("tv"), "pt", "p")
         customers, customers_at = kept_as(customers, "customers")
         n0, ones, twos, some = (int(x or 0) for x in customers.agg(F.sum("tv"), F.sum((F.col("tv") == 1).cast("int")), F.sum((F.col("tv") == 2).cast("int")), F.sum((F.col("tv") > 0).cast("int"))).first())
+        n0, ones, some = n0 + still_ones, ones + still_ones, some + still_ones
         d0, others = discount_of(ones, twos), float(some if total is None else total)
 
         def seat(batches: Iterator[pa.RecordBatch], sweep=sweep, d0=d0, others=others) -> Iterator[pa.RecordBatch]:
@@ -445,9 +452,11 @@ def pair_values(pairs: DataFrame, seed: int = 7, sweeps: int = SWEEPS, burn_in:
                 yield from pa.table([got.column("v"), got.column("tv"), pa.array(pt), got.column("p")], ["v", "tv", "pt", "p"]).to_batches()
 
         seated, seated_at = kept_as(customers.mapInArrow(seat, "v long, tv long, pt long, p array<double>"), "parent")
-        total = int(seated.agg(F.sum("pt")).first()[0] or 0)
+        total = int(seated.agg(F.sum("pt")).first()[0] or 0) + still_ones
         back = (STRENGTH + d0 * total) / types
         now = (F.col("tv") - F.lit(d0) * F.col("pt") + F.lit(back)) / F.lit(STRENGTH + n0)
+        if keep:
+            stays.append((F.col("sv") * F.lit(1 - d0) + F.lit(back)) / F.lit(STRENGTH + n0))
         parent = seated.select("v", "pt", (F.concat("p", F.array(now)) if keep else F.col("p")).alias("p"), now.alias("now"))
         for old_at in (customers_at, parent_at):
             if old_at and not keep:  # kept probabilities are columns of the later tables
@@ -457,12 +466,13 @@ def pair_values(pairs: DataFrame, seed: int = 7, sweeps: int = SWEEPS, burn_in:
     for k, s in enumerate(sums):
         contexts = contexts.join(s, "u", "left").withColumn(f"b{k}", (F.lit(STRENGTH) + F.lit(discount) * (F.col("su") + F.coalesce(f"t{k}", F.lit(0)))) / (F.lit(STRENGTH) + F.col("cu"))).drop(f"t{k}")
     rows = pairs.where("c <= 1").select("u", "v", "c", (F.col("c") * rounds).alias("kept")).unionByName(state.select("u", "v", "c", "kept"))
-    words = dishes.select("v", "cv").join(parent.select("v", "p"), "v")
-    rows = rows.join(contexts, "u").join(words, "v")
+    contexts = contexts.select("u", (F.lit(STRENGTH) + F.col("cu")).alias("scale"), *[f"b{k}" for k in range(rounds)])
+    words = dishes.join(parent.select("v", "p"), "v", "left").select("v", "cv", F.coalesce("p", F.array(*stays)).alias("p"))
+    own = (F.col("c") - F.lit(discount / rounds) * F.col("kept")) / F.col("scale")
+    rows = rows.join(contexts, "u").select("u", "v", own.alias("own"), *[f"b{k}" for k in range(rounds)]).join(words, "v")
     backed = sum(F.col(f"b{k}") * F.get("p", F.lit(k)) for k in range(rounds)) / rounds
-    own = (F.col("c") - F.lit(discount / rounds) * F.col("kept")) / (F.lit(STRENGTH) + F.col("cu"))
     base = F.log10((F.col("cv") + 0.1) / F.lit(float(n_train + 0.1 * types))) if n_train else F.lit(0.0)
-    return rows.select("u", "v", (F.col("cv") > 0).alias("known"), base.alias("base"), F.log10(own + backed).alias("value")), n_train
+    return rows.select("u", "v", (F.col("cv") > 0).alias("known"), base.alias("base"), F.log10(F.col("own") + backed).alias("value")), n_train
 
 
 def score_words(docs: DataFrame, folds: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -473,12 +483,16 @@ def score_words(docs: DataFrame, folds: int = 10, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, t in zip(batch.column("rid").to_pylist(), raw_bytes(batch, "text"), strict=True):
-                u, v, n = _counted(*_word_pairs(t))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), rid)), pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(n)], ["rid", "u", "v", "n"])
+            held = [(rid, *_counted(*_word_pairs(t))) for rid, t in zip(batch.column("rid").to_pylist(), raw_bytes(batch, "text"), strict=True)]
+            if held:
+                rid = np.repeat(np.array([x[0] for x in held]), [len(x[1]) for x in held])
+                u, v, n = (np.concatenate(x) for x in zip(*(x[1:] for x in held), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(n)], ["rid", "u", "v", "n"])
 
     held = rows.select("rid", "text").mapInArrow(run, "rid long, u long, v long, n long")
-    held = held.join(values, ["u", "v"])
+    # so many partitions that a task can hold its values: neither side is sorted then
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + pairs.count() // PAIRS_A_TASK)
+    held = held.repartition(parts, "u", "v").join(values.repartition(parts, "u", "v").hint("shuffle_hash"), ["u", "v"])
     n = F.col("n")
     sums = held.groupBy("rid").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("known"), n).otherwise(0)).alias("n_known"), F.sum(n * F.col("base")).alias("base_score"), F.sum(n * F.col("value")).alias("score"))
     return rows.select("rid", "doc_id", "held_out").join(sums, "rid").select(

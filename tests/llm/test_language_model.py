@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from regrowth.llm import language_model as lm
 
@@ -162,3 +163,39 @@ def test_all_word_scores_count_like_brute_force(spark):
         want.append((str(i), fold(i) == 0, len(own), sum(counts[x] > 0 for x in own), n, round(base, 6)))
     out = lm.learn_and_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == sorted(want)
+
+
+def test_only_dishes_whose_tables_can_change_are_seated(spark, monkeypatch):
+    kept, real = [], lm.materialise
+
+    def materialise(df, name, path=None):
+        kept.append((name, real(df, name, path)))
+        return kept[-1][1]
+
+    monkeypatch.setattr(lm, "materialise", materialise)
+    words = ["common", "pair", *(f"rare{i}" for i in range(30)), "new"]
+    train = [(True, f"common pair rare{i}") for i in range(30)]
+    held = [(False, f"pair {w}") for w in words] + [(False, "pair")]  # each word and the end after one context
+    values, n_train = lm.pair_values(lm.all_pairs(spark.createDataFrame(train + held, "train boolean, text string")))
+    assert n_train == 120
+    assert [df for name, df in kept if name == "parent"][-1].count() == 3  # common, pair and the end; rare words have one table whatever is drawn
+    pair = int(lm.token_hashes([b"pair"]).view("int64")[0])
+    after = [10**r.value for r in values.where(F.col("u") == pair).collect()]
+    assert len(after) == len(words) + 1 and sum(after) == pytest.approx(1)
+
+
+def test_scoring_sorts_neither_pairs_nor_texts(spark):
+    docs = spark.createDataFrame([(i, f"a b c{i % 7} d") for i in range(60)], "doc_id long, text string")
+    plan = lm.score_words(docs)._jdf.queryExecution().executedPlan().toString()
+    on_pairs = [x for x in plan.splitlines() if "Join [u#" in x and ", v#" in x]
+    assert on_pairs and all("ShuffledHashJoin" in x for x in on_pairs)
+
+
+def test_counted_pairs_add_up():
+    rnd = np.random.default_rng(2)
+    u, v = (rnd.integers(0, 2**63, 40).astype(np.uint64)[rnd.integers(0, 40, 5000)] for _ in range(2))
+    want = Counter(zip(u.tolist(), v.tolist()))
+    got = Counter()
+    for a, b, n in zip(*lm._counted(u, v), strict=True):
+        got[int(a), int(b)] += int(n)
+    assert got == want
