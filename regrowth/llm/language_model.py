@@ -41,8 +41,8 @@ EXACT_CUSTOMERS = 512
 STRENGTH = 1.0
 #: Tokens whose pairs a counting task adds up before it hands them on.
 PAIRS_AT_ONCE = 2_000_000
-#: Pairs that a scoring task holds while the texts' pairs pass by.
-PAIRS_A_TASK = 1_000_000
+#: Pairs of texts that leave a task together, and pairs with their values that a task holds while these pass by.
+PAIRS_A_BATCH, PAIRS_A_TASK = 200_000, 1_000_000
 #: The end of a text; no word is empty.
 END = b""
 #: Hashes of the end of a text and of its start, which is a context only.
@@ -482,12 +482,22 @@ def score_words(docs: DataFrame, folds: int = 10, key: str = "doc_id", text: str
     values, n_train = pair_values(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            rid = np.repeat(np.array([x[0] for x in held]), [len(x[1]) for x in held])
+            u, v, n = (np.concatenate(x) for x in zip(*(x[1:] for x in held), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(n)], ["rid", "u", "v", "n"])
+
         for batch in batches:
-            held = [(rid, *_counted(*_word_pairs(t))) for rid, t in zip(batch.column("rid").to_pylist(), raw_bytes(batch, "text"), strict=True)]
-            if held:
-                rid = np.repeat(np.array([x[0] for x in held]), [len(x[1]) for x in held])
-                u, v, n = (np.concatenate(x) for x in zip(*(x[1:] for x in held), strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(n)], ["rid", "u", "v", "n"])
+            for rid, t in zip(batch.column("rid").to_pylist(), raw_bytes(batch, "text"), strict=True):
+                held.append((rid, *_counted(*_word_pairs(t))))
+                size += len(held[-1][1])
+                if size >= PAIRS_A_BATCH:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
     held = rows.select("rid", "text").mapInArrow(run, "rid long, u long, v long, n long")
     # so many partitions that a task can hold its values: neither side is sorted then

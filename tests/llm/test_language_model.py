@@ -199,3 +199,11 @@ def test_counted_pairs_add_up():
     for a, b, n in zip(*lm._counted(u, v), strict=True):
         got[int(a), int(b)] += int(n)
     assert got == want
+
+
+@pytest.mark.parametrize("at_once", [3, 200_000])
+def test_texts_split_over_output_batches_keep_their_tokens(spark, monkeypatch, at_once):
+    monkeypatch.setattr(lm, "PAIRS_A_BATCH", at_once)
+    texts = [" ".join("abcd"[j % 4] for j in range(i % 9)) for i in range(50)]
+    out = lm.score_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in out) == [(i, len(t.split()) + 1) for i, t in enumerate(texts)]
